@@ -5,7 +5,7 @@ toxic texts of the sample that hold telling features, those that hold more of th
 
 P(grade > k) = sigmoid(w.x - theta_k) with one weight vector for all thresholds and theta_0 < theta_1. x marks which
 of the vocabulary's words and word beginnings a text holds. The model is fitted in numpy on a sample of at most `sample` labelled rows, the
-ones with the smallest hashes of their ids, with equal texts once. Its vocabulary is the features that toxic texts hold more often than clean ones, by a likelihood-
+ones with the smallest hashes of their ids, with texts that have the same two least hashes of long words (copies) once. Its vocabulary is the features that toxic texts hold more often than clean ones, by a likelihood-
 ratio statistic of at least `tell`, at most `features` of them, so that
 chance words of long texts don't drown a telling one. Scoring reads every word of every text. The model that goes to the tasks is at most `features` words long.
 
@@ -17,7 +17,6 @@ repeated doc_ids are scored like other rows. Other columns pass through; the out
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -26,9 +25,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lectern.llm.base import materialize
+
 SAMPLE = 6000
 FEATURES = 20_000
-TELL = 20.0
+TELL = 40.0
 REJECT = 0.5
 _WORD = re.compile(r"\w+")
 
@@ -53,36 +54,35 @@ class OrdinalModel:
         return float(sum(sorted(found)))  # sorted: the sum must not depend on the set's order
 
 
-def grade(texts: list[set[str]], toxic: np.ndarray, tells: set[str]) -> np.ndarray:
-    """0, 1 or 2 for each text; tells: the features that toxic texts have more often."""
-    dose = np.array([len(found & tells) for found in texts])
+def grade(texts: list[set[str]], toxic: np.ndarray) -> np.ndarray:
+    """0, 1 or 2 for each text, given by its telling features."""
+    dose = np.array([len(found) for found in texts])
     middle = np.median(dose[toxic & (dose > 0)]) if (toxic & (dose > 0)).any() else 0.0
     return toxic.astype(int) + (toxic & (dose > middle)).astype(int)
 
 
-def telling(words: list[set[str]], toxic: np.ndarray) -> dict[str, float]:
-    """The likelihood-ratio statistic of each feature against toxicity, negative if toxic texts have it less often."""
-    in_all, in_toxic = Counter(w for found in words for w in found), Counter(w for found, bad in zip(words, toxic.tolist(), strict=True) if bad for w in found)
-    names = [w for w, n in in_all.items() if n >= 3]
-    a = np.array([in_toxic[w] for w in names], float)
-    c = np.array([in_all[w] for w in names], float) - a
-    n1, n = float(toxic.sum()), float(len(words))
-    term = lambda seen, expected: np.where(seen > 0, seen * np.log(np.maximum(seen, 1e-9) / expected), 0)
-    with_word = a + c
-    g = 2 * (term(a, with_word * n1 / n) + term(c, with_word * (n - n1) / n) + term(n1 - a, (n - with_word + 1e-9) * n1 / n) + term(n - n1 - c, (n - with_word + 1e-9) * (n - n1) / n))
-    return dict(zip(names, np.where(a * n > with_word * n1, g, -g).round(9).tolist(), strict=True))
+def telling(sampled: DataFrame, tell: float = TELL, most: int = FEATURES) -> DataFrame:
+    """The features of sampled (toxic, features) that toxic rows hold more often, by a likelihood-ratio statistic of at least `tell`."""
+    n1, n = sampled.agg(F.sum("toxic"), F.count("*")).first()
+    n1, n = float(n1 or 0), float(n or 0)
+    held = sampled.select("toxic", F.explode("features").alias("feature")).groupBy("feature").agg(F.sum("toxic").alias("a"), F.count("*").alias("k")).where("k >= 3")
+    a, k = F.col("a"), F.col("k")
+    term = lambda seen, expected: F.when((seen > 0) & (expected > 0), seen * F.log(seen / expected)).otherwise(0.0)
+    with_it = term(a, k * n1 / max(1.0, n)) + term(k - a, k * (n - n1) / max(1.0, n))
+    without = term(n1 - a, (n - k) * n1 / max(1.0, n)) + term(n - n1 - k + a, (n - k) * (n - n1) / max(1.0, n))
+    g = F.round(2 * (with_it + without), 6)
+    return held.where((a * n > k * n1) & (g >= tell)).orderBy(g.desc(), "feature").limit(most).select("feature")
 
 
-def fit(words: list[set[str]], toxic: np.ndarray, features: int = FEATURES, tell: float = TELL, l2: float = 4.0, steps: int = 400) -> OrdinalModel:
+def fit(texts: list[set[str]], toxic: np.ndarray, l2: float = 4.0, steps: int = 400) -> OrdinalModel:
     """Maximum likelihood with a Gaussian prior around each feature's log-odds, by Adam over the whole sample."""
     toxic = toxic.astype(bool)
-    if not len(words) or toxic.all() or not toxic.any():
+    known = sorted(set().union(*texts))
+    if not known or toxic.all() or not toxic.any():
         return OrdinalModel({}, (40.0, 41.0))
-    told = telling(words, toxic)
-    known = sorted((w for w, g in told.items() if g >= tell), key=lambda w: (-told[w], w))[:features]
     index = {w: k for k, w in enumerate(known)}
-    rows, cols = np.array([(r, index[w]) for r, found in enumerate(words) for w in sorted(found) if w in index], np.int64).reshape(-1, 2).T
-    y, n, d = grade(words, toxic, set(known)), len(words), len(known)
+    rows, cols = np.array([(r, index[w]) for r, found in enumerate(texts) for w in sorted(found)], np.int64).reshape(-1, 2).T
+    y, n, d = grade(texts, toxic), len(texts), len(known)
     base = [np.clip((y > k).mean(), 0.5 / n, 1 - 0.5 / n) for k in (0, 1)]
     n1, seen = int(toxic.sum()), np.bincount(cols, minlength=d)
     bad = np.bincount(cols, toxic[rows].astype(float), d)
@@ -107,23 +107,26 @@ def fit(words: list[set[str]], toxic: np.ndarray, features: int = FEATURES, tell
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> OrdinalModel:
-    """Fits on the `sample` labelled ids with the smallest hashes; only the distinct words of those texts come to the driver."""
+    """Fits on the `sample` labelled ids with the smallest hashes; only the telling features of those texts come to the driver."""
     chosen = labels.where("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("_id")).agg(F.max("toxic").alias("_toxic")).orderBy(F.xxhash64("_id"), "_id").limit(sample)
     texts = docs.select(F.col("doc_id").cast("long").alias("_id"), "text").where("_id is not null").join(F.broadcast(chosen), "_id")
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [sorted(features_of(t)) for t in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1).cast(pa.int32()), pa.array(found, pa.list_(pa.string()))], ["_id", "_toxic", "words"])
-
-    # words that few rows of the sample hold are no features and needn't come to the driver
-    sampled = texts.select("_id", "_toxic", "text").mapInArrow(rows, "_id long, _toxic int, words array<string>")
-    kept = sampled.select("_id", "_toxic", F.explode_outer("words").alias("w"))
-    frequent = kept.groupBy("w").agg(F.count("*").alias("n")).where("n >= 3").orderBy(F.desc("n"), "w").limit(FEATURES).select("w")
-    got = kept.join(F.broadcast(frequent.withColumn("_known", F.lit(True))), "w", "left")
-    got = got.groupBy("_id").agg(F.max("_toxic").alias("_toxic"), F.collect_set(F.when(F.col("_known"), F.col("w"))).alias("words")).orderBy("_id").toPandas()
-    rows = dict.fromkeys((frozenset(w), bool(t > 0)) for w, t in zip(got["words"], got["_toxic"], strict=True))
-    return fit([set(w) for w, _ in rows], np.array([t for _, t in rows], bool))
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                found = [sorted(features_of(t)) for t in part.column(2).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([int(t > 0) for t in part.column(1).to_pylist()], pa.int32()), pa.array(found, pa.list_(pa.string()))], ["id", "toxic", "features"])
+
+    sampled = texts.select("_id", "_toxic", "text").mapInArrow(rows, "id long, toxic int, features array<string>")
+    rare = F.transform(F.filter("features", lambda f: F.length(f) >= 8), lambda f: F.xxhash64(f))
+    copies = F.xxhash64(F.slice(F.array_sort(rare), 1, 2), F.when(F.size(rare) < 2, F.col("features")))
+    once = sampled.withColumn("h", copies).groupBy("h", "toxic").agg(F.min_by("features", "id").alias("features"), F.min("id").alias("id"))
+    sampled = materialize(once, "labelled-sample")
+    told = telling(sampled)
+    held = sampled.select("id", F.explode("features").alias("feature")).join(F.broadcast(told), "feature").groupBy("id", "feature").count().groupBy("id").agg(F.collect_set("feature").alias("features"))
+    got = sampled.select("id", "toxic").join(held, "id", "left").orderBy("id", "toxic").toPandas()
+    return fit([set(w) if w is not None else set() for w in got["features"]], (got["toxic"] > 0).to_numpy(bool))
 
 
 def score(docs: DataFrame, model: OrdinalModel, reject: float = REJECT) -> DataFrame:
@@ -137,11 +140,14 @@ def score(docs: DataFrame, model: OrdinalModel, reject: float = REJECT) -> DataF
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = OrdinalModel(*shared.value)
         for batch in batches:
-            found = [features_of(t) for t in batch.column(at).to_pylist()]
-            p = known.probabilities(np.array([known.score(w) for w in found], float))
+            scores, some = np.zeros(batch.num_rows), np.zeros(batch.num_rows, bool)
+            for k, text in enumerate(batch.column(at)):  # one text's features at a time
+                found = features_of(text.as_py())
+                scores[k], some[k] = known.score(found), bool(found)
+            p = known.probabilities(scores)
             expected = p.sum(axis=1).round(9)
             likeliest = np.stack([1 - p[:, 0], p[:, 0] - p[:, 1], p[:, 1]]).argmax(axis=0).astype(np.int32)
-            bad = (p[:, 0] >= reject) & np.array([bool(w) for w in found], bool)
+            bad = (p[:, 0] >= reject) & some
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(len(names))), pa.array(likeliest), pa.array(expected), pa.array(p[:, 0].round(9)), pa.array(bad)], [*names, *out])
 
     schema = docs.limit(0).withColumns({"severity": F.lit(0), "expected_severity": F.lit(0.0), "p_toxic": F.lit(0.0), "rejected": F.lit(False)}).schema
