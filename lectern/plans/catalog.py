@@ -1,4 +1,7 @@
 """The queries over the tables by name, and their SQL."""
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from lectern.plans import answering, ingesting, kernels, retrieving, tracing
+
+PARTS = (retrieving, ingesting, answering, tracing, kernels)
+QUERIES = {name: query for part in PARTS for name, query in part.QUERIES.items()}
+ORACLE = {name: sql for part in PARTS for name, sql in part.ORACLE.items()}
