@@ -1,3 +1,165 @@
+"""Answers and grades: documents with marks stand for answers, labels for grades."""
+
+from pyspark.sql import functions as F
+
+from lectern.operators import answers, topics, upsert
 from lectern.plans.registry import registry
+from lectern.sources.tables import table
 
 QUERIES, ORACLE, query = registry()
+
+ANSWERS = "a as (select doc_id, text || ' [' || (doc_id % 9 + 1) || '] and [' || (doc_id % 4 + 1) || ']. ' || case when doc_id % 3 = 0 then chr(10) || '## References' || chr(10) || '[1] made up' else '' end as answer from documents)"
+CHUNKS = "c as (select d.doc_id, k as rank, '3.' || k as mod, d.source || '-' || k || '.md' as file from documents d, (select unnest([1, 2, 3, 4, 5, 6]) as k))"
+
+
+def answered(spark, sf_dir):
+    end = F.when(F.col("doc_id") % 3 == 0, "\n## References\n[1] made up").otherwise("")
+    return table(spark, sf_dir, "documents").select("doc_id", F.concat("text", F.lit(" ["), F.col("doc_id") % 9 + 1, F.lit("] and ["), F.col("doc_id") % 4 + 1, F.lit("]. "), end).alias("answer"))
+
+
+def chunks(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select("doc_id", "source", F.explode(F.sequence(F.lit(1), F.lit(6))).alias("rank"))
+    return d.select("doc_id", "rank", F.concat(F.lit("3."), "rank").alias("mod"), F.concat("source", F.lit("-"), "rank", F.lit(".md")).alias("file"))
+
+
+BARE = r"regexp_replace(regexp_replace(answer, '(?is)\n#{1,3}\s*(References|Sources)\b.*', ''), '\s+$', '')"
+MARKS = r"list_sort(list_distinct(list_transform(regexp_extract_all(answer, '\[(\d+)\]', 1), lambda x: x::int)))"
+
+
+@query(f"with {ANSWERS} select doc_id, {BARE} as answer from a")
+def strip_references(spark, sf_dir):
+    return answered(spark, sf_dir).select("doc_id", answers.strip_references(F.col("answer")).alias("answer"))
+
+
+@query(f"with {ANSWERS}, {CHUNKS}, m as (select doc_id, unnest({MARKS}) as rank from a) select doc_id, rank, file, mod from m join c using (doc_id, rank)")
+def citations(spark, sf_dir):
+    return answers.resolve(answered(spark, sf_dir), chunks(spark, sf_dir)).select("doc_id", "rank", "file", "mod")
+
+
+@query(f"with {ANSWERS} select doc_id, {MARKS} as cited, len(list_filter({MARKS}, lambda x: x not in (1, 2, 3, 4, 5, 6))) = 0 as compliant from a")
+def citation_compliance(spark, sf_dir):
+    known = F.sequence(F.lit(1), F.lit(6))
+    return answered(spark, sf_dir).select("doc_id", answers.cited(F.col("answer")).alias("cited"), answers.compliant(F.col("answer"), known).alias("compliant"))
+
+
+@query(f"""with {ANSWERS}, {CHUNKS}, m as (select doc_id, unnest({MARKS}) as rank from a), b as (select doc_id, string_agg('[' || rank || '] ' || file || ' (module ' || mod || ')', chr(10) order by rank) as block from m join c using (doc_id, rank) group by doc_id)
+select doc_id, {BARE} || coalesce(chr(10) || chr(10) || '## References' || chr(10) || block, '') as answer from a left join b using (doc_id)""")
+def rebuild_references(spark, sf_dir):
+    a = answered(spark, sf_dir)
+    return answers.rebuild(a, answers.resolve(a, chunks(spark, sf_dir)))
+
+
+GRADES = """g as (select doc_id, case when doc_id % 11 = 0 then 'no grade' else '{"f": ' || (quality * 0.3 + 0.6 + doc_id % 3 * 0.05)::decimal(4, 2) || ', "r": ' || (1 - toxic * 0.4)::decimal(4, 2) || ', "c": ' || ((doc_id % 5) * 0.3)::decimal(4, 2) || '}' end as reply, doc_id % 7 <> 0 as ok from labels),
+p as (select doc_id, ok, doc_id % 11 = 0 as is_fallback, case when doc_id % 11 = 0 then 0.5 else least(1, json_extract(reply, '$.f')::double) end as f, case when doc_id % 11 = 0 then 0.5 else least(1, json_extract(reply, '$.r')::double) end as r, case when doc_id % 11 = 0 then 0.5 else least(1, json_extract(reply, '$.c')::double) end as c from g)"""
+
+
+def graded(spark, sf_dir):
+    two = lambda c: c.cast("decimal(4,2)")
+    i = F.col("doc_id")
+    reply = F.concat(F.lit('{"f": '), two(F.col("quality") * 0.3 + 0.6 + i % 3 * 0.05), F.lit(', "r": '), two(1 - F.col("toxic") * 0.4), F.lit(', "c": '), two(i % 5 * 0.3), F.lit("}"))
+    return table(spark, sf_dir, "labels").select("doc_id", (i % 7 != 0).alias("ok"), answers.parse_grade(F.when(i % 11 == 0, "no grade").otherwise(reply)).alias("g"))
+
+
+@query(f"with {GRADES} select doc_id, f::double as f, r::double as r, c::double as c, is_fallback from p")
+def grade_parse(spark, sf_dir):
+    return graded(spark, sf_dir).select("doc_id", "g.*")
+
+
+@query(f"with {GRADES} select doc_id, case when (f + r + c) / 3 >= 0.80 and ok then 'pass' else 'reloop' end as decision from p")
+def pass_or_reloop(spark, sf_dir):
+    return graded(spark, sf_dir).select("doc_id", answers.decide(F.col("g"), F.col("ok")).alias("decision"))
+
+
+@query(f"""with {GRADES}, m as (select *, (f + r + c) / 3 as m from p) select doc_id, case when is_fallback then 'EVAL BACKEND UNAVAILABLE — stub score, not a real grade — ' else '' end || case when m >= 0.80 and ok then 'PASS' when not ok then 'BELOW 0.80 (' || printf('%.2f', m) || ') — citation compliance failed, reloop' else 'BELOW 0.80 (' || printf('%.2f', m) || '), reloop' end as verdict_1,
+case when is_fallback then 'EVAL BACKEND UNAVAILABLE — stub score, not a real grade — ' else '' end || case when m >= 0.80 and ok then 'PASS' when not ok then printf('%.2f', m) || ' — citation compliance failed, proceeding to compose' else printf('%.2f', m) || ' — proceeding to compose' end as verdict_2 from m""")
+def verdicts(spark, sf_dir):
+    g = graded(spark, sf_dir)
+    return g.select("doc_id", answers.verdict(F.col("g"), F.col("ok")).alias("verdict_1"), answers.verdict(F.col("g"), F.col("ok"), True).alias("verdict_2"))
+
+
+@query("select doc_id as request_id, case when quality = 0 or toxic = 1 then 2 else 1 end as attempt, 'draft ' || case when quality = 0 or toxic = 1 then 2 else 1 end as answer from labels")
+def final_answer_once(spark, sf_dir):
+    again = (F.col("quality") == 0) | (F.col("toxic") == 1)
+    tries = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("request_id"), F.explode(F.when(again, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))).alias("attempt"))
+    return answers.final_once(tries.withColumn("answer", F.concat(F.lit("draft "), "attempt")))
+
+
+@query("""with c as (select distinct on (conv_id) conv_id, text from conversations where role = 'user' order by conv_id, turn)
+select conv_id, regexp_matches(lower(text), 'adequate|sufficient|covered') as adequate from c""")
+def reflection_adequacy(spark, sf_dir):
+    first = table(spark, sf_dir, "conversations").where("role = 'user'").groupBy("conv_id").agg(F.min_by("text", "turn").alias("text"))
+    return first.select("conv_id", answers.adequate(F.col("text")).alias("adequate"))
+
+
+@query(r"""with l as (select doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as pos from documents),
+k as (select *, case when regexp_matches(line, '^\s*\|.*\|\s*$') then 'table' when regexp_matches(line, '^\s*[-*] ') then 'ul' when regexp_matches(line, '^\s*\d+\. ') then 'ol' when starts_with(line, '### ') then 'h3' when starts_with(line, '## ') then 'h2' when trim(line) = '' then 'blank' else 'paragraph' end as kind from l),
+n as (select *, case when lag(kind) over (partition by doc_id order by pos) = kind and kind not in ('h2', 'h3') then 0 else 1 end as new from k),
+b as (select *, sum(new) over (partition by doc_id order by pos)::bigint as block from n) select doc_id, block, kind, count(*) as n_lines from b group by doc_id, block, kind""")
+def markdown_blocks(spark, sf_dir):
+    return answers.blocks(table(spark, sf_dir, "documents"))
+
+
+@query(r"""with t as (select doc_id, text || ' $$x$$ and $y$ ' || case when doc_id % 2 = 0 then '\[z\] \(w\)' else '' end as t from documents)
+select doc_id, len(regexp_extract_all(t, '(?s)(\$\$.+?\$\$|\\\[.+?\\\])', 1))::int as display, len(regexp_extract_all(regexp_replace(t, '(?s)(\$\$.+?\$\$|\\\[.+?\\\])', '', 'g'), '(\$[^$\n]+\$|\\\(.+?\\\))', 1))::int as "inline" from t""")
+def math_spans(spark, sf_dir):
+    t = F.concat("text", F.lit(" $$x$$ and $y$ "), F.when(F.col("doc_id") % 2 == 0, r"\[z\] \(w\)").otherwise(""))
+    return table(spark, sf_dir, "documents").select("doc_id", answers.math_spans(t).alias("m")).select("doc_id", "m.*")
+
+
+@query(f"""with {ANSWERS}, e as (select doc_id, replace(replace(replace('**b** `c<d>` ' || answer, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') as t from a)
+select doc_id, regexp_replace(regexp_replace(regexp_replace(t, '\\*\\*(.+?)\\*\\*', '<strong>\\1</strong>', 'g'), '`([^`]+)`', '<code>\\1</code>', 'g'), '\\[(\\d+)\\]', '<a href="#ref-\\1">[\\1]</a>', 'g') as html from e""")
+def inline_html(spark, sf_dir):
+    return answered(spark, sf_dir).select("doc_id", answers.inline_html(F.concat(F.lit("**b** `c<d>` "), "answer")).alias("html"))
+
+
+OLD, NEW = "select doc_id, source, n_chars from documents where doc_id % 3 <> 0", "select doc_id, 'new' as source, n_chars + 1 as n_chars from documents where doc_id % 2 = 0"
+
+
+def halves(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select("doc_id", "source", "n_chars")
+    return d.where("doc_id % 3 <> 0"), d.where("doc_id % 2 = 0").select("doc_id", F.lit("new").alias("source"), (F.col("n_chars") + 1).alias("n_chars"))
+
+
+@query(f"select coalesce(o.doc_id, n.doc_id) as doc_id, coalesce(o.source, n.source) as source, coalesce(n.n_chars, o.n_chars) as n_chars from ({OLD}) o full join ({NEW}) n on o.doc_id = n.doc_id")
+def upsert_chunks(spark, sf_dir):
+    old, new = halves(spark, sf_dir)
+    return upsert.upsert(old, new, "doc_id", pinned=("source",))
+
+
+@query(f"{OLD} union all select * from ({NEW}) where doc_id % 3 = 0")
+def insert_if_absent(spark, sf_dir):
+    return upsert.insert_if_absent(*halves(spark, sf_dir), "doc_id")
+
+
+@query("select doc_id from documents where source not in (select source from documents where doc_id < 5)")
+def skip_existing(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select("doc_id", "source")
+    return upsert.skip_existing(d, d.where("doc_id < 5"), "source").select("doc_id")
+
+
+ASKED = "q as (select conv_id, turn, case conv_id % 6 when 0 then 'Why k-means? ' when 1 then 'Explain Bias. ' when 2 then 'cosine similarity ' when 3 then 'A CNN filter ' else '' end || text as text from conversations where role = 'user')"
+
+
+def asked(spark, sf_dir):
+    k = F.col("conv_id") % 6
+    lead = F.when(k == 0, "Why k-means? ").when(k == 1, "Explain Bias. ").when(k == 2, "cosine similarity ").when(k == 3, "A CNN filter ").otherwise("")
+    return table(spark, sf_dir, "conversations").where("role = 'user'").select("conv_id", "turn", F.concat(lead, "text").alias("text"))
+
+
+DETECT = "case " + " ".join(f"when regexp_matches(lower(text), '{'|'.join(w)}') then '{t}'" for t, (w, _) in topics.TOPICS.items()) + " end"
+LIT = "case topic " + " ".join(f"when '{t}' then {m}" for t, (_, m) in topics.TOPICS.items()) + " else [] end"
+
+
+@query(f"with {ASKED} select conv_id, turn, {DETECT} as topic from q")
+def topic_detect(spark, sf_dir):
+    return asked(spark, sf_dir).select("conv_id", "turn", topics.detect(F.col("text")).alias("topic"))
+
+
+@query(f"with {ASKED}, t as (select conv_id, turn, {DETECT} as topic from q) select conv_id, turn, {LIT}::varchar[] as modules from t")
+def topic_modules(spark, sf_dir):
+    return asked(spark, sf_dir).select("conv_id", "turn", topics.modules(topics.detect(F.col("text"))).alias("modules"))
+
+
+@query(f"with {ASKED}, t as (select {DETECT} as topic from q), m as (select unnest({LIT}::varchar[]) as mod from t) select n.mod, count(m.mod) as n from (select unnest({topics.MODULES}) as mod) n left join m on n.mod = m.mod group by n.mod")
+def coverage(spark, sf_dir):
+    return topics.coverage(asked(spark, sf_dir))

@@ -1,3 +1,103 @@
+"""Numeric kernels over generated grids and embeddings."""
+
+from pyspark.sql import functions as F
+
+from lectern.operators import kernels, retrieval
 from lectern.plans.registry import registry
+from lectern.sources.tables import table
 
 QUERIES, ORACLE, query = registry()
+POINTS = "p as (select vec_id as id, embedding[1]::double as x, embedding[2]::double as y, (label % 2)::int as label from embeddings)"
+
+
+def points(spark, sf_dir):
+    e = F.col("embedding")
+    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), e[0].cast("double").alias("x"), e[1].cast("double").alias("y"), (F.col("label") % 2).alias("label"))
+
+
+@query(f"with {POINTS}, n as (select label from p order by round(sqrt(power(x - 0.05, 2) + power(y + 0.02, 2)), 6), id limit 7) select sum(label)::bigint as votes, case when sum(label) > 3.5 then 1 else 0 end as label from n")
+def knn_vote(spark, sf_dir):
+    return kernels.knn_vote(points(spark, sf_dir), [0.05, -0.02], 7)
+
+
+START = [(-0.1, 0.0), (0.1, 0.0), (0.0, 0.1)]
+
+
+def _lloyd(steps: int) -> str:
+    parts = [POINTS, f"c0 as (select * from (values {', '.join(f'({k}, {x}::double, {y}::double)' for k, (x, y) in enumerate(START))}) v(c, x, y))"]
+    for s in range(steps):
+        parts.append(f"a{s} as (select p.id, p.x, p.y, c.c from p, c{s} c qualify row_number() over (partition by p.id order by round(power(p.x - c.x, 2) + power(p.y - c.y, 2), 9), c.c) = 1)")
+        parts.append(f"c{s + 1} as (select c{s}.c, coalesce(round(avg(a.x), 6), any_value(c{s}.x)) as x, coalesce(round(avg(a.y), 6), any_value(c{s}.y)) as y from c{s} left join a{s} a on a.c = c{s}.c group by c{s}.c)")
+    return f"with {', '.join(parts)} select c as cluster, x, y from c{steps}"
+
+
+@query(_lloyd(3))
+def kmeans_step(spark, sf_dir):
+    found = kernels.kmeans(points(spark, sf_dir), START, 3)
+    rows = F.array(*(F.struct(F.lit(k).alias("cluster"), F.lit(x).alias("x"), F.lit(y).alias("y")) for k, (x, y) in enumerate(found)))
+    return spark.range(1).select(F.explode(rows).alias("r")).select("r.*")
+
+
+@query("""with c as (select count(*) filter (where toxic = 1 and quality = 0) as tp, count(*) filter (where toxic = 0 and quality = 0) as fp, count(*) filter (where toxic = 1 and quality = 1) as fn, count(*) filter (where toxic = 0 and quality = 1) as tn from labels),
+d as (select *, case when tp + fp = 0 then 0 else tp / (tp + fp) end as p, case when tp + fn = 0 then 0 else tp / (tp + fn) end as r from c)
+select tp, fp, fn, tn, round(p, 6) as precision, round(r, 6) as recall, case when p + r = 0 then 0 else round(2 * p * r / (p + r), 6) end as f1 from d""")
+def confusion_matrix(spark, sf_dir):
+    return kernels.confusion(table(spark, sf_dir, "labels").select(F.col("toxic").alias("truth"), (1 - F.col("quality")).alias("guess")))
+
+
+@query("select a.vec_id as a, b.vec_id as b, round(list_cosine_similarity(a.embedding::double[], b.embedding::double[]), 6) as cosine from embeddings a join embeddings b on b.vec_id = a.vec_id + 1")
+def cosine_pairs(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings")
+    left, right = e.select(F.col("vec_id").alias("a"), F.col("embedding").alias("x")), e.select(F.col("vec_id").alias("b"), F.col("embedding").alias("y"))
+    return left.join(right, F.col("b") == F.col("a") + 1).select("a", "b", F.round(retrieval.cosine(F.col("x"), F.col("y")), 6).alias("cosine"))
+
+
+@query("select i::int as i, round(exp(-0.5 * power((-6 + i / 160 * 12) / 1.2, 2)) / (1.2 * sqrt(2 * pi())), 6) as density, abs(-6 + i / 160 * 12) <= 1.2 as in_band from range(161) r(i)")
+def normal_pdf(spark, sf_dir):
+    x = -6 + F.col("i") / 160 * 12
+    return kernels.grid(spark, 161).select("i", F.round(kernels.normal_pdf(x, 0.0, 1.2), 6).alias("density"), (F.abs(x) <= 1.2).alias("in_band"))
+
+
+@query("""with p as (select x::int as x, y::int as y, case when x between 5 and 7 and y between 1 and 3 then 0.95 when x > y then 0.7 else 0.15 end::double as v from range(9) a(x), range(9) b(y)),
+s as (select p.x, p.y, count(*) as n, sum(q.v * case when q.x = p.x and q.y = p.y then 8 else -1 end) as s from p join p q on abs(q.x - p.x) <= 1 and abs(q.y - p.y) <= 1 group by p.x, p.y)
+select p.x, p.y, round(case when n = 9 then greatest(0, least(1, s)) else v end, 6) as v from p join s using (x, y)""")
+def convolve3x3(spark, sf_dir):
+    cell = kernels.grid(spark, 81).select((F.col("i") % 9).alias("x"), F.floor(F.col("i") / 9).cast("int").alias("y"))
+    pixels = cell.withColumn("v", F.when(F.col("x").between(5, 7) & F.col("y").between(1, 3), 0.95).when(F.col("x") > F.col("y"), 0.7).otherwise(0.15))
+    return kernels.convolve(pixels, "edge")
+
+
+@query("""with g as (select i::int as i, k::int as coef, i / 80 as lam, [0.9, 0.7, 0.5][k + 1]::double as base from range(81) a(i), range(3) b(k)), v as (select i, coef, base / (1 + 4 * lam) as ridge, greatest(0, base - lam * 1.1::double * (1 + coef * 0.4::double)) as lasso from g)
+select i, coef, round(ridge, 6) as ridge, round(lasso, 6) as lasso, round(0.5::double * lasso + 0.5::double * ridge, 6) as elastic from v""")
+def coef_paths(spark, sf_dir):
+    g = kernels.grid(spark, 81).select("i", F.posexplode(F.array(F.lit(0.9), F.lit(0.7), F.lit(0.5))).alias("coef", "base"))
+    return g.select("i", "coef", kernels.coefficients(F.col("coef"), F.col("base"), F.col("i") / 80).alias("c")).select("i", "coef", "c.*")
+
+
+@query("""with g as (select i::int as i, i / 120 as x from range(121) a(i)), b as (select i, greatest(0.04::double, 1 / (0.8::double + x * 0.9::double)) as bias, greatest(0.02::double, power(x * 0.8::double, 1.6::double) * 0.5::double) as variance from g)
+select min_by(i, struct_pack(t := round(bias + variance + 0.05::double, 6), i := i)) as best, min(round(bias + variance + 0.05::double, 6)) as total from b""")
+def bias_variance_argmin(spark, sf_dir):
+    curve = kernels.grid(spark, 121).select("i", kernels.bias_variance(F.col("i") / 120, 1.0)["total"].alias("total"))
+    return curve.agg(F.min_by("i", F.struct("total", "i")).alias("best"), F.min("total").alias("total"))
+
+
+@query("select i::int as i, round(0.5::double * (i / 48) + 0.6::double * sin(i / 6 * pi()) + case when i < 48 then (sin(i * 12.9898::double) * 43758.5453::double - trunc(sin(i * 12.9898::double) * 43758.5453::double) - 0.5::double) * 0.25::double else 0 end + 1, 6) as v from range(60) r(i)")
+def trend_season(spark, sf_dir):
+    return kernels.grid(spark, 60).select("i", kernels.trend_season(F.col("i"), 0.5, 0.6).alias("v"))
+
+
+@query("with m as (select min(n_chars) as a, max(n_chars) as b from documents) select doc_id, round((n_chars - a) / (b - a), 6) as scaled from documents, m")
+def axis_scaling(spark, sf_dir):
+    return kernels.scaled(table(spark, sf_dir, "documents").select("doc_id", "n_chars"), "n_chars").select("doc_id", "scaled")
+
+
+@query("with c as (select source, count(*) as n from documents group by source) select source, round(0.12::double + 0.55::double * n / (select max(n) from c), 6) as heat from c")
+def heat_intensity(spark, sf_dir):
+    return kernels.heat(table(spark, sf_dir, "documents").groupBy("source").agg(F.count("*").alias("n")), "n").select("source", "heat")
+
+
+@query("""with recursive r as (select 0 as t, -0.2::double as w, 0::double as m, 0::double as v union all
+select t + 1, w - 0.1::double * ((0.9::double * m + (1 - 0.9::double) * g) / (1 - power(0.9::double, t + 1))) / (sqrt((0.999::double * v + (1 - 0.999::double) * g * g) / (1 - power(0.999::double, t + 1))) + 1e-8), 0.9::double * m + (1 - 0.9::double) * g, 0.999::double * v + (1 - 0.999::double) * g * g
+from (select *, 2 * (w - 1.4::double) + 0.75::double * cos(5 * w) as g from r) where t < 30) select t, round(w, 6) as w from r where t > 0""")
+def optimiser_trace(spark, sf_dir):
+    return kernels.optimiser(spark, "adam", 0.1, -0.2, 30)
