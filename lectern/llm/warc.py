@@ -2,8 +2,8 @@
 
 write() turns a row of pages into a response record whose block is an HTTP response with chunked transfer framing, or
 into a revisit record if a page with a smaller page_id has the same payload. Blocks over `segment` bytes continue in
-continuation records, which name their origin, their number and, in the last, the total length. Records are dealt to
-files by hash, at most `per_file` a file, so that the size of a file is bounded and one hot page's segments spread.
+continuation records, which name their origin, their number and, in the last, the total length. A task begins a new
+file after `per_file` records, so that the size of a file is bounded and a huge page's segments go to several.
 
 read() parses the files, one task for some files, groups the segments of a record by the origin's identifier, orders
 them by number, verifies that none is missing and that the total length is right, and decodes the chunked framing.
@@ -19,7 +19,6 @@ from __future__ import annotations
 import gzip
 import hashlib
 import io
-import math
 import uuid
 from collections.abc import Iterator
 
@@ -33,7 +32,6 @@ LEAST = 100
 SEGMENT = 16_384
 CHUNK = 4_096
 PER_FILE = 500
-FILE_BYTES = 4_000_000
 END = "\r\n\r\n"
 _HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n"
 _RECORD = "type string, record_id string, page_id string, url string, digest string, refers_to string, origin string, number int, total long, block binary"
@@ -103,7 +101,6 @@ def write(pages: DataFrame, path: str, least: int = LEAST, segment: int = SEGMEN
     first = base.where(F.col("page_id").isNotNull() & (F.col("n") >= least)).groupBy("digest").agg(F.min("page_id").alias("first"))
     marked = base.withColumn("_row", F.monotonically_increasing_id()).join(first, "digest", "left")
     marked = marked.withColumn("refers_to", F.when((F.col("n") >= least) & (F.col("page_id") != F.col("first")), F.col("first")))
-    total = base.agg(F.sum("n")).first()[0] or 0
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -112,8 +109,7 @@ def write(pages: DataFrame, path: str, least: int = LEAST, segment: int = SEGMEN
                 yield pa.RecordBatch.from_arrays([pa.array([r.decode() for r in out], pa.string())], ["value"])
 
     made = marked.select("_row", "page_id", "url", "digest", "refers_to", F.when(F.col("refers_to").isNull(), F.col("html")).alias("html")).mapInArrow(rows, "value string")
-    dealt = made.repartition(max(1, math.ceil(total / FILE_BYTES)), F.xxhash64("value"))
-    dealt.write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", per_file).text(path)
+    made.write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", per_file).text(path)
 
 
 def parse(data: bytes) -> Iterator[dict]:
