@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lectern.operators.folds import fold
+
 #: The stages in order, with the delay of a canned replay in milliseconds.
 STAGES = {"route": 300, "rewrite": 400, "retrieve1": 800, "react": 600, "reflect": 500, "evaluate1": 700, "retrieve2": 900, "evaluate2": 700, "compose": 1200}
 WINDOW_SECONDS, MOST_REQUESTS = 60, 10
@@ -51,18 +53,19 @@ def server_sent(event: Column) -> Column:
 
 
 def rate_limit(requests: DataFrame, window: int = WINDOW_SECONDS, most: int = MOST_REQUESTS) -> DataFrame:
-    """requests (key, seconds, id) with accepted: a sliding log, where a rejected request leaves no trace. A fold for each key."""
-    log = F.array().cast("array<double>")
-    start = F.struct(log.alias("log"), F.array().cast("array<struct<id:bigint,accepted:boolean>>").alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
-        held = F.filter(acc["log"], lambda t: x["seconds"] - t <= window)
-        ok = F.size(held) < most
-        return F.struct(F.when(ok, F.concat(held, F.array(x["seconds"]))).otherwise(held).alias("log"), F.concat(acc["out"], F.array(F.struct(x["id"].alias("id"), ok.alias("accepted")))).alias("out"))
-
-    row = F.struct(F.col("seconds").cast("double").alias("seconds"), F.col("id").cast("long").alias("id"))
-    folded = requests.groupBy("key").agg(F.aggregate(F.array_sort(F.collect_list(row)), start, step)["out"].alias("o"))  # the log of one client
-    return folded.select("key", F.explode("o").alias("o")).select("key", "o.id", "o.accepted")
+    """(key, id, accepted) of requests (key, seconds, id): a sliding log of at most `most` times, where a rejected request leaves no trace.
+
+    A fold for each key in the order of (seconds, id). A request without a time is accepted and leaves no trace.
+    """
+
+    def step(log: tuple[float, ...] | None, t: float | None) -> tuple[tuple[float, ...], bool]:
+        if t is None:
+            return log or (), True
+        held = tuple(x for x in log or () if t - x <= window)
+        return ((*held, t), True) if len(held) < most else (held, False)
+
+    asked = requests.select("key", F.col("seconds").cast("double").alias("seconds"), F.col("id").cast("long").alias("id"))
+    return fold(asked, "key", ["seconds", "id"], "seconds", step, "accepted", "boolean").select("key", "id", "accepted")
 
 
 def answer_cache(answers: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.functions.text import seconds, word_count
+from lectern.operators.folds import fold
 
 MIN_QUESTION_WORDS, GAP, MIN_WORDS, BATCH_WORDS = 6, 30.0, 10, 800
 #: Phrases that tell when a notebook is entered or left. They are flags; filtering goes by periods.
@@ -70,16 +71,14 @@ def keep_long(segments: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
 def greedy_batches(segments: DataFrame, most: int = BATCH_WORDS) -> DataFrame:
     """segments with batch: a fold over the segments of a file; a segment that doesn't fit opens the next batch."""
-    row = F.struct("pos", F.col("word_count").alias("n"))
-    start = F.struct(F.lit(0).cast("long").alias("batch"), F.lit(0).cast("long").alias("sum"), F.array().cast("array<struct<pos:bigint,batch:bigint>>").alias("out"))
 
-    def step(acc: Column, x: Column) -> Column:
-        full = (acc["sum"] > 0) & (acc["sum"] + x["n"] > most)
-        batch = F.when(full, acc["batch"] + 1).otherwise(acc["batch"])
-        return F.struct(batch.alias("batch"), F.when(full, x["n"]).otherwise(acc["sum"] + x["n"]).alias("sum"), F.concat(acc["out"], F.array(F.struct(x["pos"].cast("long").alias("pos"), batch.alias("batch")))).alias("out"))
+    def step(state: tuple[int, int] | None, n: int) -> tuple[tuple[int, int], int]:
+        batch, words = state or (0, 0)
+        if words > 0 and words + n > most:
+            batch, words = batch + 1, 0
+        return (batch, words + n), batch
 
-    folded = segments.groupBy("file").agg(F.aggregate(F.array_sort(F.collect_list(row)), start, step)["out"].alias("o"))  # one transcript a group
-    return segments.join(folded.select("file", F.explode("o").alias("o")).select("file", F.col("o.pos").alias("pos"), F.col("o.batch").alias("batch")), ["file", "pos"])
+    return fold(segments, "file", ["pos"], "word_count", step, "batch", "long")
 
 
 def batch_heads(batched: DataFrame) -> DataFrame:

@@ -107,6 +107,20 @@ def test_limit(spark):
     assert [x.accepted for x in trace.rate_limit(r).orderBy("id").collect()] == [True] * 10 + [False]
 
 
+def test_limit_on_odd_rows(spark):
+    r = spark.createDataFrame([(None, 1.0, k) for k in range(12)] + [(1, None, 20), (1, 5.0, 21), (1, 5.0, 21)], "key long, seconds double, id long")
+    got = [(x.key, x.id, x.accepted) for x in trace.rate_limit(r).orderBy("key", "id").collect()]
+    assert got == [(None, k, k < 10) for k in range(12)] + [(1, 20, True), (1, 21, True), (1, 21, True)]
+    assert trace.rate_limit(r.limit(0)).count() == 0
+
+
+def test_batches(spark):
+    rows = [("a", 0, 500), ("a", 1, 300), ("a", 2, 1), ("a", 3, 900), ("a", 4, 2), ("b", 0, 900), ("b", 1, 1), ("b", 2, 799)]
+    s = spark.createDataFrame(rows, "file string, pos long, word_count long")
+    got = transcript.greedy_batches(s).orderBy("file", "pos").collect()
+    assert [x.batch for x in got] == [0, 0, 1, 2, 3, 0, 1, 1]
+
+
 def test_stream_limit_equals_batch(spark, tmp_path):
     rng = random.Random(3)
     t, rows = 0.0, []
