@@ -97,3 +97,20 @@ def inline_html(text: Column) -> Column:
     out = F.replace(F.replace(F.replace(text, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
     out = F.regexp_replace(F.regexp_replace(out, r"\*\*(.+?)\*\*", "<strong>$1</strong>"), r"`([^`]+)`", "<code>$1</code>")
     return F.regexp_replace(out, r"\[(\d+)\]", '<a href="#ref-$1">[$1]</a>')
+
+
+def cells(line: Column) -> Column:
+    """The cells of a table row that aren't empty, escaped."""
+    out = F.replace(F.replace(F.replace(line, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    return F.filter(F.transform(F.split(out, r"\|"), lambda x: F.trim(x)), lambda x: x != "")
+
+
+def alignments(separator: Column) -> Column:
+    """left, right or center for each cell of the row under the heads."""
+    return F.transform(cells(separator), lambda x: F.when(x.startswith(":") & x.endswith(":"), "center").when(x.endswith(":"), "right").otherwise("left"))
+
+
+def row_html(line: Column, aligned: Column, tag: str = "td") -> Column:
+    """One table row; a cell without an alignment is on the left."""
+    cell = lambda x, i: F.concat(F.lit(f'<{tag} style="text-align:'), F.coalesce(F.get(aligned, i), F.lit("left")), F.lit('">'), x, F.lit(f"</{tag}>"))
+    return F.concat(F.lit("<tr>"), F.array_join(F.transform(cells(line), cell), ""), F.lit("</tr>"))

@@ -30,38 +30,45 @@ def top_k(chunks: DataFrame, query: list[float], k: int, module: str = "", boost
     return best.withColumn("rank", F.row_number().over(Window.orderBy(*order)))  # over k rows
 
 
-def top_k_many(chunks: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """(qid, id, score, rank) for queries (qid, embedding): tasks hold a block of queries and keep k of each batch for each."""
+def top_k_many(chunks: DataFrame, queries: DataFrame, k: int, boost: float = 0.0) -> DataFrame:
+    """(qid, id, score, rank) for queries (qid, embedding): tasks hold a block of queries and keep k of each batch for each.
+
+    With a boost, queries and chunks have mod as well, and chunks of a query's own module rank higher by it; the score stays pure.
+    """
     n_passes = max(1, -(-queries.count() // QUERIES_PER_PASS))
     out = None
     for p in range(n_passes):
         asked = queries.where(F.pmod(F.xxhash64("qid"), F.lit(n_passes)) == p).orderBy("qid").toPandas()
-        block = _block(chunks, asked, k)
+        block = _block(chunks, asked, k, boost)
         out = block if out is None else out.unionAll(block)
-    order = Window.partitionBy("qid").orderBy(F.desc("score"), "id")
-    return out.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    order = Window.partitionBy("qid").orderBy(F.desc("boosted"), "id")
+    return out.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).drop("boosted")
 
 
-def _block(chunks: DataFrame, asked: pd.DataFrame, k: int) -> DataFrame:
+def _block(chunks: DataFrame, asked: pd.DataFrame, k: int, boost: float) -> DataFrame:
     matrix = np.array(asked["embedding"].tolist(), np.float64).reshape(len(asked), -1)
     matrix /= np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-300)
-    shared = chunks.sparkSession.sparkContext.broadcast((asked["qid"].to_numpy(np.int64), matrix))  # QUERIES_PER_PASS rows at most
+    modules = asked["mod"].fillna("").tolist() if boost else []
+    shared = chunks.sparkSession.sparkContext.broadcast((asked["qid"].to_numpy(np.int64), matrix, modules))  # QUERIES_PER_PASS rows at most
 
     def rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        qids, q = shared.value
+        qids, q, mods = shared.value
         for frame in frames:
             if not len(frame) or not len(qids):
                 continue
             v = np.array(frame["embedding"].tolist(), np.float64)
             v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
             ids = frame["id"].to_numpy(np.int64)
+            of = frame["mod"].to_numpy() if boost else None
             for at in range(0, len(qids), 256):
                 scores = np.round(q[at : at + 256] @ v.T, 6)
                 for n, s in enumerate(scores):
-                    best = np.lexsort((ids, -s))[:k]
-                    yield pd.DataFrame({"qid": qids[at + n], "id": ids[best], "score": s[best]})
+                    own = boost and mods[at + n]
+                    lifted = np.round(s + boost * (of == own), 6) if own else s
+                    best = np.lexsort((ids, -lifted))[:k]
+                    yield pd.DataFrame({"qid": qids[at + n], "id": ids[best], "score": s[best], "boosted": lifted[best]})
 
-    return chunks.select("id", "embedding").mapInPandas(rows, "qid long, id long, score double")
+    return chunks.select("id", "embedding", *(["mod"] if boost else [])).mapInPandas(rows, "qid long, id long, score double, boosted double")
 
 
 def weigh(found: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lectern.functions.text import seconds, word_count
+from lectern.functions.text import hms, seconds, word_count
 from lectern.operators.folds import fold
 
 MIN_QUESTION_WORDS, GAP, MIN_WORDS, BATCH_WORDS = 6, 30.0, 10, 800
@@ -13,6 +13,19 @@ MIN_QUESTION_WORDS, GAP, MIN_WORDS, BATCH_WORDS = 6, 30.0, 10, 800
 ENTRY = ["let me go.{0,15}notebook", "go.{0,10}notebook", "open.{0,10}notebook", "run.{0,10}cell", "let.{0,10}do.{0,10}exercise", "jupyter", "go.{0,10}code.{0,10}component", "go into the code"]
 EXIT = ["go back.{0,15}slide", "back.{0,10}deck", "back.{0,10}presentation", "so we saw from the notebook", "from the exercise"]
 
+#: What the cleaning rules of transcripts call noise. The first only counts with a question mark.
+TAGS = ["right", "okay", "yeah", "you know", "is it"]
+NOISE = [
+    "so so basically basically", "i think i think", "right right right", "okay okay okay", "let me let me", "basically basically", "i mean i mean", "like like", "can can",
+    "lah", "leh", "lor", "wah", "sia", "lo", "erm", "uhh", "hmm", "you know", "okay so", "alright so", "so so", "and and",
+]
+NOISE_PATTERN = rf"(?i)\b({'|'.join(TAGS)})\?|\b({'|'.join(NOISE)})\b[?,]?"
+
+
+def without_noise(text: Column) -> Column:
+    """Without fillers, particles, false starts and transitions; white space single."""
+    return F.trim(F.regexp_replace(F.regexp_replace(text, NOISE_PATTERN, " "), r"\s+", " "))
+
 
 def parse_vtt(files: DataFrame) -> DataFrame:
     """Cues of (file, text): (file, pos, cue_id, ts_start, ts_end, ts_start_sec, ts_end_sec, speaker, raw_text)."""
@@ -83,3 +96,11 @@ def greedy_batches(segments: DataFrame, most: int = BATCH_WORDS) -> DataFrame:
 
 def batch_heads(batched: DataFrame) -> DataFrame:
     return batched.groupBy("file", "batch").agg(F.min_by("ts_start_sec", "pos").alias("first_start"), F.max_by("ts_end_sec", "pos").alias("last_end"), F.sum("word_count").alias("words"), F.count("*").alias("segments"))
+
+
+def batch_prompts(batched: DataFrame) -> DataFrame:
+    """(file, batch, prompt): the time range, the number and the texts of the segments of each batch, in order."""
+    part = F.concat(F.lit("["), hms(F.col("ts_start_sec")), F.lit(" → "), hms(F.col("ts_end_sec")), F.lit("] ["), F.upper("segment_type"), F.lit("]\n"), "merged_text")
+    held = batched.groupBy("file", "batch").agg(F.min_by("ts_start_sec", "pos").alias("a"), F.max_by("ts_end_sec", "pos").alias("z"), F.array_sort(F.collect_list(F.struct("pos", part.alias("t")))).alias("p"))
+    head = F.concat(F.lit("Time range: "), hms(F.col("a")), F.lit(" → "), hms(F.col("z")), F.lit("\nSegments: "), F.size("p"))
+    return held.select("file", "batch", F.concat(head, F.lit("\n\n"), F.array_join(F.transform("p", lambda x: x["t"]), "\n\n---\n\n")).alias("prompt"))

@@ -2,9 +2,9 @@
 
 from pyspark.sql import functions as F
 
-from lectern.operators import answers, topics, upsert
+from lectern.operators import answers, providers, questions, topics, upsert
 from lectern.plans.registry import registry
-from lectern.sources.tables import table
+from lectern.sources.tables import staged, table
 
 QUERIES, ORACLE, query = registry()
 
@@ -112,6 +112,25 @@ def inline_html(spark, sf_dir):
     return answered(spark, sf_dir).select("doc_id", answers.inline_html(F.concat(F.lit("**b** `c<d>` "), "answer")).alias("html"))
 
 
+CELLS = "list_filter(list_transform(string_split(replace(replace(replace({x}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '|'), lambda x: trim(x)), lambda x: x <> '')"
+
+
+@query(f"""with t as (select doc_id, '| a<b | ' || source || ' | ' || n_chars || ' | x |' as line, case doc_id % 2 when 0 then '|---|:-:|--:|' else '|:--|--:|' end as separator from documents),
+c as (select doc_id, {CELLS.format(x="line")} as c, list_transform({CELLS.format(x="separator")}, lambda x: case when starts_with(x, ':') and ends_with(x, ':') then 'center' when ends_with(x, ':') then 'right' else 'left' end) as a from t)
+select doc_id, '<tr>' || array_to_string(list_transform(c, lambda x, i: '<td style="text-align:' || coalesce(a[i], 'left') || '">' || x || '</td>'), '') || '</tr>' as html from c""")
+def table_rows(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    line = F.concat(F.lit("| a<b | "), "source", F.lit(" | "), "n_chars", F.lit(" | x |"))
+    separator = F.when(F.col("doc_id") % 2 == 0, "|---|:-:|--:|").otherwise("|:--|--:|")
+    return d.select("doc_id", answers.row_html(line, answers.alignments(separator)).alias("html"))
+
+
+@query("select doc_id, case when lang in ('eli5', 'standard', 'academia') then lang else 'standard' end as level from (select doc_id, case doc_id % 4 when 0 then 'eli5' when 1 then 'academia' else lang end as lang from documents)")
+def answer_level(spark, sf_dir):
+    asked = F.when(F.col("doc_id") % 4 == 0, "eli5").when(F.col("doc_id") % 4 == 1, "academia").otherwise(F.col("lang"))
+    return table(spark, sf_dir, "documents").select("doc_id", questions.level(asked).alias("level"))
+
+
 OLD, NEW = "select doc_id, source, n_chars from documents where doc_id % 3 <> 0", "select doc_id, 'new' as source, n_chars + 1 as n_chars from documents where doc_id % 2 = 0"
 
 
@@ -163,3 +182,20 @@ def topic_modules(spark, sf_dir):
 @query(f"with {ASKED}, t as (select {DETECT} as topic from q), m as (select unnest({LIT}::varchar[]) as mod from t) select n.mod, count(m.mod) as n from (select unnest({topics.MODULES}) as mod) n left join m on n.mod = m.mod group by n.mod")
 def coverage(spark, sf_dir):
     return topics.coverage(asked(spark, sf_dir))
+
+
+def graded_by_length(prompts: list[str]) -> list[str]:
+    """A stand-in grader: an answer of under a hundred characters fails."""
+    return [f'{{"f": 0.9, "r": {0.9 if len(p.rsplit("Answer: ", 1)[-1]) >= 100 else 0.2}, "c": 0.9}}' for p in prompts]
+
+
+@query()
+def stub_answer_pipeline(spark, sf_dir):
+    """The benchmark's items as questions over all documents, with stand-ins for the models."""
+    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").cast("long").alias("qid"), "text")
+    docs = table(spark, sf_dir, "documents").where("doc_id is not null")
+    embedder = providers.hashed_embedder()
+    kind = F.element_at(F.array(*map(F.lit, ("pdf", "textbook", "transcript"))), (F.pmod(F.col("doc_id"), F.lit(3)) + 1).cast("int"))
+    chunks = docs.select(F.col("doc_id").alias("id"), F.concat(F.lit("3."), F.pmod(F.col("doc_id"), F.lit(10)) + 1).alias("mod"), kind.alias("source_type"), F.concat("source", F.lit(".md")).alias("file"), "text")
+    answered = questions.answer(items, staged(providers.embed(chunks, embedder), "chunks"), providers.extractive, graded_by_length, embedder)
+    return answered.select("qid", "mod", "attempt", "answer", "citations", "ok", "decision", "verdict", "error")

@@ -160,9 +160,12 @@ def segment_stats(spark, sf_dir):
     return segments(spark, sf_dir).agg(F.count("*").alias("segments"), F.count_if(kind == "lecture").alias("lecture"), F.count_if(kind == "qa").alias("qa"), F.sum("word_count").alias("words"))
 
 
-@query(f"""with recursive {LONG}, n as (select *, row_number() over (partition by file order by pos) as rn from long),
-r as (select file, pos, rn, word_count as s, 0::bigint as batch from n where rn = 1 union all select n.file, n.pos, n.rn, case when r.s + n.word_count > 800 then n.word_count else r.s + n.word_count end, case when r.s + n.word_count > 800 then r.batch + 1 else r.batch end from r join n on n.file = r.file and n.rn = r.rn + 1)
-select file, batch, count(*) as segments, sum(word_count)::bigint as words from r join long using (file, pos) group by file, batch""")
+BATCHES = f"""recursive {LONG}, n as (select *, row_number() over (partition by file order by pos) as rn from long),
+r as (select file, pos, rn, word_count as s, 0::bigint as batch from n where rn = 1 union all select n.file, n.pos, n.rn, case when r.s + n.word_count > 800 then n.word_count else r.s + n.word_count end, case when r.s + n.word_count > 800 then r.batch + 1 else r.batch end from r join n on n.file = r.file and n.rn = r.rn + 1)"""
+CLOCK = "lpad(({x}::bigint // 3600)::varchar, 2, '0') || ':' || lpad(({x}::bigint % 3600 // 60)::varchar, 2, '0') || ':' || lpad(({x}::bigint % 60)::varchar, 2, '0')"
+
+
+@query(f"with {BATCHES} select file, batch, count(*) as segments, sum(word_count)::bigint as words from r join long using (file, pos) group by file, batch")
 def greedy_batches(spark, sf_dir):
     return transcript.batch_heads(transcript.greedy_batches(segments(spark, sf_dir))).select("file", "batch", "segments", "words")
 
@@ -170,3 +173,17 @@ def greedy_batches(spark, sf_dir):
 @query("select doc_id, lpad((n_chars // 3600)::varchar, 2, '0') || ':' || lpad((n_chars % 3600 // 60)::varchar, 2, '0') || ':' || lpad((n_chars % 60)::varchar, 2, '0') as hms from documents")
 def hms_format(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", fn.hms(F.col("n_chars")).alias("hms"))
+
+
+@query(f"""with {BATCHES}, t as (select file, batch, pos, {CLOCK.format(x="floor(ts_start_sec)")} as a, {CLOCK.format(x="floor(ts_end_sec)")} as z, upper(segment_type) as kind, merged_text from r join long using (file, pos))
+select file, batch, 'Time range: ' || min_by(a, pos) || ' → ' || max_by(z, pos) || chr(10) || 'Segments: ' || count(*) || chr(10) || chr(10) || string_agg('[' || a || ' → ' || z || '] [' || kind || ']' || chr(10) || merged_text, chr(10) || chr(10) || '---' || chr(10) || chr(10) order by pos) as prompt from t group by file, batch""")
+def batch_prompts(spark, sf_dir):
+    return transcript.batch_prompts(transcript.greedy_batches(segments(spark, sf_dir)))
+
+
+SPOKEN = "Okay so, it works lah, right? Basically basically, you know, the slope erm is it? "
+
+
+@query(f"select conv_id, turn, trim(regexp_replace(regexp_replace('{SPOKEN}' || text, '{transcript.NOISE_PATTERN}', ' ', 'g'), '\\s+', ' ', 'g')) as text from conversations")
+def noise_removal(spark, sf_dir):
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", transcript.without_noise(F.concat(F.lit(SPOKEN), "text")).alias("text"))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,3 +39,12 @@ def text_files(spark: SparkSession, path: str, glob: str = "*", recursive: bool
 
 def write_json_lines(df: DataFrame, path: str) -> None:
     df.write.option("ignoreNullFields", False).json(path)
+
+
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """df written as Parquet below spark.checkpoint.dir (a folder of our own only where that is unset) and read again, so that what made it runs once."""
+    spark = df.sparkSession
+    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="staged-")
+    path = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lectern.functions import text as fn
-from lectern.operators import answers, chunking, providers, topics, trace, transcript
+from lectern.operators import answers, chunking, providers, questions, retrieval, topics, trace, transcript
 from lectern.plans.retrieving import NAMESPACE
 from lectern.sources import tables
 from lectern.streaming import stages
@@ -170,3 +170,52 @@ def test_providers(spark):
     assert providers.complete(p, fail).first().error == "busy"
     v = providers.embed(p.withColumnRenamed("prompt", "text"), providers.hashed_embedder(16), dim=16).first().embedding
     assert abs(sum(x * x for x in v) - 1) < 1e-5
+
+
+def vectors(spark, n):
+    rng = random.Random(5)
+    rows = [(k, f"3.{k % 4}", ["pdf", "transcript", "web"][k % 3], f"f{k}.md", f"text {k}", [rng.gauss(0, 1) for _ in range(8)]) for k in range(n)]
+    return spark.createDataFrame(rows, "id long, mod string, source_type string, file string, text string, embedding array<double>")
+
+
+def test_many_with_boost_equals_one_by_one(spark):
+    chunks = vectors(spark, 60)
+    asked = chunks.where("id < 5").select(F.col("id").alias("qid"), "mod", "embedding")
+    got = {(r.qid, r["rank"]): (r.id, r.score) for r in retrieval.top_k_many(chunks, asked, 6, 0.3).collect()}
+    for q in asked.collect():
+        for r in retrieval.top_k(chunks, q.embedding, 6, q.mod, 0.3).collect():
+            assert got[q.qid, r["rank"]] == (r.id, r.score)
+
+
+def test_questions(spark):
+    """Question 1 passes at once, 2 fails its grade and is drafted again over both passes, 3 has no text; 4's model fails, and with it its batch."""
+    chunks = vectors(spark, 40)
+    asked = spark.createDataFrame([(1, "good"), (2, " why cosine similarity "), (3, None), (4, "boom")], "qid long, text string")
+
+    def embedder(texts):
+        return [[float(len(t) % 7 + 1), *([1.0] * 7)] for t in texts]
+
+    def completer(prompts):
+        out = []
+        for p in prompts:
+            if p.endswith("boom"):
+                raise RuntimeError("busy")
+            out.append("fine [1]" if p.endswith("good") else "poor [2] [99]\n## References\n[2] made up")
+        return out
+
+    def grader(prompts):
+        return ['{"f": 1, "r": 1, "c": 1}' if "fine" in p else "none" for p in prompts]
+
+    got = {r.qid: r for part in ("qid < 4", "qid = 4") for r in questions.answer(asked.where(part), chunks, completer, grader, embedder, dim=8).collect()}
+    assert set(got) == {1, 2, 3, 4}
+    assert (got[1].attempt, got[1].decision, got[1].ok, got[1].mod) == (1, "pass", True, "3.1")
+    assert got[1].answer.startswith("fine [1]\n\n## References\n[1] f") and len(got[1].citations) == 1
+    assert (got[2].attempt, got[2].decision, got[2].ok, got[2].is_fallback, got[2].mod) == (2, "reloop", False, True, "3.9")
+    assert "made up" not in got[2].answer and "[2] f" in got[2].answer and len(got[2].citations) == 1
+    assert got[3].attempt == 2 and got[4].attempt == 2 and got[4].answer == "" and got[4].error == "busy"
+
+
+def test_second_pass_appends_only_unseen(spark):
+    row = "qid long, position int, id long"
+    first, again = spark.createDataFrame([(1, 1, 7), (1, 2, 5)], row), spark.createDataFrame([(1, 1, 5), (1, 2, 9), (2, 1, 7)], row)
+    assert [tuple(r) for r in questions.append_unseen(first, again).select("qid", "position", "id").orderBy("qid", "position").collect()] == [(1, 1, 7), (1, 2, 5), (1, 3, 9), (2, 1, 7)]

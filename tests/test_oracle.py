@@ -40,4 +40,4 @@ def test_query(spark, sf, name):
 
 
 def test_all_have_sql():
-    assert set(catalog.QUERIES) == set(catalog.ORACLE)
+    assert set(catalog.QUERIES) - set(catalog.ORACLE) == {"stub_answer_pipeline"}  # models are no SQL; test_questions has it
