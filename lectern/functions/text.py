@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 EDGES = r"^\s+|\s+$"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with the value computed once a row, however often the body names it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def strip(c: Column) -> Column:
     return F.regexp_replace(c, EDGES, "")
 

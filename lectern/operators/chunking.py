@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lectern.functions.text import strip, token_estimate
+from lectern.functions.text import let, strip, token_estimate
 
 SIZE, OVERLAP, MIN_CHARS = 1000, 200, 50
 PAGE = r"<!--\s*page\s*\d+\s*-->"
@@ -19,9 +19,10 @@ def sliding_chunks(docs: DataFrame, size: int = SIZE, overlap: int = OVERLAP, mi
     step = size - overlap
     n = F.greatest(F.lit(0), F.ceil((F.length("text") - size) / step)).cast("int")
     cut = F.transform(F.sequence(F.lit(0), n), lambda k: strip(F.substring(F.col("text"), k * step + 1, F.lit(size))))
-    stop = F.array_position(F.transform(F.col("c"), lambda c: F.length(c) < min_chars), True).cast("int")
-    kept = docs.where("text is not null").select("doc_id", cut.alias("c")).select("doc_id", F.when(stop > 0, F.slice("c", F.lit(1), stop - 1)).otherwise(F.col("c")).alias("c"))
-    out = kept.select("doc_id", F.posexplode("c").alias("chunk_index", "chunk_text"))
+    stop = lambda c: F.array_position(F.transform(c, lambda x: F.length(x) < min_chars), True).cast("int")
+    kept = let(cut, lambda c: let(stop(c), lambda at: F.when(at > 0, F.slice(c, F.lit(1), at - 1)).otherwise(c)))
+    # the outer form, as the filter that Spark infers for the other would cut each text a second time
+    out = docs.where("text is not null").select("doc_id", F.posexplode_outer(kept).alias("chunk_index", "chunk_text")).where("chunk_index is not null")
     return out.select("doc_id", "chunk_index", (F.col("chunk_index") * step).alias("start"), "chunk_text", token_estimate(F.col("chunk_text")).alias("token_estimate"))
 
 
@@ -41,8 +42,8 @@ def headings(docs: DataFrame) -> DataFrame:
 def nearest_heading(chunks: DataFrame, docs: DataFrame) -> DataFrame:
     """The heading at or before the start of each chunk, else ''."""
     maps = docs.select("doc_id", heading_map(F.col("text")).alias("m"))
-    last = F.element_at(F.filter("m", lambda h: h["at"] <= F.col("start")), -1)["heading"]
-    return chunks.join(maps, "doc_id").withColumn("section_title", F.coalesce(F.when(F.size(F.filter("m", lambda h: h["at"] <= F.col("start"))) > 0, last), F.lit(""))).drop("m")
+    last = F.try_element_at(F.filter("m", lambda h: h["at"] <= F.col("start")), F.lit(-1))["heading"]
+    return chunks.join(maps, "doc_id").withColumn("section_title", F.coalesce(last, F.lit(""))).drop("m")
 
 
 def page_batches(docs: DataFrame, per_batch: int = PAGES_A_BATCH, pattern: str = PAGE) -> DataFrame:

@@ -21,10 +21,11 @@ TOPICS = {
 MODULES = [f"3.{k}" for k in range(1, 11)]
 
 
-def detect(question: Column) -> Column:
+def detect(question: Column, topics: dict[str, tuple[list[str], list[str]]] = TOPICS) -> Column:
+    """The first topic one of whose keywords the question holds, else null; other vocabularies can be given."""
     low = F.lower(question)
     out = F.lit(None).cast("string")
-    for topic, (words, _) in reversed(TOPICS.items()):
+    for topic, (words, _) in reversed(topics.items()):
         out = F.when(low.rlike("|".join(w.replace("-", r"\-") for w in words)), topic).otherwise(out)
     return out
 
