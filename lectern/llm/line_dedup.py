@@ -11,7 +11,8 @@ decide() probes the filter of its shard with each line and looks up only the hit
 no false negatives and the exact table settles its false positives, so results are exact.
 
 Skew: keys are pre-aggregated before they reach a shard; lines are probed in (shard, salt) groups of a bounded
-size; the exact lookup is an equi join whose hot keys adaptive execution splits.
+size; in the exact lookup a key that more than LINES_PER_LOOKUP lines have (more, where over HOT_KEYS keys would be
+so hot) is dealt to several parts.
 
 Cases: a null or empty text is one empty line. Keys under `min_chars` code points are never dropped. A row with a
 null doc_id holds no references and keeps all its lines. Rows that repeat a doc_id count as one holder; each is
@@ -36,6 +37,8 @@ from lectern.llm.cuckoo import CuckooFilter
 MIN_CHARS = 10
 KEYS_PER_SHARD = 500_000
 LINES_PER_PROBE = 400_000
+LINES_PER_LOOKUP = 5_000
+HOT_KEYS = 1_000_000
 _STRIP = b" \t\n\x0b\x0c\r"
 _REFERENCE = "doc_id long, tag long, h1 long, h2 long, positions binary"
 _FILTER = "shard int, n_buckets int, slots binary, stash binary"
@@ -105,6 +108,7 @@ class LineIndex:
     filters: DataFrame
     n_shards: int
     min_chars: int = MIN_CHARS
+    shared: DataFrame | None = None  # the counts of keys that two documents or more hold, where they are at hand
 
     def _shard(self):
         return F.pmod(F.shiftright("h1", 32), F.lit(self.n_shards)).cast("int")
@@ -113,11 +117,13 @@ class LineIndex:
     def build(cls, docs: DataFrame, min_chars: int = MIN_CHARS) -> LineIndex:
         """An index of its own for docs."""
         refs = materialize(references(docs, min_chars), "line-references")
-        shared = materialize(counts(refs).where("shared").select("h1", "h2", "min_doc"), "line-shared")
+        shared = materialize(counts(refs).where("shared").select("h1", "h2", "n_refs", "min_doc"), "line-shared")
         n_shards = max(8, math.ceil(shared.count() / KEYS_PER_SHARD))
         empty = docs.sparkSession.createDataFrame([], _FILTER)
         index = cls(refs, empty, n_shards, min_chars)
-        return index._changed(refs, shared.select("h1", "h2", F.lit(True).alias("added")))
+        index = index._changed(refs, shared.select("h1", "h2", F.lit(True).alias("added")))
+        index.shared = shared
+        return index
 
     def _changed(self, refs: DataFrame, changes: DataFrame) -> LineIndex:
         pairs = changes.withColumn("shard", self._shard()).groupBy("shard").cogroup(self.filters.groupBy("shard"))
@@ -153,8 +159,16 @@ class LineIndex:
 
     def drops(self) -> DataFrame:
         """(doc_id, tag, dropped): for each indexed document row the positions it loses, one array of int32 bytes a key."""
-        exact = counts(self.references).where("shared").select("h1", "h2", "min_doc")
-        lost = self.hits(self.references).join(exact, ["h1", "h2"]).where("doc_id > min_doc")
+        exact = self.shared
+        if exact is None:
+            exact = materialize(counts(self.references).where("shared").select("h1", "h2", "n_refs", "min_doc"), "line-shared")
+        held = exact.agg(F.sum("n_refs")).first()[0] or 0
+        most = max(LINES_PER_LOOKUP, math.ceil(held / HOT_KEYS))
+        exact = exact.withColumn("parts", F.ceil(F.col("n_refs") / most).cast("int"))
+        hot = F.broadcast(exact.where("parts > 1").select("h1", "h2", "parts"))  # fewer than held / most, so HOT_KEYS at most
+        hits = self.hits(self.references).join(hot, ["h1", "h2"], "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64("doc_id", "tag"), "parts"), F.lit(0)).cast("int")).drop("parts")
+        exact = exact.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts", "n_refs")
+        lost = hits.join(exact, ["h1", "h2", "part"]).where("doc_id > min_doc")
         return lost.groupBy("doc_id", "tag").agg(F.collect_set("positions").alias("dropped"))
 
     def decide(self, docs: DataFrame) -> DataFrame:
