@@ -43,6 +43,13 @@ def test_line_dedup(odd_docs, no_docs):
     assert rows(line_dedup.dedup_lines(no_docs)) == []
 
 
+def test_hot_lines_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "LINES_PER_LOOKUP", 3)
+    docs = spark.createDataFrame([(k, f"a line that all share\nonly in {k // 2} or so\nshort") for k in range(40)], "doc_id long, text string")
+    got = line_dedup.dedup_lines(docs)
+    assert sorted(((r.doc_id, r.text, r.n_lines, r.n_dropped) for r in rows(got)), key=repr) == brute_lines(rows(docs))
+
+
 def test_line_index_is_reversible(spark, documents):
     small = documents.where("doc_id < 60").cache()
     a, b = small.where("doc_id % 3 <> 0"), small.where("doc_id % 3 = 0")
