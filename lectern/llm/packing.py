@@ -8,13 +8,14 @@ are shuffled. Order and dealing depend on the pieces alone, so a task that runs
 
 Cases: a null or empty text is a document of the end token alone. Null and repeated doc_ids are packed like any
 other row. A document of more than `size` tokens is cut into full pieces, and what is left over comes first as its
-shorter first piece. An empty table gives no rows.
+shorter first piece. Runs of white space can be of any length. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import json
 import math
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,6 +33,9 @@ OPEN_BINS = 1024
 PIECES_PER_TASK = 150_000
 #: Fixed value: how a byte-level BPE of this kind cuts a text before it merges.
 PRE_TOKENIZER = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Above so many white-space characters in a row the run goes to the merger by itself: the regex engine gives up at about a million.
+LONG_SPACE = 100_000
+_SPACE_RUN = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{64,}")
 _PIECE = "piece int, start long, length long, ids binary"
 
 
@@ -56,9 +60,19 @@ class ByteBpe:
         ranks = {bytes(alphabet[c] for c in token): n for token, n in read["model"]["vocab"].items() if token not in special}
         self._encoding = tiktoken.Encoding("byte-level", pat_str=PRE_TOKENIZER, mergeable_ranks=ranks, special_tokens={})
 
+    def _ordinary(self, text: str) -> list[int]:
+        out, at = [], 0
+        for run in _SPACE_RUN.finditer(text) if len(text) > LONG_SPACE else ():
+            end = run.end() - (run.end() < len(text))  # PRE_TOKENIZER leaves a run's last character to what follows
+            if end - run.start() > LONG_SPACE:
+                out += self._encoding.encode_ordinary(text[at : run.start()])
+                out += self._encoding._encode_single_piece(text[run.start() : end])
+                at = end
+        return out + self._encoding.encode_ordinary(text[at:])
+
     def encode(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids; a special token's string in a text is ordinary text."""
-        return np.array(self._encoding.encode_ordinary(text), "<u4").tobytes()
+        return np.array(self._ordinary(text), "<u4").tobytes()
 
 
 def tokenize(docs: DataFrame, tokenizer: str, size: int = SIZE, end: int = END) -> DataFrame:

@@ -187,6 +187,32 @@ def test_packing(odd_docs, no_docs, documents):
     assert rows(packing.pack_documents(no_docs, tokenizer_path())) == []
 
 
+def test_packing_of_long_white_space(spark):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(tokenizer_path())
+    texts = ["a" + " " * 2_000_000 + "b", " \n" * 1_000_000, "\u3000" * 1_200_000 + "\nc " + " \t" * 700_000 + "\n1  x"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    by_doc = defaultdict(list)
+    for r in rows(packing.pack_documents(docs, tokenizer_path())):
+        by_doc[r.doc_id].append(r)
+    for doc_id, text in enumerate(texts):
+        ids = np.array([*t.encode(text, add_special_tokens=False).ids, 2], "<u4")
+        assert sum(p.length for p in by_doc[doc_id]) == len(ids)
+        assert all(zlib.crc32(ids[p.start : p.start + p.length].tobytes()) == p.ids_crc32 for p in by_doc[doc_id])
+
+
+def test_white_space_is_cut_as_by_the_tokenizer(monkeypatch):
+    from tokenizers import Tokenizer
+
+    t, bpe = Tokenizer.from_file(tokenizer_path()), packing.ByteBpe(tokenizer_path())
+    monkeypatch.setattr(packing, "LONG_SPACE", 70)
+    rng = np.random.Generator(np.random.PCG64(3))
+    for _ in range(300):
+        text = "".join("".join(rng.choice(list(" \n\t\x85\xa0\u2003\u3000"), int(rng.integers(0, 200)))) + str(rng.choice(["a", "'s", "1", "é.", "\x1c", "\u200b", ""])) for _ in range(4))
+        assert bpe.encode(text) == np.array(t.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+
 def test_fullest_bin_closes_first():
     b = packing.BestFit(10, 2)
     assert [b.place(x) for x in (6, 7, 8)] == [(0, 0), (1, 0), (2, 0)]
