@@ -48,17 +48,20 @@ def byte_alphabet() -> dict[str, int]:
 
 class ByteBpe:
     """Ids of whole texts. The file is one of the tokenizers library; its vocabulary runs in tiktoken's merger, which
-    gives the same ids (the tests hold it against the library) at several times the speed."""
+    gives the same ids (the tests hold it against the library) at several times the speed. With `added`, the strings
+    of the file's added tokens are found in texts, the longest first, as the library does unless it is told otherwise."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, added: bool = False):
         import tiktoken
 
         with open(path, encoding="utf-8") as file:
             read = json.load(file)
         alphabet = byte_alphabet()
-        special = {x["content"] for x in read["added_tokens"]}
+        special = {x["content"]: x["id"] for x in read["added_tokens"]}
         ranks = {bytes(alphabet[c] for c in token): n for token, n in read["model"]["vocab"].items() if token not in special}
         self._encoding = tiktoken.Encoding("byte-level", pat_str=PRE_TOKENIZER, mergeable_ranks=ranks, special_tokens={})
+        self._added = special if added else {}
+        self._cut = re.compile("(" + "|".join(re.escape(x) for x in sorted(self._added, key=lambda x: (-len(x), x))) + ")") if self._added else None
 
     def _ordinary(self, text: str) -> list[int]:
         out, at = [], 0
@@ -71,17 +74,22 @@ class ByteBpe:
         return out + self._encoding.encode_ordinary(text[at:])
 
     def encode(self, text: str) -> bytes:
-        """Little-endian unsigned 32-bit ids; a special token's string in a text is ordinary text."""
-        return np.array(self._ordinary(text), "<u4").tobytes()
+        """Little-endian unsigned 32-bit ids; without `added`, an added token's string in a text is ordinary text."""
+        if self._cut is None:
+            return np.array(self._ordinary(text), "<u4").tobytes()
+        out = []
+        for k, part in enumerate(self._cut.split(text)):
+            out += [self._added[part]] if k % 2 else self._ordinary(part)
+        return np.array(out, "<u4").tobytes()
 
 
-def tokenize(docs: DataFrame, tokenizer: str, size: int = SIZE, end: int = END) -> DataFrame:
+def tokenize(docs: DataFrame, tokenizer: str, size: int = SIZE, end: int = END, added: bool = False) -> DataFrame:
     """A row for each piece: the columns of docs but text, then piece, start, length and ids (little-endian uint32)."""
     names = [c for c in docs.columns if c not in ("text", "piece", "start", "length", "ids")]
     docs = docs.select(*names, "text")
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = ByteBpe(tokenizer)
+        bpe = ByteBpe(tokenizer, added)
         stop = np.array([end], np.uint32).tobytes()
         for batch in batches:
             for at in range(0, batch.num_rows, 200):
@@ -155,9 +163,9 @@ def pack(pieces: DataFrame, size: int = SIZE, open_bins: int = OPEN_BINS, pieces
     return dealt.mapInPandas(rows, schema)
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, size: int = SIZE, end: int = END) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str, size: int = SIZE, end: int = END, added: bool = False) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, sequence_id, offset) of every piece of docs."""
-    pieces = tokenize(docs.select("doc_id", "text"), tokenizer, size, end).select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
+    pieces = tokenize(docs.select("doc_id", "text"), tokenizer, size, end, added).select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
     return pack(materialize(pieces, "pieces"), size)
 
 

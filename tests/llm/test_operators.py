@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from lectern.llm import cuckoo, decontaminate, licenses, line_dedup, ngram_join, packing, pseudo_likelihood, quality, toxicity, url_filter, warc
-from lectern.llm.queries import tokenizer_path
+from lectern.llm.queries import QUERIES, tokenizer_path
 
 SPACE = " \t\n\x0b\x0c\r"
 
@@ -213,6 +213,21 @@ def test_white_space_is_cut_as_by_the_tokenizer(monkeypatch):
         assert bpe.encode(text) == np.array(t.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
 
+def test_added_tokens_in_texts(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(tokenizer_path())
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|>\n\n<|endoftext|", "a  \n <|endoftext|>  b", " " * 200_000 + "<|endoftext|>" + " " * 200_000 + "c", "plain", ""]
+    want = {k: np.array([*t.encode(x, add_special_tokens=False).ids, 2], "<u4") for k, x in enumerate(texts)}
+    assert want[0].tolist() == [64, 220, 50256, 275, 2]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    for got in (QUERIES["op6_packing"](spark, str(tmp_path)), corpus_pipeline.packing_stage(spark, docs, str(tmp_path))):
+        got = rows(got)
+        assert {k: sum(r.length for r in got if r.doc_id == k) for k in want} == {k: len(x) for k, x in want.items()}
+        assert all(zlib.crc32(want[r.doc_id][r.start : r.start + r.length].tobytes()) == r.ids_crc32 for r in got)
+
+
 def test_fullest_bin_closes_first():
     b = packing.BestFit(10, 2)
     assert [b.place(x) for x in (6, 7, 8)] == [(0, 0), (1, 0), (2, 0)]
