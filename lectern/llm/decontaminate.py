@@ -1,7 +1,7 @@
 """Benchmark decontamination in DataFrame operations alone: SimHash of item-sized windows, then exact verification.
 
-1. A window that is similar enough to an item shares one five-word shingle with it at least, so windows are laid where
-   a document and an item share a shingle: the item's length, aligned at that shingle, moved inside the document.
+1. A window that is similar enough to an item shares most of its five-word shingles, in any order, so windows of an
+   item's length are laid at every start from which so many places hold a shingle of the items of that length.
 2. Each window and item gets a 64-bit SimHash of its words, a word weighing as often as it occurs.
 3. Multi-index Hamming search: fingerprints are cut into radius + 1 blocks; two fingerprints within the radius agree
    in one block at least, so an equi join on (length, block, bits) misses none of them. Distances are then exact.
@@ -9,7 +9,8 @@
    shingle being how often it occurs: sum of minima over sum of maxima, 0.8 or more.
 
 Shingles are compared by 64-bit hashes. The benchmark's shingles are broadcast if they are at most a million; else
-the join is shuffled. Hot passages make narrow rows, which are pre-aggregated to windows before they meet the texts.
+the join is shuffled. Hot passages make narrow rows, which are gathered by document and length, no longer than the
+document, and become windows before they meet the texts.
 
 Cases: words are lower-cased and split at [\\x20\\x09-\\x0D]. Null, empty and short texts have no window and are clean;
 a document shorter than an item is compared whole. Items of fewer than five words, and null ones, are not searched
@@ -68,15 +69,35 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.withColumns({"_k1": F.coalesce(F.col("doc_id").cast("long"), F.lit(0).cast("long")), "_k2": F.xxhash64(F.col("doc_id").isNull(), "text")})
 
 
+def starts(at: Column, length: Column, threshold: float = THRESHOLD, n: int = N) -> Column:
+    """Every start of a window of this length that can reach the threshold, by the sorted places of shared shingles.
+
+    With m shingles on both sides, c in common give c / (2 m - c). A document shorter than the item has the start 0
+    alone and needs threshold * m of them.
+    """
+    m = length - (n - 1)
+    needed = lambda share: F.ceil(m * F.lit(share) - F.lit(1e-9)).cast("int")
+    most, none = needed(2 * threshold / (1 + threshold)), F.array().cast("array<int>")
+
+    def of_run(i: Column) -> Column:  # windows whose first shared place is the i-th
+        first, last = F.greatest(F.get(at, i + most - 1) - m + 1, F.coalesce(F.get(at, i - 1), F.lit(-1)) + 1), F.get(at, i)
+        return F.when(first <= last, F.sequence(first, last)).otherwise(none)
+
+    laid = F.when(F.size(at) >= most, F.flatten(F.transform(F.sequence(F.lit(0), F.size(at) - most), of_run))).otherwise(none)
+    whole = F.when(F.size(F.filter(at, lambda p: p < m)) >= needed(threshold), F.array(F.lit(0))).otherwise(none)
+    return F.array_union(whole, laid)
+
+
 def findings(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, radius: int = RADIUS, n: int = N) -> DataFrame:
     """(_k1, _k2, item_id, similarity): the best window of each document for each item it holds."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), word_hashes(F.col("text")).alias("wh")).where(F.size("wh") >= n)
     items = items.withColumns({"sh": shingles(F.col("wh"), n), "len": F.size("wh")})
-    marks = materialize(items.select("len", F.posexplode("sh").alias("at", "h")).distinct(), "benchmark-shingles")
+    marks = materialize(items.select("len", F.explode("sh").alias("h")).distinct(), "benchmark-shingles")
     n_marks = marks.count()
     texts = keyed(docs.select("doc_id", "text")).select("_k1", "_k2", "text")
     spots = texts.select("_k1", "_k2", F.posexplode(let(word_hashes(F.col("text")), lambda w: shingles(w, n))).alias("pos", "h"))
-    windows = materialize(spots.join(small(marks, n_marks), "h").select("_k1", "_k2", (F.col("pos") - F.col("at")).alias("start"), "len").distinct(), "windows")
+    shared = spots.join(small(marks, n_marks), "h").groupBy("_k1", "_k2", "len").agg(F.array_sort(F.collect_set("pos")).alias("at"))
+    windows = materialize(shared.select("_k1", "_k2", "len", F.explode(starts(F.col("at"), F.col("len"), threshold, n)).alias("start")), "windows")
     of_doc = windows.groupBy("_k1", "_k2").agg(F.count("*").alias("n"))
     held = small(of_doc.select("_k1", "_k2"), of_doc.count())
     found = texts.join(held, ["_k1", "_k2"], "left_semi").select("_k1", "_k2", word_hashes(F.col("text")).alias("wh")).dropDuplicates(["_k1", "_k2"])

@@ -371,6 +371,31 @@ def test_decontamination(spark, sf, documents):
     assert sum(bool(got[i]) for i, _ in edited) > 0.5 * len(edited)
 
 
+def test_reordered_passages_are_found(spark):
+    items = [(k, " ".join(f"i{k}w{j}" for j in range(n))) for k, n in enumerate((50, 50, 59, 41, 20))]
+    other = lambda tag, n: [f"{tag}{j}" for j in range(n)]
+    docs = []
+    for k, text in items:
+        w = text.split()
+        for cut in (5, 13, len(w) // 2, len(w) - 3):
+            swapped = w[cut:] + w[:cut]
+            docs += [[*other("a", 100), *swapped, *other("b", 100)], swapped, swapped[:-2], [*other("c", 7), *w[:cut], "x", *w[cut:]], [*swapped, *other("d", 3), *w]]
+    docs = spark.createDataFrame([(n, " ".join(w)) for n, w in enumerate(docs)], "doc_id long, text string").cache()
+    got = {r.doc_id: r.item_ids for r in rows(decontaminate.verdicts(docs, spark.createDataFrame(items, "item_id long, text string")))}
+    assert got == brute_leaks(rows(docs), items)
+    assert got[10] == [0]  # the halves of the first item, inside other words
+
+
+def test_every_start_that_can_reach_the_threshold(spark):
+    rng = np.random.Generator(np.random.PCG64(4))
+    given = [(sorted({int(x) for x in rng.integers(0, 60, int(rng.integers(1, 80)))}), int(rng.integers(5, 40))) for _ in range(200)]
+    for r in rows(spark.createDataFrame(given, "at array<int>, len int").withColumn("s", decontaminate.starts(F.col("at"), F.col("len")))):
+        m = r.len - 4
+        held = lambda s: sum(s <= p < s + m for p in r.at)  # noqa: B023, E731
+        want = {s for s in range(60) if 1.8 * held(s) >= 1.6 * m - 1e-9} | ({0} if held(0) >= 0.8 * m - 1e-9 else set())
+        assert len(r.s) == len(set(r.s)) and set(r.s) == want
+
+
 def test_decontamination_on_odd_tables(spark, sf, odd_docs, no_docs):
     bench = spark.createDataFrame([(1, " ".join(f"word{k} tail{k % 7}" for k in range(10))), (2, None), (3, "too short"), (None, "")], "item_id long, text string")
     got = rows(decontaminate.verdicts(odd_docs, bench))
