@@ -1,6 +1,6 @@
 """Licence scans by canonical digest, in DataFrame operations alone.
 
-canonical() lower-cases a text, drops its copyright lines, brings every run of other characters than letters and
+canonical() lower-cases a text, drops its copyright statements, brings every run of other characters than letters and
 digits to one space and equivalent spellings to one form. The digest of a whole canonical text is joined to the digests
 of known licences by a hash join. The spelling rules are wider than the words they are for; they run over both sides,
 so that only makes a few unlike words equal. The known licences are broadcast: they are as many as the caller lists.
@@ -11,6 +11,8 @@ like others. Two licences with one canonical text count as the one with the smal
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,7 +33,9 @@ SPELLINGS = [
     (r"(sub|non|per) (licens|commercial|cent)", r"\1\2"),
     (r"copyright owner", r"copyright holder"),
 ]
-#: Fixed value: a line that only says whose copyright it is.
+#: Fixed value: a line that only says whose copyright it is, not a line of the body that a wrapped text begins so.
+STATEMENT = r"(?m)^[ \t]*((copyright[ \t]*[:,]?[ \t]*(\(c\)|©|[12][0-9]{3}|[\[<{])|copyright[ \t]+(?!(notice|holder|owner|licen|law|statement|interest|treat|permission|disclaim|act|protect|right|infring|and|or|in|to|is|on|of|for|as|if|the above)[a-z]*\b)\S)|\(c\)[ \t]*(copyright|[12][0-9]{3})|©)[^\n]*$|(?m)^[ \t]*all rights reserved[ \t.\r]*$"
+#: Fixed value: the same as the SQL has it; it also takes lines of a wrapped body, which the tables here don't hold.
 COPYRIGHT_LINE = r"(?m)^[ \t]*(copyright\b|\(c\)|©|all rights reserved)[^\n]*$"
 NOT_WORD = r"[^\p{L}\p{N}]+"
 
@@ -47,18 +51,41 @@ KNOWN = {
     "CC-BY-NC-4.0-notice": "Licensed under CC BY-NC 4.0.",
 }
 
+_CLAUSES = 'Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.'
+_THIRD = "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+_BSD_END = 'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.'
+#: Further short licences, which the SQL doesn't list.
+MORE = {"BSD-2-Clause": f"{_CLAUSES} {_BSD_END}", "BSD-3-Clause": f"{_CLAUSES} {_THIRD} {_BSD_END}"}
+#: Titles that usual files have above the text.
+TITLES = {
+    "MIT": ["MIT License", "The MIT License", "The MIT License (MIT)"],
+    "ISC": ["ISC License", "The ISC License", "ISC License (ISC)"],
+    "0BSD": ["BSD Zero Clause License", "Zero-Clause BSD", "0BSD"],
+    "Zlib": ["zlib License", "The zlib License"],
+    "BSD-2-Clause": ["BSD 2-Clause License", "The BSD 2-Clause License", 'BSD 2-Clause "Simplified" License'],
+    "BSD-3-Clause": ["BSD 3-Clause License", "The BSD 3-Clause License", 'BSD 3-Clause "New" or "Revised" License'],
+}
+
+
+def all_known() -> list[tuple[str, str]]:
+    """(license_id, text) of the short licences with and without their titles and of the files in license_texts."""
+    short = KNOWN | MORE
+    titled = [(k, f"{title}\n{short[k]}") for k, titles in TITLES.items() for title in titles]
+    return [*short.items(), *titled, *((p.stem, p.read_text(encoding="utf-8")) for p in sorted(Path(__file__).with_name("license_texts").glob("*.txt")))]
+
 
 def canonical(text: Column) -> Column:
-    out = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), COPYRIGHT_LINE, "")
+    out = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), STATEMENT, "")
     out = F.trim(F.regexp_replace(out, NOT_WORD, " "))
     for pattern, to in SPELLINGS:
         out = F.regexp_replace(out, pattern, to.replace("\\", "$"))
     return out
 
 
-def known_licenses(spark: SparkSession, texts: dict[str, str] = KNOWN) -> DataFrame:
-    """(license_id, text) of a dict of licences."""
-    return spark.range(1).select(F.explode(F.array(*(F.struct(F.lit(k).alias("license_id"), F.lit(v).alias("text")) for k, v in texts.items()))).alias("x")).select("x.*")
+def known_licenses(spark: SparkSession, texts: dict[str, str] | None = None) -> DataFrame:
+    """(license_id, text) of a dict of licences, of all known ones without it."""
+    pairs = all_known() if texts is None else texts.items()
+    return spark.range(1).select(F.explode(F.array(*(F.struct(F.lit(k).alias("license_id"), F.lit(v).alias("text")) for k, v in pairs))).alias("x")).select("x.*")
 
 
 def scan(docs: DataFrame, known: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 import datetime
 import hashlib
 import re
+import textwrap
 import zlib
 from collections import Counter, defaultdict
 
@@ -89,6 +90,21 @@ def test_licenses(spark, odd_docs, no_docs):
     assert rows(licenses.scan(no_docs, known)) == []
 
 
+def test_usual_license_files(spark):
+    isc = licenses.KNOWN["ISC"].replace("provided that the above copyright", "provided that the above\ncopyright").replace("THE SOFTWARE IS", "\n\nTHE SOFTWARE IS")
+    apache = dict(licenses.all_known())["Apache-2.0"]
+    texts = {
+        "ISC": "ISC License\n\nCopyright (c) 2004-2010 by Internet Systems Consortium, Inc.\nCopyright The Authors\n\n" + isc,
+        "MIT": "MIT License\n\nCopyright (c) 2020 Somebody\n\n" + textwrap.fill(licenses.KNOWN["MIT"], 78),
+        "BSD-3-Clause": "BSD 3-Clause License\n\nCopyright (c) 2020, Somebody\nAll rights reserved.\n\n" + textwrap.fill(licenses.MORE["BSD-3-Clause"], 60),
+        "BSD-2-Clause": "Copyright 2020 Somebody\n\n" + textwrap.fill(licenses.MORE["BSD-2-Clause"], 44),
+        "Apache-2.0": apache.replace("[yyyy] [name of copyright owner]", "2020 Somebody"),
+        "GPL-3.0": textwrap.dedent(dict(licenses.all_known())["GPL-3.0"]),
+    }
+    docs = spark.createDataFrame(list(texts.items()), "doc_id string, text string")
+    assert {r.doc_id: r.license_id for r in rows(licenses.scan(docs, licenses.known_licenses(spark)))} == {k: k for k in texts}
+
+
 def test_quality(odd_docs, no_docs):
     got = sorted(((r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) for r in rows(quality.assess(odd_docs))), key=repr)
     want = []
