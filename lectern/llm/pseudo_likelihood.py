@@ -1,196 +1,372 @@
 """Masked pseudo-likelihood: a bidirectional window network predicts every token of a document from both sides.
 
-Tokens are the lower-cased words of a text as one of `vocabulary` codes: the most frequent words of the whole corpus
-have codes of their own, other words share hash buckets, and one code marks both ends of a document. The network has
-an embedding for the left and one for the right neighbour, a tanh layer and a softmax over the codes. As a window is
-(left, token, right), its counts over every token of every document are sufficient for training: tasks count windows,
-the counts are summed by window, and at most vocabulary ** 3 sums come to the driver, where numpy fits the network to
-them by Adam over all contexts at once. What is gathered grows with the corpus; what is held stays within that bound.
+Tokens are the lower-cased words of a text. The most frequent words of the whole corpus have codes of their own, up to
+`MOST_WORDS`; any other word has the code of one of `BUCKETS` hash buckets, and its letters tell it from the rest of its
+bucket: P(word) = P(bucket | window) P(letters) BUCKETS, with P(letters) from byte pairs counted over every rarer word
+of the corpus. The network sees `REACH` tokens on each side (an end code stands beyond the ends of a document): the sum
+of an embedding for each place goes through tanh into a softmax of two levels, over the groups of codes and over the
+codes of the group.
 
-Scoring gives each document the sum of log P(token | both neighbours) over its tokens.
+The network is trained in numpy on every window of every document. Documents are dealt to `ROUNDS` rounds by a hash; in
+a round each task takes Adagrad steps over its share from the same start, and the networks of all tasks are averaged,
+weighted by their tokens: block by block on the executors, in a streamed sum. Word and letter counts, windows and steps
+grow with the corpus; the model, which goes to tasks and driver, has some 2 MB whatever the corpus.
+
+Scoring gives each document the sum of log P(token | window) over its tokens.
 
 Cases: a null, empty or blank text has no tokens, the score 0 and a null mean. Null and repeated doc_ids are scored
-like others. With no token at all the network is uniform. Other columns pass through; output columns replace namesakes.
+like others. Very long texts are scored in slices. With no token at all the network is untrained. Other columns pass
+through; output columns replace namesakes.
 """
 
 from __future__ import annotations
 
+import math
 import zlib
-from collections import Counter
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lectern.llm.base import SPACES, materialize
 
-VOCABULARY = 128
-BUCKETS = 31
-WIDTH = 32
-STEPS = 80
-_SPLIT = str.maketrans({c: " " for c in SPACES})
+MOST_WORDS = 3839
+BUCKETS = 256
+GROUP = 64
+REACH = 2
+WIDTH = 24
+ROUNDS = 2
+BATCH = 4096
+RATE = 0.15
+TOKENS_PER_TRAINER = 1_000_000
+BLOCKS = 16
+_EDGE = b"\xff"  # stands before the first and after the last byte of a word; no byte of UTF-8
+
+
+def lowered(docs: DataFrame) -> Column:
+    """The text in lower case with one character for all white space; never null."""
+    return F.translate(F.lower(F.coalesce(docs["text"], F.lit(""))), SPACES, " " * len(SPACES))
 
 
-def words_of(text: str | None) -> list[str]:
-    return [w for w in (text or "").lower().translate(_SPLIT).split(" ") if w]
+def words_of(lowered: str) -> list[str]:
+    return [w for w in lowered.split(" ") if w]
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
-    """(word, n) over all documents; tasks count what they read before anything is shuffled."""
+    """(word, n) over all documents, counted where the rows are before anything is shuffled."""
+    return docs.select(F.explode(F.split(lowered(docs), " ")).alias("word")).where("word <> ''").groupBy("word").agg(F.count("*").alias("n"))
+
+
+def letter_counts(words: DataFrame) -> np.ndarray:
+    """How often each byte follows each other in words (word), as [256, 256]: a dense count a task, then sums by pair."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter = Counter()
-        flush = lambda: pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["word", "n"])
+        counts = np.zeros(256 * 256, np.int64)
         for batch in batches:
-            for text in batch.column(0):
-                counts.update(words_of(text.as_py()))
-                if len(counts) > 300_000:
-                    yield flush()
-                    counts.clear()
-        yield flush()
+            held = [_bytes(w) for w in batch.column(0).to_pylist()]
+            line = np.frombuffer(_EDGE + _EDGE.join(held) + _EDGE, np.uint8).astype(np.int64)
+            if held:
+                counts += np.bincount(line[:-1] * 256 + line[1:], minlength=256 * 256)
+        (at,) = np.nonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(counts[at])], ["pair", "n"])
 
-    return docs.select("text").mapInArrow(rows, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    out = np.zeros(256 * 256, np.int64)
+    for r in words.select("word").mapInArrow(rows, "pair int, n long").groupBy("pair").agg(F.sum("n").alias("n")).collect():  # at most 256 ** 2 rows
+        out[r.pair] = r.n
+    return out.reshape(256, 256)
 
 
-def vocabulary(docs: DataFrame, size: int = VOCABULARY, buckets: int = BUCKETS) -> dict[str, int]:
-    """Codes 0 to size - buckets - 2 of the most frequent words; the buckets and the end code follow."""
-    top = word_counts(docs).orderBy(F.desc("n"), "word").limit(size - buckets - 1).collect()
-    return {row.word: k for k, row in enumerate(top)}
+def _bytes(word: str) -> bytes:
+    return word.encode("utf-8", "surrogatepass")
 
 
-class Coder(dict):
-    """The code of each word."""
+@dataclass
+class Coding:
+    """Codes of the known words, then the buckets, then the end; logs of byte pairs of rarer words."""
 
-    def __init__(self, known: dict[str, int], size: int, buckets: int):
-        super().__init__(known)
-        self._known, self._first, self._buckets = known, size - buckets - 1, buckets
+    known: dict[str, int]
+    letters: list[list[float]]  # log P(next byte | byte)
+    buckets: int = BUCKETS
 
-    def __missing__(self, word: str) -> int:
-        if len(self) > 300_000:
-            self.clear()
-            self.update(self._known)
-        found = self[word] = self._first + zlib.crc32(word.encode()) % self._buckets
-        return found
+    @property
+    def end(self) -> int:
+        return len(self.known) + self.buckets
 
-    def codes(self, text: str | None) -> bytes:
-        return bytes([self[w] for w in words_of(text)])
+    @property
+    def groups(self) -> int:
+        return self.end // GROUP + 1
 
 
-def encode(docs: DataFrame, known: dict[str, int], size: int = VOCABULARY, buckets: int = BUCKETS) -> DataFrame:
-    """docs without text and with codes, a byte a token. size is 256 at most."""
-    names = [c for c in docs.columns if c not in ("text", "codes")]
-    words = docs.sparkSession.sparkContext.broadcast(known)  # fewer than 256 words
+def coding(docs: DataFrame, most: int = MOST_WORDS, buckets: int = BUCKETS) -> tuple[Coding, np.ndarray]:
+    """The coding of the words of docs, and how often each code comes in all of them."""
+    counted = materialize(word_counts(docs), "word-counts")
+    top = counted.orderBy(F.desc("n"), "word").limit(most).collect()  # `most` words
+    known = {r.word: k for k, r in enumerate(top)}
+    rarer = counted.where(~_at_most(top)) if len(top) == most else counted.limit(0)
+    pairs = letter_counts(rarer) + 0.01
+    found = Coding(known, np.log(pairs / pairs.sum(axis=1, keepdims=True)).tolist(), buckets)
+    counts = np.zeros(found.groups * GROUP)
+    counts[: len(top)] = [r.n for r in top]
+    rest = rarer.groupBy(F.pmod(F.crc32(F.encode("word", "UTF-8")), F.lit(buckets)).alias("bucket")).agg(F.sum("n").alias("n")).collect()  # one row a bucket
+    for r in rest:
+        counts[len(top) + r.bucket] = r.n
+    return found, counts
 
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = Coder(words.value, size, buckets)
-        for batch in batches:
-            codes = [coder.codes(t.as_py()) for t in batch.column(len(names))]
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(len(names))), pa.array(codes, pa.binary())], [*names, "codes"])
 
-    schema = docs.select(*names).limit(0).withColumn("codes", F.lit(b"")).schema
-    return docs.select(*names, "text").mapInArrow(rows, schema)
+def _at_most(top: list):
+    """Whether (n, word) is no later in the order than the last of top."""
+    last = top[-1]
+    return (F.col("n") > last.n) | ((F.col("n") == last.n) & (F.col("word") <= last.word))
+
 
+class Coder(dict):
+    """The code of each word; `spelt` has the log P of the letters of rarer words in their buckets."""
 
-def windows(codes: bytes, size: int) -> np.ndarray:
-    """left * size**2 + token * size + right for each token."""
-    c = np.full(len(codes) + 2, size - 1, np.int64)
-    c[1:-1] = np.frombuffer(codes, np.uint8)
-    return (c[:-2] * size + c[1:-1]) * size + c[2:]
+    def __init__(self, coding: Coding):
+        super().__init__(coding.known)
+        self._c, self._bonus, self.spelt = coding, math.log(coding.buckets), {}
 
+    def __missing__(self, word: str) -> int:
+        data = _bytes(word)
+        line = _EDGE + data + _EDGE
+        self.spelt[word] = self._bonus + sum([self._c.letters[a][b] for a, b in zip(line, line[1:], strict=False)])
+        found = self[word] = len(self._c.known) + zlib.crc32(data) % self._c.buckets
+        return found
 
-def window_counts(encoded: DataFrame, size: int = VOCABULARY) -> np.ndarray:
-    """How often each window comes in the whole corpus, as [left, token, right]."""
+    def encode(self, lowered: str) -> tuple[bytes, float]:
+        words = words_of(lowered)
+        codes, first = array("H"), len(self._c.known)
+        rarer = 0.0
+        for at in range(0, len(words), 100_000):
+            part = words[at : at + 100_000]
+            if len(self.spelt) > 300_000:
+                self.clear()
+                self.update(self._c.known)
+                self.spelt.clear()
+            found = [self[w] for w in part]
+            codes.extend(found)
+            rarer += math.fsum([self.spelt.get(w, 0.0) for w, c in zip(part, found, strict=True) if c >= first])
+        return codes.tobytes(), rarer
+
+
+def encode(docs: DataFrame, found: Coding) -> DataFrame:
+    """docs without text and with codes (two bytes a token) and spelt, the sum over its rarer words."""
+    names = [c for c in docs.columns if c not in ("text", "codes", "spelt")]
+    shared = docs.sparkSession.sparkContext.broadcast(found)  # MOST_WORDS words and 256 ** 2 numbers
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(size**3, np.int64)
+        coder = Coder(shared.value)
         for batch in batches:
-            for codes in batch.column(0):
-                np.add.at(counts, windows(codes.as_py(), size), 1)
-        (at,) = np.nonzero(counts)
-        for k in range(0, len(at), 10_000):
-            yield pa.RecordBatch.from_arrays([pa.array(at[k : k + 10_000].astype(np.int32)), pa.array(counts[at[k : k + 10_000]])], ["window", "n"])
+            coded = [coder.encode(t.as_py()) for t in batch.column(len(names))]
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(len(names))), pa.array([c for c, _ in coded], pa.binary()), pa.array([s for _, s in coded], pa.float64())], [*names, "codes", "spelt"])
 
-    summed = encoded.select("codes").mapInArrow(rows, "window int, n long").groupBy("window").agg(F.sum("n").alias("n")).toPandas()
-    out = np.zeros(size**3, np.int64)
-    out[summed["window"].to_numpy()] = summed["n"].to_numpy()
-    return out.reshape(size, size, size)
+    schema = docs.select(*names).limit(0).withColumns({"codes": F.lit(b""), "spelt": F.lit(0.0)}).schema
+    return docs.select(*names, lowered(docs)).mapInArrow(rows, schema)
+
+
+def windows(texts: list[bytes], end: int, most: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(neighbours [n, 2 REACH], tokens [n], text of each token), at most `most` at a time."""
+    gap = np.full(REACH, end, np.int64)
+    parts, owners = [gap], [np.full(REACH, -1)]
+    for k, codes in enumerate(texts):
+        c = np.frombuffer(codes, np.uint16).astype(np.int64)
+        parts += [c, gap]
+        owners += [np.full(len(c), k), np.full(REACH, -1)]
+    line, owner = np.concatenate(parts), np.concatenate(owners)
+    (at,) = np.nonzero(owner >= 0)
+    sides = np.array([*range(-REACH, 0), *range(1, REACH + 1)])
+    for k in range(0, len(at), most):
+        now = at[k : k + most]
+        yield line[now[:, None] + sides], line[now], owner[now]
 
 
-@dataclass
 class WindowNetwork:
-    left: np.ndarray  # [size, width]
-    right: np.ndarray
-    hidden_bias: np.ndarray
-    out: np.ndarray  # [width, size]
-    out_bias: np.ndarray
-
-    def log_probabilities(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        """log P(token) for each pair of neighbours, [pairs, size]."""
-        z = np.tanh(self.left[left] + self.right[right] + self.hidden_bias) @ self.out + self.out_bias
+    """tanh(sum of place embeddings + bias) and a softmax of two levels. Its numbers lie in one single-precision array."""
+
+    def __init__(self, groups: int, flat: np.ndarray | None = None, counts: np.ndarray | None = None):
+        self.groups = groups
+        size = groups * GROUP
+        shapes = {"embed": (2 * REACH, size, WIDTH), "bias": (WIDTH,), "group": (WIDTH, groups), "group_bias": (groups,), "code": (groups, WIDTH, GROUP), "code_bias": (groups, GROUP)}
+        length = sum(math.prod(s) for s in shapes.values())
+        if flat is None:
+            flat = np.random.Generator(np.random.PCG64(7)).normal(0, 0.1, length).astype(np.float32)
+        self.flat, at = np.array(flat, np.float32), 0
+        for name, shape in shapes.items():
+            setattr(self, name, self.flat[at : at + math.prod(shape)].reshape(shape))
+            at += math.prod(shape)
+        if counts is not None:  # start from the frequencies of the codes
+            n = counts.reshape(groups, GROUP) + 0.1
+            self.bias[:] = 0
+            self.group_bias[:] = np.log(n.sum(axis=1) / n.sum())
+            self.code_bias[:] = np.log(n / n.sum(axis=1, keepdims=True))
+
+    def hidden(self, near: np.ndarray) -> np.ndarray:
+        x = self.embed[0][near[:, 0]]
+        for k in range(1, 2 * REACH):
+            x += self.embed[k][near[:, k]]
+        return np.tanh(x + self.bias)
+
+    def log_probabilities(self, near: np.ndarray, token: np.ndarray) -> np.ndarray:
+        """log P of each token in its window."""
+        h = self.hidden(near)
+        group, member = np.divmod(token, GROUP)
+        out = _log_softmax_at(h @ self.group + self.group_bias, group)
+        order, runs = _runs(group, self.groups)
+        for g, a, b in runs:
+            at = order[a:b]
+            out[at] += _log_softmax_at(h[at] @ self.code[g] + self.code_bias[g], member[at])
+        return out
+
+
+def _exp(z: np.ndarray) -> np.ndarray:
+    """exp of z in place, but for a factor a row where single precision needs one."""
+    if z.max() > 60 or z.min() < -60:
         z -= z.max(axis=1, keepdims=True)
-        return z - np.log(np.exp(z).sum(axis=1, keepdims=True))
-
-    def table(self) -> np.ndarray:
-        """log P as [left, token, right] in single precision: what the tasks look up."""
-        size = len(self.left)
-        left, right = np.divmod(np.arange(size * size), size)
-        return np.ascontiguousarray(self.log_probabilities(left, right).reshape(size, size, size).transpose(0, 2, 1)).astype(np.float32)
-
-
-def fit(counts: np.ndarray, width: int = WIDTH, steps: int = STEPS, rate: float = 0.05) -> WindowNetwork:
-    """Maximum pseudo-likelihood of the counted windows."""
-    size = len(counts)
-    pairs = counts.transpose(0, 2, 1).reshape(size * size, size).astype(np.float32)
-    (used,) = np.nonzero(pairs.sum(axis=1))
-    left, right = np.divmod(used, size)
-    total = max(1.0, float(pairs.sum()))
-    pairs = pairs[used] / total
-    mass = pairs.sum(axis=1, keepdims=True)
-    made = np.random.Generator(np.random.PCG64(7))
-    unigram = (pairs.sum(axis=0) * total + 1) / (total + size)
-    p = [made.normal(0, 0.1, (size, width)), made.normal(0, 0.1, (size, width)), np.zeros(width), made.normal(0, 0.1, (width, size)), np.log(unigram)]
-    p = [x.astype(np.float32) for x in p]
-    m, v = [np.zeros_like(x) for x in p], [np.zeros_like(x) for x in p]
-    one_left, one_right = np.eye(size, dtype=np.float32)[left], np.eye(size, dtype=np.float32)[right]
-    for step in range(1, steps + 1):
-        h = np.tanh(p[0][left] + p[1][right] + p[2])
-        z = h @ p[3] + p[4]
-        z = np.exp(z - z.max(axis=1, keepdims=True))
-        dz = z / z.sum(axis=1, keepdims=True) * mass - pairs
-        dh = (dz @ p[3].T) * (1 - h * h)
-        gradients = [one_left.T @ dh, one_right.T @ dh, dh.sum(axis=0), h.T @ dz, dz.sum(axis=0)]
-        for k, g in enumerate(gradients):
-            m[k], v[k] = 0.9 * m[k] + 0.1 * g, 0.99 * v[k] + 0.01 * g * g
-            p[k] -= rate * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.99**step)) + 1e-9)
-    return WindowNetwork(*p)
-
-
-def score(encoded: DataFrame, network: WindowNetwork) -> DataFrame:
-    """encoded without codes and with n_tokens, pll and mean_log_prob."""
-    names = [c for c in encoded.columns if c not in ("codes", "n_tokens", "pll", "mean_log_prob")]
-    size = len(network.left)
-    logs = encoded.sparkSession.sparkContext.broadcast(network.table().ravel())  # size ** 3 single-precision numbers
+    return np.exp(z, out=z)
+
+
+def _log_softmax_at(z: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """One column of the log of the softmax for each row."""
+    picked = z[np.arange(len(z)), at].astype(np.float64)
+    top = z.max(axis=1) if z.max() > 60 or z.min() < -60 else 0.0
+    return picked - top - np.log(_exp(z).sum(axis=1))
+
+
+def _runs(group: np.ndarray, groups: int) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+    """An order by group, and (group, from, to) of each group in it."""
+    order = np.argsort(group.astype(np.uint16), kind="stable")
+    ends = np.concatenate([[0], np.cumsum(np.bincount(group, minlength=groups))])
+    return order, [(g, int(ends[g]), int(ends[g + 1])) for g in range(groups) if ends[g] < ends[g + 1]]
+
+
+class Trainer:
+    """Adagrad over minibatches of windows."""
+
+    def __init__(self, net: WindowNetwork, rate: float = RATE):
+        self.net, self.rate = net, rate
+        self.seen = WindowNetwork(net.groups, np.full(len(net.flat), 1e-2, np.float32))
+
+    def gradients(self, near: np.ndarray, token: np.ndarray) -> dict[str, list]:
+        """Of the summed log P divided by the number of windows: lists of (place in the array, gradient)."""
+        net, n = self.net, np.float32(len(token))
+        h = net.hidden(near)
+        group, member = np.divmod(token, GROUP)
+        z = _exp(h @ net.group + net.group_bias)
+        z *= -1 / (z.sum(axis=1, keepdims=True) * n)
+        z[np.arange(len(token)), group] += 1 / n
+        dh = z @ net.group.T
+        out: dict[str, list] = {"group": [(slice(None), h.T @ z)], "group_bias": [(slice(None), z.sum(axis=0))], "code": [], "code_bias": [], "embed": []}
+        order, runs = _runs(group, net.groups)
+        for g, a, b in runs:
+            at = order[a:b]
+            hg = h[at]
+            z = _exp(hg @ net.code[g] + net.code_bias[g])
+            z *= -1 / (z.sum(axis=1, keepdims=True) * n)
+            z[np.arange(b - a), member[at]] += 1 / n
+            dh[at] += z @ net.code[g].T
+            out["code"].append((g, hg.T @ z))
+            out["code_bias"].append((g, z.sum(axis=0)))
+        dh *= 1 - h * h
+        out["bias"] = [(slice(None), dh.sum(axis=0))]
+        for k in range(2 * REACH):
+            order = np.argsort(near[:, k].astype(np.uint16), kind="stable")
+            codes = near[order, k]
+            first = np.concatenate([[0], np.flatnonzero(codes[1:] != codes[:-1]) + 1])
+            out["embed"].append(((k, codes[first]), np.add.reduceat(dh[order], first, axis=0)))
+        return out
+
+    def step(self, near: np.ndarray, token: np.ndarray) -> None:
+        for name, found in self.gradients(near, token).items():
+            values, seen = getattr(self.net, name), getattr(self.seen, name)
+            for at, g in found:
+                g *= 100  # Adagrad doesn't mind the scale, but single precision does
+                seen[at] += g * g
+                values[at] += np.float32(self.rate) * g / np.sqrt(seen[at])
+
+
+def train_round(encoded: DataFrame, net: WindowNetwork, end: int, trainers: int, batch: int = BATCH) -> WindowNetwork:
+    """The average of the networks that tasks make of net by steps over their shares of encoded (codes)."""
+    spark, groups, length = encoded.sparkSession, net.groups, len(net.flat)
+    start = spark.sparkContext.broadcast(net.flat)  # a model
+    edges = [length * k // BLOCKS for k in range(BLOCKS + 1)]
+
+    def steps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trainer, n, texts, held = Trainer(WindowNetwork(groups, start.value)), 0, [], 0
+        for some in batches:
+            for codes in some.column(0).to_pylist():
+                texts.append(codes)
+                held += len(codes) // 2
+                if held >= 16 * batch:
+                    for near, token, _ in windows(texts, end, batch):
+                        trainer.step(near, token)
+                    n, texts, held = n + held, [], 0
+        for near, token, _ in windows(texts, end, batch):
+            trainer.step(near, token)
+        n += held
+        if n:
+            flat = trainer.net.flat
+            yield pa.RecordBatch.from_arrays([pa.array(range(BLOCKS), pa.int32()), pa.array([TaskContext.get().partitionId()] * BLOCKS, pa.int32()), pa.array([n] * BLOCKS, pa.int64()), pa.array([flat[a:b].tobytes() for a, b in zip(edges, edges[1:], strict=False)], pa.binary())], ["block", "part", "n", "numbers"])
+
+    def average(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come by block; one sum is held at a time."""
+        now, total, weight = None, None, 0
+        row = lambda: pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([(total / weight).astype(np.float32).tobytes()], pa.binary())], ["block", "numbers"])
+        for batch in batches:
+            for block, n, numbers in zip(*(batch.column(k) for k in (0, 2, 3)), strict=True):
+                if block.as_py() != now:
+                    if now is not None:
+                        yield row()
+                    now, total, weight = block.as_py(), 0.0, 0
+                total, weight = total + n.as_py() * np.frombuffer(numbers.as_py(), np.float32).astype(np.float64), weight + n.as_py()
+        if now is not None:
+            yield row()
+
+    made = encoded.select("codes").coalesce(trainers).mapInArrow(steps, "block int, part int, n long, numbers binary")
+    averaged = made.repartition(BLOCKS, "block").sortWithinPartitions("block", "part").mapInArrow(average, "block int, numbers binary")
+    blocks = {r.block: r.numbers for r in averaged.collect()}  # BLOCKS rows, a model in all
+    return WindowNetwork(groups, np.frombuffer(b"".join(bytes(blocks[k]) for k in range(BLOCKS)), np.float32)) if blocks else net
+
+
+def train(encoded: DataFrame, found: Coding, counts: np.ndarray, rounds: int = ROUNDS, batch: int = BATCH) -> WindowNetwork:
+    """A network that has seen every window of encoded once."""
+    tokens = int(encoded.agg(F.sum(F.length("codes"))).first()[0] or 0) // 2
+    trainers = max(1, math.ceil(tokens / rounds / TOKENS_PER_TRAINER))
+    net = WindowNetwork(found.groups, counts=counts)
+    for k in range(rounds):
+        net = train_round(encoded.where(F.pmod(F.xxhash64("codes"), F.lit(rounds)) == k), net, found.end, trainers, batch)
+    return net
+
+
+def score(encoded: DataFrame, found: Coding, net: WindowNetwork) -> DataFrame:
+    """encoded without codes and spelt and with n_tokens, pll and mean_log_prob."""
+    names = [c for c in encoded.columns if c not in ("codes", "spelt", "n_tokens", "pll", "mean_log_prob")]
+    shared = encoded.sparkSession.sparkContext.broadcast((net.groups, net.flat))  # a model
+    end = found.end
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = logs.value
-        for batch in batches:
-            n, sums = [], []
-            for codes in batch.column(len(names)):
-                found = windows(codes.as_py(), size)
-                n.append(len(found))
-                sums.append(round(float(table[found].sum(dtype=np.float64)), 6))
-            means = [round(s / k, 6) if k else None for s, k in zip(sums, n, strict=True)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(len(names))), pa.array(n, pa.int64()), pa.array(sums, pa.float64()), pa.array(means, pa.float64())], [*names, "n_tokens", "pll", "mean_log_prob"])
+        known = WindowNetwork(*shared.value)
+        for whole in batches:
+            for start in range(0, whole.num_rows, 500):
+                batch = whole.slice(start, 500)
+                texts, sums = batch.column(len(names)).to_pylist(), np.array(batch.column(len(names) + 1).to_pylist(), np.float64)
+                for near, token, text in windows(texts, end, 4 * BATCH):
+                    sums += np.bincount(text, known.log_probabilities(near, token), len(texts))
+                n = [len(codes) // 2 for codes in texts]
+                means = [round(s / k, 6) if k else None for s, k in zip(sums.tolist(), n, strict=True)]
+                yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(len(names))), pa.array(n, pa.int64()), pa.array(sums.round(6)), pa.array(means, pa.float64())], [*names, "n_tokens", "pll", "mean_log_prob"])
 
     schema = encoded.select(*names).limit(0).withColumns({"n_tokens": F.lit(0).cast("long"), "pll": F.lit(0.0), "mean_log_prob": F.lit(None).cast("double")}).schema
-    return encoded.select(*names, "codes").mapInArrow(rows, schema)
+    return encoded.select(*names, "codes", "spelt").mapInArrow(rows, schema)
 
 
 def score_documents(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_tokens, pll, mean_log_prob) of every document under a network fitted to all of them."""
+    """(doc_id, n_tokens, pll, mean_log_prob) of every document under a network trained on all of them."""
     docs = docs.select("doc_id", "text")
-    encoded = materialize(encode(docs, vocabulary(docs)), "codes")
-    return score(encoded, fit(window_counts(encoded)))
+    found, counts = coding(docs)
+    encoded = materialize(encode(docs, found), "codes")
+    return score(encoded, found, train(encoded, found, counts))

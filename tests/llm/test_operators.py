@@ -2,6 +2,7 @@
 
 import datetime
 import hashlib
+import math
 import re
 import textwrap
 import zlib
@@ -286,27 +287,108 @@ def test_warc_segments():
         warc.dechunk(b"5\r\nabc\r\n0\r\n\r\n")
 
 
-def test_pseudo_likelihood(spark, odd_docs, no_docs, documents):
-    known = pseudo_likelihood.vocabulary(documents, 32, 7)
-    counts = Counter(w for r in rows(documents) for w in pseudo_likelihood.words_of(r.text))
-    assert list(known) == [w for w, _ in sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:24]]
-    encoded = pseudo_likelihood.encode(documents.select("doc_id", "text"), known, 32, 7).cache()
-    train, held = encoded.where("doc_id % 4 <> 0"), encoded.where("doc_id % 4 = 0")
-    windows = pseudo_likelihood.window_counts(train, 32)
-    assert windows.sum() == sum(len(r.codes) for r in rows(train))
-    net = pseudo_likelihood.fit(windows)
-    total, n, unigram = 0.0, 0, 0.0
-    base = np.log((windows.sum(axis=(0, 2)) + 1) / (windows.sum() + 32))
-    scores = {r.doc_id: r for r in rows(pseudo_likelihood.score(held, net))}
-    for r in rows(held):
-        c = [31, *r.codes, 31]
-        direct = sum(net.log_probabilities(np.array([c[k - 1]]), np.array([c[k + 1]]))[0, c[k]] for k in range(1, len(c) - 1))
-        assert abs(direct - scores[r.doc_id].pll) < 1e-2 + 1e-5 * abs(direct)
-        total, n, unigram = total + direct, n + len(r.codes), unigram + sum(base[x] for x in r.codes)
-    assert total > unigram  # better than frequencies on documents it hasn't seen
+def plain_log_probability(net, line, at, end):
+    """log P of the token at `at` of line (codes), by loops over the network's numbers."""
+    x = [float(b) for b in net.bias]
+    for k, d in enumerate((-2, -1, 1, 2)):
+        code = line[at + d] if 0 <= at + d < len(line) else end
+        x = [a + float(e) for a, e in zip(x, net.embed[k][code], strict=True)]
+    h = [math.tanh(a) for a in x]
+    group, member = divmod(line[at], pseudo_likelihood.GROUP)
+
+    def log_softmax(weights, bias, of):
+        z = [sum(a * float(w) for a, w in zip(h, weights[:, j], strict=True)) + float(bias[j]) for j in range(len(bias))]
+        return z[of] - math.log(sum(math.exp(v) for v in z))
+
+    return log_softmax(net.group, net.group_bias, group) + log_softmax(net.code[group], net.code_bias[group], member)
+
+
+def spelling(found, word):
+    line = [255, *word.encode(), 255]
+    return math.log(found.buckets) + sum(found.letters[a][b] for a, b in zip(line, line[1:], strict=False))
+
+
+def test_coding_counts_all_words(documents):
+    texts = [(r.text or "").lower().split() for r in rows(documents)]
+    counts = Counter(w for t in texts for w in t)
+    found, held = pseudo_likelihood.coding(documents, 50, 8)
+    order = sorted(counts.items(), key=lambda x: (-x[1], x[0]))
+    assert list(found.known) == [w for w, _ in order[:50]]
+    assert held[:50].tolist() == [n for _, n in order[:50]] and held.sum() == sum(counts.values())
+    pairs = Counter(p for w, _ in order[50:] for p in zip([255, *w.encode()], [*w.encode(), 255], strict=True))
+    of_edge = sum(n + 0.01 for (a, _), n in pairs.items() if a == 255) + 0.01 * (256 - len([1 for a, _ in pairs if a == 255]))
+    assert all(abs(found.letters[255][b] - math.log((pairs[255, b] + 0.01) / of_edge)) < 1e-9 for b in (65, 97, 110, 200))
+    coder = pseudo_likelihood.Coder(found)
+    text = [*texts[0], "neverseenword"]
+    codes, spelt = coder.encode(" ".join(text))
+    codes = np.frombuffer(codes, np.uint16).tolist()
+    assert codes == [found.known.get(w, 50 + zlib.crc32(w.encode()) % 8) for w in text]
+    assert abs(spelt - sum(spelling(found, w) for w in text if w not in found.known)) < 1e-6
+
+
+def test_gradients_of_the_window_network():
+    """Against finite differences of the mean log-likelihood, in every kind of parameter."""
+    rng = np.random.Generator(np.random.PCG64(6))
+    net = pseudo_likelihood.WindowNetwork(2)
+    near, token = rng.integers(0, 128, (300, 4)), rng.integers(0, 128, 300)
+    mean = lambda: net.log_probabilities(near, token).mean()
+    found = pseudo_likelihood.Trainer(net).gradients(near, token)
+    for name, parts in found.items():
+        values, dense = getattr(net, name), np.zeros(getattr(net, name).shape)
+        for at, g in parts:
+            dense[at] = g
+        for at in {np.unravel_index(k, dense.shape) for k in (int(np.abs(dense).argmax()), int(dense.argmax()), 0)}:
+            old = values[at]
+            ends = []
+            for step in (1e-2, -1e-2):
+                values[at] = old + step
+                ends.append(mean())
+            values[at] = old
+            assert abs((ends[0] - ends[1]) / 2e-2 - dense[at]) < 2e-5 + 2e-2 * abs(dense[at]), (name, at)
+
+
+def test_pseudo_likelihood(spark, odd_docs, no_docs):
+    """Scores equal plain loops, and held-out documents are likelier than under frequencies and under word pairs."""
+    rng = np.random.Generator(np.random.PCG64(5))
+
+    def text():  # a word is told by the words on both sides together: (left + right) modulo 7 in its topic
+        topic, line = int(rng.integers(3)), [int(x) for x in rng.integers(0, 7, 61)]
+        for k in range(1, 60, 2):
+            line[k] = (line[k - 1] + line[k + 1]) % 7
+        return " ".join(f"t{topic}w{x}" if rng.random() > 0.05 else f"rare{rng.integers(5000)}" for x in line)
+
+    made = [(k, text()) for k in range(2400)]
+    docs = spark.createDataFrame(made, "doc_id long, text string").repartition(4, "doc_id")
+    train, held = docs.where("doc_id % 6 <> 0"), docs.where("doc_id % 6 = 0")
+    found, counts = pseudo_likelihood.coding(train, 100, 4)
+    net = pseudo_likelihood.train(pseudo_likelihood.encode(train, found), found, counts, rounds=3, batch=128)
+    scores = {r.doc_id: r for r in rows(pseudo_likelihood.score(pseudo_likelihood.encode(held, found), found, net))}
+    coder = pseudo_likelihood.Coder(found)
+    lines = {k: np.frombuffer(coder.encode(t)[0], np.uint16).tolist() for k, t in made}
+    words, total = dict(made), 0.0
+    for k in list(scores)[:12]:
+        direct = sum(plain_log_probability(net, lines[k], at, found.end) for at in range(len(lines[k])))
+        direct += sum(spelling(found, w) for w in words[k].split() if w not in found.known)
+        assert abs(direct - scores[k].pll) < 1e-3 + 1e-5 * abs(direct) and scores[k].n_tokens == 61
+    one, two = Counter(), Counter()
+    for k, line in lines.items():
+        if k % 6:
+            one.update(line)
+            two.update(zip([found.end, *line], line, strict=False))
+    n, before, pair, single = sum(one.values()), Counter(), 0.0, 0.0
+    for (a, _), c in two.items():
+        before[a] += c
+    for k in scores:
+        p1 = [(one[w] + 0.5) / (n + 0.5 * (found.end + 1)) for w in lines[k]]
+        p2 = [(two[a, w] + 5 * p) / (before[a] + 5) for a, w, p in zip([found.end, *lines[k]], lines[k], p1, strict=False)]
+        single, pair = single + sum(map(math.log, p1)), pair + sum(map(math.log, p2))
+        total += scores[k].pll - sum(spelling(found, w) for w in words[k].split() if w not in found.known)
+    assert total > pair > single
     odd = rows(pseudo_likelihood.score_documents(odd_docs))
     assert len(odd) == odd_docs.count() and all((r.mean_log_prob is None) == (r.n_tokens == 0) for r in odd)
     assert rows(pseudo_likelihood.score_documents(no_docs)) == []
+    blank = spark.createDataFrame([(1, None), (2, " ")], "doc_id long, text string")
+    assert [(r.pll, r.mean_log_prob) for r in rows(pseudo_likelihood.score_documents(blank))] == [(0.0, None)] * 2
 
 
 def brute_classes(docs):
