@@ -54,7 +54,8 @@ def lowered(docs: DataFrame) -> Column:
 
 
 def words_of(lowered: str) -> list[str]:
-    return [w for w in lowered.split(" ") if w]
+    found = lowered.split(" ")
+    return [w for w in found if w] if "" in found else found
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -68,7 +69,7 @@ def letter_counts(words: DataFrame) -> np.ndarray:
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(256 * 256, np.int64)
         for batch in batches:
-            held = [_bytes(w) for w in batch.column(0).to_pylist()]
+            held = [w.encode("utf-8", "surrogatepass") for w in batch.column(0).to_pylist()]
             line = np.frombuffer(_EDGE + _EDGE.join(held) + _EDGE, np.uint8).astype(np.int64)
             if held:
                 counts += np.bincount(line[:-1] * 256 + line[1:], minlength=256 * 256)
@@ -81,10 +82,6 @@ def letter_counts(words: DataFrame) -> np.ndarray:
     return out.reshape(256, 256)
 
 
-def _bytes(word: str) -> bytes:
-    return word.encode("utf-8", "surrogatepass")
-
-
 @dataclass
 class Coding:
     """Codes of the known words, then the buckets, then the end; logs of byte pairs of rarer words."""
@@ -125,33 +122,37 @@ def _at_most(top: list):
 
 
 class Coder(dict):
-    """The code of each word; `spelt` has the log P of the letters of rarer words in their buckets."""
+    """The place of each word in `codes` and `spelt`: its code, and the log P of its letters if it is a rarer word."""
 
     def __init__(self, coding: Coding):
-        super().__init__(coding.known)
-        self._c, self._bonus, self.spelt = coding, math.log(coding.buckets), {}
+        super().__init__()
+        self._c, self._bonus = coding, math.log(coding.buckets)
+        self._fill()
+
+    def _fill(self) -> None:
+        self.clear()
+        self.update(self._c.known)
+        self.codes, self.spelt = array("H", range(len(self._c.known))), array("d", bytes(8 * len(self._c.known)))
 
     def __missing__(self, word: str) -> int:
-        data = _bytes(word)
-        line = _EDGE + data + _EDGE
-        self.spelt[word] = self._bonus + sum([self._c.letters[a][b] for a, b in zip(line, line[1:], strict=False)])
-        found = self[word] = len(self._c.known) + zlib.crc32(data) % self._c.buckets
+        data = word.encode("utf-8", "surrogatepass")
+        line, letters = _EDGE + data + _EDGE, self._c.letters
+        self.spelt.append(self._bonus + sum([letters[a][b] for a, b in zip(line, line[1:], strict=False)]))
+        self.codes.append(len(self._c.known) + zlib.crc32(data) % self._c.buckets)
+        found = self[word] = len(self.codes) - 1
         return found
 
     def encode(self, lowered: str) -> tuple[bytes, float]:
         words = words_of(lowered)
-        codes, first = array("H"), len(self._c.known)
-        rarer = 0.0
+        codes, spelt = [], 0.0
         for at in range(0, len(words), 100_000):
             part = words[at : at + 100_000]
-            if len(self.spelt) > 300_000:
-                self.clear()
-                self.update(self._c.known)
-                self.spelt.clear()
-            found = [self[w] for w in part]
-            codes.extend(found)
-            rarer += math.fsum([self.spelt.get(w, 0.0) for w, c in zip(part, found, strict=True) if c >= first])
-        return codes.tobytes(), rarer
+            if len(self) > 500_000:
+                self._fill()
+            found = np.fromiter(map(self.__getitem__, part), np.int64, len(part))
+            codes.append(np.frombuffer(self.codes, np.uint16)[found].tobytes())
+            spelt += float(np.frombuffer(self.spelt, np.float64)[found].sum())
+        return b"".join(codes), spelt
 
 
 def encode(docs: DataFrame, found: Coding) -> DataFrame:
@@ -170,7 +171,7 @@ def encode(docs: DataFrame, found: Coding) -> DataFrame:
 
 
 def windows(texts: list[bytes], end: int, most: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(neighbours [n, 2 REACH], tokens [n], text of each token), at most `most` at a time."""
+    """(neighbours [2 REACH, n], tokens [n], text of each token), at most `most` at a time."""
     gap = np.full(REACH, end, np.int64)
     parts, owners = [gap], [np.full(REACH, -1)]
     for k, codes in enumerate(texts):
@@ -179,47 +180,77 @@ def windows(texts: list[bytes], end: int, most: int) -> Iterator[tuple[np.ndarra
         owners += [np.full(len(c), k), np.full(REACH, -1)]
     line, owner = np.concatenate(parts), np.concatenate(owners)
     (at,) = np.nonzero(owner >= 0)
-    sides = np.array([*range(-REACH, 0), *range(1, REACH + 1)])
+    sides = np.array([*range(-REACH, 0), *range(1, REACH + 1)])[:, None]
     for k in range(0, len(at), most):
         now = at[k : k + most]
-        yield line[now[:, None] + sides], line[now], owner[now]
+        yield line[now + sides], line[now], owner[now]
 
 
 class WindowNetwork:
-    """tanh(sum of place embeddings + bias) and a softmax of two levels. Its numbers lie in one single-precision array."""
+    """tanh(sum of place embeddings + bias) and a softmax of two levels, over groups and over the codes of a group.
+
+    Its numbers lie in one single-precision array, `flat`; the last row of weights is that of a constant input. Large
+    intermediate arrays are kept and used again, as fresh memory costs more than the sums.
+    """
 
     def __init__(self, groups: int, flat: np.ndarray | None = None, counts: np.ndarray | None = None):
         self.groups = groups
-        size = groups * GROUP
-        shapes = {"embed": (2 * REACH, size, WIDTH), "bias": (WIDTH,), "group": (WIDTH, groups), "group_bias": (groups,), "code": (groups, WIDTH, GROUP), "code_bias": (groups, GROUP)}
-        length = sum(math.prod(s) for s in shapes.values())
-        if flat is None:
-            flat = np.random.Generator(np.random.PCG64(7)).normal(0, 0.1, length).astype(np.float32)
-        self.flat, at = np.array(flat, np.float32), 0
-        for name, shape in shapes.items():
-            setattr(self, name, self.flat[at : at + math.prod(shape)].reshape(shape))
-            at += math.prod(shape)
+        self._shapes = {"embed": (2 * REACH, groups * GROUP, WIDTH), "bias": (WIDTH,), "group": (WIDTH + 1, groups), "code": (groups, WIDTH + 1, GROUP)}
+        length = sum(math.prod(s) for s in self._shapes.values())
+        self.flat = np.random.Generator(np.random.PCG64(7)).normal(0, 0.1, length).astype(np.float32) if flat is None else np.array(flat, np.float32)
+        self.embed, self.bias, self.group, self.code = self.parts(self.flat)
+        self._kept: dict[str, np.ndarray] = {}
         if counts is not None:  # start from the frequencies of the codes
             n = counts.reshape(groups, GROUP) + 0.1
             self.bias[:] = 0
-            self.group_bias[:] = np.log(n.sum(axis=1) / n.sum())
-            self.code_bias[:] = np.log(n / n.sum(axis=1, keepdims=True))
+            self.group[-1] = np.log(n.sum(axis=1) / n.sum())
+            self.code[:, -1] = np.log(n / n.sum(axis=1, keepdims=True))
+
+    def parts(self, flat: np.ndarray) -> list[np.ndarray]:
+        """flat as embed, bias, group and code."""
+        ends = np.cumsum([0, *(math.prod(s) for s in self._shapes.values())])
+        return [flat[a:b].reshape(shape) for a, b, shape in zip(ends, ends[1:], self._shapes.values(), strict=False)]
+
+    def room(self, name: str, rows: int, columns: int) -> np.ndarray:
+        held = self._kept.get(name)
+        if held is None or len(held) < rows:
+            held = self._kept[name] = np.empty((rows, columns), np.float32)
+        return held[:rows]
 
     def hidden(self, near: np.ndarray) -> np.ndarray:
-        x = self.embed[0][near[:, 0]]
+        """[n, WIDTH + 1], the last column 1."""
+        n = near.shape[1]
+        x, y, h = self.room("x", n, WIDTH), self.room("y", n, WIDTH), self.room("h", n, WIDTH + 1)
+        self.embed[0].take(near[0], axis=0, out=x, mode="clip")
         for k in range(1, 2 * REACH):
-            x += self.embed[k][near[:, k]]
-        return np.tanh(x + self.bias)
+            x += self.embed[k].take(near[k], axis=0, out=y, mode="clip")
+        x += self.bias
+        np.tanh(x, out=h[:, :-1])
+        h[:, -1] = 1
+        return h
+
+    def runs(self, token: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+        """An order by group, and (group, from, to) of each group in it."""
+        group = token // GROUP
+        order = np.argsort(group.astype(np.uint16), kind="stable")
+        ends = np.concatenate([[0], np.cumsum(np.bincount(group, minlength=self.groups))]).tolist()
+        return order, [(g, ends[g], ends[g + 1]) for g in range(self.groups) if ends[g] < ends[g + 1]]
+
+    def logits(self, h: np.ndarray, order: np.ndarray, runs: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The scores of the groups, and, in order, h and the scores of the codes of the token's group."""
+        n = len(h)
+        by_group = np.matmul(h, self.group, out=self.room("g", n, self.groups))
+        sorted_h, by_code = h.take(order, axis=0, out=self.room("s", n, WIDTH + 1), mode="clip"), self.room("c", n, GROUP)
+        for g, a, b in runs:
+            np.matmul(sorted_h[a:b], self.code[g], out=by_code[a:b])
+        return by_group, sorted_h, by_code
 
     def log_probabilities(self, near: np.ndarray, token: np.ndarray) -> np.ndarray:
         """log P of each token in its window."""
-        h = self.hidden(near)
-        group, member = np.divmod(token, GROUP)
-        out = _log_softmax_at(h @ self.group + self.group_bias, group)
-        order, runs = _runs(group, self.groups)
-        for g, a, b in runs:
-            at = order[a:b]
-            out[at] += _log_softmax_at(h[at] @ self.code[g] + self.code_bias[g], member[at])
+        order, runs = self.runs(token)
+        by_group, _, by_code = self.logits(self.hidden(near), order, runs)
+        out = _log_softmax_at(by_group, token // GROUP)
+        out[order] += _log_softmax_at(by_code, token[order] % GROUP)
         return out
 
 
@@ -231,62 +262,60 @@ def _exp(z: np.ndarray) -> np.ndarray:
 
 
 def _log_softmax_at(z: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """One column of the log of the softmax for each row."""
-    picked = z[np.arange(len(z)), at].astype(np.float64)
+    """One column of the log of the softmax for each row; z is used up."""
+    rows = np.arange(len(z))
+    picked = z[rows, at].astype(np.float64)
     top = z.max(axis=1) if z.max() > 60 or z.min() < -60 else 0.0
     return picked - top - np.log(_exp(z).sum(axis=1))
 
 
-def _runs(group: np.ndarray, groups: int) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
-    """An order by group, and (group, from, to) of each group in it."""
-    order = np.argsort(group.astype(np.uint16), kind="stable")
-    ends = np.concatenate([[0], np.cumsum(np.bincount(group, minlength=groups))])
-    return order, [(g, int(ends[g]), int(ends[g + 1])) for g in range(groups) if ends[g] < ends[g + 1]]
-
-
 class Trainer:
     """Adagrad over minibatches of windows."""
 
     def __init__(self, net: WindowNetwork, rate: float = RATE):
-        self.net, self.rate = net, rate
-        self.seen = WindowNetwork(net.groups, np.full(len(net.flat), 1e-2, np.float32))
+        self.net, self.rate = net, np.float32(rate)
+        self.seen, self.gradient, self._room = np.full(len(net.flat), 1e-2, np.float32), np.zeros(len(net.flat), np.float32), np.empty(len(net.flat), np.float32)
 
-    def gradients(self, near: np.ndarray, token: np.ndarray) -> dict[str, list]:
-        """Of the summed log P divided by the number of windows: lists of (place in the array, gradient)."""
-        net, n = self.net, np.float32(len(token))
+    def gradients(self, near: np.ndarray, token: np.ndarray) -> list[np.ndarray]:
+        """Of the mean log P of the windows, as embed, bias, group and code; it stays in self.gradient."""
+        net, n, rows = self.net, len(token), np.arange(len(token))
+        order, runs = net.runs(token)
         h = net.hidden(near)
-        group, member = np.divmod(token, GROUP)
-        z = _exp(h @ net.group + net.group_bias)
-        z *= -1 / (z.sum(axis=1, keepdims=True) * n)
-        z[np.arange(len(token)), group] += 1 / n
-        dh = z @ net.group.T
-        out: dict[str, list] = {"group": [(slice(None), h.T @ z)], "group_bias": [(slice(None), z.sum(axis=0))], "code": [], "code_bias": [], "embed": []}
-        order, runs = _runs(group, net.groups)
+        by_group, sorted_h, by_code = net.logits(h, order, runs)
+        embed, bias, group, code = net.parts(self.gradient)
+        for z, picked in ((by_group, token // GROUP), (by_code, token[order] % GROUP)):
+            total = _exp(z).sum(axis=1, keepdims=True)
+            total *= -n
+            z /= total
+            z[rows, picked] += np.float32(1 / n)
+        np.matmul(h.T, by_group, out=group)
+        dh, sorted_dh = np.matmul(by_group, net.group.T, out=net.room("dh", n, WIDTH + 1)), net.room("ds", n, WIDTH + 1)
+        code[:] = 0
         for g, a, b in runs:
-            at = order[a:b]
-            hg = h[at]
-            z = _exp(hg @ net.code[g] + net.code_bias[g])
-            z *= -1 / (z.sum(axis=1, keepdims=True) * n)
-            z[np.arange(b - a), member[at]] += 1 / n
-            dh[at] += z @ net.code[g].T
-            out["code"].append((g, hg.T @ z))
-            out["code_bias"].append((g, z.sum(axis=0)))
-        dh *= 1 - h * h
-        out["bias"] = [(slice(None), dh.sum(axis=0))]
+            np.matmul(sorted_h[a:b].T, by_code[a:b], out=code[g])
+            np.matmul(by_code[a:b], net.code[g].T, out=sorted_dh[a:b])
+        back = np.empty(n, np.int64)
+        back[order] = rows
+        dh += sorted_dh.take(back, axis=0, out=net.room("s", n, WIDTH + 1), mode="clip")
+        h *= h
+        dh *= np.subtract(1, h, out=h)
+        bias[:] = dh[:, :-1].sum(axis=0)
+        columns = np.ascontiguousarray(dh[:, :-1].T, np.float64)
         for k in range(2 * REACH):
-            order = np.argsort(near[:, k].astype(np.uint16), kind="stable")
-            codes = near[order, k]
-            first = np.concatenate([[0], np.flatnonzero(codes[1:] != codes[:-1]) + 1])
-            out["embed"].append(((k, codes[first]), np.add.reduceat(dh[order], first, axis=0)))
-        return out
+            for j in range(WIDTH):
+                embed[k, :, j] = np.bincount(near[k], columns[j], embed.shape[1])
+        return [embed, bias, group, code]
 
     def step(self, near: np.ndarray, token: np.ndarray) -> None:
-        for name, found in self.gradients(near, token).items():
-            values, seen = getattr(self.net, name), getattr(self.seen, name)
-            for at, g in found:
-                g *= 100  # Adagrad doesn't mind the scale, but single precision does
-                seen[at] += g * g
-                values[at] += np.float32(self.rate) * g / np.sqrt(seen[at])
+        self.gradients(near, token)
+        g, room = self.gradient, self._room
+        g *= 100  # Adagrad doesn't mind the scale, but single precision does
+        np.multiply(g, g, out=room)
+        self.seen += room
+        np.sqrt(self.seen, out=room)
+        np.divide(g, room, out=room)
+        room *= self.rate
+        self.net.flat += room
 
 
 def train_round(encoded: DataFrame, net: WindowNetwork, end: int, trainers: int, batch: int = BATCH) -> WindowNetwork:
@@ -354,7 +383,7 @@ def score(encoded: DataFrame, found: Coding, net: WindowNetwork) -> DataFrame:
             for start in range(0, whole.num_rows, 500):
                 batch = whole.slice(start, 500)
                 texts, sums = batch.column(len(names)).to_pylist(), np.array(batch.column(len(names) + 1).to_pylist(), np.float64)
-                for near, token, text in windows(texts, end, 4 * BATCH):
+                for near, token, text in windows(texts, end, BATCH):
                     sums += np.bincount(text, known.log_probabilities(near, token), len(texts))
                 n = [len(codes) // 2 for codes in texts]
                 means = [round(s / k, 6) if k else None for s, k in zip(sums.tolist(), n, strict=True)]

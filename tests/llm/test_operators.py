@@ -300,7 +300,7 @@ def plain_log_probability(net, line, at, end):
         z = [sum(a * float(w) for a, w in zip(h, weights[:, j], strict=True)) + float(bias[j]) for j in range(len(bias))]
         return z[of] - math.log(sum(math.exp(v) for v in z))
 
-    return log_softmax(net.group, net.group_bias, group) + log_softmax(net.code[group], net.code_bias[group], member)
+    return log_softmax(net.group[:-1], net.group[-1], group) + log_softmax(net.code[group][:-1], net.code[group][-1], member)
 
 
 def spelling(found, word):
@@ -330,13 +330,11 @@ def test_gradients_of_the_window_network():
     """Against finite differences of the mean log-likelihood, in every kind of parameter."""
     rng = np.random.Generator(np.random.PCG64(6))
     net = pseudo_likelihood.WindowNetwork(2)
-    near, token = rng.integers(0, 128, (300, 4)), rng.integers(0, 128, 300)
+    near, token = rng.integers(0, 128, (4, 300)), rng.integers(0, 128, 300)
     mean = lambda: net.log_probabilities(near, token).mean()
     found = pseudo_likelihood.Trainer(net).gradients(near, token)
-    for name, parts in found.items():
-        values, dense = getattr(net, name), np.zeros(getattr(net, name).shape)
-        for at, g in parts:
-            dense[at] = g
+    for name, dense in zip(("embed", "bias", "group", "code"), found, strict=True):
+        values = getattr(net, name)
         for at in {np.unravel_index(k, dense.shape) for k in (int(np.abs(dense).argmax()), int(dense.argmax()), 0)}:
             old = values[at]
             ends = []
