@@ -20,11 +20,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, from spark.checkpoint.dir; a folder of our own only where that is unset."""
+    """The folder all executors share, from spark.checkpoint.dir; a folder of our own only where that is unset and Spark runs in one process."""
     global _own_dir
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
+    if not spark.conf.get("spark.master", "local").startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if _own_dir is None:
         os.makedirs("/tmp/checkpoints", exist_ok=True)
         _own_dir = "file://" + tempfile.mkdtemp(dir="/tmp/checkpoints")
@@ -40,8 +42,16 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
 
 
 def small(df: DataFrame, rows: int, most: int = 1_000_000) -> DataFrame:
-    """A broadcast hint if df, which has so many narrow rows, is within the bound; else Spark shuffles it."""
-    return F.broadcast(df) if rows <= most else df
+    """A broadcast hint if df, which has so many narrow rows, is within the bound; beyond it the join is to be shuffled."""
+    return F.broadcast(df) if rows <= most else df.hint("shuffle_merge")
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """name, or the first longer one that isn't a column of df."""
+    held = {c.lower() for c in df.columns}
+    while name.lower() in held:
+        name += "_"
+    return name
 
 
 def let(value: Column, body) -> Column:
