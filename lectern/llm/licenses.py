@@ -3,10 +3,12 @@
 canonical() lower-cases a text, drops its copyright statements, brings every run of other characters than letters and
 digits to one space and equivalent spellings to one form. The digest of a whole canonical text is joined to the digests
 of known licences by a hash join. The spelling rules are wider than the words they are for; they run over both sides,
-so that only makes a few unlike words equal. The known licences are broadcast: they are as many as the caller lists.
+so that only makes a few unlike words equal. The known licences are broadcast if they are at most a million.
 
 Cases: a null or empty text has the digest of the empty text and no licence. Null and repeated doc_ids are scanned
-like others. Two licences with one canonical text count as the one with the smaller id. Empty tables give no rows.
+like others. Very long texts are made canonical whole. Two licences with one canonical text count as the one with the
+smaller id. Other columns pass through, whatever their names; the two output columns replace namesakes. Empty tables
+give no rows.
 """
 
 from __future__ import annotations
@@ -16,6 +18,8 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lectern.llm.base import small
+
 #: Fixed values: (pattern, replacement) of spellings that licence matching takes as equal, after lower-casing.
 SPELLINGS = [
     (r"licenc", r"licens"),
@@ -91,9 +95,9 @@ def known_licenses(spark: SparkSession, texts: dict[str, str] | None = None) ->
 def scan(docs: DataFrame, known: DataFrame) -> DataFrame:
     """docs with canonical_sha256 and license_id, null for a text that is no known licence."""
     docs = docs.drop("canonical_sha256", "license_id")
-    digests = known.select(F.sha2(canonical(F.col("text")), 256).alias("_digest"), "license_id").groupBy("_digest").agg(F.min("license_id").alias("license_id"))
+    digests = known.select(F.sha2(canonical(F.col("text")), 256).alias("canonical_sha256"), "license_id").groupBy("canonical_sha256").agg(F.min("license_id").alias("license_id"))
     digested = docs.withColumn("canonical_sha256", F.sha2(canonical(F.col("text")), 256))
-    return digested.join(F.broadcast(digests), F.col("canonical_sha256") == F.col("_digest"), "left").drop("_digest")
+    return digested.join(small(digests, digests.count()), "canonical_sha256", "left").select(*docs.columns, "canonical_sha256", "license_id")
 
 
 def scan_sql(texts: dict[str, str] = KNOWN) -> str:

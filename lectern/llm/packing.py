@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.base import materialize
+from lectern.llm.base import fresh, materialize
 
 SIZE = 1024
 END = 2
@@ -48,14 +48,21 @@ def byte_alphabet() -> dict[str, int]:
 
 class ByteBpe:
     """Ids of whole texts. The file is one of the tokenizers library; its vocabulary runs in tiktoken's merger, which
-    gives the same ids (the tests hold it against the library) at several times the speed. With `added`, the strings
-    of the file's added tokens are found in texts, the longest first, as the library does unless it is told otherwise."""
+    gives the same ids (the tests hold it against the library) at several times the speed. The strings of the file's
+    added tokens are found in texts, the longest first, as the library does; without `added` they are ordinary text.
+    A file that doesn't cut or merge in this way is refused."""
 
-    def __init__(self, path: str, added: bool = False):
+    def __init__(self, path: str, added: bool = True):
         import tiktoken
 
         with open(path, encoding="utf-8") as file:
             read = json.load(file)
+        cut = read["pre_tokenizer"] or {}
+        at = [read["model"]["vocab"].get("".join(m) if isinstance(m, list) else m.replace(" ", "")) for m in read["model"].get("merges", [])]
+        if read["normalizer"] or read["model"]["type"] != "BPE" or (cut.get("type"), cut.get("add_prefix_space"), cut.get("use_regex", True)) != ("ByteLevel", False, True) or None in at or at != sorted(at):
+            raise ValueError("not a byte-level BPE whose ids are in the order of its merges")
+        if any(x.get(k) for x in read["added_tokens"] for k in ("single_word", "lstrip", "rstrip", "normalized")):
+            raise ValueError("added tokens that match more or less than their own text")
         alphabet = byte_alphabet()
         special = {x["content"]: x["id"] for x in read["added_tokens"]}
         ranks = {bytes(alphabet[c] for c in token): n for token, n in read["model"]["vocab"].items() if token not in special}
@@ -83,7 +90,7 @@ class ByteBpe:
         return np.array(out, "<u4").tobytes()
 
 
-def tokenize(docs: DataFrame, tokenizer: str, size: int = SIZE, end: int = END, added: bool = False) -> DataFrame:
+def tokenize(docs: DataFrame, tokenizer: str, size: int = SIZE, end: int = END, added: bool = True) -> DataFrame:
     """A row for each piece: the columns of docs but text, then piece, start, length and ids (little-endian uint32)."""
     names = [c for c in docs.columns if c not in ("text", "piece", "start", "length", "ids")]
     docs = docs.select(*names, "text")
@@ -151,19 +158,20 @@ def pack(pieces: DataFrame, size: int = SIZE, open_bins: int = OPEN_BINS, pieces
     """pieces, which have a length column of at most `size`, with sequence_id and offset. It counts the pieces first."""
     pieces = pieces.drop("sequence_id", "offset")
     n_tasks = max(1, math.ceil(pieces.count() / pieces_per_task))
-    dealt = pieces.withColumn("_dealt", F.xxhash64(*pieces.columns)).repartition(n_tasks, "_dealt").sortWithinPartitions("_dealt", *pieces.columns)
+    order = fresh(pieces, "dealt")
+    dealt = pieces.withColumn(order, F.xxhash64(*pieces.columns)).repartition(n_tasks, order).sortWithinPartitions(order, *pieces.columns)
 
     def rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bins, first = BestFit(size, open_bins), TaskContext.get().partitionId() << 36
         for frame in frames:
             places = np.array([bins.place(x) for x in frame["length"].tolist()], np.int64).reshape(-1, 2)
-            yield frame.drop(columns="_dealt").assign(sequence_id=first + places[:, 0], offset=places[:, 1])
+            yield frame.drop(columns=order).assign(sequence_id=first + places[:, 0], offset=places[:, 1])
 
     schema = pieces.limit(0).withColumns({"sequence_id": F.lit(0).cast("long"), "offset": F.lit(0).cast("long")}).schema
     return dealt.mapInPandas(rows, schema)
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, size: int = SIZE, end: int = END, added: bool = False) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str, size: int = SIZE, end: int = END, added: bool = True) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, sequence_id, offset) of every piece of docs."""
     pieces = tokenize(docs.select("doc_id", "text"), tokenizer, size, end, added).select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
     return pack(materialize(pieces, "pieces"), size)

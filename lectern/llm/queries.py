@@ -42,13 +42,16 @@ g as (select doc_id, i, w[i] || chr(1) || w[i + 1] || chr(1) || w[i + 2] as win
 d as (select doc_id, i from (select *, count(*) over (partition by doc_id, win) as n from g) where n >= 2),
 r as (select doc_id, count(distinct j) as n_repeat_words from (select doc_id, unnest([i, i + 1, i + 2]) as j from d) group by doc_id),
 m as (select w.doc_id, source, len(w)::bigint as n_words, coalesce(length(array_to_string(w, '')), 0)::bigint as word_chars, (length(t) - length(translate(t, '#*$%&|<>', '')))::bigint as n_symbols,
+  len(list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')))::bigint as n_lines,
   (len(list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]'))) - len(list_distinct(list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')))))::bigint as n_dup_lines,
   coalesce(n_repeat_words, 0)::bigint as n_repeat_words from w left join r on w.doc_id = r.doc_id),
 b as (select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed from m),
-h as (select source, count(*) as n, count(*) filter (where base_failed) as f from b group by source),
-p as (select round(avg(f / n), 9) as mean, round(var_pop(f / n), 12) as v from h),
-q as (select mean, case when v > 0 and mean > 0 and mean < 1 then least(greatest(mean * (1 - mean) / v - 1, 1.0), 1e6) else 1e6 end as s from p),
-x as (select source, round((f + mean * s) / (n + s), 9) as rate from h, q)
+f as (select source, unnest([0, 1, 2, 3]) as rule, unnest([n_words < 50, 100 * n_repeat_words > 50 * n_words, 10 * n_symbols > n_words, 100 * n_dup_lines > 30 * n_lines]) as failed from b),
+h as (select source, rule, count(*) as n, count(*) filter (where failed) as f from f group by source, rule),
+a as (select rule, round(sum(f) / sum(n), 9) as mean from h group by rule),
+p as (select rule, mean, case when sum(n) - sum(n * n)::double / sum(n) > 0 then round((sum(n * (f / n - mean) * (f / n - mean)) - (count(*) - 1) * mean * (1 - mean)) / (sum(n) - sum(n * n)::double / sum(n)), 12) else 0 end as v from h join a using (rule) group by rule, mean),
+q as (select rule, mean, case when v > 0 and mean > 0 and mean < 1 then least(greatest(mean * (1 - mean) / v - 1, 1.0), 1e6) else 1e6 end as s from p),
+x as (select source, max(round((f + mean * s) / (n + s), 9)) as rate from h join q using (rule) group by source)
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and rate <= 0.5 as kept from b join x on b.source is not distinct from x.source"""
 
 
@@ -89,7 +92,7 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path(), added=True)
+    return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,11 +7,14 @@ entry as its end; of events at one time the last by (event, action) counts, "rem
 active suffix of a capture's host decides: "blog.a.org" before "a.org". A host under no active entry isn't blocked.
 
 Captures are pre-aggregated to distinct (host, time) before they meet the list, so that a hot host makes as many
-rows as it has fetch times; verdicts go back over the same two keys, whose skew adaptive execution splits.
+rows as it has fetch times. Intervals are cut at 30 days within the time that captures span and met by (entry, 30
+days), so a capture meets what an entry did in those days and not its whole history, and an entry that all captures
+share is as many keys as there are months. Verdicts go back over (host, time), whose skew adaptive execution splits.
 
 Cases: the host is the lower-cased part of http and https URLs between :// (and any user@) and the next of /, ?, #, :
 or a backslash; without one it is null. A capture with a null host or time is not blocked. Null entries and dates are ignored.
-Repeated captures are each judged. Empty lists block nothing.
+Repeated captures are each judged. Very long urls and hosts have a suffix for each label. Empty lists block nothing.
+Other columns pass through, whatever their names; host, matched_entry and blocked replace namesakes.
 """
 
 from __future__ import annotations
@@ -19,6 +22,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lectern.llm.base import fresh
+
 HOST = r"^(?i)https?://(?:[^/?#@]*@)?([^/?#:\\@]+)"
 
 
@@ -41,13 +46,23 @@ def suffixes(name: Column) -> Column:
     return F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
 
 
+def _month(at: Column) -> Column:
+    """The number of the 30 days that a date or time lies in."""
+    return F.floor(F.unix_timestamp(at.cast("timestamp")) / (30 * 86_400))
+
+
 def judge(captures: DataFrame, entries: DataFrame, url: str = "url", at: str = "fetched") -> DataFrame:
     """captures with host, matched_entry and blocked."""
-    captures = captures.drop("host", "matched_entry", "blocked").withColumn("host", host(F.col(url)))
-    seen = captures.where(F.col("host").isNotNull() & F.col(at).isNotNull()).select(F.col("host").alias("_host"), F.col(at).alias("_at")).distinct()
-    asked = seen.select("_host", "_at", F.explode(suffixes(F.col("_host"))).alias("entry"))
-    active = asked.join(intervals(entries), "entry").where((F.col("_at") >= F.col("since")) & (F.col("until").isNull() | (F.col("_at") < F.col("until"))))
-    verdict = active.groupBy("_host", "_at").agg(F.max(F.struct(F.length("entry").alias("n"), "entry", "action")).alias("v"))
-    verdict = verdict.select("_host", "_at", F.col("v.entry").alias("matched_entry"), (F.col("v.action") == "block").alias("_blocked"))
-    joined = captures.join(verdict, (captures["host"] == verdict["_host"]) & (captures[at] == verdict["_at"]), "left")
-    return joined.withColumn("blocked", F.coalesce("_blocked", F.lit(False))).drop("_host", "_at", "_blocked")
+    captures = captures.drop("host", "matched_entry", "blocked")
+    seen = captures.select(host(F.col(url)).alias("host"), F.col(at).alias("at")).where("host is not null and at is not null").distinct()
+    seen = seen.withColumn("month", _month(F.col("at")))
+    asked = seen.select("host", "at", "month", F.explode(suffixes(F.col("host"))).alias("entry"))
+    first, last = seen.agg(F.min("month"), F.max("month")).first()  # two numbers
+    known = intervals(entries).withColumns({"a": F.greatest(_month(F.col("since")), F.lit(first)), "z": F.least(F.coalesce(_month(F.col("until")), F.lit(last)), F.lit(last))}).where("a <= z")
+    months = known.select("entry", "action", "since", "until", F.explode(F.sequence("a", "z")).alias("month"))
+    active = asked.join(months, ["entry", "month"]).where((F.col("at") >= F.col("since")) & (F.col("until").isNull() | (F.col("at") < F.col("until"))))
+    verdict = active.groupBy("host", "at").agg(F.max(F.struct(F.length("entry").alias("n"), "entry", "action")).alias("v"))
+    h, t, v = (fresh(captures, x) for x in ("host_", "at_", "verdict_"))
+    verdict = verdict.toDF(h, t, v)
+    joined = captures.withColumn("host", host(F.col(url))).join(verdict, (F.col("host") == F.col(h)) & (captures[at] == F.col(t)), "left")
+    return joined.select(*captures.columns, "host", F.col(f"{v}.entry").alias("matched_entry"), F.coalesce(F.col(f"{v}.action") == "block", F.lit(False)).alias("blocked"))
