@@ -52,10 +52,46 @@ def test_hot_lines_in_parts(spark, monkeypatch):
     assert sorted(((r.doc_id, r.text, r.n_lines, r.n_dropped) for r in rows(got)), key=repr) == brute_lines(rows(docs))
 
 
+def index_state(index):
+    """The counts, which are those of the references, and the keys the filters should hold, which they do."""
+    held = {(r.h1, r.h2, r.n_refs, r.min_doc, r.max_doc) for r in rows(index.current()) if r.n_refs}
+    assert held == {(r.h1, r.h2, r.n_refs, r.min_doc, r.max_doc) for r in rows(line_dedup.counts(index.references))}
+    shared = np.array([(a, b) for a, b, _, least, most in held if least < most], np.int64).reshape(-1, 2)
+    filters = {r.shard: cuckoo.CuckooFilter.from_bytes(r.n_buckets, r.slots, r.stash) for r in rows(index.filters)}
+    shard = (shared[:, 0] >> 32) % index.n_shards
+    assert all(filters[k].contains(shared[shard == k, 0], shared[shard == k, 1]).all() for k in set(shard.tolist()))
+    assert sum(r.n_keys for r in rows(index.filters)) == len(shared) and not any(f.stash for f in filters.values())
+    return held
+
+
+def test_line_index_grows_and_shrinks(spark, monkeypatch):
+    """100 shared lines, then 10,000, then 100 again: no stash, more shards, the same counts and decisions as built anew."""
+    monkeypatch.setattr(line_dedup, "KEYS_PER_SHARD", 300)
+    monkeypatch.setattr(line_dedup, "MOST_LAYERS", 3)
+    docs = lambda a, b: spark.createDataFrame([(2 * k + j, "\n".join(f"line number {k} {n}" for n in range(100))) for k in range(a, b) for j in (0, 1)], "doc_id long, text string")
+    first = line_dedup.LineIndex.build(docs(0, 1))
+    index, held = first, index_state(first)
+    assert len(held) == 100 and index.n_shards == 8
+    for a, b in ((1, 5), (5, 40), (40, 100)):
+        index = index.insert(docs(a, b))
+        assert len(index_state(index)) == 100 * b
+    assert index.n_shards > 8 and len(index.layers) <= 3
+    assert {(r.doc_id, r.n_dropped) for r in rows(index.decide(docs(0, 100)))} == {(k, 100 * (k % 2)) for k in range(200)}
+    back = index.delete(docs(1, 100).select("doc_id"))
+    assert index_state(back) == held
+    assert {(r.doc_id, r.n_dropped) for r in rows(back.decide(docs(0, 1)))} == {(0, 0), (1, 100)}
+
+
+def test_line_dedup_keeps_columns(odd_docs):
+    extra = odd_docs.select("*", *(F.lit("mine").alias(x) for x in ("of_doc", "of_tag", "lost", "tag", "h1")))
+    a, b = kept_values(extra, line_dedup.dedup_lines(extra), ("text", "n_lines"))
+    assert a == b
+
+
 def test_line_index_is_reversible(spark, documents):
     small = documents.where("doc_id < 60").cache()
     a, b = small.where("doc_id % 3 <> 0"), small.where("doc_id % 3 = 0")
-    state = lambda i: {(r.h1, r.h2, r.n_refs, r.min_doc, r.shared) for r in rows(line_dedup.counts(i.references))}
+    state = index_state
     first = line_dedup.LineIndex.build(a)
     both = first.insert(b)
     assert state(both) == state(line_dedup.LineIndex.build(small))
