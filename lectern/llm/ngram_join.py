@@ -4,8 +4,9 @@
    are chosen for a target recall at the similarity threshold.
 2. Documents with the same n-gram set are one class from here on; its size counts its copies.
 3. Band keys are shuffled; a bucket is a key that two classes or more share. Buckets with the same members (most
-   bands of a group of near copies) count once. A bucket is cut into tiles of a bounded size by a hash of its
-   members, and each pair of tiles goes to a task of its own, so no task holds a whole large bucket.
+   bands of a group of near copies) count once. A bucket is cut into tiles of TILE members and GRAMS_PER_TILE
+   n-grams or so by a hash of its members, and each pair of tiles is verified by itself, so no task holds a whole large
+   bucket. A set goes to as many places as its bucket has tiles: of a bucket of n texts n^2 / TILE sets are shuffled.
 4. In a task, the n-gram sets of two tiles meet as one incidence matrix whose products are the intersection sizes, so
    every candidate pair is verified exactly. A pair that shares several buckets counts in the first of them. What
    leaves is one row a member: the weighted number of its links and the smallest member it links to; pairs never do.
@@ -15,7 +16,8 @@
 Cases: an n-gram set is of lower-cased words split at [\\x20\\x09-\\x0D]; a text with fewer than n words has the one
 n-gram of all its words. A null, empty or blank text has no n-grams and links to nothing, so it is a group of its
 own. A null doc_id takes part in no link: its class_id is null and its n_links 0. Rows that repeat a doc_id are one
-document if their sets are equal; else both sets count under the one doc_id.
+document if their sets are equal; else both sets count under the one doc_id. Very long texts are verified whole, in
+slices of columns. Other columns of docs are not returned. Empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -36,7 +38,10 @@ N = 5
 THRESHOLD = 0.8
 RECALL = 0.9999
 MAX_HASHES = 128
-TILE = 256
+TILE = 1024
+GRAMS_PER_TILE = 500_000
+SLICE = 4096
+LINKS_PER_PART = 1000
 _SPLIT = str.maketrans({c: " " for c in SPACES})
 _MIX = (np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53))
 
@@ -161,10 +166,10 @@ def _links(rows: pd.DataFrame, threshold: float) -> Iterator[pd.DataFrame]:
     a, b = coded[:split], coded if same else coded[split:]
     shared = np.zeros((len(a), len(b)), np.float64)
     order = [np.sort(c) for c in coded]
-    for at in range(0, width, 16384):  # in slices, so that long texts don't need wide matrices
-        cut = [c[np.searchsorted(c, at) : np.searchsorted(c, at + 16384)] - at for c in order]
-        x = _incidence(cut[:split], min(16384, width - at))
-        shared += x @ (x if same else _incidence(cut[split:], min(16384, width - at))).T
+    for at in range(0, width, SLICE):  # in slices, so that long texts don't need wide matrices
+        cut = [c[np.searchsorted(c, at) : np.searchsorted(c, at + SLICE)] - at for c in order]
+        x = _incidence(cut[:split], min(SLICE, width - at))
+        shared += x @ (x if same else _incidence(cut[split:], min(SLICE, width - at))).T
     sizes = np.array([len(s) for s in sets], np.float64)
     union = sizes[:split, None] + (sizes[None, :split] if same else sizes[None, split:]) - shared
     linked = shared >= threshold * union - 1e-9
@@ -203,17 +208,25 @@ def _roots(ra: np.ndarray, rb: np.ndarray, linked: np.ndarray) -> pd.DataFrame:
     return pd.DataFrame({"doc_id": ids, "links": 0, "to": roots})[ids != roots]
 
 
+def _in_parts(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """edges (u, v) joined with nodes (u, m, n), n edges each; the edges of a node with many are dealt to parts by v."""
+    nodes = nodes.withColumn("parts", F.ceil(F.col("n") / LINKS_PER_PART).cast("int"))
+    hot = materialize(nodes.where("parts > 1").select("u", "parts"), "hot-nodes")
+    marked = edges.join(small(hot, hot.count()), "u", "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64("v"), "parts"), F.lit(0)).cast("int")).drop("parts")
+    return marked.join(nodes.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("u", "m", "part"), ["u", "part"])
+
+
 def components(edges: DataFrame, tag: str = "stars") -> DataFrame:
     """(doc_id, root) of every node of edges (doc_id, to): the smallest node it is connected to. Large and small stars in turn."""
     now = materialize(edges.where("doc_id <> to").select(F.greatest("doc_id", "to").alias("u"), F.least("doc_id", "to").alias("v")).distinct(), tag)
     last = None
     while True:
         both = now.unionAll(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.distinct()
-        lows = large.groupBy("u").agg(F.min("v").alias("m"))
-        small_ = large.join(lows, "u")
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n"))
+        large = _in_parts(both, least).where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = materialize(large.distinct(), tag)
+        lows = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        small_ = _in_parts(large, lows)
         now = materialize(small_.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(lows.select("u", F.col("m").alias("v"))).distinct(), tag)
         sign = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if sign == last:
@@ -226,12 +239,12 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, n: int = N, recall: floa
     bands, rows = choose_bands(threshold, recall)
     sketched = materialize(sketch(docs, n, bands, rows), "sketches")
     known = sketched.where("doc_id is not null and n_grams > 0")
-    classes = known.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.count_distinct("doc_id").alias("copies"), F.first("keys").alias("keys"))
+    classes = known.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.count_distinct("doc_id").alias("copies"), F.first("keys").alias("keys"), F.max("n_grams").alias("n_grams"))
     classes = materialize(classes, "classes")
-    member = classes.select(F.col("rep"), F.posexplode("keys").alias("band", "key"))
-    buckets = member.groupBy("key").agg(F.count("*").alias("n"), F.sum(F.xxhash64("rep").cast("decimal(38,0)")).alias("s1"), F.min("rep").alias("low"), F.max("rep").alias("high")).where("low < high")
-    buckets = buckets.groupBy("n", "s1", "low", "high").agg(F.min("key").alias("bucket"))
-    kept = buckets.select("bucket", F.ceil(F.col("n") / tile).cast("int").alias("tiles"))
+    member = classes.select("rep", "n_grams", F.posexplode("keys").alias("band", "key"))
+    buckets = member.groupBy("key").agg(F.count("*").alias("n"), F.sum("n_grams").alias("grams"), F.sum(F.xxhash64("rep").cast("decimal(38,0)")).alias("s1"), F.min("rep").alias("low"), F.max("rep").alias("high")).where("low < high")
+    buckets = buckets.groupBy("n", "grams", "s1", "low", "high").agg(F.min("key").alias("bucket"))
+    kept = buckets.select("bucket", F.ceil(F.greatest(F.col("n") / tile, F.col("grams") / GRAMS_PER_TILE)).cast("int").alias("tiles"))
     held = materialize(member.join(kept, member["key"] == kept["bucket"]).select("rep", "bucket", "tiles"), "buckets")
     of = held.groupBy("rep").agg(F.array_sort(F.collect_set("bucket")).alias("all"))  # at most one for each band
     n_of = of.count()

@@ -507,8 +507,12 @@ def test_pseudo_likelihood(spark, odd_docs, no_docs):
 
 
 def brute_classes(docs):
-    h = ngram_join.WordHashes()
-    sets = {d.doc_id: frozenset(ngram_join.ngram_set(d.text, h).tolist()) for d in docs if d.doc_id is not None}
+    def grams(text):
+        w = [x for x in re.split(r"[\x20\x09-\x0D]+", (text or "").lower()) if x]
+        n = min(5, len(w))
+        return frozenset(tuple(w[k : k + n]) for k in range(len(w) - n + 1)) if w else frozenset()
+
+    sets = {d.doc_id: grams(d.text) for d in docs if d.doc_id is not None}
     ids = sorted(sets)
     links, parent = Counter(), {i: i for i in ids}
 
@@ -526,8 +530,9 @@ def brute_classes(docs):
     return {i: (find(i), links[i]) for i in ids}
 
 
-@pytest.mark.parametrize("tile", [4, 256])
-def test_ngram_join(spark, documents, tile):
+@pytest.mark.parametrize("tile", [4, 1024])
+def test_ngram_join(spark, documents, tile, monkeypatch):
+    monkeypatch.setattr(ngram_join, "LINKS_PER_PART", tile)
     rng = np.random.Generator(np.random.PCG64(4))
     body = [f"w{k}" for k in range(120)]
     near = [(100_000 + k, " ".join(body[:at] + [f"new{k}"] + body[at + 1 :])) for k, at in enumerate(rng.integers(0, 120, 40))]
