@@ -38,7 +38,7 @@ N = 5
 THRESHOLD = 0.8
 RECALL = 0.9999
 MAX_HASHES = 128
-TILE = 1024
+TILE = 512
 GRAMS_PER_TILE = 500_000
 SLICE = 4096
 LINKS_PER_PART = 1000

@@ -530,7 +530,7 @@ def brute_classes(docs):
     return {i: (find(i), links[i]) for i in ids}
 
 
-@pytest.mark.parametrize("tile", [4, 1024])
+@pytest.mark.parametrize("tile", [4, 512])
 def test_ngram_join(spark, documents, tile, monkeypatch):
     monkeypatch.setattr(ngram_join, "LINKS_PER_PART", tile)
     rng = np.random.Generator(np.random.PCG64(4))
