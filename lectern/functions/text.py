@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-EDGES = r"^\s+|\s+$"
+#: The white space of Python's str.strip and str.split, which is wider than the \s of Java's patterns.
+SPACE = r"[\s\x1c-\x1f\x85\p{Z}]"
+EDGES = rf"^{SPACE}+|{SPACE}+$"
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -22,7 +24,7 @@ def strip(c: Column) -> Column:
 def words(c: Column) -> Column:
     """Empty for a blank text."""
     bare = strip(c)
-    return F.when(F.length(bare) > 0, F.split(bare, r"\s+")).otherwise(F.array().cast("array<string>"))
+    return F.when(F.length(bare) > 0, F.split(bare, f"{SPACE}+")).otherwise(F.array().cast("array<string>"))
 
 
 def word_count(c: Column) -> Column:
@@ -36,7 +38,7 @@ def slugify(c: Column) -> Column:
 def clean_markdown(c: Column) -> Column:
     """Without comments and span tags; headings stripped, lines of under four characters blank, other white space single."""
     bare = F.regexp_replace(F.regexp_replace(c, r"(?s)<!--.*?-->", ""), r"</?span[^>]*>", "")
-    line = lambda x: F.when(strip(x).startswith("#"), strip(x)).when(F.length(F.regexp_replace(x, r"\s", "")) < 4, F.lit("")).otherwise(F.regexp_replace(strip(x), r"\s+", " "))
+    line = lambda x: F.when(strip(x).startswith("#"), strip(x)).when(F.length(F.regexp_replace(x, SPACE, "")) < 4, F.lit("")).otherwise(F.regexp_replace(strip(x), f"{SPACE}+", " "))
     return strip(F.regexp_replace(F.array_join(F.transform(F.split(bare, "\n"), line), "\n"), r"\n{3,}", "\n\n"))
 
 
@@ -51,9 +53,9 @@ def hms(seconds: Column) -> Column:
 
 
 def seconds(ts: Column) -> Column:
-    """HH:MM:SS.mmm, MM:SS.mmm or bare seconds; a comma may stand for the point."""
+    """HH:MM:SS.mmm, MM:SS.mmm or bare seconds; a comma may stand for the point. Null for what is no time."""
     p = F.split(F.replace(ts, F.lit(","), F.lit(".")), ":")
-    at = lambda k: F.get(p, F.lit(k)).cast("double")
+    at = lambda k: strip(F.get(p, F.lit(k))).try_cast("double")
     return F.when(F.size(p) == 3, at(0) * 3600 + at(1) * 60 + at(2)).when(F.size(p) == 2, at(0) * 60 + at(1)).otherwise(at(0))
 
 
@@ -72,11 +74,8 @@ def strip_fences(c: Column) -> Column:
 
 
 def repair_escapes(c: Column) -> Column:
-    """Doubles each backslash that doesn't start a JSON escape; valid pairs are marked first and restored last."""
-    marked = F.regexp_replace(c, r'\\(["\\/bfnrtu])', "\u0001$1")
-    marked = F.replace(marked, F.lit("\u0001\\"), F.lit("\u0002"))
-    doubled = F.replace(marked, F.lit("\\"), F.lit("\\\\"))
-    return F.replace(F.replace(doubled, F.lit("\u0002"), F.lit("\\\\")), F.lit("\u0001"), F.lit("\\"))
+    """Doubles each backslash before a character that makes no JSON escape with it; a valid pair is taken as one, and so is a backslash with a space."""
+    return F.regexp_replace(c, r'(?s)(\\["\\/ bfnrtu])|(\\)(?=.)', "$1$2$2")
 
 
 def embedding_text(markdown: Column, keywords: Column, questions: Column) -> Column:

@@ -15,8 +15,8 @@ def strip_references(answer: Column) -> Column:
 
 
 def cited(answer: Column) -> Column:
-    """Sorted distinct numbers in [N] marks."""
-    return F.array_sort(F.array_distinct(F.transform(F.regexp_extract_all(answer, F.lit(r"\[(\d+)\]"), 1), lambda x: x.cast("int"))))
+    """Sorted distinct numbers in [N] marks; one that is too large for any chunk is -1, which is none."""
+    return F.array_sort(F.array_distinct(F.transform(F.regexp_extract_all(answer, F.lit(r"\[(\d+)\]"), 1), lambda x: F.coalesce(x.try_cast("int"), F.lit(-1)))))
 
 
 def resolve(answers: DataFrame, chunks: DataFrame) -> DataFrame:
@@ -51,7 +51,7 @@ def mean(g: Column) -> Column:
 
 
 def verdict(g: Column, ok: Column, second: bool = False) -> Column:
-    shown = F.format_string("%.2f", mean(g))
+    shown, ok = F.format_string("%.2f", mean(g)), F.coalesce(ok, F.lit(True))  # as decide() has it
     if second:
         low, bad = F.concat(shown, F.lit(" — proceeding to compose")), F.concat(shown, F.lit(" — citation compliance failed, proceeding to compose"))
     else:

@@ -7,31 +7,45 @@ from pyspark.sql import functions as F
 
 from lectern.functions.text import let, strip, token_estimate
 
+#: White space but the line feed.
+SPACE_IN_LINE = r"[\s\x1c-\x1f\x85\p{Z}&&[^\n]]"
 SIZE, OVERLAP, MIN_CHARS = 1000, 200, 50
 PAGE = r"<!--\s*page\s*\d+\s*-->"
 PAGES_A_BATCH = 10
+HEADING_LINE = rf"^{SPACE_IN_LINE}*#{{2,3}} "
+#: The place before a heading line.
+HEADING = rf"(?<=\n)(?={SPACE_IN_LINE}*#{{2,3}} )"
 
 
-def sliding_chunks(docs: DataFrame, size: int = SIZE, overlap: int = OVERLAP, min_chars: int = MIN_CHARS) -> DataFrame:
-    """(doc_id, chunk_index, start, chunk_text, token_estimate): windows up to the first that is too short, in one pass over each text."""
+def _windows(text: Column, size: int, overlap: int, min_chars: int) -> Column:
+    """The texts of the windows up to the first that is too short."""
     if overlap >= size:
         raise ValueError("overlap must be smaller than size")
     step = size - overlap
-    n = F.greatest(F.lit(0), F.ceil((F.length("text") - size) / step)).cast("int")
-    cut = F.transform(F.sequence(F.lit(0), n), lambda k: strip(F.substring(F.col("text"), k * step + 1, F.lit(size))))
+    n = F.greatest(F.lit(0), F.ceil((F.length(text) - size) / step)).cast("int")
+    cut = F.transform(F.sequence(F.lit(0), n), lambda k: strip(F.substring(text, k * step + 1, F.lit(size))))
     stop = lambda c: F.array_position(F.transform(c, lambda x: F.length(x) < min_chars), True).cast("int")
-    kept = let(cut, lambda c: let(stop(c), lambda at: F.when(at > 0, F.slice(c, F.lit(1), at - 1)).otherwise(c)))
+    return let(cut, lambda c: let(stop(c), lambda at: F.when(at > 0, F.slice(c, F.lit(1), at - 1)).otherwise(c)))
+
+
+def sliding_chunks(docs: DataFrame, size: int = SIZE, overlap: int = OVERLAP, min_chars: int = MIN_CHARS, *more: Column) -> DataFrame:
+    """(doc_id, chunk_index, start, chunk_text, token_estimate) and the columns `more` of docs: windows in one pass over each text."""
+    kept = _windows(F.col("text"), size, overlap, min_chars)
     # the outer form, as the filter that Spark infers for the other would cut each text a second time
-    out = docs.where("text is not null").select("doc_id", F.posexplode_outer(kept).alias("chunk_index", "chunk_text")).where("chunk_index is not null")
-    return out.select("doc_id", "chunk_index", (F.col("chunk_index") * step).alias("start"), "chunk_text", token_estimate(F.col("chunk_text")).alias("token_estimate"))
+    out = docs.where("text is not null").select("doc_id", *more, F.posexplode_outer(kept).alias("chunk_index", "chunk_text")).where("chunk_index is not null")
+    rest = [c for c in out.columns if c not in ("doc_id", "chunk_index", "chunk_text")]
+    return out.select("doc_id", "chunk_index", (F.col("chunk_index") * (size - overlap)).alias("start"), "chunk_text", token_estimate(F.col("chunk_text")).alias("token_estimate"), *rest)
 
 
 def heading_map(text: Column) -> Column:
-    """array<struct<at, heading>> of the lines that start with ## or ###, by character offset."""
-    lines = F.split(text, "\n")
-    ends = F.aggregate(lines, F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<at:int,heading:string>>").alias("found")), lambda acc, x: F.struct(
-        (acc["at"] + F.length(x) + 1).alias("at"),
-        F.when(strip(x).rlike("^#{2,3} "), F.concat(acc["found"], F.array(F.struct(acc["at"].alias("at"), strip(F.regexp_replace(strip(x), "^#+", "")).alias("heading"))))).otherwise(acc["found"]).alias("found")))
+    """array<struct<at, heading>> of the lines that start with ## or ###, by character offset.
+
+    The text is cut before each such line, so the fold over offsets has a step a heading and not a step a line.
+    """
+    parts = F.split(text, HEADING)
+    ends = F.aggregate(parts, F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<at:int,heading:string>>").alias("found")), lambda acc, x: F.struct(
+        (acc["at"] + F.length(x)).alias("at"),
+        F.when(x.rlike(HEADING_LINE), F.array_append(acc["found"], F.struct(acc["at"].alias("at"), strip(F.regexp_replace(strip(F.substring_index(x, "\n", 1)), "^#+", "")).alias("heading")))).otherwise(acc["found"]).alias("found")))
     return ends["found"]
 
 
@@ -39,11 +53,11 @@ def headings(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.explode(heading_map(F.col("text"))).alias("h")).select("doc_id", F.col("h.at").alias("char_offset"), "h.heading")
 
 
-def nearest_heading(chunks: DataFrame, docs: DataFrame) -> DataFrame:
-    """The heading at or before the start of each chunk, else ''."""
-    maps = docs.select("doc_id", heading_map(F.col("text")).alias("m"))
-    last = F.try_element_at(F.filter("m", lambda h: h["at"] <= F.col("start")), F.lit(-1))["heading"]
-    return chunks.join(maps, "doc_id").withColumn("section_title", F.coalesce(last, F.lit(""))).drop("m")
+def titled_chunks(docs: DataFrame, size: int = SIZE, overlap: int = OVERLAP, min_chars: int = MIN_CHARS) -> DataFrame:
+    """sliding_chunks of docs with section_title, the heading at or before the start of each, else ''. Nothing is shuffled."""
+    cut = sliding_chunks(docs, size, overlap, min_chars, heading_map(F.col("text")).alias("headings"))
+    last = F.try_element_at(F.filter("headings", lambda h: h["at"] <= F.col("start")), F.lit(-1))["heading"]
+    return cut.withColumn("section_title", F.coalesce(last, F.lit(""))).drop("headings")
 
 
 def page_batches(docs: DataFrame, per_batch: int = PAGES_A_BATCH, pattern: str = PAGE) -> DataFrame:

@@ -87,12 +87,12 @@ def trend_season(i: Column, trend: float, season: float, observed: int = 48) ->
 
 
 def scaled(df: DataFrame, value: str) -> DataFrame:
-    """value between the least and the most of its column, as 0 to 1."""
+    """value between the least and the most of its column, as 0 to 1; 0 where all are equal."""
     ends = df.agg(F.min(value).alias("a"), F.max(value).alias("b")).first()
-    return df.withColumn("scaled", F.round((F.col(value) - ends.a) / (ends.b - ends.a), 6))
+    return df.withColumn("scaled", F.round((F.col(value) - ends.a) / (ends.b - ends.a), 6) if ends.a != ends.b else F.when(F.col(value).isNotNull(), 0.0))
 
 
 def heat(df: DataFrame, value: str) -> DataFrame:
     most = df.agg(F.max(value)).first()[0]
-    return df.withColumn("heat", F.round(0.12 + 0.55 * F.col(value) / most, 6))
+    return df.withColumn("heat", F.round(0.12 + 0.55 * F.col(value) / most, 6) if most else F.when(F.col(value).isNotNull(), 0.12))
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import re
 import time
 from collections.abc import Callable, Iterator
 from typing import Protocol
@@ -26,6 +27,14 @@ def extractive(prompts: list[str]) -> list[str]:
     return [f"{p.split('.')[0].strip()} [1]." for p in prompts]
 
 
+def named_completer(name: str, known: dict[str, Completer], aliases: dict[str, str] | None = None) -> Completer:
+    """The completer of that name or alias."""
+    found = (aliases or {}).get(name, name)
+    if found not in known:
+        raise ValueError(f"no provider {name}; there are {', '.join(sorted(known))}")
+    return known[found]
+
+
 def hashed_embedder(dim: int = 64) -> Embedder:
     """Unit vectors of hashed words."""
 
@@ -42,35 +51,79 @@ def hashed_embedder(dim: int = 64) -> Embedder:
     return embed
 
 
-def with_retry(call: Callable, attempts: int = 3, wait: float = 1.0) -> Callable:
-    """call again after a growing pause; the last failure is raised."""
+def suggested_wait(error: str) -> float | None:
+    """The seconds that a provider's error asks to wait, as in "retry in 7s" or "retryDelay: 7.5s"."""
+    found = re.search(r"retry(?:[ _-]?delay|[ _-]?after| in)\W{0,4}(\d+(?:\.\d+)?)", error, re.IGNORECASE)
+    return float(found[1]) if found else None
+
+
+def with_retry(calls: list[Callable] | Callable, attempts: int = 3, wait: float = 1.0, pause: Callable[[float], None] = time.sleep) -> Callable:
+    """Calls again after a pause: the one the error asks for, a long one if the provider is overloaded, else a growing one.
+
+    Of several calls (models), the next takes over at once when the quota of one is used up. The last failure is raised.
+    """
+    calls = [calls] if callable(calls) else list(calls)
 
     def run(batch: list[str]):
-        for n in range(attempts):
+        model, n = 0, 0
+        while True:
             try:
-                return call(batch)
-            except Exception:
-                if n == attempts - 1:
+                return calls[model](batch)
+            except Exception as e:
+                said = str(e).lower()
+                if ("429" in said or "quota" in said) and ("per day" in said or "exhausted" in said) and model + 1 < len(calls):
+                    model, n = model + 1, 0
+                    continue
+                n += 1
+                if n >= attempts:
                     raise
-                time.sleep(wait * 2**n)
+                asked = suggested_wait(said)
+                pause(asked + wait if asked is not None else wait * 15 * n if "503" in said or "unavailable" in said else wait * 2 ** (n - 1))
 
     return run
 
 
+def _one_by_one(call: Callable, given: list) -> list[tuple]:
+    """(result, error) of each; a batch that fails is asked one at a time, so that it loses no more than it must."""
+    try:
+        found = list(call(given))
+        if len(found) != len(given):
+            raise ValueError(f"{len(found)} results for {len(given)} rows")
+        return [(x, None) for x in found]
+    except Exception as e:
+        if len(given) == 1:
+            return [(None, str(e))]
+    return [_one_by_one(call, [x])[0] for x in given]
+
+
 def complete(prompts: DataFrame, completer: Completer, column: str = "prompt") -> DataFrame:
-    """prompts with reply and error: a failed batch has errors instead of replies, and the run goes on."""
+    """prompts with reply and error: a prompt that fails has an error in place of a reply, and the run goes on."""
 
     def rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            try:
-                yield frame.assign(reply=completer(frame[column].tolist()), error=None)
-            except Exception as e:
-                yield frame.assign(reply=None, error=str(e))
+            found = _one_by_one(completer, frame[column].tolist()) if len(frame) else []
+            yield frame.assign(reply=[x for x, _ in found], error=[e for _, e in found])
 
     schema = prompts.limit(0).withColumns({"reply": F.lit(None).cast("string"), "error": F.lit(None).cast("string")}).schema
     return prompts.mapInPandas(rows, schema)
 
 
+def embed_each(texts: DataFrame, embedder: Embedder, column: str = "text", dim: int = 64) -> DataFrame:
+    """texts with embedding and error: a null text, a failed call and a vector of another length than dim are errors of their rows."""
+
+    def rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            given = frame[column].tolist()
+            some = [k for k, x in enumerate(given) if isinstance(x, str)]
+            found: list[tuple] = [(None, "no text")] * len(given)
+            for k, (v, e) in zip(some, _one_by_one(embedder, [given[k] for k in some]) if some else [], strict=True):
+                found[k] = (None, f"a vector of length {len(v)}, not {dim}") if e is None and len(v) != dim else (v, e)
+            yield frame.assign(embedding=[v for v, _ in found], error=[e for _, e in found])
+
+    schema = texts.limit(0).withColumns({"embedding": F.lit(None).cast("array<float>"), "error": F.lit(None).cast("string")}).schema
+    return texts.mapInPandas(rows, schema)
+
+
 def embed(texts: DataFrame, embedder: Embedder, column: str = "text", dim: int = 64) -> DataFrame:
     """texts with embedding; a vector of another length than dim is an error."""
 

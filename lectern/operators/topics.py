@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,16 +28,16 @@ def detect(question: Column, topics: dict[str, tuple[list[str], list[str]]] = TO
     low = F.lower(question)
     out = F.lit(None).cast("string")
     for topic, (words, _) in reversed(topics.items()):
-        out = F.when(low.rlike("|".join(w.replace("-", r"\-") for w in words)), topic).otherwise(out)
+        out = F.when(reduce(Column.__or__, (F.contains(low, F.lit(w)) for w in words)), topic).otherwise(out)
     return out
 
 
-def modules(topic: Column) -> Column:
-    return F.coalesce(*(F.when(topic == t, F.array(*map(F.lit, m))) for t, (_, m) in TOPICS.items()), F.array().cast("array<string>"))
+def modules(topic: Column, topics: dict[str, tuple[list[str], list[str]]] = TOPICS) -> Column:
+    return F.coalesce(*(F.when(topic == t, F.array(*map(F.lit, m))) for t, (_, m) in topics.items()), F.array().cast("array<string>"))
 
 
-def coverage(questions: DataFrame) -> DataFrame:
+def coverage(questions: DataFrame, topics: dict[str, tuple[list[str], list[str]]] = TOPICS, names: list[str] = MODULES) -> DataFrame:
     """(mod, n): how many questions light up each module, 0 included."""
-    lit = questions.select(F.explode(modules(detect(F.col("text")))).alias("mod")).groupBy("mod").agg(F.count("*").alias("n"))
-    names = questions.sparkSession.range(1).select(F.explode(F.array(*map(F.lit, MODULES))).alias("mod"))
-    return names.join(lit, "mod", "left").select("mod", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
+    lit = questions.select(F.explode(modules(detect(F.col("text"), topics), topics)).alias("mod")).groupBy("mod").agg(F.count("*").alias("n"))
+    each = questions.sparkSession.range(1).select(F.explode(F.array(*map(F.lit, names))).alias("mod"))
+    return each.join(lit, "mod", "left").select("mod", F.coalesce("n", F.lit(0)).cast("long").alias("n"))

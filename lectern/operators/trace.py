@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.operators.folds import fold
@@ -71,3 +71,34 @@ def rate_limit(requests: DataFrame, window: int = WINDOW_SECONDS, most: int = MO
 def answer_cache(answers: DataFrame) -> DataFrame:
     """The last answer of each question by difficulty."""
     return answers.groupBy("question").pivot("difficulty", ["eli5", "standard", "academia"]).agg(F.max_by("answer", "seq"))
+
+
+def edge_lit(traces: DataFrame, stage: str) -> Column:
+    """Whether a request has come to a stage: by the stages it has seen (an array column), not by how many."""
+    return F.array_contains(traces["stages"], stage)
+
+
+def replay(events: DataFrame, delays: dict[str, int] = STAGES) -> DataFrame:
+    """events (request_id, seq, stage, ...) with at_ms: when a canned replay shows each, by the summed delays of its request."""
+    delay = F.coalesce(*(F.when(F.col("stage") == s, F.lit(ms)) for s, ms in delays.items()), F.lit(0)).cast("long")
+    return events.withColumn("at_ms", F.sum(delay).over(Window.partitionBy("request_id").orderBy("seq")))  # the events of one request
+
+
+def error_event(detail: Column) -> Column:
+    """The server-sent line of a failed request."""
+    return server_sent(F.struct(F.lit("error").alias("stage"), F.lit("error").alias("status"), detail.alias("detail")))
+
+
+def percent(share: Column) -> Column:
+    """A share as a whole percentage; halves go up."""
+    return F.floor(share * 100 + 0.5).cast("long")
+
+
+def day_theme(ts: Column, hours: int = 8) -> Column:
+    """light from 7 to 18 hours of the local day, else dark."""
+    local = F.hour(ts + F.expr(f"interval {hours} hours"))
+    return F.when(local.between(7, 18), "light").otherwise("dark")
+
+
+def stamp(ts: Column, hours: int = 8) -> Column:
+    return F.date_format(ts + F.expr(f"interval {hours} hours"), "yyyyMMdd_HHmmss")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lectern.functions.text import hms, seconds, word_count
+from lectern.functions.text import SPACE, hms, seconds, strip, word_count
 from lectern.operators.folds import fold
 
 MIN_QUESTION_WORDS, GAP, MIN_WORDS, BATCH_WORDS = 6, 30.0, 10, 800
@@ -24,7 +24,7 @@ NOISE_PATTERN = rf"(?i)\b({'|'.join(TAGS)})\?|\b({'|'.join(NOISE)})\b[?,]?"
 
 def without_noise(text: Column) -> Column:
     """Without fillers, particles, false starts and transitions; white space single."""
-    return F.trim(F.regexp_replace(F.regexp_replace(text, NOISE_PATTERN, " "), r"\s+", " "))
+    return strip(F.regexp_replace(F.regexp_replace(text, NOISE_PATTERN, " "), f"{SPACE}+", " "))
 
 
 def parse_vtt(files: DataFrame) -> DataFrame:
@@ -32,11 +32,11 @@ def parse_vtt(files: DataFrame) -> DataFrame:
     block = files.select("file", F.posexplode(F.split("text", r"\n\n+")).alias("pos", "b")).select("file", "pos", F.split("b", "\n").alias("lines"))
     at = F.array_position(F.transform("lines", lambda x: F.contains(x, F.lit("-->"))), True).cast("int")
     timed = block.withColumn("at", at).where("at > 0").withColumn("t", F.split(F.get("lines", F.col("at") - 1), "-->")).where(F.size("t") == 2)
-    body = F.array_join(F.filter(F.transform(F.slice("lines", F.col("at") + 1, F.size("lines")), F.trim), lambda x: x != ""), " ")
-    cues = timed.select("file", "pos", F.when(F.col("at") > 1, F.trim(F.get("lines", F.lit(0)))).otherwise("").alias("cue_id"), F.trim(F.get("t", F.lit(0))).alias("ts_start"), F.get(F.split(F.trim(F.get("t", F.lit(1))), r"\s+"), F.lit(0)).alias("ts_end"), body.alias("body")).where("body <> ''")
+    body = F.array_join(F.filter(F.transform(F.slice("lines", F.col("at") + 1, F.size("lines")), strip), lambda x: x != ""), " ")
+    cues = timed.select("file", "pos", F.when(F.col("at") > 1, strip(F.get("lines", F.lit(0)))).otherwise("").alias("cue_id"), strip(F.get("t", F.lit(0))).alias("ts_start"), F.get(F.split(strip(F.get("t", F.lit(1))), f"{SPACE}+"), F.lit(0)).alias("ts_end"), body.alias("body")).where("body <> ''")
     named = F.col("body").rlike(r"^[^:]+:\s*")
-    speaker = F.when(named, F.trim(F.regexp_extract("body", r"^([^:]+):", 1))).otherwise("unknown")
-    return cues.select("file", "pos", "cue_id", "ts_start", "ts_end", seconds(F.col("ts_start")).alias("ts_start_sec"), seconds(F.col("ts_end")).alias("ts_end_sec"), speaker.alias("speaker"), F.when(named, F.trim(F.regexp_extract("body", r"^[^:]+:\s*(.*)", 1))).otherwise(F.col("body")).alias("raw_text"))
+    speaker = F.when(named, strip(F.regexp_extract("body", r"^([^:]+):", 1))).otherwise("unknown")
+    return cues.select("file", "pos", "cue_id", "ts_start", "ts_end", seconds(F.col("ts_start")).alias("ts_start_sec"), seconds(F.col("ts_end")).alias("ts_end_sec"), speaker.alias("speaker"), F.when(named, strip(F.regexp_extract("body", r"^[^:]+:\s*(.*)", 1))).otherwise(F.col("body")).alias("raw_text"))
 
 
 def phrase_flags(cues: DataFrame) -> DataFrame:

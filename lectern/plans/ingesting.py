@@ -58,8 +58,7 @@ def heading_map(spark, sf_dir):
 
 @query(f"with {HEADS}, {WINDOWS.format(d='m')} select ch.doc_id, chunk_index, coalesce(h.heading, '') as section_title from ch asof left join h on ch.doc_id = h.doc_id and ch.start >= h.char_offset")
 def chunk_heading_asof(spark, sf_dir):
-    m = marked(spark, sf_dir)
-    return chunking.nearest_heading(chunking.sliding_chunks(m), m).select("doc_id", "chunk_index", "section_title")
+    return chunking.titled_chunks(marked(spark, sf_dir)).select("doc_id", "chunk_index", "section_title")
 
 
 @query(r"""with p as (select doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') as p from documents)

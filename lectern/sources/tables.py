@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -32,9 +33,10 @@ def module_configs(spark: SparkSession, path: str) -> DataFrame:
 
 
 def text_files(spark: SparkSession, path: str, glob: str = "*", recursive: bool = True) -> DataFrame:
-    """(file, text): whole files below path, with line ends as line feeds."""
+    """(path, file, text): whole files below path, with line ends as line feeds; path tells files of one name apart."""
     read = spark.read.option("pathGlobFilter", glob).option("recursiveFileLookup", recursive).text(path, wholetext=True)
-    return read.select(F.substring_index("_metadata.file_path", "/", -1).alias("file"), F.regexp_replace("value", "\r\n?", "\n").alias("text"))
+    at = F.col("_metadata.file_path")
+    return read.select(at.alias("path"), F.substring_index(at, "/", -1).alias("file"), F.regexp_replace("value", "\r\n?", "\n").alias("text"))
 
 
 def write_json_lines(df: DataFrame, path: str) -> None:
@@ -44,7 +46,11 @@ def write_json_lines(df: DataFrame, path: str) -> None:
 def staged(df: DataFrame, name: str) -> DataFrame:
     """df written as Parquet below spark.checkpoint.dir (a folder of our own only where that is unset) and read again, so that what made it runs once."""
     spark = df.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="staged-")
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not re.match(r"local(\[|$)", spark.conf.get("spark.master", "local")):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="staged-")
     path = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -15,25 +15,33 @@ from lectern.operators.trace import MOST_REQUESTS, WINDOW_SECONDS, server_sent
 EVENT = "request_id string, seq long, stage string, status string, detail string, verdict string, token string"
 
 
-def rate_limit(requests: DataFrame, window: int = WINDOW_SECONDS, most: int = MOST_REQUESTS) -> DataFrame:
-    """A stream of (key, seconds, id) with accepted. The state of a key is its accepted times within the window, `most` at most.
+def rate_limit(requests: DataFrame, window: int = WINDOW_SECONDS, most: int = MOST_REQUESTS, idle: int = 3600) -> DataFrame:
+    """A stream of (key, seconds, id) with accepted. The state of a key is its accepted times within the window, `most` at most;
+    it goes when no request has come for `idle` seconds, which is longer than rows are late. A request without a time is accepted and leaves no trace.
 
     Rows of a key are taken in the order of (seconds, id) within a micro-batch; batches are taken in arrival order.
     """
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         log = list(state.get[0]) if state.exists else []
         rows = pd.concat(list(frames)).sort_values(["seconds", "id"])
         accepted = []
         for t in rows["seconds"]:
+            if pd.isna(t):
+                accepted.append(True)
+                continue
             log = [x for x in log if t - x <= window]
             accepted.append(len(log) < most)
             if accepted[-1]:
                 log.append(t)
         state.update((log,))
+        state.setTimeoutDuration(max(idle, window) * 1000)
         yield pd.DataFrame({"key": key[0], "id": rows["id"].to_numpy(), "accepted": accepted})
 
-    return requests.groupBy("key").applyInPandasWithState(step, "key long, id long, accepted boolean", "log array<double>", "append", GroupStateTimeout.NoTimeout)
+    return requests.groupBy("key").applyInPandasWithState(step, "key long, id long, accepted boolean", "log array<double>", "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def token_events(tokens: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lectern.functions import text as fn
-from lectern.operators import answers, chunking, providers, questions, retrieval, topics, trace, transcript
+from lectern.operators import answers, chunking, ingest, kernels, providers, questions, retrieval, topics, trace, transcript, upsert
 from lectern.plans.retrieving import NAMESPACE
 from lectern.sources import tables
 from lectern.streaming import stages
@@ -34,16 +34,16 @@ def test_uuid5(spark):
 
 def test_repair_escapes(spark):
     rng = random.Random(5)
-    texts = ["".join(rng.choice('\\"/bnuq a') for _ in range(rng.randint(0, 12))) for _ in range(300)]
+    texts = ["".join(rng.choice('\\"/bnuq a\u0001\u0002') for _ in range(rng.randint(0, 12))) for _ in range(300)]
 
     def scan(s):
         out, k = [], 0
         while k < len(s):
-            if s[k] == "\\" and k + 1 < len(s) and s[k + 1] in '"\\/bfnrtu':
+            if s[k] == "\\" and k + 1 < len(s) and s[k + 1] in '"\\/ bfnrtu':
                 out.append(s[k : k + 2])
                 k += 2
             else:
-                out.append("\\\\" if s[k] == "\\" else s[k])
+                out.append("\\\\" if s[k] == "\\" and k + 1 < len(s) else s[k])
                 k += 1
         return "".join(out)
 
@@ -219,3 +219,132 @@ def test_second_pass_appends_only_unseen(spark):
     row = "qid long, position int, id long"
     first, again = spark.createDataFrame([(1, 1, 7), (1, 2, 5)], row), spark.createDataFrame([(1, 1, 5), (1, 2, 9), (2, 1, 7)], row)
     assert [tuple(r) for r in questions.append_unseen(first, again).select("qid", "position", "id").orderBy("qid", "position").collect()] == [(1, 1, 7), (1, 2, 5), (1, 3, 9), (2, 1, 7)]
+
+
+def test_numbers_too_large_for_a_rank(spark):
+    got = spark.createDataFrame([("a [99999999999] [2]",)], "x string").select(answers.cited(F.col("x")).alias("c"), answers.compliant(F.col("x"), F.array(F.lit(2))).alias("ok")).first()
+    assert got.c == [-1, 2] and not got.ok
+
+
+@pytest.mark.parametrize("ts", ["00:00:0x", "", "a:b", None, "::"])
+def test_what_is_no_time(spark, ts):
+    assert one(spark, ts, fn.seconds) is None
+
+
+def test_white_space_is_that_of_python(spark):
+    kinds = [chr(c) for c in range(0x3100) if chr(c).isspace()] + ["​", "᠎"]
+    texts = [f"{a}{b}x{b}{a}y {a}" for a in kinds for b in (" ", a)]
+    got = spark.createDataFrame([(t,) for t in texts], "x string").select("x", fn.strip(F.col("x")).alias("s"), fn.words(F.col("x")).alias("w")).collect()
+    assert all(r.s == r.x.strip() and r.w == r.x.split() for r in got)
+
+
+def test_vectors_that_cannot_be_compared(spark):
+    chunks = spark.createDataFrame([(1, [1.0, 0.0]), (2, None), (3, [1.0]), (4, [0.0, 0.0]), (5, [0.6, 0.8])], "id long, embedding array<float>")
+    asked = spark.createDataFrame([(1, [1.0, 0.0]), (2, None)], "qid long, embedding array<float>")
+    many = retrieval.top_k_many(chunks, asked, 3).collect()
+    assert {(r.qid, r.id, r["rank"]) for r in many} == {(1, 1, 1), (1, 5, 2), (1, 4, 3)}
+    assert {(r.id, r["rank"]) for r in retrieval.top_k(chunks, [1.0, 0.0], 3).collect()} == {(1, 1), (5, 2), (4, 3)}
+    assert retrieval.top_k_many(chunks, asked.limit(0), 3).collect() == []
+
+
+def test_many_keep_the_best_of_all_batches(spark):
+    rng = random.Random(8)
+    vectors = [(k, [float(rng.randint(0, 2)) for _ in range(3)]) for k in range(900)]
+    chunks = spark.createDataFrame(vectors, "id long, embedding array<float>").repartition(2)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 50)
+    try:
+        got = {(r.qid, r["rank"]): r.id for r in retrieval.top_k_many(chunks, chunks.where("id < 5").withColumnRenamed("id", "qid"), 7).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for q in range(5):
+        want = [r.id for r in retrieval.top_k(chunks, vectors[q][1], 7).orderBy("rank").collect()]
+        assert [got[q, n] for n in range(1, 8)] == want
+
+
+def test_repeated_keys_in_an_upsert(spark):
+    old = spark.createDataFrame([(1, "a", 0)], "k int, v string, n int")
+    new = spark.createDataFrame([(1, "b", 1), (1, "c", 2), (2, "d", 3), (2, "e", 4), (None, "x", 5)], "k int, v string, n int")
+    assert {tuple(r) for r in upsert.upsert(old, new, "k", order="n").collect()} == {(1, "c", 2), (2, "e", 4)}
+    assert {tuple(r) for r in upsert.insert_if_absent(old, new, "k", order="n").collect()} == {(1, "a", 0), (2, "d", 3)}
+    once = upsert.upsert(old, new, "k", ("v",), "n")
+    assert {tuple(r) for r in once.collect()} == {tuple(r) for r in upsert.upsert(once, new, "k", ("v",), "n").collect()} == {(1, "a", 2), (2, "e", 4)}
+
+
+def test_keywords_are_no_patterns(spark):
+    mine = {"c++": (["c++", "a.b("], ["9"])}
+    q = spark.createDataFrame([("what is C++",), ("a.b(c)",), ("axb",)], "text string")
+    assert [r.t for r in q.select(topics.detect(F.col("text"), mine).alias("t")).collect()] == ["c++", "c++", None]
+    assert {(r["mod"], r.n) for r in topics.coverage(q, mine, ["8", "9"]).collect()} == {("8", 0), ("9", 2)}
+
+
+def test_unknown_compliance_passes_in_both(spark):
+    g = F.struct(F.lit(0.9).alias("f"), F.lit(0.9).alias("r"), F.lit(0.9).alias("c"), F.lit(False).alias("is_fallback"))
+    none = F.lit(None).cast("boolean")
+    r = spark.range(1).select(answers.decide(g, none).alias("d"), answers.verdict(g, none).alias("v")).first()
+    assert (r.d, r.v) == ("pass", "PASS")
+
+
+def test_stream_limit_on_null_times(spark, tmp_path):
+    rows = [(1, float(k // 2) if k % 3 else None, k) for k in range(60)]
+    spark.createDataFrame(rows, "key long, seconds double, id long").coalesce(1).write.parquet(str(tmp_path / "in"))
+    batch = {r.id: r.accepted for r in trace.rate_limit(spark.read.parquet(str(tmp_path / "in"))).collect()}
+    source = spark.readStream.schema("key long, seconds double, id long").parquet(str(tmp_path / "in"))
+    q = stages.rate_limit(source).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "check")).trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    assert {r.id: r.accepted for r in spark.read.parquet(str(tmp_path / "out")).collect()} == batch
+    assert set(batch.values()) == {True, False}
+
+
+def test_ranges_of_one_value(spark):
+    same = spark.createDataFrame([(0.0,), (0.0,)], "v double")
+    assert {r.scaled for r in kernels.scaled(same, "v").collect()} == {0.0} and {r.heat for r in kernels.heat(same, "v").collect()} == {0.12}
+
+
+def test_replies_become_chunks(spark):
+    replies = ['```json\n[{"clean_markdown": "a"}, {"clean_markdown": "b"}]\n```', '{"clean_markdown": "one \\alpha"}', "[]", "sorry", "", None, "{broken"]
+    df = spark.createDataFrame([(k, r, None) for k, r in enumerate(replies)], "k int, reply string, error string")
+    items, failed = ingest.reply_chunks(df, ["k"])
+    assert sorted((r.k, r["at"], r["item"].clean_markdown) for r in items.collect()) == [(0, 0, "a"), (0, 1, "b"), (1, 0, "one \\alpha")]
+    assert {r.k for r in failed.collect()} == {3, 4, 5, 6}
+
+
+def test_slides_and_metrics(spark):
+    slides = spark.createDataFrame([("a.md", "A"), ("b.md", "B"), ("c.md", "C")], "path string, text string")
+    configs = spark.createDataFrame([("3.1", ["b.md", "gone.md", "a.md"]), ("3.2", ["gone.md"])], "module string, slide_md_relatives array<string>")
+    assert {tuple(r) for r in ingest.slide_context(slides, configs).collect()} == {("3.1", "B\n\n---\n\nA"), ("3.2", "")}
+    seen, metrics = ingest.observed(slides, "slides", empty=F.count_if(F.col("text") == ""))
+    seen.collect()
+    assert metrics.get == {"n": 3, "empty": 0}
+    files = spark.createDataFrame([("x.md", "# T\n<!-- gone -->"), ("y.md", "<!-- all -->")], "file string, text string")
+    assert [tuple(r) for r in ingest.cleaned_files(files).collect()] == [("x_cleaned.md", "# T")]
+
+
+def test_retry_waits_and_models(spark):
+    said, waits = [], []
+
+    def model(name, errors):
+        def call(batch):
+            said.append(name)
+            if errors:
+                raise RuntimeError(errors.pop(0))
+            return [name] * len(batch)
+
+        return call
+
+    call = providers.with_retry([model("a", ["429 slow down, retry in 7s", "503 unavailable", "quota exhausted per day"]), model("b", ["odd"])], attempts=4, pause=waits.append)
+    assert call(["x"]) == ["b"] and said == ["a", "a", "a", "b", "b"]
+    assert waits == [8.0, 30.0, 1.0]
+    with pytest.raises(RuntimeError):
+        providers.with_retry(model("c", ["e"] * 9), attempts=2, pause=waits.append)(["x"])
+    assert providers.named_completer("fast", {"a": providers.extractive}, {"fast": "a"}) is providers.extractive
+
+
+def test_one_bad_prompt_costs_itself_alone(spark):
+    def picky(prompts):
+        if any("bad" in p for p in prompts):
+            raise ValueError("no")
+        return [p.upper() for p in prompts]
+
+    df = spark.createDataFrame([(k, "bad" if k == 5 else f"p{k}") for k in range(20)], "k int, prompt string").coalesce(1)
+    got = {r.k: (r.reply, r.error) for r in providers.complete(df, picky).collect()}
+    assert got == {k: (None, "no") if k == 5 else (f"P{k}", None) for k in range(20)}
