@@ -25,7 +25,7 @@ def shared_dir(spark: SparkSession) -> str:
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
-    if not spark.conf.get("spark.master", "local").startswith("local"):
+    if spark.conf.get("spark.master", "local").split("[")[0] != "local":
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if _own_dir is None:
         os.makedirs("/tmp/checkpoints", exist_ok=True)
