@@ -720,3 +720,35 @@ def test_stages_against_brute_force(spark, sf, documents):
 def test_run(spark, sf):
     got = rows(corpus_pipeline.run(spark, sf))
     assert got and {"doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"} == set(got[0].asDict())
+
+
+def test_other_tokenizer_files_are_refused(tmp_path):
+    import json
+
+    with open(tokenizer_path(), encoding="utf-8") as file:
+        read = json.load(file)
+    for name, change in {
+        "spaces": lambda r: r["pre_tokenizer"].update(add_prefix_space=True),
+        "lower": lambda r: r.update(normalizer={"type": "Lowercase"}),
+        "order": lambda r: r["model"].update(merges=r["model"]["merges"][::-1]),
+        "strip": lambda r: r["added_tokens"][0].update(lstrip=True),
+    }.items():
+        other = json.loads(json.dumps(read))
+        change(other)
+        (tmp_path / name).write_text(json.dumps(other), encoding="utf-8")
+        with pytest.raises(ValueError, match="byte-level|added tokens"):
+            packing.ByteBpe(str(tmp_path / name))
+    packing.ByteBpe(tokenizer_path())
+
+
+def test_packing_keeps_columns(spark):
+    pieces = spark.createDataFrame([(k, 1 + k % 900, "mine") for k in range(50)], "doc_id long, length long, dealt string")
+    a, b = kept_values(pieces, packing.pack(pieces))
+    assert a == b
+
+
+def test_warc_of_pages_with_more_columns(spark):
+    pages = spark.createDataFrame([(k, "u", "x" * 200, "mine") for k in range(5)], "page_id long, url string, html string, digest string")
+    got = rows(warc.round_trip(pages))
+    assert sorted((r.page_id, r.refers_to) for r in got) == [(0, None), (1, 0), (2, 0), (3, 0), (4, 0)]
+    assert {r.payload_digest for r in got} == {hashlib.sha256(b"x" * 200).hexdigest()}
