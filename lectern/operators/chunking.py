@@ -7,14 +7,9 @@ from pyspark.sql import functions as F
 
 from lectern.functions.text import let, strip, token_estimate
 
-#: White space but the line feed.
-SPACE_IN_LINE = r"[\s\x1c-\x1f\x85\p{Z}&&[^\n]]"
 SIZE, OVERLAP, MIN_CHARS = 1000, 200, 50
 PAGE = r"<!--\s*page\s*\d+\s*-->"
 PAGES_A_BATCH = 10
-HEADING_LINE = rf"^{SPACE_IN_LINE}*#{{2,3}} "
-#: The place before a heading line.
-HEADING = rf"(?<=\n)(?={SPACE_IN_LINE}*#{{2,3}} )"
 
 
 def _windows(text: Column, size: int, overlap: int, min_chars: int) -> Column:
@@ -32,20 +27,18 @@ def sliding_chunks(docs: DataFrame, size: int = SIZE, overlap: int = OVERLAP, mi
     """(doc_id, chunk_index, start, chunk_text, token_estimate) and the columns `more` of docs: windows in one pass over each text."""
     kept = _windows(F.col("text"), size, overlap, min_chars)
     # the outer form, as the filter that Spark infers for the other would cut each text a second time
-    out = docs.where("text is not null").select("doc_id", *more, F.posexplode_outer(kept).alias("chunk_index", "chunk_text")).where("chunk_index is not null")
-    rest = [c for c in out.columns if c not in ("doc_id", "chunk_index", "chunk_text")]
+    given = docs.where("text is not null").select("doc_id", "text", *more)  # before the generator, which would compute them for each window
+    rest = given.columns[2:]
+    out = given.select("doc_id", *rest, F.posexplode_outer(kept).alias("chunk_index", "chunk_text")).where("chunk_index is not null")
     return out.select("doc_id", "chunk_index", (F.col("chunk_index") * (size - overlap)).alias("start"), "chunk_text", token_estimate(F.col("chunk_text")).alias("token_estimate"), *rest)
 
 
 def heading_map(text: Column) -> Column:
-    """array<struct<at, heading>> of the lines that start with ## or ###, by character offset.
-
-    The text is cut before each such line, so the fold over offsets has a step a heading and not a step a line.
-    """
-    parts = F.split(text, HEADING)
-    ends = F.aggregate(parts, F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<at:int,heading:string>>").alias("found")), lambda acc, x: F.struct(
-        (acc["at"] + F.length(x)).alias("at"),
-        F.when(x.rlike(HEADING_LINE), F.array_append(acc["found"], F.struct(acc["at"].alias("at"), strip(F.regexp_replace(strip(F.substring_index(x, "\n", 1)), "^#+", "")).alias("heading")))).otherwise(acc["found"]).alias("found")))
+    """array<struct<at, heading>> of the lines that start with ## or ###, by character offset."""
+    lines = F.split(text, "\n")
+    ends = F.aggregate(lines, F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<at:int,heading:string>>").alias("found")), lambda acc, x: F.struct(
+        (acc["at"] + F.length(x) + 1).alias("at"),
+        F.when(strip(x).rlike("^#{2,3} "), F.array_append(acc["found"], F.struct(acc["at"].alias("at"), strip(F.regexp_replace(strip(x), "^#+", "")).alias("heading")))).otherwise(acc["found"]).alias("found")))
     return ends["found"]
 
 

@@ -27,6 +27,21 @@ def extractive(prompts: list[str]) -> list[str]:
     return [f"{p.split('.')[0].strip()} [1]." for p in prompts]
 
 
+def plain_question(prompts: list[str]) -> list[str]:
+    """Each question without the phrases people put before it: a stand-in for a rewriter."""
+    return [re.sub(r"(?i)^\W*((please|can you|could you|tell me|i want to know|hi|hello|um)\b\W*)+", "", p).strip() for p in prompts]
+
+
+def key_words(prompts: list[str]) -> list[str]:
+    """The long words of each prompt's first line that the rest doesn't hold, else that all is covered: a stand-in for reflection."""
+    out = []
+    for p in prompts:
+        head, _, rest = p.partition("\n\n")
+        missing = [w for w in dict.fromkeys(re.findall(r"\w{5,}", head.lower())) if w != "question" and w not in rest.lower()]
+        out.append(" ".join(missing) or "coverage adequate")
+    return out
+
+
 def named_completer(name: str, known: dict[str, Completer], aliases: dict[str, str] | None = None) -> Completer:
     """The completer of that name or alias."""
     found = (aliases or {}).get(name, name)

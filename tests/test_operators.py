@@ -188,7 +188,7 @@ def test_many_with_boost_equals_one_by_one(spark):
 
 
 def test_questions(spark):
-    """Question 1 passes at once, 2 fails its grade and is drafted again over both passes, 3 has no text; 4's model fails, and with it its batch."""
+    """Question 1 passes at once, 2 fails its grade and is drafted again over both passes, 3 has no text; 4's model fails."""
     chunks = vectors(spark, 40)
     asked = spark.createDataFrame([(1, "good"), (2, " why cosine similarity "), (3, None), (4, "boom")], "qid long, text string")
 
@@ -212,6 +212,7 @@ def test_questions(spark):
     assert got[1].answer.startswith("fine [1]\n\n## References\n[1] f") and len(got[1].citations) == 1
     assert (got[2].attempt, got[2].decision, got[2].ok, got[2].is_fallback, got[2].mod) == (2, "reloop", False, True, "3.9")
     assert "made up" not in got[2].answer and "[2] f" in got[2].answer and len(got[2].citations) == 1
+    assert (got[1].rewritten, got[2].rewritten) == ("good", "why cosine similarity") and got[2].reflection
     assert got[3].attempt == 2 and got[4].attempt == 2 and got[4].answer == "" and got[4].error == "busy"
 
 
