@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -34,10 +34,6 @@ def confusion(pairs: DataFrame) -> DataFrame:
     return c.select("tp", "fp", "fn", "tn", F.round("precision", 6).alias("precision"), F.round("recall", 6).alias("recall"), F.round(f1, 6).alias("f1"))
 
 
-def grid(spark: SparkSession, n: int) -> DataFrame:
-    return spark.range(n).select(F.col("id").cast("int").alias("i"))
-
-
 def normal_pdf(x: Column, mu: float, sigma: float) -> Column:
     return F.exp(-0.5 * ((x - mu) / sigma) ** 2) / (sigma * math.sqrt(2 * math.pi))
 
@@ -46,18 +42,26 @@ def normal_pdf(x: Column, mu: float, sigma: float) -> Column:
 KERNELS = {"edge": ([-1, -1, -1, -1, 8, -1, -1, -1, -1], 1), "blur": ([1] * 9, 9), "sharpen": ([0, -1, 0, -1, 5, -1, 0, -1, 0], 1)}
 
 
-def convolve(pixels: DataFrame, kernel: str) -> DataFrame:
-    """(x, y, v) with each inner pixel replaced by its clamped weighted neighbourhood; the border stays."""
+def convolve(image: Column, width: int, kernel: str) -> Column:
+    """An image, its rows one after the other in an array, with each inner pixel replaced by its clamped weighted neighbourhood.
+
+    The border stays, and so does what is left of a last row that isn't whole. An image is a value of a row: nothing is shuffled.
+    """
     weights, norm = KERNELS[kernel]
-    spread = F.explode(F.array(*(F.struct(F.lit(k % 3 - 1).alias("dx"), F.lit(k // 3 - 1).alias("dy"), F.lit(float(w)).alias("w")) for k, w in enumerate(weights))))
-    parts = pixels.withColumn("k", spread).select((F.col("x") - F.col("k.dx")).alias("x"), (F.col("y") - F.col("k.dy")).alias("y"), (F.col("v") * F.col("k.w")).alias("p"))
-    sums = parts.groupBy("x", "y").agg(F.sum("p").alias("s"), F.count("*").alias("n"))
-    return pixels.join(sums, ["x", "y"]).select("x", "y", F.round(F.when(F.col("n") == 9, F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("s") / norm))).otherwise(F.col("v")), 6).alias("v"))
+    whole = F.floor(F.size(image) / width)
+
+    def pixel(v: Column, i: Column) -> Column:
+        near = sum(F.get(image, i + (k // 3 - 1) * width + k % 3 - 1).cast("double") * w for k, w in enumerate(weights) if w)
+        x, y = i % width, F.floor(i / width)
+        inner = (x > 0) & (x < width - 1) & (y > 0) & (y < whole - 1)
+        return F.round(F.when(inner, F.greatest(F.lit(0.0), F.least(F.lit(1.0), near / norm))).otherwise(v.cast("double")), 6)
+
+    return F.transform(image, pixel)
 
 
-def optimiser(spark: SparkSession, variant: str, rate: float, start: float, steps: int) -> DataFrame:
-    """(t, w) of SGD, momentum or Adam on (w - 1.4)^2 + 0.15 sin 5w + 0.3: a fold over the steps."""
-    zero = F.struct(F.lit(start).alias("w"), F.lit(0.0).alias("m"), F.lit(0.0).alias("v"), F.array().cast("array<double>").alias("h"))
+def optimiser(start: Column, rate: Column, variant: str, steps: int) -> Column:
+    """Where SGD, momentum or Adam is on (w - 1.4)^2 + 0.15 sin 5w + 0.3 after each step from start: one run a row."""
+    zero = F.struct(start.cast("double").alias("w"), F.lit(0.0).alias("m"), F.lit(0.0).alias("v"), F.array().cast("array<double>").alias("h"))
 
     def step(acc: Column, t: Column) -> Column:
         g = 2 * (acc["w"] - 1.4) + 0.15 * 5 * F.cos(5 * acc["w"])
@@ -66,7 +70,7 @@ def optimiser(spark: SparkSession, variant: str, rate: float, start: float, step
         w = acc["w"] - rate * move
         return F.struct(w.alias("w"), m.alias("m"), v.alias("v"), F.concat(acc["h"], F.array(w)).alias("h"))
 
-    return spark.range(1).select(F.posexplode(F.aggregate(F.sequence(F.lit(1), F.lit(steps)), zero, step)["h"]).alias("t", "w")).select((F.col("t") + 1).alias("t"), F.round("w", 6).alias("w"))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), zero, step)["h"]
 
 
 def coefficients(i: Column, base: Column, lam: Column) -> Column:

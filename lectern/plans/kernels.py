@@ -1,4 +1,4 @@
-"""Numeric kernels over generated grids and embeddings."""
+"""Numeric kernels over the columns of whole tables."""
 
 from pyspark.sql import functions as F
 
@@ -52,38 +52,45 @@ def cosine_pairs(spark, sf_dir):
     return left.join(right, F.col("b") == F.col("a") + 1).select("a", "b", F.round(retrieval.cosine(F.col("x"), F.col("y")), 6).alias("cosine"))
 
 
-@query("select i::int as i, round(exp(-0.5 * power((-6 + i / 160 * 12) / 1.2, 2)) / (1.2 * sqrt(2 * pi())), 6) as density, abs(-6 + i / 160 * 12) <= 1.2 as in_band from range(161) r(i)")
+@query("select vec_id, round(exp(-0.5 * power(embedding[1]::double / 0.12::double, 2)) / (0.12::double * sqrt(2 * pi())), 6) as density, abs(embedding[1]::double) <= 0.12::double as in_band from embeddings")
 def normal_pdf(spark, sf_dir):
-    x = -6 + F.col("i") / 160 * 12
-    return kernels.grid(spark, 161).select("i", F.round(kernels.normal_pdf(x, 0.0, 1.2), 6).alias("density"), (F.abs(x) <= 1.2).alias("in_band"))
+    """The density of the first number of each embedding and whether it is within a deviation of the middle."""
+    x = F.col("embedding")[0].cast("double")
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.round(kernels.normal_pdf(x, 0.0, 0.12), 6).alias("density"), (F.abs(x) <= 0.12).alias("in_band"))
 
 
-@query("""with p as (select x::int as x, y::int as y, case when x between 5 and 7 and y between 1 and 3 then 0.95 when x > y then 0.7 else 0.15 end::double as v from range(9) a(x), range(9) b(y)),
-s as (select p.x, p.y, count(*) as n, sum(q.v * case when q.x = p.x and q.y = p.y then 8 else -1 end) as s from p join p q on abs(q.x - p.x) <= 1 and abs(q.y - p.y) <= 1 group by p.x, p.y)
-select p.x, p.y, round(case when n = 9 then greatest(0, least(1, s)) else v end, 6) as v from p join s using (x, y)""")
+@query("""with p as (select vec_id, i - 1 as i, embedding[i]::double as v from embeddings, range(1, 65) r(i)), c as (select *, i % 8 as x, i // 8 as y from p),
+s as (select p.vec_id, p.i, count(*) as n, sum(q.v * case when q.i = p.i then 8 else -1 end) as s from c p join c q on q.vec_id = p.vec_id and abs(q.x - p.x) <= 1 and abs(q.y - p.y) <= 1 group by p.vec_id, p.i)
+select vec_id, list(round(case when n = 9 then greatest(0, least(1, s)) else v end, 6) order by i) as image from c join s using (vec_id, i) group by vec_id""")
 def convolve3x3(spark, sf_dir):
-    cell = kernels.grid(spark, 81).select((F.col("i") % 9).alias("x"), F.floor(F.col("i") / 9).cast("int").alias("y"))
-    pixels = cell.withColumn("v", F.when(F.col("x").between(5, 7) & F.col("y").between(1, 3), 0.95).when(F.col("x") > F.col("y"), 0.7).otherwise(0.15))
-    return kernels.convolve(pixels, "edge")
+    """Each embedding as an image of 8 by 8, its edges."""
+    return table(spark, sf_dir, "embeddings").select("vec_id", kernels.convolve(F.col("embedding"), 8, "edge").alias("image"))
 
 
-@query("""with g as (select i::int as i, k::int as coef, i / 80 as lam, [0.9, 0.7, 0.5][k + 1]::double as base from range(81) a(i), range(3) b(k)), v as (select i, coef, base / (1 + 4 * lam) as ridge, greatest(0, base - lam * 1.1::double * (1 + coef * 0.4::double)) as lasso from g)
-select i, coef, round(ridge, 6) as ridge, round(lasso, 6) as lasso, round(0.5::double * lasso + 0.5::double * ridge, 6) as elastic from v""")
+@query("""with g as (select l_orderkey, l_linenumber, l_linenumber % 3 as coef, l_discount * 20 as lam, l_quantity / 50 as base from lineitem),
+v as (select *, base / (1 + 4 * lam) as ridge, greatest(0, base - lam * 1.1::double * (1 + coef * 0.4::double)) as lasso from g)
+select l_orderkey, l_linenumber, round(ridge, 6) as ridge, round(lasso, 6) as lasso, round(0.5::double * lasso + 0.5::double * ridge, 6) as elastic from v""")
 def coef_paths(spark, sf_dir):
-    g = kernels.grid(spark, 81).select("i", F.posexplode(F.array(F.lit(0.9), F.lit(0.7), F.lit(0.5))).alias("coef", "base"))
-    return g.select("i", "coef", kernels.coefficients(F.col("coef"), F.col("base"), F.col("i") / 80).alias("c")).select("i", "coef", "c.*")
+    """The quantity of each line item as a coefficient, shrunk by its discount in three ways."""
+    shrunk = kernels.coefficients(F.col("l_linenumber") % 3, F.col("l_quantity") / 50, F.col("l_discount") * 20)
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", shrunk.alias("c")).select("l_orderkey", "l_linenumber", "c.*")
 
 
-@query("""with g as (select i::int as i, i / 120 as x from range(121) a(i)), b as (select i, greatest(0.04::double, 1 / (0.8::double + x * 0.9::double)) as bias, greatest(0.02::double, power(x * 0.8::double, 1.6::double) * 0.5::double) as variance from g)
-select min_by(i, struct_pack(t := round(bias + variance + 0.05::double, 6), i := i)) as best, min(round(bias + variance + 0.05::double, 6)) as total from b""")
+@query("""with g as (select source, doc_id, n_chars / 5000 as x from documents), b as (select source, doc_id, round(greatest(0.04::double, 1 / (0.8::double + x * 0.9::double)) + greatest(0.02::double, power(x * 0.8::double, 1.6::double) * 0.5::double) + 0.05::double, 6) as total from g)
+select source, min_by(doc_id, struct_pack(t := total, d := doc_id)) as best, min(total) as total from b group by source""")
 def bias_variance_argmin(spark, sf_dir):
-    curve = kernels.grid(spark, 121).select("i", kernels.bias_variance(F.col("i") / 120, 1.0)["total"].alias("total"))
-    return curve.agg(F.min_by("i", F.struct("total", "i")).alias("best"), F.min("total").alias("total"))
+    """The document of each source whose length, in 5,000 characters, has the least error of bias and variance."""
+    curve = table(spark, sf_dir, "documents").select("source", "doc_id", kernels.bias_variance(F.col("n_chars") / 5000, 1.0)["total"].alias("total"))
+    return curve.groupBy("source").agg(F.min_by("doc_id", F.struct("total", "doc_id")).alias("best"), F.min("total").alias("total"))
 
 
-@query("select i::int as i, round(0.5::double * (i / 48) + 0.6::double * sin(i / 6 * pi()) + case when i < 48 then (sin(i * 12.9898::double) * 43758.5453::double - trunc(sin(i * 12.9898::double) * 43758.5453::double) - 0.5::double) * 0.25::double else 0 end + 1, 6) as v from range(60) r(i)")
+@query("""with m as (select ((year(o_orderdate) - 1992) * 12 + month(o_orderdate) - 1)::int as i, round(sum(o_totalprice), 2) as price from orders group by 1)
+select i, price, round(0.5::double * (i / 48) + 0.6::double * sin(i / 6 * pi()) + case when i < 48 then (sin(i * 12.9898::double) * 43758.5453::double - trunc(sin(i * 12.9898::double) * 43758.5453::double) - 0.5::double) * 0.25::double else 0 end + 1, 6) as v from m""")
 def trend_season(spark, sf_dir):
-    return kernels.grid(spark, 60).select("i", kernels.trend_season(F.col("i"), 0.5, 0.6).alias("v"))
+    """What was ordered in each month beside a trend with a season of a year."""
+    i = ((F.year("o_orderdate") - 1992) * 12 + F.month("o_orderdate") - 1).cast("int")
+    months = table(spark, sf_dir, "orders").groupBy(i.alias("i")).agg(F.round(F.sum("o_totalprice"), 2).alias("price"))
+    return months.select("i", "price", kernels.trend_season(F.col("i"), 0.5, 0.6).alias("v"))
 
 
 @query("with m as (select min(n_chars) as a, max(n_chars) as b from documents) select doc_id, round((n_chars - a) / (b - a), 6) as scaled from documents, m")
@@ -96,8 +103,11 @@ def heat_intensity(spark, sf_dir):
     return kernels.heat(table(spark, sf_dir, "documents").groupBy("source").agg(F.count("*").alias("n")), "n").select("source", "heat")
 
 
-@query("""with recursive r as (select 0 as t, -0.2::double as w, 0::double as m, 0::double as v union all
-select t + 1, w - 0.1::double * ((0.9::double * m + (1 - 0.9::double) * g) / (1 - power(0.9::double, t + 1))) / (sqrt((0.999::double * v + (1 - 0.999::double) * g * g) / (1 - power(0.999::double, t + 1))) + 1e-8), 0.9::double * m + (1 - 0.9::double) * g, 0.999::double * v + (1 - 0.999::double) * g * g
-from (select *, 2 * (w - 1.4::double) + 0.75::double * cos(5 * w) as g from r) where t < 30) select t, round(w, 6) as w from r where t > 0""")
+@query("""with recursive r as (select vec_id, 0 as t, embedding[1]::double as w, 0::double as m, 0::double as v, (0.05::double + 0.01::double * (label % 5)) as rate from embeddings union all
+select vec_id, t + 1, w - rate * ((0.9::double * m + (1 - 0.9::double) * g) / (1 - power(0.9::double, t + 1))) / (sqrt((0.999::double * v + (1 - 0.999::double) * g * g) / (1 - power(0.999::double, t + 1))) + 1e-8), 0.9::double * m + (1 - 0.9::double) * g, 0.999::double * v + (1 - 0.999::double) * g * g, rate
+from (select *, 2 * (w - 1.4::double) + 0.75::double * cos(5 * w) as g from r) where t < 30) select vec_id, t, round(w, 6) as w from r where t > 0""")
 def optimiser_trace(spark, sf_dir):
-    return kernels.optimiser(spark, "adam", 0.1, -0.2, 30)
+    """Thirty steps of Adam for each embedding: from its first number, at a rate by its label."""
+    path = kernels.optimiser(F.col("embedding")[0], 0.05 + 0.01 * (F.col("label") % 5), "adam", 30)
+    steps = table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode(path).alias("t", "w"))
+    return steps.select("vec_id", (F.col("t") + 1).alias("t"), F.round("w", 6).alias("w"))
