@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lectern.functions import text as fn
+
 PASS_MEAN = 0.80
 REFERENCES = r"(?is)\n#{1,3}\s*(References|Sources)\b.*"
 UNAVAILABLE = "EVAL BACKEND UNAVAILABLE — stub score, not a real grade — "
@@ -75,34 +77,57 @@ def final_once(attempts: DataFrame) -> DataFrame:
     return attempts.withColumn("n", F.row_number().over(last)).where("n = 1").drop("n")
 
 
-def blocks(docs: DataFrame) -> DataFrame:
-    """(doc_id, block, kind, n_lines) of Markdown: runs of lines of one kind; a heading is a block of its own."""
-    line = F.col("line")
-    kind = F.when(line.rlike(r"^\s*\|.*\|\s*$"), "table").when(line.rlike(r"^\s*[-*] "), "ul").when(line.rlike(r"^\s*\d+\. "), "ol").when(line.startswith("### "), "h3").when(line.startswith("## "), "h2").when(F.trim(line) == "", "blank").otherwise("paragraph")
-    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line")).withColumn("kind", kind)
+ROW, SEPARATOR = r"^\|.*\|", r"^\|[-:| ]+\|"
+
+
+def _lines(docs: DataFrame) -> DataFrame:
+    """(doc_id, pos, line, kind, block): a table begins at a row over a separator and takes all rows after it; a heading is a block of its own."""
+    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
     order = Window.partitionBy("doc_id").orderBy("pos")
-    run = lines.withColumn("new", F.when((F.lag("kind").over(order) == F.col("kind")) & ~F.col("kind").isin("h2", "h3"), 0).otherwise(1)).withColumn("block", F.sum("new").over(order))
-    return run.groupBy("doc_id", "block", "kind").agg(F.count("*").alias("n_lines"))
+    line, row = F.col("line"), F.col("line").rlike(ROW)
+    lines = lines.withColumns({"isle": F.count_if(~row).over(order), "head": row & F.coalesce(F.lead("line").over(order).rlike(SEPARATOR), F.lit(False))})
+    table = row & F.max("head").over(Window.partitionBy("doc_id", "isle", row).orderBy("pos"))
+    kind = F.when(table, "table").when(line.rlike(r"^[-*] "), "ul").when(line.rlike(r"^[0-9]+\. "), "ol").when(line.startswith("## "), "h2").when(line.startswith("### "), "h3").when(fn.strip(line) == "", "blank").otherwise("paragraph")
+    lines = lines.withColumn("kind", kind)
+    new = F.when((F.lag("kind").over(order) == F.col("kind")) & ~F.col("kind").isin("h2", "h3"), 0).otherwise(1)
+    return lines.withColumn("new", new).select("doc_id", "pos", "line", "kind", F.sum("new").over(order).alias("block"))
+
+
+def blocks(docs: DataFrame) -> DataFrame:
+    """(doc_id, block, kind, n_lines) of Markdown (doc_id, text): runs of lines of one kind."""
+    return _lines(docs).groupBy("doc_id", "block", "kind").agg(F.count("*").alias("n_lines"))
 
 
 def math_spans(text: Column) -> Column:
-    """struct display, inline: how many $$..$$ or \\[..\\] and how many $..$ or \\(..\\) spans."""
-    shown = F.size(F.regexp_extract_all(text, F.lit(r"(?s)(\$\$.+?\$\$|\\\[.+?\\\])"), 1))
-    rest = F.regexp_replace(text, r"(?s)(\$\$.+?\$\$|\\\[.+?\\\])", "")
-    return F.struct(shown.alias("display"), F.size(F.regexp_extract_all(rest, F.lit(r"(\$[^$\n]+\$|\\\(.+?\\\))"), 1)).alias("inline"))
+    """struct display, inline: how many $$..$$ or \\[..\\] and how many $..$ or \\(..\\) spans that hold something, read from the left."""
+    spans = F.regexp_extract_all(text, F.lit(r"(?s)(\$\$.*?\$\$|\\\[.*?\\\]|\\\(.*?\\\)|\$[^$\n]+?\$)"), 1)
+    shown = lambda x: x.startswith("$$") | x.startswith("\\[")
+    full = F.filter(spans, lambda x: F.length(x) > F.when(x.startswith("$") & ~x.startswith("$$"), 2).otherwise(4))
+    return F.transform(F.array(full), lambda a: F.struct(F.size(F.filter(a, shown)).alias("display"), F.size(F.filter(a, lambda x: ~shown(x))).alias("inline")))[0]
+
+
+def escaped(text: Column) -> Column:
+    return F.replace(F.replace(F.replace(text, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
 
 
 def inline_html(text: Column) -> Column:
-    """Escaped, then bold, code and citation links."""
-    out = F.replace(F.replace(F.replace(text, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
-    out = F.regexp_replace(F.regexp_replace(out, r"\*\*(.+?)\*\*", "<strong>$1</strong>"), r"`([^`]+)`", "<code>$1</code>")
-    return F.regexp_replace(out, r"\[(\d+)\]", '<a href="#ref-$1">[$1]</a>')
+    """Escaped, then bold, italics and code."""
+    out = escaped(text)
+    for mark, tag in ((r"\*\*(.+?)\*\*", "strong"), (r"\*(.+?)\*", "em"), ("`(.+?)`", "code")):
+        out = F.regexp_replace(out, mark, f"<{tag}>$1</{tag}>")
+    return out
+
+
+def cite_links(html: Column, known: Column) -> Column:
+    """Links at the marks of the known ids; other marks stay as they are."""
+    link = lambda s, i: F.replace(s, F.concat(F.lit("["), i, F.lit("]")), F.concat(F.lit('<sup><a href="#source-'), i, F.lit('" class="cite-ref">['), i, F.lit("]</a></sup>")))
+    ids = F.array_distinct(F.filter(known, lambda i: i.isNotNull()))
+    return F.aggregate(F.coalesce(ids.cast("array<string>"), F.array().cast("array<string>")), html, link)
 
 
 def cells(line: Column) -> Column:
     """The cells of a table row that aren't empty, escaped."""
-    out = F.replace(F.replace(F.replace(line, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
-    return F.filter(F.transform(F.split(out, r"\|"), lambda x: F.trim(x)), lambda x: x != "")
+    return F.filter(F.transform(F.split(escaped(line), r"\|"), fn.strip), lambda x: x != "")
 
 
 def alignments(separator: Column) -> Column:
@@ -111,6 +136,29 @@ def alignments(separator: Column) -> Column:
 
 
 def row_html(line: Column, aligned: Column, tag: str = "td") -> Column:
-    """One table row; a cell without an alignment is on the left."""
+    """The cells of one table row; a cell without an alignment is on the left."""
     cell = lambda x, i: F.concat(F.lit(f'<{tag} style="text-align:'), F.coalesce(F.get(aligned, i), F.lit("left")), F.lit('">'), x, F.lit(f"</{tag}>"))
-    return F.concat(F.lit("<tr>"), F.array_join(F.transform(cells(line), cell), ""), F.lit("</tr>"))
+    return F.array_join(F.transform(cells(line), cell), "")
+
+
+def prose_html(docs: DataFrame) -> DataFrame:
+    """(doc_id, html) of Markdown without formulas (doc_id, text, cited): a table, list, heading or paragraph a block.
+
+    One row per doc_id; the lines of a text meet in one task, as the text was in one. A null text has no row, a blank one an empty html.
+    """
+    kind, lines = F.col("kind"), F.col("lines")
+    each = lambda skip, start, end: F.array_join(F.transform(lines, lambda x: F.concat(F.lit(start), inline_html(F.regexp_replace(x, skip, "")), F.lit(end))), "")
+    aligned = alignments(lines[1])
+    body = F.array_join(F.transform(F.slice(lines, 3, F.size(lines)), lambda x: F.concat(F.lit("<tr>"), row_html(x, aligned), F.lit("</tr>"))), "")
+    table = F.concat(F.lit('<table class="answer-table"><thead><tr>'), row_html(lines[0], aligned, "th"), F.lit("</tr></thead><tbody>"), body, F.lit("</tbody></table>"))
+    html = F.when(kind == "table", table)
+    html = html.when(kind == "ul", F.concat(F.lit('<ul class="answer-list">'), each("^[-*] ", "<li>", "</li>"), F.lit("</ul>")))
+    html = html.when(kind == "ol", F.concat(F.lit('<ol class="answer-list">'), each(r"^[0-9]+\. ", "<li>", "</li>"), F.lit("</ol>")))
+    for name in ("h2", "h3"):
+        html = html.when(kind == name, each("^#+ ", f'<{name} class="answer-{name}">', f"</{name}>"))
+    html = html.when(kind == "paragraph", F.concat(F.lit("<p>"), F.array_join(F.transform(lines, inline_html), " "), F.lit("</p>")))
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda x: x["line"])
+    made = _lines(docs).groupBy("doc_id", "block", "kind").agg(ordered.alias("lines")).select("doc_id", "block", html.alias("html"))
+    parts = F.array_sort(F.collect_list(F.when(F.col("html").isNotNull(), F.struct("block", "html"))))
+    whole = made.groupBy("doc_id").agg(F.array_join(F.transform(parts, lambda x: x["html"]), "\n").alias("html"))
+    return whole.join(docs.select("doc_id", "cited"), "doc_id").select("doc_id", cite_links(F.col("html"), F.col("cited")).alias("html"))

@@ -91,25 +91,55 @@ def reflection_adequacy(spark, sf_dir):
     return first.select("conv_id", answers.adequate(F.col("text")).alias("adequate"))
 
 
-@query(r"""with l as (select doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as pos from documents),
-k as (select *, case when regexp_matches(line, '^\s*\|.*\|\s*$') then 'table' when regexp_matches(line, '^\s*[-*] ') then 'ul' when regexp_matches(line, '^\s*\d+\. ') then 'ol' when starts_with(line, '### ') then 'h3' when starts_with(line, '## ') then 'h2' when trim(line) = '' then 'blank' else 'paragraph' end as kind from l),
+PROSE = r"t as (select doc_id, '| a<b | **c** |' || chr(10) || case doc_id % 3 when 0 then '|---|--:|' when 1 then 'x' else '|:-:|' end || chr(10) || '| 1 | [2] | 3 |' || chr(10) || '- *one* [1]' || chr(10) || '- two [9]' || chr(10) || ' - three' || chr(10) || '1. `x<y`' || chr(10) || '### Head [2]' || chr(10) || '#### no head' || chr(10) || chr(10) || coalesce(text, '') as text from documents)"
+LINES = r"""l as (select doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as pos from t),
+i as (select *, regexp_matches(line, '^\|.*\|') as r, count(*) filter (where not regexp_matches(line, '^\|.*\|')) over (partition by doc_id order by pos) as isle, coalesce(regexp_matches(lead(line) over (partition by doc_id order by pos), '^\|[-:| ]+\|'), false) as under from l),
+j as (select *, r and bool_or(r and under) over (partition by doc_id, isle, r order by pos) as tab from i),
+k as (select *, case when tab then 'table' when regexp_matches(line, '^[-*] ') then 'ul' when regexp_matches(line, '^\d+\. ') then 'ol' when starts_with(line, '### ') then 'h3' when starts_with(line, '## ') then 'h2' when trim(line, chr(32) || chr(9) || chr(13)) = '' then 'blank' else 'paragraph' end as kind from j),
 n as (select *, case when lag(kind) over (partition by doc_id order by pos) = kind and kind not in ('h2', 'h3') then 0 else 1 end as new from k),
-b as (select *, sum(new) over (partition by doc_id order by pos)::bigint as block from n) select doc_id, block, kind, count(*) as n_lines from b group by doc_id, block, kind""")
+b as (select *, sum(new) over (partition by doc_id order by pos)::bigint as block from n)"""
+
+
+def prose(spark, sf_dir):
+    rule = F.when(F.col("doc_id") % 3 == 0, "|---|--:|").when(F.col("doc_id") % 3 == 1, "x").otherwise("|:-:|")
+    text = F.concat(F.lit("| a<b | **c** |\n"), rule, F.lit("\n| 1 | [2] | 3 |\n- *one* [1]\n- two [9]\n - three\n1. `x<y`\n### Head [2]\n#### no head\n\n"), F.coalesce("text", F.lit("")))
+    return table(spark, sf_dir, "documents").select("doc_id", text.alias("text"), F.array(F.lit(1), F.lit(2)).alias("cited"))
+
+
+@query(f"with {PROSE}, {LINES} select doc_id, block, kind, count(*) as n_lines from b group by doc_id, block, kind")
 def markdown_blocks(spark, sf_dir):
-    return answers.blocks(table(spark, sf_dir, "documents"))
+    return answers.blocks(prose(spark, sf_dir))
 
 
-@query(r"""with t as (select doc_id, text || ' $$x$$ and $y$ ' || case when doc_id % 2 = 0 then '\[z\] \(w\)' else '' end as t from documents)
-select doc_id, len(regexp_extract_all(t, '(?s)(\$\$.+?\$\$|\\\[.+?\\\])', 1))::int as display, len(regexp_extract_all(regexp_replace(t, '(?s)(\$\$.+?\$\$|\\\[.+?\\\])', '', 'g'), '(\$[^$\n]+\$|\\\(.+?\\\))', 1))::int as "inline" from t""")
+SPANS = r"'(?s)(\$\$.*?\$\$|\\\[.*?\\\]|\\\(.*?\\\)|\$[^$\n]+?\$)'"
+
+
+@query(rf"""with t as (select doc_id, text || ' $$x$$ and $y$ ' || case when doc_id % 2 = 0 then '\[z $q$\] \(w\) $$$$ $a \(b\) c$' else '' end as t from documents),
+s as (select doc_id, regexp_extract_all(t, {SPANS}, 1) as s from t)
+select doc_id, len(list_filter(s, lambda x: (starts_with(x, '$$') or starts_with(x, '\[')) and length(x) > 4))::int as display,
+len(list_filter(s, lambda x: (starts_with(x, '\(') and length(x) > 4) or (starts_with(x, '$') and not starts_with(x, '$$'))))::int as "inline" from s""")
 def math_spans(spark, sf_dir):
-    t = F.concat("text", F.lit(" $$x$$ and $y$ "), F.when(F.col("doc_id") % 2 == 0, r"\[z\] \(w\)").otherwise(""))
+    t = F.concat("text", F.lit(" $$x$$ and $y$ "), F.when(F.col("doc_id") % 2 == 0, r"\[z $q$\] \(w\) $$$$ $a \(b\) c$").otherwise(""))
     return table(spark, sf_dir, "documents").select("doc_id", answers.math_spans(t).alias("m")).select("doc_id", "m.*")
 
 
-@query(f"""with {ANSWERS}, e as (select doc_id, replace(replace(replace('**b** `c<d>` ' || answer, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') as t from a)
-select doc_id, regexp_replace(regexp_replace(regexp_replace(t, '\\*\\*(.+?)\\*\\*', '<strong>\\1</strong>', 'g'), '`([^`]+)`', '<code>\\1</code>', 'g'), '\\[(\\d+)\\]', '<a href="#ref-\\1">[\\1]</a>', 'g') as html from e""")
+def _inline(x: str) -> str:
+    out = f"replace(replace(replace({x}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
+    for mark, tag in ((r"\*\*(.+?)\*\*", "strong"), (r"\*(.+?)\*", "em"), ("`(.+?)`", "code")):
+        out = f"regexp_replace({out}, '{mark}', '<{tag}>\\1</{tag}>', 'g')"
+    return out
+
+
+def _linked(x: str, ids: tuple[int, ...]) -> str:
+    for i in ids:
+        x = f"""replace({x}, '[{i}]', '<sup><a href="#source-{i}" class="cite-ref">[{i}]</a></sup>')"""
+    return x
+
+
+@query(f"with {ANSWERS} select doc_id, {_linked(_inline("'**b** *i* `c<d>` ' || answer"), (2, 3))} as html from a")
 def inline_html(spark, sf_dir):
-    return answered(spark, sf_dir).select("doc_id", answers.inline_html(F.concat(F.lit("**b** `c<d>` "), "answer")).alias("html"))
+    html = answers.inline_html(F.concat(F.lit("**b** *i* `c<d>` "), "answer"))
+    return answered(spark, sf_dir).select("doc_id", answers.cite_links(html, F.array(F.lit(2), F.lit(3))).alias("html"))
 
 
 CELLS = "list_filter(list_transform(string_split(replace(replace(replace({x}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '|'), lambda x: trim(x)), lambda x: x <> '')"
@@ -117,7 +147,7 @@ CELLS = "list_filter(list_transform(string_split(replace(replace(replace({x}, '&
 
 @query(f"""with t as (select doc_id, '| a<b | ' || source || ' | ' || n_chars || ' | x |' as line, case doc_id % 2 when 0 then '|---|:-:|--:|' else '|:--|--:|' end as separator from documents),
 c as (select doc_id, {CELLS.format(x="line")} as c, list_transform({CELLS.format(x="separator")}, lambda x: case when starts_with(x, ':') and ends_with(x, ':') then 'center' when ends_with(x, ':') then 'right' else 'left' end) as a from t)
-select doc_id, '<tr>' || array_to_string(list_transform(c, lambda x, i: '<td style="text-align:' || coalesce(a[i], 'left') || '">' || x || '</td>'), '') || '</tr>' as html from c""")
+select doc_id, array_to_string(list_transform(c, lambda x, i: '<td style="text-align:' || coalesce(a[i], 'left') || '">' || x || '</td>'), '') as html from c""")
 def table_rows(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
     line = F.concat(F.lit("| a<b | "), "source", F.lit(" | "), "n_chars", F.lit(" | x |"))
@@ -125,6 +155,23 @@ def table_rows(spark, sf_dir):
     return d.select("doc_id", answers.row_html(line, answers.alignments(separator)).alias("html"))
 
 
+def _cells(line: str, separator: str, tag: str) -> str:
+    a = f"list_transform({CELLS.format(x=separator)}, lambda y: case when starts_with(y, ':') and ends_with(y, ':') then 'center' when ends_with(y, ':') then 'right' else 'left' end)"
+    return f"""array_to_string(list_transform({CELLS.format(x=line)}, lambda x, i: '<{tag} style="text-align:' || coalesce(({a})[i], 'left') || '">' || x || '</{tag}>'), '')"""
+
+
+@query(f"""with {PROSE}, {LINES},
+u as (select doc_id, block, pos, line, kind, row_number() over (partition by doc_id, block order by pos) as line_no, nth_value(line, 2) over (partition by doc_id, block order by pos rows between unbounded preceding and unbounded following) as sep from b where kind <> 'blank'),
+v as (select *, case when kind = 'table' and line_no = 1 then '<table class="answer-table"><thead><tr>' || {_cells("line", "sep", "th")} || '</tr></thead><tbody>' when kind = 'table' and line_no = 2 then ''
+when kind = 'table' then '<tr>' || {_cells("line", "sep", "td")} || '</tr>' when kind in ('ul', 'ol') then '<li>' || {_inline("regexp_replace(line, '^([-*]|[0-9]+[.]) ', '')")} || '</li>'
+when kind in ('h2', 'h3') then '<' || kind || ' class="answer-' || kind || '">' || {_inline("regexp_replace(line, '^#+ ', '')")} || '</' || kind || '>' else {_inline("line")} end as h from u),
+w as (select doc_id, block, kind, case when kind = 'paragraph' then string_agg(h, ' ' order by pos) else string_agg(h, '' order by pos) end as h from v group by doc_id, block, kind),
+x as (select doc_id, string_agg(case when kind = 'table' then h || '</tbody></table>' when kind in ('ul', 'ol') then '<' || kind || ' class="answer-list">' || h || '</' || kind || '>' when kind = 'paragraph' then '<p>' || h || '</p>' else h end, chr(10) order by block) as html from w group by doc_id)
+select doc_id, {_linked("html", (1, 2))} as html from x""")
+def prose_html(spark, sf_dir):
+    return answers.prose_html(prose(spark, sf_dir))
+
+
 @query("select doc_id, case when lang in ('eli5', 'standard', 'academia') then lang else 'standard' end as level from (select doc_id, case doc_id % 4 when 0 then 'eli5' when 1 then 'academia' else lang end as lang from documents)")
 def answer_level(spark, sf_dir):
     asked = F.when(F.col("doc_id") % 4 == 0, "eli5").when(F.col("doc_id") % 4 == 1, "academia").otherwise(F.col("lang"))
