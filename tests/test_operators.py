@@ -349,3 +349,41 @@ def test_one_bad_prompt_costs_itself_alone(spark):
     df = spark.createDataFrame([(k, "bad" if k == 5 else f"p{k}") for k in range(20)], "k int, prompt string").coalesce(1)
     got = {r.k: (r.reply, r.error) for r in providers.complete(df, picky).collect()}
     assert got == {k: (None, "no") if k == 5 else (f"P{k}", None) for k in range(20)}
+
+
+def test_prose(spark):
+    texts = {
+        1: "a **b**\n*c* `d` [1] [7]\n\n|x|y|\n|:-:|-|\n|<|2|3|\n|---|\n- p\n* q\n1. r\n## S\n## T\n### U",
+        2: "|no|\n|table|",
+        3: "",
+        4: None,
+        5: "####\nend",
+        6: "|-|\n|-|",
+    }
+    rows = [(k, t, [1, 1, None]) for k, t in texts.items()]
+    df = spark.createDataFrame(rows, "doc_id long, text string, cited array<int>")
+    link = '<sup><a href="#source-1" class="cite-ref">[1]</a></sup>'
+    cell = lambda tag, side, x: f'<{tag} style="text-align:{side}">{x}</{tag}>'
+    table = f'<table class="answer-table"><thead><tr>{cell("th", "center", "x")}{cell("th", "left", "y")}</tr></thead><tbody><tr>{cell("td", "center", "&lt;")}{cell("td", "left", "2")}{cell("td", "left", "3")}</tr><tr>{cell("td", "center", "---")}</tr></tbody></table>'
+    whole = [f"<p>a <strong>b</strong> <em>c</em> <code>d</code> {link} [7]</p>", table, '<ul class="answer-list"><li>p</li><li>q</li></ul>', '<ol class="answer-list"><li>r</li></ol>']
+    whole += [f'<{h} class="answer-{h}">{x}</{h}>' for h, x in (("h2", "S"), ("h2", "T"), ("h3", "U"))]
+    empty = f'<table class="answer-table"><thead><tr>{cell("th", "left", "-")}</tr></thead><tbody></tbody></table>'
+    want = {1: "\n".join(whole), 2: "<p>|no| |table|</p>", 3: "", 5: "<p>#### end</p>", 6: empty}
+    assert {r.doc_id: r.html for r in answers.prose_html(df).collect()} == want
+    assert answers.prose_html(df.limit(0)).count() == 0
+    spans = [one(spark, x, answers.math_spans) for x in ("$$a$$ $b$ \\(c\\) \\[d\\]", "$a \\[b\\] c$", "$$$$ $$ x", "$5\n$6", "")]
+    assert [tuple(s) for s in spans] == [(2, 2), (0, 1), (0, 0), (0, 0), (0, 0)]
+
+
+def test_kernels_a_row(spark):
+    image = [0.0, 0.1, 0.2, 0.3, 0.5, 0.4, 0.2, 0.1, 0.0, 0.9]
+    df = spark.createDataFrame([(1, image), (2, []), (3, None), (4, [0.5] * 4)], "id int, v array<double>")
+    got = {r.id: r.y for r in df.select("id", kernels.convolve(F.col("v"), 3, "sharpen").alias("y")).collect()}
+    assert got[1] == [*image[:4], 1.0, *image[5:]] and got[2] == [] and got[3] is None and got[4] == [0.5] * 4
+    runs = spark.createDataFrame([(1, -0.2, 0.1), (2, None, 0.1)], "id int, w double, rate double")
+    path = {r.id: r.p for r in runs.select("id", kernels.optimiser(F.col("w"), F.col("rate"), "sgd", 3).alias("p")).collect()}
+    w, plain = -0.2, []
+    for _ in range(3):
+        w -= 0.1 * (2 * (w - 1.4) + 0.75 * math.cos(5 * w))
+        plain.append(w)
+    assert path[1] == pytest.approx(plain) and path[2] == [None] * 3
