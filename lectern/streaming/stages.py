@@ -20,6 +20,8 @@ def rate_limit(requests: DataFrame, window: int = WINDOW_SECONDS, most: int = MO
     it goes when no request has come for `idle` seconds, which is longer than rows are late. A request without a time is accepted and leaves no trace.
 
     Rows of a key are taken in the order of (seconds, id) within a micro-batch; batches are taken in arrival order.
+    Spark runs batches without rows for a processing-time timeout, without end: with the trigger availableNow set
+    spark.sql.streaming.noDataMicroBatches.enabled to false; states then go in the next batch that has rows.
     """
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:

@@ -12,7 +12,7 @@ DATA = "/root/testdata"
 def spark():
     from pyspark.sql import SparkSession
 
-    conf = {"spark.sql.shuffle.partitions": "4", "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false", "spark.sql.session.timeZone": "UTC", "spark.driver.memory": "6g"}
+    conf = {"spark.sql.shuffle.partitions": "4", "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false", "spark.sql.session.timeZone": "UTC", "spark.driver.memory": "6g", "spark.sql.streaming.noDataMicroBatches.enabled": "false"}
     session = SparkSession.builder.master("local[8]").config(map=conf).getOrCreate()
     session.sparkContext.setLogLevel("ERROR")
     yield session

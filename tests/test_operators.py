@@ -132,7 +132,7 @@ def test_stream_limit_equals_batch(spark, tmp_path):
     batch = {r.id: r.accepted for r in trace.rate_limit(spark.read.parquet(str(tmp_path / "in"))).collect()}
     source = spark.readStream.schema("key long, seconds double, id long").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
     q = stages.rate_limit(source).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "check")).trigger(availableNow=True).start()
-    q.awaitTermination(120)
+    assert q.awaitTermination(120)
     got = {r.id: r.accepted for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert got == batch
 
@@ -141,7 +141,7 @@ def test_feed(spark, tmp_path):
     spark.createDataFrame([("r", 1, "route", "done", None, None, None)], stages.EVENT).write.json(str(tmp_path / "in"))
     events = spark.readStream.schema(stages.EVENT).json(str(tmp_path / "in"))
     q = stages.feed(events, str(tmp_path / "out"), str(tmp_path / "check")).trigger(availableNow=True).start()
-    q.awaitTermination(60)
+    assert q.awaitTermination(60)
     assert 'data: {"stage":"route","status":"done"}' in [r.value for r in spark.read.text(str(tmp_path / "out")).collect()]
 
 
@@ -291,7 +291,7 @@ def test_stream_limit_on_null_times(spark, tmp_path):
     batch = {r.id: r.accepted for r in trace.rate_limit(spark.read.parquet(str(tmp_path / "in"))).collect()}
     source = spark.readStream.schema("key long, seconds double, id long").parquet(str(tmp_path / "in"))
     q = stages.rate_limit(source).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "check")).trigger(availableNow=True).start()
-    q.awaitTermination(120)
+    assert q.awaitTermination(120)
     assert {r.id: r.accepted for r in spark.read.parquet(str(tmp_path / "out")).collect()} == batch
     assert set(batch.values()) == {True, False}
 
