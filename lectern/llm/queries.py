@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import conversation_repair, decontaminate, licenses, line_dedup, ngram_join, packing, pseudo_likelihood, quality, quality_classifier, toxicity, url_filter, warc
+from lectern.llm import conversation_repair, decontaminate, licenses, line_dedup, ngram_join, packing, pseudo_likelihood, quality, quality_classifier, toxicity, url_filter, warc, whitening
 from lectern.llm.base import table
 
 
@@ -116,6 +116,11 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "contaminated", "item_ids", "similarity")
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    laid = table(spark, sf_dir, "embeddings").select("vec_id", whitening.lattice(F.col("embedding")).alias("x"))
+    return whitening.whiten(laid, "x", whitening.fit_whitening(laid, "x"))
+
+
 def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     damaged = conversation_repair.damage(table(spark, sf_dir, "conversations"))
     return conversation_repair.conversations(conversation_repair.repair(damaged, F.col("absent")))
@@ -127,6 +132,6 @@ def op13_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_line_dedup, op2_license_scan, op3_quality_rules, op4_url_filter, op5_toxicity, op6_packing, op7_warc, op8_lm_scoring, op9_ngram_join, op10_decontaminate, op12_conversation_repair, op13_quality_classifier)
+    f.__name__: f for f in (op1_line_dedup, op2_license_scan, op3_quality_rules, op4_url_filter, op5_toxicity, op6_packing, op7_warc, op8_lm_scoring, op9_ngram_join, op10_decontaminate, op11_embedding_whitening, op12_conversation_repair, op13_quality_classifier)
 }
 ORACLE: dict[str, str] = {"op1_line_dedup": OP1, "op2_license_scan": licenses.scan_sql(), "op3_quality_rules": OP3, "op4_url_filter": OP4, "op7_warc": OP7}
