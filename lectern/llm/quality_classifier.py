@@ -10,7 +10,8 @@ passes of at least STEPS steps from common weights in as many tasks, and the wei
 The model is fitted on at most SAMPLE labelled rows, those of the rarer label first up to half of them, chosen by the
 hash of their ids; the bias is shifted back to the share of the labels among all labelled rows. What a task holds is its
 share of the sample's features, at most BUCKETS a text; the driver holds TRAINERS models of BUCKETS x SIZE floats.
-Scoring is linear in the features, so that each word's part is worked out once a task (for up to WORDS words at a time).
+Hashing is done over arrays of characters, SEGMENT of them at a time, so that a text of one long word takes no more
+memory than its words do. Scoring is linear in the features: a text's score is the mean of what its buckets add.
 
 Cases: a null or empty text has the end mark alone. Whole texts count, however long. Null labels, labels without a
 document and null doc_ids in labels are ignored; a doc_id with several labels has the one that at least half of them give
@@ -21,7 +22,6 @@ replace namesakes. An empty table gives no rows.
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from zlib import crc32
@@ -40,48 +40,56 @@ SIZE = 8
 NGRAMS = (3, 4)
 TRAINERS, ROUNDS, STEPS = 8, 4, 2000
 RATE = 2.0
-WORDS = 200_000
+SEGMENT = 1 << 17
 KEEP = 0.3
 _END, _SAME = 0, 1  # the first two buckets are of the end mark and of a word repeated
+_ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
 
 
-def bucket(feature: str) -> int:
-    return 2 + crc32(feature.encode("utf-8", "surrogatepass")) % (BUCKETS - 2)
+def spread(h: np.ndarray) -> np.ndarray:
+    """Buckets of 64-bit hashes."""
+    h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return 2 + ((h >> np.uint64(33)) % np.uint64(BUCKETS - 2)).astype(np.int64)
 
 
-def pairs(hashes: np.ndarray) -> np.ndarray:
-    """The buckets of neighbouring words, from the words' own buckets and digests."""
-    left, right = hashes[:-1].astype(np.uint64), hashes[1:].astype(np.uint64)
-    mixed = (left * np.uint64(0x9E3779B97F4A7C15) + right) * np.uint64(0xC2B2AE3D27D4EB4F)
-    return np.where(left == right, _SAME, 2 + ((mixed >> np.uint64(32)) % np.uint64(BUCKETS - 2)).astype(np.int64))
-
-
-def subwords(word: str) -> list[int]:
-    """The buckets of a word and of its character n-grams."""
-    marked = f"<{word}>"
-    return [bucket("w" + word)] + [bucket(marked[k : k + n]) for n in NGRAMS for k in range(len(marked) - n + 1)]
+def features(text: str | None) -> Iterator[np.ndarray]:
+    """The buckets of all features of a text, a segment at a time."""
+    yield np.array([_END])
+    words = (text or "").split()
+    if not words:
+        return
+    marked = f"<{'> <'.join(words)}>"
+    digests = np.zeros(len(words), np.uint64)
+    word, since = 0, -1  # of the segment's first character: its word, and where the space before it is
+    for start in range(0, len(marked), SEGMENT):
+        codes = np.frombuffer(marked[start : start + SEGMENT + NGRAMS[-1] - 1].encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+        gap = codes == 32
+        gaps = np.concatenate([[0], np.cumsum(gap)])
+        for n in NGRAMS:
+            k = min(SEGMENT, len(codes) - n + 1)
+            if k > 0:
+                whole = gaps[n : n + k] == gaps[:k]  # of one word
+                yield spread(sum(codes[i : i + k] * _ODD[i] for i in range(n)) + np.uint64(n))[whole]
+        codes, gap = codes[:SEGMENT], gap[:SEGMENT]
+        at = np.arange(start, start + len(codes))
+        place = at - np.maximum.accumulate(np.where(gap, at, since))
+        part = (codes + place.astype(np.uint64) * _ODD[0]) * _ODD[1]
+        part = np.where(gap, np.uint64(0), (part ^ (part >> np.uint64(31))) * _ODD[2])
+        edges = np.flatnonzero(gap)
+        sums = np.add.reduceat(part, np.concatenate([[0], edges]) if not len(edges) or edges[0] else edges)
+        first = word + (len(edges) > 0 and edges[0] == 0)
+        digests[first : first + len(sums)] += sums
+        word += len(edges)
+        since = int(start + edges[-1]) if len(edges) else since
+    yield spread(digests)
+    yield np.where(digests[:-1] == digests[1:], _SAME, spread(digests[:-1] * _ODD[3] + digests[1:]))
 
 
 def counts(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     """The buckets of a text, rising, and the share of its features in each."""
-    words = (text or "").split()
-    found: dict[int, int] = defaultdict(int)
-    found[_END] = 1
-    times: dict[str, int] = defaultdict(int)
-    for word in words:
-        times[word] += 1
-    for word, n in times.items():
-        for b in subwords(word):
-            found[b] += n
-    for b, n in zip(*np.unique(pairs(_digests(words)), return_counts=True), strict=True) if len(words) > 1 else ():
-        found[int(b)] += int(n)
-    at = np.array(sorted(found), np.int32)
-    n = np.array([found[int(b)] for b in at], np.float32)
-    return at, n / n.sum()
-
-
-def _digests(words: list[str]) -> np.ndarray:
-    return np.array([crc32(w.encode("utf-8", "surrogatepass")) for w in words], np.int64)
+    n = sum(np.bincount(found, minlength=BUCKETS) for found in features(text))
+    at = np.flatnonzero(n).astype(np.int32)
+    return at, (n[at] / n.sum()).astype(np.float32)
 
 
 @dataclass
@@ -179,36 +187,13 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     return model
 
 
-class _Words(dict):
-    """Word -> its place in arrays of its digest, its part of the score and its number of features."""
-
-    def __init__(self, margins: np.ndarray):
-        super().__init__()
-        self.margins = margins
-        self.digests, self.sums, self.n = (np.zeros(1024, kind) for kind in (np.int64, float, np.int64))
-
-    def __missing__(self, word: str) -> int:
-        place = len(self)
-        if place == len(self.n):
-            self.digests, self.sums, self.n = (np.concatenate([x, np.zeros_like(x)]) for x in (self.digests, self.sums, self.n))
-        at = subwords(word)
-        self.digests[place], self.sums[place], self.n[place] = crc32(word.encode("utf-8", "surrogatepass")), self.margins[at].sum(), len(at)
-        self[word] = place
-        return place
-
-    def margin(self, text: str | None) -> float:
-        words = (text or "").split()
-        total, n = self.margins[_END], 1
-        for start in range(0, len(words), 50_000):  # a piece at a time, with the word before it
-            piece = words[max(0, start - 1) : start + 50_000]
-            if len(self) + len(piece) > WORDS:
-                self.clear()
-            at = np.fromiter(map(self.__getitem__, piece), np.int64, len(piece))
-            own = at[1:] if start else at
-            both = pairs(self.digests[at])
-            total += self.sums[own].sum() + self.margins[both].sum()
-            n += int(self.n[own].sum()) + len(both)
-        return float(total / n)
+def margin(text: str | None, margins: np.ndarray) -> float:
+    """The mean margin of a text's features."""
+    total, n = 0.0, 0
+    for found in features(text):
+        total += margins[found].sum()
+        n += len(found)
+    return float(total / n)
 
 
 def score(docs: DataFrame, model: Model, keep: float = KEEP) -> DataFrame:
@@ -219,9 +204,8 @@ def score(docs: DataFrame, model: Model, keep: float = KEEP) -> DataFrame:
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         margins, bias = shared.value
-        words = _Words(margins)
         for batch in batches:
-            raised = np.array([words.margin(t.as_py()) + bias for t in batch.column(at)], float)
+            raised = np.array([margin(t.as_py(), margins) + bias for t in batch.column(at)], float)
             p = (1 / (1 + np.exp(-np.clip(raised, -40, 40)))).round(9)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p), pa.array((p >= keep).astype(np.int32))], [*names, "score", "predicted"])
 

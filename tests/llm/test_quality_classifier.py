@@ -22,16 +22,25 @@ def judged(spark, sf):
     return scored(QUERIES["op13_quality_classifier"](spark, sf))
 
 
-def test_features_are_words_pairs_and_character_ngrams():
-    at, share = qc.counts("aa bb aa aa")
-    want = {qc._END: 1, qc._SAME: 1}
-    for w, n in (("aa", 3), ("bb", 1)):
-        for f in ["w" + w, f"<{w}", f"{w}>", f"<{w}>"]:
-            want[qc.bucket(f)] = want.get(qc.bucket(f), 0) + n
-    for pair in (["aa", "bb"], ["bb", "aa"]):
-        b = int(qc.pairs(qc._digests(pair))[0])
-        want[b] = want.get(b, 0) + 1
-    assert dict(zip(at.tolist(), (share * sum(want.values())).round(4).tolist(), strict=True)) == want
+def plain(text):
+    """The features of a text as tuples, one by one."""
+    words = (text or "").split()
+    found = [("end",)] + [("w", w) for w in words]
+    found += [("same",) if a == b else ("pair", a, b) for a, b in zip(words, words[1:], strict=False)]
+    for w in words:
+        found += [("g", n, f"<{w}>"[k : k + n]) for n in qc.NGRAMS for k in range(len(w) + 3 - n)]
+    return found
+
+
+@pytest.mark.parametrize("segment", [7, 64, qc.SEGMENT])
+def test_features_are_words_pairs_and_character_ngrams(monkeypatch, segment):
+    monkeypatch.setattr(qc, "SEGMENT", segment)
+    monkeypatch.setattr(qc, "BUCKETS", 1 << 30)
+    for text in (None, "", "  ", "a", "aa bb aa aa", "Ünï😀code words  with\tlong " + "x" * 100 + " words words", "abcd " * 40, "tail of a segment " * 9):
+        got = np.concatenate(list(qc.features(text)))
+        want = plain(text)
+        assert len(got) == len(want) and len(set(got.tolist())) == len(set(want))
+        assert sorted(np.unique(got, return_counts=True)[1]) == sorted({f: want.count(f) for f in want}.values())
 
 
 def test_gradient_is_that_of_the_loss():
