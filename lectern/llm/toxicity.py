@@ -143,86 +143,6 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> OrdinalMo
     return fit([set(w) if w is not None else set() for w in got["features"]], (got["toxic"] > 0).to_numpy(bool), shift=shift)
 
 
-def score(self, words: set[str]) -> float:
-        found = [self.weights[w] for w in words if w in self.weights]
-        return float(sum(sorted(found)))  # sorted: the sum must not depend on the set's order
-
-
-def grade(texts: list[set[str]], toxic: np.ndarray) -> np.ndarray:
-    """0, 1 or 2 for each text, given by its telling features."""
-    dose = np.array([len(found) for found in texts])
-    middle = np.median(dose[toxic & (dose > 0)]) if (toxic & (dose > 0)).any() else 0.0
-    return toxic.astype(int) + (toxic & (dose > middle)).astype(int)
-
-
-def telling(sampled: DataFrame, tell: float = TELL, most: int = FEATURES) -> DataFrame:
-    """The features of sampled (toxic, features) that toxic rows hold more often, by a likelihood-ratio statistic of at least `tell`."""
-    n1, n = sampled.agg(F.sum("toxic"), F.count("*")).first()
-    n1, n = float(n1 or 0), float(n or 0)
-    held = sampled.select("toxic", F.explode("features").alias("feature")).groupBy("feature").agg(F.sum("toxic").alias("a"), F.count("*").alias("k")).where("k >= 3")
-    a, k = F.col("a"), F.col("k")
-    term = lambda seen, expected: F.when((seen > 0) & (expected > 0), seen * F.log(seen / expected)).otherwise(0.0)
-    with_it = term(a, k * n1 / max(1.0, n)) + term(k - a, k * (n - n1) / max(1.0, n))
-    without = term(n1 - a, (n - k) * n1 / max(1.0, n)) + term(n - n1 - k + a, (n - k) * (n - n1) / max(1.0, n))
-    g = F.round(2 * (with_it + without), 6)
-    return held.where((a * n > k * n1) & (g >= tell)).orderBy(g.desc(), "feature").limit(most).select("feature")
-
-
-def fit(texts: list[set[str]], toxic: np.ndarray, l2: float = 4.0, steps: int = 400) -> OrdinalModel:
-    """Maximum likelihood with a Gaussian prior around each feature's log-odds, by Adam over the whole sample."""
-    toxic = toxic.astype(bool)
-    known = sorted(set().union(*texts))
-    if not known or toxic.all() or not toxic.any():
-        return OrdinalModel({}, (40.0, 41.0))
-    index = {w: k for k, w in enumerate(known)}
-    rows, cols = np.array([(r, index[w]) for r, found in enumerate(texts) for w in sorted(found)], np.int64).reshape(-1, 2).T
-    y, n, d = grade(texts, toxic), len(texts), len(known)
-    base = [np.clip((y > k).mean(), 0.5 / n, 1 - 0.5 / n) for k in (0, 1)]
-    n1, seen = int(toxic.sum()), np.bincount(cols, minlength=d)
-    bad = np.bincount(cols, toxic[rows].astype(float), d)
-    prior = (np.log((bad + 0.5) / (n1 + 1)) - np.log((seen - bad + 0.5) / (n - n1 + 1))) / 2  # half: words and their beginnings go together
-    theta0 = float(np.log((1 - base[0]) / base[0]))
-    gap = float(np.log(max(0.1, np.log((1 - base[1]) / base[1]) - theta0)))  # theta_1 = theta_0 + exp(gap)
-    p = np.concatenate([prior, [theta0, gap]])
-    m, v = np.zeros_like(p), np.zeros_like(p)
-    sigmoid = lambda x: 1 / (1 + np.exp(np.clip(-x, -40, 40)))
-    for step in range(1, steps + 1):
-        s = np.bincount(rows, p[cols], n)
-        t0, t1 = p[d], p[d] + np.exp(p[d + 1])
-        c0, c1 = sigmoid(s - t0), sigmoid(s - t1)
-        mass = np.maximum(np.where(y == 0, 1 - c0, np.where(y == 1, c0 - c1, c1)), 1e-9)
-        g0, g1 = c0 * (1 - c0), c1 * (1 - c1)
-        by0 = np.where(y == 0, -g0, np.where(y == 1, g0, 0)) / mass  # of the log-likelihood by s - theta_0
-        by1 = np.where(y == 1, -g1, np.where(y == 2, g1, 0)) / mass
-        gradient = np.concatenate([np.bincount(cols, (by0 + by1)[rows], d) - l2 * (p[:d] - prior), [-(by0 + by1).sum(), -(by1.sum()) * np.exp(p[d + 1])]])
-        m, v = 0.9 * m + 0.1 * gradient, 0.999 * v + 0.001 * gradient**2
-        p += 0.05 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-    return OrdinalModel({w: float(p[k]) for w, k in index.items()}, (float(p[d]), float(p[d] + np.exp(p[d + 1]))))
-
-
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> OrdinalModel:
-    """Fits on the `sample` labelled ids with the smallest hashes; only the telling features of those texts come to the driver."""
-    chosen = labels.where("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("_id")).agg(F.max("toxic").alias("_toxic")).orderBy(F.xxhash64("_id"), "_id").limit(sample)
-    texts = docs.select(F.col("doc_id").cast("long").alias("_id"), "text").where("_id is not null").join(F.broadcast(chosen), "_id")
-
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                found = [sorted(features_of(t)) for t in part.column(2).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([int(t > 0) for t in part.column(1).to_pylist()], pa.int32()), pa.array(found, pa.list_(pa.string()))], ["id", "toxic", "features"])
-
-    sampled = texts.select("_id", "_toxic", "text").mapInArrow(rows, "id long, toxic int, features array<string>")
-    rare = F.transform(F.filter("features", lambda f: F.length(f) >= 8), lambda f: F.xxhash64(f))
-    copies = F.xxhash64(F.slice(F.array_sort(rare), 1, 2), F.when(F.size(rare) < 2, F.col("features")))
-    once = sampled.withColumn("h", copies).groupBy("h", "toxic").agg(F.min_by("features", "id").alias("features"), F.min("id").alias("id"))
-    sampled = materialize(once, "labelled-sample")
-    told = telling(sampled)
-    held = sampled.select("id", F.explode("features").alias("feature")).join(F.broadcast(told), "feature").groupBy("id", "feature").count().groupBy("id").agg(F.collect_set("feature").alias("features"))
-    got = sampled.select("id", "toxic").join(held, "id", "left").orderBy("id", "toxic").toPandas()
-    return fit([set(w) if w is not None else set() for w in got["features"]], (got["toxic"] > 0).to_numpy(bool))
-
-
 def score(docs: DataFrame, model: OrdinalModel, reject: float = REJECT) -> DataFrame:
     """docs with severity (the likeliest grade), expected_severity, p_toxic and rejected."""
     out = ["severity", "expected_severity", "p_toxic", "rejected"]

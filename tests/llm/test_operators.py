@@ -246,6 +246,35 @@ def test_scores_against_plain_loops(spark, documents, sf):
         assert r.rejected == (bool(found) and above[0] >= 0.5)
 
 
+def test_no_name_of_the_package_is_defined_twice():
+    import ast
+    import pathlib
+
+    for path in pathlib.Path(toxicity.__file__).parents[1].rglob("*.py"):
+        names = [n.name for n in ast.parse(path.read_text()).body if isinstance(n, (ast.FunctionDef, ast.ClassDef))]
+        assert len(names) == len(set(names)), path
+
+
+def test_toxicity_sample_shift_and_features_of_clean_texts(spark):
+    """A sample smaller than the labels has toxic rows first and its thresholds are shifted back; words of clean texts weigh against; unlike texts of like long words all count."""
+    rng = np.random.Generator(np.random.PCG64(3))
+    made = []
+    for k in range(3000):
+        bad = int(k % 60 == 0)
+        words = [f"w{x}" for x in rng.integers(0, 300, 20)] + ["commonlongword", "anotherlongword"]  # equal long words in all
+        words += ["blunt"] if bad or rng.random() < 0.3 else []
+        words += ["kind"] if not bad and rng.random() < 0.9 else []
+        made.append((k, " ".join(words), bad))
+    df = spark.createDataFrame(made, "doc_id long, text string, toxic int")
+    model = toxicity.train(df, df, sample=100)  # all 50 toxic rows and 50 of 2950 clean ones
+    assert model.weights["kind"] < 0 < model.weights["blunt"]
+    even = toxicity.train(df.where("toxic = 1 or doc_id < 51"), df.where("toxic = 1 or doc_id < 51"), sample=100)
+    assert abs(model.thresholds[0] - even.thresholds[0] - math.log(2950 / 50)) < 1.5 and model.thresholds[0] > 3
+    held = spark.createDataFrame([(1, "w1 w2 blunt and plain"), (2, "w1 w2 kind and plain")], "doc_id long, text string")
+    p = {r.doc_id: r.p_toxic for r in rows(toxicity.score(held, model))}
+    assert p[1] > 10 * p[2]
+
+
 def test_rare_toxicity(spark):
     """One toxic label in a hundred: all are in the sample, held-out ones are caught, clean ones left alone."""
     rng = np.random.Generator(np.random.PCG64(12))
@@ -705,6 +734,44 @@ def test_stages(spark, sf, odd_docs, no_docs, documents):
                 out.count()
 
 
+NAMESAKES = ("severity", "rejected", "expected_severity", "p_toxic", "n_lines", "n_dropped", "of_doc", "similarity", "item_ids", "contaminated", "class_id", "best", "key", "a.b", "_columns_asid")
+
+
+@pytest.mark.parametrize("name", [n for n, _ in corpus_pipeline.STAGES[:-1]])
+def test_stages_keep_namesakes(spark, sf, documents, name):
+    docs = documents.where("doc_id < 60").select(*(F.lit(f"mine {x}").alias(x) for x in NAMESAKES), "text", F.col("n_chars").cast("string").alias("n_chars"), "doc_id", F.lit(1.5).alias("piece"))
+    out = dict(corpus_pipeline.STAGES)[name](spark, docs, sf)
+    assert [(f.name, f.dataType) for f in out.schema] == [(f.name, f.dataType) for f in docs.schema]
+    was = {r["doc_id"]: r.asDict() for r in docs.collect()}
+    got = out.collect()
+    assert got
+    for r in got:
+        assert {k: v for k, v in r.asDict().items() if k != "text"} == {k: v for k, v in was[r["doc_id"]].items() if k != "text"}
+
+
+def test_join_stage_keeps_unlike_texts_of_one_id_and_one_of_equal_rows(spark, sf):
+    text = lambda seed: " ".join(f"w{seed}x{k}" for k in range(60))
+    rows_ = [(1, text(1)), (1, text(1)), (2, text(1)), (2, text(2)), (3, text(3) + " end"), (3, text(4)), (4, text(3)), (5, text(5)), (None, text(1)), (None, text(1)), (6, None), (6, None), (7, "")]
+    rows_ += [(8, text(4) + " near")]
+    got = sorted(map(tuple, rows(corpus_pipeline.ngram_join_stage(spark, spark.createDataFrame(rows_, "doc_id long, text string"), sf))), key=repr)
+    for want in ((1, text(1)), (2, text(2)), (5, text(5)), (6, None), (7, "")):
+        assert got.count(want) == 1
+    assert (2, text(1)) not in got and got.count((None, text(1))) == 2
+    assert sum(t in (text(3), text(3) + " end") for _, t in got) == 1 and sum(t in (text(4), text(4) + " near") for _, t in got) == 1
+    assert len(got) == 9
+
+
+def test_toxicity_stage_is_the_scores_own(spark, sf, documents):
+    """Against plain loops over the model's weights."""
+    model = toxicity.train(documents, spark.read.parquet(f"{sf}/labels.parquet"))
+    want = set()
+    for r in rows(documents):
+        words = set(re.findall(r"\w+", (r.text or "").lower()))
+        x = sum(model.weights.get(w, 0.0) for w in words | {"^" + w[:n] for w in words for n in (4, 5) if len(w) > n})
+        want |= set() if words and 1 / (1 + math.exp(model.thresholds[0] - x)) >= 0.5 else {r.doc_id}
+    assert {r.doc_id for r in rows(corpus_pipeline.toxicity_stage(spark, documents, sf))} == want
+
+
 def test_stages_against_brute_force(spark, sf, documents):
     docs = rows(documents)
     kept = {r.doc_id for r in rows(corpus_pipeline.ngram_join_stage(spark, documents, sf))}
