@@ -54,8 +54,9 @@ def titled_chunks(docs: DataFrame, size: int = SIZE, overlap: int = OVERLAP, min
 
 
 def page_batches(docs: DataFrame, per_batch: int = PAGES_A_BATCH, pattern: str = PAGE) -> DataFrame:
-    """(doc_id, batch, text): the pages that aren't empty, some to a batch."""
+    """(doc_id, batch, text): the pages that aren't empty, some to a batch; a text that isn't blank and has no such page is one."""
     pages = F.filter(F.transform(F.split("text", pattern), strip), lambda p: F.length(p) > 0)
+    pages = F.when((F.size(pages) == 0) & (F.length(strip(F.col("text"))) > 0), F.array("text")).otherwise(pages)
     batches = F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(F.size("p") / per_batch).cast("int") - 1)), lambda b: F.array_join(F.slice("p", b * per_batch + 1, F.lit(per_batch)), "\n\n"))
     return docs.select("doc_id", pages.alias("p")).where(F.size("p") > 0).select("doc_id", F.posexplode(batches).alias("batch", "text"))
 

@@ -6,12 +6,15 @@ expressions. A prompt whose reply failed or isn't JSON is a row with an error be
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from lectern.functions import text as fn
 from lectern.operators import chunking, providers, transcript, upsert
 from lectern.sources.tables import staged
+from lectern.sources.versions import VersionedTable
 
 MIN_CHARS, MIN_WORDS = 30, 15
 ITEM = "struct<lesson_title:string,topic:string,page_number:int,clean_markdown:string,retrieval_keywords:array<string>,sample_questions:array<string>,timestamp_start:string,timestamp_end:string,segment_type:string>"
@@ -80,7 +83,7 @@ def slide_context(slides: DataFrame, configs: DataFrame) -> DataFrame:
 def configured_segments(cues: DataFrame, configs: DataFrame) -> DataFrame:
     """Segments of cues (file, pos, ..., speaker) under their module's config (source_file, module, lecture_start_sec, teaching_speakers, notebook_periods): without what comes before the lecture and in notebooks."""
     one = configs.select(F.col("source_file").alias("file"), "module", "lesson_title", "lecture_start_sec", "teaching_speakers", "notebook_periods")
-    mine = cues.join(F.broadcast(one), "file")  # a row a module
+    mine = cues.join(one, "file")
     mine = mine.where(F.col("ts_start_sec") >= F.coalesce("lecture_start_sec", F.lit(0.0)))
     mine = transcript.drop_periods(mine, F.coalesce("notebook_periods", F.array().cast("array<array<double>>")))
     teacher = F.exists("teaching_speakers", lambda t: F.contains(F.lower("speaker"), F.lower(t)))
@@ -123,12 +126,18 @@ def sample(rows: DataFrame, order: list[str], n: int = 5) -> DataFrame:
     return rows.orderBy(*order).limit(n)
 
 
-def seed(chunks: DataFrame, tables: dict[str, DataFrame], embedder: providers.Embedder, namespace: str, dim: int = 64) -> tuple[dict[str, DataFrame], DataFrame]:
+def seed(chunks: DataFrame, tables: dict[str, DataFrame], embedder: providers.Embedder, namespace: str, dim: int = 64, defaults: dict[str, dict] | None = None) -> tuple[dict[str, DataFrame], DataFrame]:
     """documents, chunks and embeddings with chunks (chunk_id, source_file, line, chunk_text, ...) upserted, and the rows that failed.
 
     Keys are name-based, so a second run changes nothing. A chunk's index counts the lines of its file, with gaps where a
-    row fails: one without an id or a text, or with a vector of another length.
+    row fails: one without an id or a text, or with a vector of another length. Other columns of the tables keep their
+    values, and are those of `defaults`, by table and column, in new rows.
     """
+
+    def more(name: str, rows: DataFrame) -> tuple[DataFrame, tuple[str, ...]]:
+        extra = [f for f in tables[name].schema if f.name not in rows.columns]
+        return rows.withColumns({f.name: F.lit((defaults or {}).get(name, {}).get(f.name)).cast(f.dataType) for f in extra}), tuple(f.name for f in extra)
+
     key = lambda kind, c: fn.uuid5(F.concat(F.lit(f"{kind}::"), c.cast("string")), namespace)
     index = (F.row_number().over(Window.partitionBy("source_file").orderBy("line")) - 1).cast("int")  # the chunks of one file
     named = chunks.withColumns({"document": key("doc", F.col("source_file")), "id": key("chunk", F.col("chunk_id")), "chunk_index": index})
@@ -138,14 +147,40 @@ def seed(chunks: DataFrame, tables: dict[str, DataFrame], embedder: providers.Em
     good = made.where("error is null")
     rows = good.select("id", "document", F.col("chunk_text").alias("text"), "chunk_index", "line")
     vectors = good.select(key("emb", F.col("chunk_id")).alias("id"), F.col("id").alias("chunk"), "embedding", "line")
-    out = {
-        "documents": upsert.insert_if_absent(tables["documents"], docs, "id", "line"),
-        "chunks": upsert.upsert(tables["chunks"], rows, "id", ("document",), "line"),
-        "embeddings": upsert.upsert(tables["embeddings"], vectors, "id", ("chunk",), "line"),
-    }
+    out = {"documents": upsert.insert_if_absent(tables["documents"], more("documents", docs)[0], "id", "line")}
+    for name, new, pin in (("chunks", rows, "document"), ("embeddings", vectors, "chunk")):
+        new, extra = more(name, new)
+        out[name] = upsert.upsert(tables[name], new, "id", (pin, *extra), "line")
     return out, made.where("error is not null").select("chunk_id", "source_file", "line", "error")
 
 
+def seed_tables(chunks: DataFrame, tables: dict[str, VersionedTable], embedder: providers.Embedder, namespace: str, dim: int = 64, slices: int = 1) -> DataFrame:
+    """Seeds versioned tables (documents, chunks, embeddings) and gives the rows that failed. The files are done in `slices`, each a version of
+    each table, parents first: a run that is interrupted keeps the slices before, and a rerun changes nothing in them. If another
+    writer comes between, versions.Conflict is raised and nothing of the slice is lost but its work."""
+    failed = []
+    for k in range(slices):
+        mine = chunks if slices == 1 else chunks.where(F.pmod(F.xxhash64("source_file"), F.lit(slices)) == k)
+        now = {name: tables[name].version() for name in ("documents", "chunks", "embeddings")}
+        last = {name: v.number for name, v in now.items()}
+        defaults = {name: {c["name"]: c["default"] for c in v.columns} for name, v in now.items()}
+        made, bad = seed(mine, {name: tables[name].read(v.number or None) for name, v in now.items()}, embedder, namespace, dim, defaults)
+        for name, number in last.items():
+            tables[name].replace(made[name], after=number, done="seed")
+        failed.append(bad)
+    return reduce(DataFrame.unionByName, failed)
+
+
+def reindex_table(embeddings: VersionedTable, chunks: DataFrame, embedder: providers.Embedder, dim: int = 64) -> DataFrame:
+    """Overwrites a versioned table of embeddings with vectors made anew, and gives the rows that failed, which keep their old vectors. Rows without a chunk stay."""
+    last = embeddings.version().number
+    old = embeddings.read(last)
+    made = staged(reindex(old, chunks, embedder, dim), "reindexed")
+    rest = old.join(made.select("id"), "id", "left_anti")
+    embeddings.replace(made.drop("error").unionByName(rest), after=last, done="reindex")
+    return made.where("error is not null").select("id", "chunk", "error")
+
+
 def reindex(embeddings: DataFrame, chunks: DataFrame, embedder: providers.Embedder, dim: int = 64) -> DataFrame:
     """embeddings (id, chunk, embedding) with vectors made anew from the chunks' texts (id, text), and error: a failed row keeps its old vector."""
     texts = chunks.select(F.col("id").alias("chunk"), F.col("text").alias("of_text"))
@@ -175,9 +210,15 @@ def validate(rows: DataFrame, allowed: dict[str, list[str]]) -> tuple[DataFrame,
 
 
 def lookup(rows: DataFrame, dimension: DataFrame, key: str, default: str) -> DataFrame:
-    """rows with the columns of dimension for their key, those of the key `default` for any other."""
+    """rows with the columns of dimension for their key, those of the key `default` for any other, null if dimension hasn't that key either.
+
+    A key that repeats in dimension has the least of its rows, so that no row is lost or doubled. The join is broadcast
+    by the planner alone, by the size of dimension. Columns of rows keep their values, but those named as dimension's are replaced.
+    """
     names = [c for c in dimension.columns if c != key]
-    one = dimension.select(F.col(key).alias("_known"), F.struct(*names).alias("_found"))
-    other = dimension.where(F.col(key) == default).select(F.struct(*names).alias("_other"))
-    joined = rows.join(F.broadcast(one), F.col(key) == F.col("_known"), "left").join(F.broadcast(other))  # a dimension, and one row of it
-    return joined.select(*rows.columns, *(F.coalesce("_found", "_other")[c].alias(c) for c in names))
+    of, found, other = (next(n for n in (c + "_" * k for k in range(len(rows.columns) + 2)) if n not in rows.columns) for c in ("of", "found", "other"))
+    one = dimension.where(F.col(key).isNotNull()).groupBy(F.col(key).alias(of)).agg(F.min(F.struct(*names)).alias(found))
+    spare = dimension.where(F.col(key) == default).agg(F.min(F.struct(*names)).alias(other))  # one row, always
+    kept = [c for c in rows.columns if c not in names]
+    joined = rows.join(one, rows[key] == F.col(of), "left").crossJoin(spare)  # with one row
+    return joined.select(*(rows[c] for c in kept), *(F.coalesce(found, other)[c].alias(c) for c in names))

@@ -67,39 +67,56 @@ def hashed_embedder(dim: int = 64) -> Embedder:
 
 
 def suggested_wait(error: str) -> float | None:
-    """The seconds that a provider's error asks to wait, as in "retry in 7s" or "retryDelay: 7.5s"."""
-    found = re.search(r"retry(?:[ _-]?delay|[ _-]?after| in)\W{0,4}(\d+(?:\.\d+)?)", error, re.IGNORECASE)
+    """The seconds that a provider's error asks to wait, as in "retry in 7s" or "retryDelay': '7s'"."""
+    found = re.search(r"retry(?:[ _-]?delay|[ _-]?after| in)\W{0,8}(\d+(?:\.\d+)?)", error, re.IGNORECASE)
     return float(found[1]) if found else None
 
 
-def with_retry(calls: list[Callable] | Callable, attempts: int = 3, wait: float = 1.0, pause: Callable[[float], None] = time.sleep) -> Callable:
-    """Calls again after a pause: the one the error asks for, a long one if the provider is overloaded, else a growing one.
+def used_up(error: str) -> bool:
+    """Whether a limit error says that the model's quota of the day is gone, so that no wait helps."""
+    # fixed values: what the provider's error bodies hold
+    return "quotaValue" in error and ("limit: 0" in error or "GenerateRequestsPerDay" in error)
 
-    Of several calls (models), the next takes over at once when the quota of one is used up. The last failure is raised.
+
+def with_retry(calls: list[Callable] | Callable, attempts: int = 5, pause: Callable[[float], None] = time.sleep) -> Callable:
+    """Calls again after a pause, `attempts` times at most; the last failure is raised.
+
+    A limit waits as long as the error asks and 2 s more, else 4, 8, 16, ... s; an overloaded provider 15, 30, ... s; any
+    other error 5 s. Of several calls (models), the next takes over at once, for good, when the quota of the day of one is
+    used up, which counts as an attempt too.
     """
     calls = [calls] if callable(calls) else list(calls)
+    now = [0]  # the model in use, kept between batches
 
     def run(batch: list[str]):
-        model, n = 0, 0
-        while True:
+        for n in range(attempts):
             try:
-                return calls[model](batch)
+                return calls[now[0]](batch)
             except Exception as e:
-                said = str(e).lower()
-                if ("429" in said or "quota" in said) and ("per day" in said or "exhausted" in said) and model + 1 < len(calls):
-                    model, n = model + 1, 0
+                said, small = str(e), str(e).lower()
+                limited = "429" in said or "quota" in small
+                if limited and used_up(said):
+                    if now[0] + 1 == len(calls):
+                        raise
+                    now[0] += 1
+                    if n + 1 == attempts:
+                        raise
                     continue
-                n += 1
-                if n >= attempts:
+                if n + 1 == attempts:
                     raise
                 asked = suggested_wait(said)
-                pause(asked + wait if asked is not None else wait * 15 * n if "503" in said or "unavailable" in said else wait * 2 ** (n - 1))
+                if limited:
+                    pause(asked + 2 if asked else 2.0 ** (n + 2))
+                else:
+                    pause(15.0 * (n + 1) if "503" in said or "unavailable" in small else 5.0)
 
     return run
 
 
-def _one_by_one(call: Callable, given: list) -> list[tuple]:
-    """(result, error) of each; a batch that fails is asked one at a time, so that it loses no more than it must."""
+def by_halves(call: Callable, given: list) -> list[tuple]:
+    """(result, error) of each; a batch that fails is asked in halves, so that one bad row costs about 2 log2(n) calls and no other row its result."""
+    if not given:
+        return []
     try:
         found = list(call(given))
         if len(found) != len(given):
@@ -108,7 +125,8 @@ def _one_by_one(call: Callable, given: list) -> list[tuple]:
     except Exception as e:
         if len(given) == 1:
             return [(None, str(e))]
-    return [_one_by_one(call, [x])[0] for x in given]
+    half = len(given) // 2
+    return by_halves(call, given[:half]) + by_halves(call, given[half:])
 
 
 def complete(prompts: DataFrame, completer: Completer, column: str = "prompt") -> DataFrame:
@@ -116,7 +134,7 @@ def complete(prompts: DataFrame, completer: Completer, column: str = "prompt") -
 
     def rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            found = _one_by_one(completer, frame[column].tolist()) if len(frame) else []
+            found = by_halves(completer, frame[column].tolist())
             yield frame.assign(reply=[x for x, _ in found], error=[e for _, e in found])
 
     schema = prompts.limit(0).withColumns({"reply": F.lit(None).cast("string"), "error": F.lit(None).cast("string")}).schema
@@ -131,7 +149,7 @@ def embed_each(texts: DataFrame, embedder: Embedder, column: str = "text", dim:
             given = frame[column].tolist()
             some = [k for k, x in enumerate(given) if isinstance(x, str)]
             found: list[tuple] = [(None, "no text")] * len(given)
-            for k, (v, e) in zip(some, _one_by_one(embedder, [given[k] for k in some]) if some else [], strict=True):
+            for k, (v, e) in zip(some, by_halves(embedder, [given[k] for k in some]), strict=True):
                 found[k] = (None, f"a vector of length {len(v)}, not {dim}") if e is None and len(v) != dim else (v, e)
             yield frame.assign(embedding=[v for v, _ in found], error=[e for _, e in found])
 

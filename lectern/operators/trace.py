@@ -73,11 +73,6 @@ def answer_cache(answers: DataFrame) -> DataFrame:
     return answers.groupBy("question").pivot("difficulty", ["eli5", "standard", "academia"]).agg(F.max_by("answer", "seq"))
 
 
-def edge_lit(traces: DataFrame, stage: str) -> Column:
-    """Whether a request has come to a stage: by the stages it has seen (an array column), not by how many."""
-    return F.array_contains(traces["stages"], stage)
-
-
 def replay(events: DataFrame, delays: dict[str, int] = STAGES) -> DataFrame:
     """events (request_id, seq, stage, ...) with at_ms: when a canned replay shows each, by the summed delays of its request."""
     delay = F.coalesce(*(F.when(F.col("stage") == s, F.lit(ms)) for s, ms in delays.items()), F.lit(0)).cast("long")

@@ -2,11 +2,19 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
+from collections.abc import Iterator
+from itertools import accumulate
+
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructType
 
 from lectern.functions.text import SPACE, hms, seconds, strip, word_count
-from lectern.operators.folds import fold
+from lectern.sources.tables import staged
 
 MIN_QUESTION_WORDS, GAP, MIN_WORDS, BATCH_WORDS = 6, 30.0, 10, 800
 #: Phrases that tell when a notebook is entered or left. They are flags; filtering goes by periods.
@@ -83,15 +91,124 @@ def keep_long(segments: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
 
 def greedy_batches(segments: DataFrame, most: int = BATCH_WORDS) -> DataFrame:
-    """segments with batch: a fold over the segments of a file; a segment that doesn't fit opens the next batch."""
-
-    def step(state: tuple[int, int] | None, n: int) -> tuple[tuple[int, int], int]:
-        batch, words = state or (0, 0)
-        if words > 0 and words + n > most:
-            batch, words = batch + 1, 0
-        return (batch, words + n), batch
-
-    return fold(segments, "file", ["pos"], "word_count", step, "batch", "long")
+    """segments with batch: a segment that doesn't fit (most words) opens the next batch of its file; a null word_count counts as 0.
+
+    Rows are range-partitioned by (file, pos), so that one file is spread over as many tasks as it has rows for. What the
+    part of a file in a task does depends only on the words that the batch open before it holds, at most `most` or one
+    segment: a task writes this as a table of at most `most` + 2 steps, one task a file chains the tables, and the parts
+    are then batched apart. Files within one task are done at once.
+    """
+    rows = segments.drop("batch")
+    names, at_file, at_words = rows.columns, rows.columns.index("file"), rows.columns.index("word_count")
+    part, steps = (next(n for n in (c + "_" * k for k in range(len(names) + 1)) if n not in names) for c in ("part", "steps"))
+    file = rows.schema["file"].dataType.simpleString()
+    added = StructType.fromDDL(f"batch long, {part} long, {steps} struct<total:long,at:array<long>,batches:array<long>,words:array<long>>")
+    laid = rows.repartitionByRange("file", "pos").sortWithinPartitions("file", "pos")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task = TaskContext.get().partitionId()
+        for group, which in _files(batches, at_file):
+            words = [w or 0 for w in group.column(at_words).to_pylist()]
+            if which is None:
+                batch, table, of = _batch(words, most)[0], None, None
+            else:
+                batch, table, of = [None] * len(words), _steps(words, most), 2 * task + which
+            ends = [None] * (len(words) - 1) + [table]
+            made = [pa.array(batch, pa.int64()), pa.array([of] * len(words), pa.int64()), pa.array(ends, to_arrow_type(added[2].dataType))]
+            yield pa.RecordBatch.from_arrays([*group.columns, *made], [*names, "batch", part, steps])
+
+    held = staged(laid.mapInArrow(cut, StructType(rows.schema.fields + added.fields)), "batched")
+    tables = held.where(F.col(steps).isNotNull()).select("file", part, steps).repartition("file").sortWithinPartitions("file", part)
+
+    def chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, batch, words, begun = None, 0, 0, False
+        for found in batches:
+            out = []
+            for name, of, table in zip(*(c.to_pylist() for c in found.columns), strict=True):
+                if not begun or name != now:
+                    now, batch, words, begun = name, 0, 0, True
+                out.append((of, batch, words))
+                batch, words = _after(table, batch, words, most)
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)] if out else [pa.array([], pa.int64())] * 3, [part, "_batch", "_words"])
+
+    starts = tables.mapInArrow(chain, f"{part} long, _batch long, _words long")
+    parts = held.where(F.col(part).isNotNull()).drop("batch", steps).join(starts, part)
+    parts = parts.repartition(part).sortWithinPartitions(part, "pos").select(*names, part, "_batch", "_words")
+
+    def filled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, state = None, (0, 0)
+        for found in batches:
+            out = []
+            words, of, batch, held_ = (found.column(k).to_pylist() for k in (at_words, len(names), len(names) + 1, len(names) + 2))
+            for n, p, b, w in zip(words, of, batch, held_, strict=True):
+                if p != now:
+                    now, state = p, (b, w)
+                made, *state = _batch([n or 0], most, *state)
+                out += made
+            yield pa.RecordBatch.from_arrays([*found.columns[: len(names)], pa.array(out, pa.int64())], [*names, "batch"])
+
+    return held.where(F.col(part).isNull()).drop(part, steps).unionByName(parts.mapInArrow(filled, StructType(rows.schema.fields + added.fields[:1])))
+
+
+def _batch(words: list[int], most: int, batch: int = 0, held: int = 0) -> tuple[list[int], int, int]:
+    """The batch of each segment from a state on, and the state after them."""
+    out = []
+    for n in words:
+        if held > 0 and held + n > most:
+            batch, held = batch + 1, 0
+        held += n
+        out.append(batch)
+    return out, batch, held
+
+
+def _steps(words: list[int], most: int) -> dict:
+    """What a run of segments does to the batch open before it: it ends at the first segment whose running total is over `most` less its words.
+    For each such total in `at`, how many batches are opened from there on and how many words the last one holds then."""
+    n, sums = len(words), list(accumulate(words, initial=0))
+    opened, left = [0] * (n + 1), [0] * (n + 1)
+    for k in range(n - 1, -1, -1):  # a batch that starts at k ends at the first segment after its first words with which it is over
+        stop = max(k + 1, bisect_right(sums, sums[k], k), bisect_right(sums, sums[k] + most, k) - 1)
+        opened[k], left[k] = (1 + opened[stop], left[stop]) if stop < n else (1, sums[n] - sums[k])
+    at, batches, held = [], [], []
+    for k in range(n):
+        if sums[k] <= most and (not at or sums[k + 1] > at[-1]):
+            at.append(sums[k + 1])
+            batches.append(opened[k])
+            held.append(left[k])
+    return {"total": sums[n], "at": at, "batches": batches, "words": held}
+
+
+def _after(table: dict, batch: int, words: int, most: int) -> tuple[int, int]:
+    """The state after a run of segments."""
+    if words == 0:  # the open batch is empty: the first segment with words is as if it opened it
+        first = next((k for k, x in enumerate(table["at"]) if x > 0), None)
+        return (batch, 0) if first is None else (batch + table["batches"][first] - 1, table["words"][first])
+    k = bisect_right(table["at"], most - words)
+    return (batch, words + table["total"]) if k == len(table["at"]) else (batch + table["batches"][k], table["words"][k])
+
+
+def _files(batches: Iterator[pa.RecordBatch], at: int) -> Iterator[tuple[pa.RecordBatch, int | None]]:
+    """The rows of each file of a task, with 0 for the first and 1 for the last of them, which may go on in other tasks, None for others."""
+    held, name, first = [], None, True
+    for batch in batches:
+        names = batch.column(at).to_pylist()
+        start = 0
+        for k in range(batch.num_rows + 1):
+            if k == batch.num_rows or (held or k > start) and names[k] != name:
+                if k > start:
+                    held.append(batch.slice(start, k - start))
+                if k < batch.num_rows and held:
+                    yield _joined(held), 0 if first else None
+                    held, first = [], False
+                start = k
+            if k < batch.num_rows:
+                name = names[k]
+    if held:
+        yield _joined(held), 0 if first else 1
+
+
+def _joined(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+    return pa.concat_batches(parts) if len(parts) > 1 else parts[0]
 
 
 def batch_heads(batched: DataFrame) -> DataFrame:

@@ -14,9 +14,6 @@ CHUNK = (
     "chunk_id string, source_file string, source_type string, lesson_title string, topic string, section_title string, chunk_index int, page_start int, page_end int, page_number int, chunk_text string, clean_markdown string, "
     "retrieval_keywords array<string>, sample_questions array<string>, token_estimate int, metadata struct<pipeline_owner:string,suffix:string,extractor:string,chunking_method:string,llm_model:string,timestamp_start:string,timestamp_end:string,speakers:array<string>,segment_type:string>, embedding array<float>"
 )
-CONFIG = (
-    "module string, source_file string, lesson_title string, lecture_start_sec double, teaching_speakers array<string>, notebook_periods array<array<double>>"
-)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,10 +25,6 @@ def json_lines(spark: SparkSession, path: str, schema: str = CHUNK) -> DataFrame
     return spark.read.schema(schema).json(path)
 
 
-def module_configs(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(CONFIG).option("multiLine", True).json(path)
-
-
 def text_files(spark: SparkSession, path: str, glob: str = "*", recursive: bool = True) -> DataFrame:
     """(path, file, text): whole files below path, with line ends as line feeds; path tells files of one name apart."""
     read = spark.read.option("pathGlobFilter", glob).option("recursiveFileLookup", recursive).text(path, wholetext=True)
@@ -43,14 +36,18 @@ def write_json_lines(df: DataFrame, path: str) -> None:
     df.write.option("ignoreNullFields", False).json(path)
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """df written as Parquet below spark.checkpoint.dir (a folder of our own only where that is unset) and read again, so that what made it runs once."""
-    spark = df.sparkSession
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path below spark.checkpoint.dir, or below a folder of our own where that is unset and Spark runs in one process."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         if not re.match(r"local(\[|$)", spark.conf.get("spark.master", "local")):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="staged-")
-    path = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """df written as Parquet at a new shared path and read again, so that what made it runs once."""
+    path = shared_path(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -46,18 +46,16 @@ def rate_limit(requests: DataFrame, window: int = WINDOW_SECONDS, most: int = MO
     return requests.groupBy("key").applyInPandasWithState(step, "key long, id long, accepted boolean", "log array<double>", "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
-def token_events(tokens: DataFrame) -> DataFrame:
-    """Tokens of (request_id, seq, tokens) as compose events that are active, numbered on from seq."""
-    each = tokens.select("request_id", "seq", F.posexplode("tokens").alias("at", "token"))
-    return each.select("request_id", (F.col("seq") + F.col("at")).alias("seq"), F.lit("compose").alias("stage"), F.lit("active").alias("status"), "token")
+def stage_events(records: DataFrame) -> DataFrame:
+    """The events that records (request_id, seq, kind, stage, status, detail, token) of replies stand for: a token is compose
+    that is active, an error is its stage's with its detail, an event stays as it is, and done, which ends a request, is none."""
+    kind = F.col("kind")
+    stage = F.when(kind == "token", "compose").otherwise(F.col("stage"))
+    status = F.when(kind == "token", "active").when(kind == "error", "error").otherwise(F.col("status"))
+    return records.where(kind.isin("event", "token", "error")).select("request_id", "seq", stage.alias("stage"), status.alias("status"), F.when(kind != "token", F.col("detail")).alias("detail"), F.when(kind == "token", F.col("token")).alias("token"))
 
 
 def feed(events: DataFrame, path: str, checkpoint: str) -> DataStreamWriter:
     """Server-sent lines of a stream of events as text files."""
     lines = events.select(server_sent(F.struct(*(c for c in events.columns if c not in ("request_id", "seq")))).alias("value"))
     return lines.writeStream.format("text").option("path", path).option("checkpointLocation", checkpoint)
-
-
-def stage_counts(events: DataFrame, late: str = "10 minutes", window: str = "5 minutes") -> DataFrame:
-    """Events by stage and window of their ts, with late rows up to the watermark."""
-    return events.withWatermark("ts", late).groupBy(F.window("ts", window), "stage").agg(F.count("*").alias("n"))

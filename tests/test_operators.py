@@ -332,11 +332,18 @@ def test_retry_waits_and_models(spark):
 
         return call
 
-    call = providers.with_retry([model("a", ["429 slow down, retry in 7s", "503 unavailable", "quota exhausted per day"]), model("b", ["odd"])], attempts=4, pause=waits.append)
-    assert call(["x"]) == ["b"] and said == ["a", "a", "a", "b", "b"]
-    assert waits == [8.0, 30.0, 1.0]
+    gone = "429 RESOURCE_EXHAUSTED quotaValue: '20' GenerateRequestsPerDayPerProject"
+    call = providers.with_retry([model("a", ["429 RESOURCE_EXHAUSTED {'retryDelay': '7s'}", "429 slow down", "503 unavailable", gone]), model("b", [])], attempts=6, pause=waits.append)
+    assert call(["x"]) == ["b"] and said == ["a", "a", "a", "a", "b"]
+    assert waits == [9.0, 8.0, 45.0]  # the asked delay and 2, the second of 4, 8, ..., the third of 15, 30, ...
+    assert call(["y"]) == ["b"] and said[5:] == ["b"]  # the model whose day is over isn't asked again
+    del waits[:], said[:]
     with pytest.raises(RuntimeError):
-        providers.with_retry(model("c", ["e"] * 9), attempts=2, pause=waits.append)(["x"])
+        providers.with_retry(model("c", ["e"] * 9), attempts=3, pause=waits.append)(["x"])
+    assert waits == [5.0, 5.0] and said == ["c"] * 3
+    with pytest.raises(RuntimeError):
+        providers.with_retry([model("d", ["quotaValue quota limit: 0"])], pause=waits.append)(["x"])
+    assert len(waits) == 2  # no wait helps
     assert providers.named_completer("fast", {"a": providers.extractive}, {"fast": "a"}) is providers.extractive
 
 
@@ -351,6 +358,20 @@ def test_one_bad_prompt_costs_itself_alone(spark):
     assert got == {k: (None, "no") if k == 5 else (f"P{k}", None) for k in range(20)}
 
 
+def test_a_bad_prompt_among_many_costs_few_calls():
+    calls = []
+
+    def picky(prompts):
+        calls.append(len(prompts))
+        if 700 in prompts:
+            raise ValueError("no")
+        return prompts
+
+    got = providers.by_halves(picky, list(range(1000)))
+    assert [k for k, (_, e) in enumerate(got) if e] == [700] and len(calls) <= 21
+    assert providers.by_halves(lambda p: p[:-1], [1, 2])[0][1] == "0 results for 1 rows"
+
+
 def test_prose(spark):
     texts = {
         1: "a **b**\n*c* `d` [1] [7]\n\n|x|y|\n|:-:|-|\n|<|2|3|\n|---|\n- p\n* q\n1. r\n## S\n## T\n### U",
