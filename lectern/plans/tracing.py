@@ -4,7 +4,8 @@ from pyspark.sql import functions as F
 
 from lectern.operators import trace
 from lectern.plans.registry import registry
-from lectern.sources.tables import table
+from lectern.sources.tables import shared_path, table
+from lectern.streaming import stages
 
 QUERIES, ORACLE, query = registry()
 NAMES = list(trace.STAGES)
@@ -15,7 +16,7 @@ s as (select user_id as request_id, seq, {LIST}[((seq - 1) % 9 + 1)::int] as sta
  case when event_id % 3 = 0 then 'BELOW 0.80' else 'PASS' end as verdict, event_type = 'view' and event_id % 2 = 0 as is_token, value as score from n)"""
 
 
-def staged(spark, sf_dir):
+def staged(spark, sf_dir, *more):
     """Events in order of (ts, event_id) walk through the stages."""
     from pyspark.sql import Window
 
@@ -23,7 +24,7 @@ def staged(spark, sf_dir):
     i, kind = F.col("event_id"), F.col("event_type")
     stage = F.element_at(F.array(*map(F.lit, NAMES)), ((F.col("seq") - 1) % 9 + 1).cast("int"))
     status = F.when((kind == "error") & (i % 5 == 0), "error").when(i % 13 == 0, "active").otherwise("done")
-    return e.select(F.col("user_id").alias("request_id"), "seq", stage.alias("stage"), status.alias("status"), F.when(i % 3 == 0, "BELOW 0.80").otherwise("PASS").alias("verdict"), ((kind == "view") & (i % 2 == 0)).alias("is_token"), F.col("value").alias("score"))
+    return e.select(F.col("user_id").alias("request_id"), "seq", stage.alias("stage"), status.alias("status"), F.when(i % 3 == 0, "BELOW 0.80").otherwise("PASS").alias("verdict"), ((kind == "view") & (i % 2 == 0)).alias("is_token"), F.col("value").alias("score"), *more)
 
 
 @query(f"""with {EVENTS}, r as (select * from s where not is_token), e as (select request_id, min(seq) as end_seq from r where status = 'error' or (stage = 'compose' and status = 'done') group by request_id),
@@ -79,3 +80,21 @@ def server_sent_events(spark, sf_dir):
     s = staged(spark, sf_dir)
     event = F.struct("stage", "status", F.when(F.col("status") == "done", F.col("verdict")).alias("verdict"))
     return s.select("request_id", "seq", trace.server_sent(event).alias("line"))
+
+
+@query(f"""with {EVENTS}, r as (select * from s where not is_token), e as (select request_id, min(seq) as end_seq from r where status = 'error' or (stage = 'compose' and status = 'done') group by request_id),
+k as (select r.*, end_seq from r left join e using (request_id) where end_seq is null or seq <= end_seq),
+t as (select request_id, count(*) filter (where status <> 'error') as n_events, max_by(stage, seq) as last_stage, count(*) filter (where status <> 'error') - 1 as active_index, bool_or(status = 'error') as failed, bool_or(stage = 'compose' and status = 'done') as finished, max_by(stage, seq) filter (where status = 'done') as done, bool_and(end_seq is null) as silent from k group by request_id)
+select request_id, n_events, last_stage, active_index, failed, finished, case when not failed and not silent then null when done is null then 'route' else {LIST}[least(9, list_position({LIST}, done) + 1)::int] end as failed_stage, silent from t""")
+def streamed_traces(spark, sf_dir):
+    """The events as a stream of files that hold them in no order; a last event long after lets all requests be reduced."""
+    rows = staged(spark, sf_dir, F.col("ts").cast("timestamp").alias("ts")).select("request_id", "seq", "ts", "stage", "status", "is_token")
+    folder, out, checkpoint = (shared_path(spark, n) for n in ("events", "traces", "traces-checkpoint"))
+    late = spark.sql("select -1L as request_id, 1L as seq, timestamp '2100-01-01' as ts, 'route' as stage, 'done' as status, false as is_token")
+    for k in range(5):
+        part = rows.where(F.pmod(F.xxhash64("request_id", "seq"), F.lit(3)) == k) if k < 3 else late.withColumn("seq", F.lit(k).cast("long"))
+        part.write.mode("append").parquet(folder)
+        read = spark.readStream.schema(rows.schema).parquet(folder)
+        # the months of the table are one batch's lateness here
+        stages.traces(read, late="365 days").writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(stages.TRACE).parquet(out).where("request_id >= 0")

@@ -10,9 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from lectern.operators.trace import MOST_REQUESTS, WINDOW_SECONDS, server_sent
+from lectern.operators.trace import MOST_REQUESTS, STAGES, WINDOW_SECONDS, server_sent
 
-EVENT = "request_id string, seq long, stage string, status string, detail string, verdict string, token string"
 
 
 def rate_limit(requests: DataFrame, window: int = WINDOW_SECONDS, most: int = MOST_REQUESTS, idle: int = 3600) -> DataFrame:
@@ -46,6 +45,61 @@ def rate_limit(requests: DataFrame, window: int = WINDOW_SECONDS, most: int = MO
     return requests.groupBy("key").applyInPandasWithState(step, "key long, id long, accepted boolean", "log array<double>", "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
+TRACE = "request_id long, n_events long, last_stage string, active_index long, failed boolean, finished boolean, failed_stage string, silent boolean"
+
+
+def traces(events: DataFrame, late: str = "10 minutes", settle: int = 60, idle: int = 3600) -> DataFrame:
+    """A trace of each request of a stream of (request_id, seq, ts, stage, status, is_token), as reduce_traces and failure_stage give it.
+
+    An error or compose/done ends a request, whatever the order in which its events come: it is reduced when the watermark
+    (`late` behind the newest ts) has passed its newest event by `settle` seconds, or by `idle` seconds if no end has come,
+    and is then silent, failed at the stage after its last one that was done. The state of a request is its events up to its
+    end, without tokens; once reduced it is a mark that later events are dropped by, which goes after another `idle` seconds.
+    Rows without a ts or a request_id are dropped, and a trace that has token events alone isn't one.
+    """
+
+    def reduced(rows: list[tuple]) -> dict | None:
+        rows = sorted(rows)
+        if not rows:
+            return None
+        seq, stage, status = rows[-1]
+        bad = [r for r in rows if r[2] == "error"]
+        ended = status == "error" or (stage, status) == ("compose", "done")
+        done = [r[1] for r in rows if r[2] == "done" and (not bad or r[0] < bad[0][0])]
+        good = len(rows) - len(bad)
+        names = list(STAGES)
+        after = (names[min(names.index(done[-1]) + 1, len(names) - 1)] if done[-1] in names else names[0]) if done else names[0]
+        return {"n_events": good, "last_stage": stage, "active_index": good - 1, "failed": bool(bad), "finished": any(r[1:] == ("compose", "done") for r in rows), "failed_stage": after if bad or not ended else None, "silent": not ended}
+
+    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        over, newest, seqs, names, statuses = state.get if state.exists else (False, 0, [], [], [])
+        rows = list(zip(seqs, names, statuses, strict=True))
+        if state.hasTimedOut:
+            found = None if over else reduced(rows)
+            if over:
+                state.remove()
+            else:
+                state.update((True, newest, [], [], []))
+                state.setTimeoutTimestamp(state.getCurrentWatermarkMs() + idle * 1000)
+            if found is not None:
+                yield pd.DataFrame([{"request_id": key[0], **found}])
+            return
+        for frame in frames:
+            newest = max(newest, int(frame["ts"].max().value // 10**6))
+            if not over:
+                kept = frame[~frame["is_token"].fillna(False).astype(bool)]
+                rows += list(zip(kept["seq"].tolist(), kept["stage"].tolist(), kept["status"].tolist(), strict=True))
+        ends = [r[0] for r in rows if r[2] == "error" or r[1:] == ("compose", "done")]
+        if ends:
+            rows = [r for r in rows if r[0] <= min(ends)]
+        state.update((over, newest, [r[0] for r in rows], [r[1] for r in rows], [r[2] for r in rows]))
+        state.setTimeoutTimestamp(max(newest + (settle if ends else idle) * 1000, state.getCurrentWatermarkMs() + 1))
+
+    kept = events.where("ts is not null and request_id is not null").select("request_id", "seq", "ts", "stage", "status", "is_token").withWatermark("ts", late)
+    held = "over boolean, newest long, seqs array<long>, stages array<string>, statuses array<string>"
+    return kept.groupBy("request_id").applyInPandasWithState(step, TRACE, held, "append", GroupStateTimeout.EventTimeTimeout)
+
+
 def stage_events(records: DataFrame) -> DataFrame:
     """The events that records (request_id, seq, kind, stage, status, detail, token) of replies stand for: a token is compose
     that is active, an error is its stage's with its detail, an event stays as it is, and done, which ends a request, is none."""

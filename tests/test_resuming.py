@@ -192,3 +192,25 @@ def test_a_text_without_pages_is_one_batch(spark):
     rows = spark.createDataFrame([(1, "\f\f--\f"), (2, "--"), (3, " \n"), (4, None), (5, "a--b")], "doc_id int, text string")
     got = {(r.doc_id, r.batch, r.text) for r in chunking.page_batches(rows, pattern="--").collect()}
     assert got == {(1, 0, "\f\f--\f"), (2, 0, "--"), (5, 0, "a\n\nb")}
+
+
+def test_traces_as_a_stream(spark, tmp_path):
+    """Ends by error and by compose, silence, tokens alone, events after the end and after the trace, null times."""
+    schema = "request_id long, seq long, ts timestamp, stage string, status string, is_token boolean"
+    files = [
+        [(1, 3, 30, "compose", "done", False), (1, 1, 10, "route", "done", False), (2, 2, 20, "rewrite", "error", False), (3, 1, 10, "route", "done", False), (4, 1, 5, "compose", "active", True)],
+        [(1, 2, 20, "compose", "active", True), (1, 4, 40, "evaluate1", "done", None), (2, 1, 10, "route", "done", None), (3, 2, 20, "odd", "done", False), (None, 1, 5, "route", "done", False)],
+        [(9, 1, 5000, "route", "done", False)],
+        [(9, 2, 5001, "rewrite", "done", False), (1, 5, 5001, "compose", "error", False)],  # 1 has been reduced by now
+        [(9, 3, 80000, "compose", "done", False)],
+        [(9, 4, 80001, "compose", "done", False)],
+    ]
+    folder, out, checkpoint = (f"file://{tmp_path}/{n}" for n in ("in", "out", "checkpoint"))
+    for rows in files:
+        made = spark.createDataFrame([(i, q, s, stage, status, token) for i, q, s, stage, status, token in rows], "request_id long, seq long, at long, stage string, status string, is_token boolean")
+        made.select("request_id", "seq", F.expr("timestamp '2024-01-01' + make_interval(0, 0, 0, 0, 0, 0, at)").alias("ts"), "stage", "status", "is_token").write.mode("append").parquet(folder)
+        read = spark.readStream.schema(schema).parquet(folder)
+        stages.traces(read, late="10 seconds", settle=60, idle=3600).writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    got = {r.request_id: tuple(r)[1:] for r in spark.read.schema(stages.TRACE).parquet(out).collect()}
+    got.pop(9, None)
+    assert got == {1: (2, "compose", 1, False, True, None, False), 2: (1, "rewrite", 0, True, False, "rewrite", False), 3: (2, "odd", 1, False, False, "route", True)}
