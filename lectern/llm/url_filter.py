@@ -24,17 +24,18 @@ from pyspark.sql import functions as F
 
 from lectern.llm.base import fresh
 
-HOST = r"^(?i)https?://(?:[^/?#@]*@)?([^/?#:\\@]+)"
+HOST = r"^(?i)https?://(?:[^/?#@]*@)?(\[[^\]/?#@]*\]|[^/?#:\\@]+)"
 
 
 def host(url: Column) -> Column:
-    found = F.lower(F.regexp_extract(url, HOST, 1))
+    """The lower-cased host of a url, a bracketed address whole, without the dot that a full name may end with; null without one."""
+    found = F.regexp_replace(F.lower(F.regexp_extract(url, HOST, 1)), r"\.$", "")
     return F.when(found != "", found)
 
 
 def intervals(entries: DataFrame) -> DataFrame:
     """(entry, action, since, until): when each listed entry holds, until excluded and null while it still holds."""
-    dated = entries.where("entry is not null and since is not null").select(F.lower("entry").alias("entry"), "action", "event", "since")
+    dated = entries.where("entry is not null and since is not null").select(F.regexp_replace(F.lower("entry"), r"\.$", "").alias("entry"), "action", "event", "since")
     last = dated.groupBy("entry", "since").agg(F.max(F.struct("event", "action")).alias("e"))
     order = Window.partitionBy("entry").orderBy("since")  # the history of one entry
     return last.withColumn("until", F.lead("since").over(order)).where("e.event = 'add'").select("entry", F.col("e.action").alias("action"), "since", "until")

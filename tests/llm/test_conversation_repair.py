@@ -97,8 +97,16 @@ def test_whole_table(spark, sf):
     assert got == {c: brute(rows) for c, rows in want.items()}
 
 
+@pytest.fixture(params=["true", "false"])
+def joined_tasks(spark, request):
+    """Small partitions joined, and left as they are, so that conversations go on from task to task."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", request.param)
+    yield
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+
+
 @pytest.mark.parametrize("block", [2, 5, repair.BLOCK])
-def test_long_conversations_nulls_ties_and_repeats(spark, block):
+def test_long_conversations_nulls_ties_and_repeats(spark, block, joined_tasks):
     rnd = random.Random(3)
     text = lambda k: rnd.choice([None, "", " \n", "same.", "same.", f"text {k}.", f"text {k}", f"text {k}?\t", "x" * 3000 + "."])
     rows = [(1, k // 2, rnd.choice(["user", "assistant", "system"]), text(k)) for k in range(90)]  # one conversation of many rows

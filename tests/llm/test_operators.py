@@ -246,6 +246,15 @@ def test_scores_against_plain_loops(spark, documents, sf):
         assert r.rejected == (bool(found) and above[0] >= 0.5)
 
 
+def test_hosts_of_odd_urls(spark):
+    urls = {"http://[::1]:80/a": "[::1]", "http://u@[2001:DB8::2]/": "[2001:db8::2]", "http://a.org./x": "a.org", "http://A.org:8/": "a.org", "http://./": None, "http://[/": "[", "ftp://a/": None, "https://" + "x" * 70_000 + ".org/" + "y" * 70_000: "x" * 70_000 + ".org"}
+    df = spark.createDataFrame([(u,) for u in urls], "url string").select("url", url_filter.host(F.col("url")).alias("host"))
+    assert {r.url: r.host for r in df.collect()} == urls
+    entries = spark.createDataFrame([("a.org.", "block", "add", "2024-01-01"), ("[::1]", "block", "add", "2024-01-01")], "entry string, action string, event string, since string").withColumn("since", F.col("since").cast("date"))
+    captures = spark.createDataFrame([(k, u) for k, u in enumerate(("http://a.org./x", "http://b.a.org/", "http://[::1]:80/a", "http://b.org"))], "page_id long, url string").withColumn("fetched", F.lit("2024-02-01").cast("date"))
+    assert {r.page_id: r.blocked for r in url_filter.judge(captures, entries).collect()} == {0: True, 1: True, 2: True, 3: False}
+
+
 def test_no_name_of_the_package_is_defined_twice():
     import ast
     import pathlib
