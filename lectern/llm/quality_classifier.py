@@ -176,7 +176,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     for k in range(ROUNDS):
         start = spark.sparkContext.broadcast(model)
 
-        got = held.groupBy("slot").applyInArrow(_trainer(start, k), "n long, vectors binary, layer binary, bias binary").orderBy("n", F.crc32("vectors")).collect()  # TRAINERS models
+        made = held.repartition(TRAINERS, "slot").groupBy("slot").applyInArrow(_trainer(start, k), "n long, vectors binary, layer binary, bias binary")
+        got = sorted(made.collect(), key=lambda r: (r["n"], crc32(r["vectors"])))  # TRAINERS models, in an order of their own
         if not got:
             return Model.fresh()
         weight = np.array([r["n"] for r in got], float) / sum(r["n"] for r in got)
