@@ -73,6 +73,14 @@ def answer_cache(answers: DataFrame) -> DataFrame:
     return answers.groupBy("question").pivot("difficulty", ["eli5", "standard", "academia"]).agg(F.max_by("answer", "seq"))
 
 
+def lit_edges(events: DataFrame, edges: list[tuple[str, str]]) -> DataFrame:
+    """(request_id, from_stage, to_stage, lit) of every request and edge: lit if the request has come to the edge's end, by the stages seen, not by how many."""
+    ends = sorted({b for _, b in edges})
+    seen = events.groupBy("request_id").agg(F.collect_set(F.when(F.col("stage").isin(ends), F.col("stage"))).alias("seen"))  # a few names
+    each = F.explode(F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in edges)))
+    return seen.select("request_id", "seen", each.alias("e")).select("request_id", F.col("e.a").alias("from_stage"), F.col("e.b").alias("to_stage"), F.array_contains("seen", F.col("e.b")).alias("lit"))
+
+
 def replay(events: DataFrame, delays: dict[str, int] = STAGES) -> DataFrame:
     """events (request_id, seq, stage, ...) with at_ms: when a canned replay shows each, by the summed delays of its request."""
     delay = F.coalesce(*(F.when(F.col("stage") == s, F.lit(ms)) for s, ms in delays.items()), F.lit(0)).cast("long")

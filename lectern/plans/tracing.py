@@ -82,6 +82,12 @@ def server_sent_events(spark, sf_dir):
     return s.select("request_id", "seq", trace.server_sent(event).alias("line"))
 
 
+@query(f"""with {EVENTS}, d as (select request_id, list(distinct stage) as seen from s where status = 'done' group by request_id), x as (select unnest(range(1, 9)) as i)
+select request_id, {LIST}[i] as from_stage, {LIST}[i + 1] as to_stage, list_contains(seen, {LIST}[i + 1]) as lit from d, x""")
+def lit_edges(spark, sf_dir):
+    return trace.lit_edges(staged(spark, sf_dir).where("status = 'done'"), list(zip(NAMES, NAMES[1:], strict=False)))
+
+
 @query(f"""with {EVENTS}, r as (select * from s where not is_token), e as (select request_id, min(seq) as end_seq from r where status = 'error' or (stage = 'compose' and status = 'done') group by request_id),
 k as (select r.*, end_seq from r left join e using (request_id) where end_seq is null or seq <= end_seq),
 t as (select request_id, count(*) filter (where status <> 'error') as n_events, max_by(stage, seq) as last_stage, count(*) filter (where status <> 'error') - 1 as active_index, bool_or(status = 'error') as failed, bool_or(stage = 'compose' and status = 'done') as finished, max_by(stage, seq) filter (where status = 'done') as done, bool_and(end_seq is null) as silent from k group by request_id)
