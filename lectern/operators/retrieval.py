@@ -124,3 +124,8 @@ def context(found: DataFrame, limit: int) -> DataFrame:
     """One numbered context text of the chunks in order."""
     part = F.struct("rank", F.format_string("[%d] %s", F.col("rank"), F.substring("text", 1, limit)).alias("t"))
     return found.agg(F.array_join(F.transform(F.array_sort(F.collect_list(part)), lambda x: x["t"]), "\n\n").alias("context"))
+
+
+def locator(metadata: Column, *keys: str) -> Column:
+    """Where in its file a chunk stands: the first of the keys that its metadata, a JSON object, has as text; null if none, or if it isn't JSON."""
+    return F.coalesce(*(F.get_json_object(metadata, f"$.{k}") for k in keys), F.lit(None).cast("string"))

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from lectern.operators import trace
+from lectern.operators import retrieval, trace
 from lectern.plans.registry import registry
 from lectern.sources.tables import shared_path, table
 from lectern.streaming import stages
@@ -104,3 +104,12 @@ def streamed_traces(spark, sf_dir):
         # the months of the table are one batch's lateness here
         stages.traces(read, late="365 days").writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(stages.TRACE).parquet(out).where("request_id >= 0")
+
+
+@query("select event_id, coalesce(json_extract_string(props, '$.timestamp_start'), json_extract_string(props, '$.k')) as ts from (select event_id, case when event_id % 5 = 0 then 'no json' when event_id % 3 = 0 then '{\"timestamp_start\":\"00:0' || event_id % 10 || ':00\",\"k\":1}' else props end as props from events where event_id % 5 <> 0) union all select event_id, null from events where event_id % 5 = 0")
+def json_locators(spark, sf_dir):
+    """Metadata of three kinds: with a time, with another key alone, and no JSON."""
+    i = F.col("event_id")
+    timed = F.concat(F.lit('{"timestamp_start":"00:0'), (i % 10).cast("string"), F.lit(':00","k":1}'))
+    e = table(spark, sf_dir, "events").select("event_id", F.when(i % 5 == 0, "no json").when(i % 3 == 0, timed).otherwise(F.col("props")).alias("props"))
+    return e.select("event_id", retrieval.locator(F.col("props"), "timestamp_start", "k").alias("ts"))
