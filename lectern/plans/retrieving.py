@@ -4,9 +4,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.functions.text import module_of, route_label, slugify, uuid5
-from lectern.operators import chunking, retrieval
+from lectern.operators import chunking, index, retrieval
 from lectern.plans.registry import registry
-from lectern.sources.tables import table
+from lectern.sources.tables import shared_path, table
 
 QUERIES, ORACLE, query = registry()
 #: Fixed value: the namespace of our document keys.
@@ -42,14 +42,25 @@ def vector_topk_boosted(spark, sf_dir):
     return retrieval.top_k(chunks(spark, sf_dir), vector(spark, sf_dir, 1), 8, "3.4").select("id", "mod", "file", "snip", "score", "rank")
 
 
-@query("""with q as (select vec_id as qid, embedding as qe from embeddings where vec_id % 20 = 0)
+MANY = """with q as (select vec_id as qid, embedding as qe from embeddings where vec_id % 20 = 0)
 select qid, vec_id as id, round(list_cosine_similarity(embedding::double[], qe::double[]), 6) as score, row_number() over (partition by qid order by round(list_cosine_similarity(embedding::double[], qe::double[]), 6) desc, vec_id) as rank
-from embeddings, q qualify rank <= 8""")
+from embeddings, q qualify rank <= 8"""
+
+
+@query(MANY)
 def vector_topk_multi(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
     return retrieval.top_k_many(e, e.where("id % 20 = 0").withColumnRenamed("id", "qid"), 8)
 
 
+@query(MANY)
+def indexed_topk(spark, sf_dir):
+    """The same by way of an index that is built first."""
+    e, path = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding"), shared_path(spark, "index")
+    index.build(e, path, lists=32)
+    return index.search(spark, path, e.where("id % 20 = 0").withColumnRenamed("id", "qid"), 8)
+
+
 WEIGHED = "w as (select *, round(least(score * case source_type when 'pdf' then 1.2::double when 'textbook' then 1.2::double when 'transcript' then 0.9::double else 1::double end, 1::double), 6) as weighted from f), g as (select *, row_number() over (order by weighted desc, rank) as new_rank from w)"
 
 
