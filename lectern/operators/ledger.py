@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
-from lectern.operators.providers import Completer, by_halves
+from lectern.operators.providers import Completer, Limit, by_halves
 from lectern.sources.tables import staged
 
 _ENTRY = "digest string, reply string"
@@ -71,8 +71,9 @@ def _keep(path: str, name: str, entries: dict[str, str]) -> None:
     system.move(beside, at)
 
 
-def ask(prompts: DataFrame, completer: Completer, path: str, model: str, column: str = "prompt", batch: int = 64) -> DataFrame:
+def ask(prompts: DataFrame, completer: Completer, path: str, model: str, column: str = "prompt", batch: int = 64, limit: Limit | None = None) -> DataFrame:
     """prompts with reply and error, asked of a completer by way of the ledger at path; batches of at most `batch` prompts."""
+    limit = limit and limit.of(prompts.sparkSession)
     prompts = prompts.drop("reply", "error")
     key = next(n for n in ("digest" + "_" * k for k in range(len(prompts.columns) + 1)) if n not in prompts.columns)
     keyed = prompts.withColumn(key, digest(model, F.col(column)))
@@ -81,13 +82,14 @@ def ask(prompts: DataFrame, completer: Completer, path: str, model: str, column:
     missing = wanted.join(known, "digest", "left_anti").repartition("digest").sortWithinPartitions("digest")
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        call = limit.spaced(completer) if limit else completer
         for found in batches:
             for at in range(0, found.num_rows, batch):
                 digests, texts = (c.to_pylist() for c in found.slice(at, batch).columns)
                 name = hashlib.sha256("".join(digests).encode()).hexdigest() + ".parquet"
                 had = _load(path, name)  # of an attempt before
                 left = [(d, t) for d, t in zip(digests, texts, strict=True) if d not in had]
-                made = dict(zip((d for d, _ in left), by_halves(completer, [t for _, t in left]), strict=True))
+                made = dict(zip((d for d, _ in left), by_halves(call, [t for _, t in left]), strict=True))
                 good = {d: r for d, (r, e) in made.items() if e is None}
                 if good:
                     _keep(path, name, had | good)

@@ -6,11 +6,12 @@ import hashlib
 import re
 import time
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from typing import Protocol
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -113,6 +114,46 @@ def with_retry(calls: list[Callable] | Callable, attempts: int = 5, pause: Calla
     return run
 
 
+@dataclass(frozen=True)
+class Limit:
+    """At most `per_second` calls over all tasks, of which `tasks` run at once; each attempt is a call.
+
+    A task keeps 1 / (its share) s between its calls, from its start on, so that any t seconds see per_second * t + tasks
+    calls at most, however many tasks follow each other. tasks is the session's parallelism by default: give it where
+    executors may be added. Where an error names a delay, its task waits as long before the next call.
+    """
+
+    per_second: float
+    tasks: int | None = None
+    attempts: int = 1
+
+    def __post_init__(self):
+        if not self.per_second > 0 or (self.tasks is not None and self.tasks < 1):
+            raise ValueError("per_second and tasks must be positive")
+
+    def of(self, spark: SparkSession) -> Limit:
+        """This limit with tasks set."""
+        return Limit(self.per_second, self.tasks or max(1, spark.sparkContext.defaultParallelism), self.attempts)
+
+    def spaced(self, call: Callable, clock: Callable[[], float] = time.monotonic, pause: Callable[[float], None] = time.sleep) -> Callable:
+        """call under the share of one task, made in the task."""
+        gap = (self.tasks or 1) / self.per_second
+        free = [clock() + gap]  # when the next call may be made
+
+        def run(batch: list):
+            wait = free[0] - clock()
+            if wait > 0:
+                pause(wait)
+            free[0] = clock() + gap
+            try:
+                return call(batch)
+            except Exception as e:
+                free[0] = max(free[0], clock() + (suggested_wait(str(e)) or 0.0))
+                raise
+
+        return run if self.attempts == 1 else with_retry(run, self.attempts, pause)
+
+
 def by_halves(call: Callable, given: list) -> list[tuple]:
     """(result, error) of each; a batch that fails is asked in halves, so that one bad row costs about 2 log2(n) calls and no other row its result."""
     if not given:
@@ -129,27 +170,31 @@ def by_halves(call: Callable, given: list) -> list[tuple]:
     return by_halves(call, given[:half]) + by_halves(call, given[half:])
 
 
-def complete(prompts: DataFrame, completer: Completer, column: str = "prompt") -> DataFrame:
+def complete(prompts: DataFrame, completer: Completer, column: str = "prompt", limit: Limit | None = None) -> DataFrame:
     """prompts with reply and error: a prompt that fails has an error in place of a reply, and the run goes on."""
+    limit = limit and limit.of(prompts.sparkSession)
 
     def rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        call = limit.spaced(completer) if limit else completer
         for frame in frames:
-            found = by_halves(completer, frame[column].tolist())
+            found = by_halves(call, frame[column].tolist())
             yield frame.assign(reply=[x for x, _ in found], error=[e for _, e in found])
 
     schema = prompts.limit(0).withColumns({"reply": F.lit(None).cast("string"), "error": F.lit(None).cast("string")}).schema
     return prompts.mapInPandas(rows, schema)
 
 
-def embed_each(texts: DataFrame, embedder: Embedder, column: str = "text", dim: int = 64) -> DataFrame:
+def embed_each(texts: DataFrame, embedder: Embedder, column: str = "text", dim: int = 64, limit: Limit | None = None) -> DataFrame:
     """texts with embedding and error: a null text, a failed call and a vector of another length than dim are errors of their rows."""
+    limit = limit and limit.of(texts.sparkSession)
 
     def rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        call = limit.spaced(embedder) if limit else embedder
         for frame in frames:
             given = frame[column].tolist()
             some = [k for k, x in enumerate(given) if isinstance(x, str)]
             found: list[tuple] = [(None, "no text")] * len(given)
-            for k, (v, e) in zip(some, by_halves(embedder, [given[k] for k in some]), strict=True):
+            for k, (v, e) in zip(some, by_halves(call, [given[k] for k in some]), strict=True):
                 found[k] = (None, f"a vector of length {len(v)}, not {dim}") if e is None and len(v) != dim else (v, e)
             yield frame.assign(embedding=[v for v, _ in found], error=[e for _, e in found])
 
