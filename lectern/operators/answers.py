@@ -27,6 +27,11 @@ def resolve(answers: DataFrame, chunks: DataFrame) -> DataFrame:
     return marks.join(chunks, ["doc_id", "rank"])
 
 
+def sources(citations: DataFrame) -> DataFrame:
+    """(doc_id, id, score): the marks of resolved citations (doc_id, rank, score, ...) with the scores of their chunks."""
+    return citations.select("doc_id", F.col("rank").alias("id"), "score")
+
+
 def rebuild(answers: DataFrame, citations: DataFrame) -> DataFrame:
     """Answers with the model's references replaced by those that resolve."""
     line = F.format_string("[%d] %s (module %s)", F.col("rank"), F.col("file"), F.col("mod"))

@@ -21,6 +21,13 @@ TOPICS = {
     "embeddings": (["embedding", "word vector", "word2vec", "cosine similarity", "nlp", "semantic"], ["3.9", "3.10"]),
 }
 MODULES = [f"3.{k}" for k in range(1, 11)]
+#: An older router's routes with their patterns, in order; the first that a question matches wins.
+PATTERNS = {
+    "overfit": r"overfit|decision tree|prune|bias.?varianc|max_depth",
+    "reg": r"l1|l2|lasso|ridge|regular|sparsit|elastic|penalt",
+    "knn": r"knn|nearest neighbou?r|\bk\b|neighbou?r",
+    "grad": r"gradient|descent|learning rate|backprop|optimi|train.* net|loss surface|epoch",
+}
 
 
 def detect(question: Column, topics: dict[str, tuple[list[str], list[str]]] = TOPICS) -> Column:
@@ -32,6 +39,26 @@ def detect(question: Column, topics: dict[str, tuple[list[str], list[str]]] = TO
     return out
 
 
+def route_by_pattern(question: Column, patterns: dict[str, str] = PATTERNS, default: str | None = None) -> Column:
+    """The first route whose pattern the lower-cased question holds, else default; so for a null question."""
+    low = F.lower(question)
+    matched = (F.when(low.rlike(pattern), F.lit(route)) for route, pattern in patterns.items())
+    return F.coalesce(*matched, F.lit(default).cast("string"))
+
+
+def with_cards(rows: DataFrame, cards: DataFrame) -> DataFrame:
+    """rows (topic, ...) with cards, array<struct<eq, note>>: those of (topic, position, eq, note) of its topic in order; none is an empty array.
+
+    A topic's cards are one value; the planner broadcasts them by their size. Rows keep their own columns but one named cards.
+    """
+    card = F.struct("position", "eq", "note")
+    held = cards.groupBy(F.col("topic").alias("_card_topic")).agg(F.array_sort(F.collect_list(card)).alias("_cards"))
+    shown = F.transform("_cards", lambda c: F.struct(c["eq"].alias("eq"), c["note"].alias("note")))
+    none = F.array().cast("array<struct<eq:string,note:string>>")
+    given = rows.drop("cards")
+    return given.join(held, F.col("topic") == F.col("_card_topic"), "left").select(*given.columns, F.coalesce(shown, none).alias("cards"))
+
+
 def modules(topic: Column, topics: dict[str, tuple[list[str], list[str]]] = TOPICS) -> Column:
     return F.coalesce(*(F.when(topic == t, F.array(*map(F.lit, m))) for t, (_, m) in topics.items()), F.array().cast("array<string>"))
 

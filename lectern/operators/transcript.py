@@ -211,6 +211,18 @@ def _joined(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
     return pa.concat_batches(parts) if len(parts) > 1 else parts[0]
 
 
+def first_batches(batched: DataFrame, n: int = 3) -> DataFrame:
+    """The rows of the first n batches of each file: a sample to look at before all is asked of a model."""
+    return batched.where(F.col("batch") < n)
+
+
+def published(segments: DataFrame) -> DataFrame:
+    """Segments in the fields they are published with, in order of those; the hint of a topic is left to a model."""
+    start, end = hms(F.col("ts_start_sec")), hms(F.col("ts_end_sec"))
+    kind = F.coalesce("segment_type", F.lit("lecture"))
+    return segments.select("file", "pos", F.lit("").alias("topic_hint"), start.alias("ts_start"), end.alias("ts_end"), "ts_start_sec", "ts_end_sec", "merged_text", kind.alias("segment_type"), word_count(F.col("merged_text")).alias("word_count"))
+
+
 def batch_heads(batched: DataFrame) -> DataFrame:
     return batched.groupBy("file", "batch").agg(F.min_by("ts_start_sec", "pos").alias("first_start"), F.max_by("ts_end_sec", "pos").alias("last_end"), F.sum("word_count").alias("words"), F.count("*").alias("segments"))
 

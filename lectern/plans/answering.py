@@ -36,6 +36,12 @@ def citations(spark, sf_dir):
     return answers.resolve(answered(spark, sf_dir), chunks(spark, sf_dir)).select("doc_id", "rank", "file", "mod")
 
 
+@query(f"with {ANSWERS}, {CHUNKS}, m as (select doc_id, unnest({MARKS}) as rank from a) select doc_id, rank as id, round((doc_id % 10 + rank) / 20.0, 6)::double as score from m join c using (doc_id, rank)")
+def answer_sources(spark, sf_dir):
+    scored = chunks(spark, sf_dir).withColumn("score", F.round((F.col("doc_id") % 10 + F.col("rank")) / 20, 6))
+    return answers.sources(answers.resolve(answered(spark, sf_dir), scored))
+
+
 @query(f"with {ANSWERS} select doc_id, {MARKS} as cited, len(list_filter({MARKS}, lambda x: x not in (1, 2, 3, 4, 5, 6))) = 0 as compliant from a")
 def citation_compliance(spark, sf_dir):
     known = F.sequence(F.lit(1), F.lit(6))
@@ -246,3 +252,25 @@ def stub_answer_pipeline(spark, sf_dir):
     chunks = docs.select(F.col("doc_id").alias("id"), F.concat(F.lit("3."), F.pmod(F.col("doc_id"), F.lit(10)) + 1).alias("mod"), kind.alias("source_type"), F.concat("source", F.lit(".md")).alias("file"), "text")
     answered = questions.answer(items, staged(providers.embed(chunks, embedder), "chunks"), providers.extractive, graded_by_length, embedder)
     return answered.select("qid", "mod", "attempt", "answer", "citations", "ok", "decision", "verdict", "error")
+
+
+ROUTED = "r as (select doc_id, case doc_id % 7 when 0 then 'Prune a Decision Tree? ' when 1 then 'The L2 Penalty ' when 2 then 'what is K ' when 3 then 'train a deep net ' when 4 then 'bias-variance ' else '' end || text as text from documents)"
+
+
+@query(f"with {ROUTED} select doc_id, case " + " ".join(f"when regexp_matches(lower(text), '{p}') then '{t}'" for t, p in topics.PATTERNS.items()) + " else 'none' end as route from r")
+def pattern_routes(spark, sf_dir):
+    k = F.col("doc_id") % 7
+    lead = F.when(k == 0, "Prune a Decision Tree? ").when(k == 1, "The L2 Penalty ").when(k == 2, "what is K ").when(k == 3, "train a deep net ").when(k == 4, "bias-variance ").otherwise("")
+    asked_ = table(spark, sf_dir, "documents").select("doc_id", F.concat(lead, "text").alias("text"))
+    return asked_.select("doc_id", topics.route_by_pattern(F.col("text"), default="none").alias("route"))
+
+
+@query(f"""with {ASKED}, t as (select conv_id, turn, {DETECT} as topic from q), n as (select case n_nationkey % 3 when 0 then 'kmeans' when 1 then 'bias-variance' else 'embeddings' end as topic, n_nationkey as position, n_name as eq, 'region ' || n_regionkey as note from nation),
+c as (select topic, string_agg(eq || '=' || note, ';' order by position) as cards from n group by topic) select conv_id, turn, topic, coalesce(cards, '') as cards from t left join c using (topic)""")
+def topic_cards(spark, sf_dir):
+    """Nations stand for the cards of three topics; the other topics have none."""
+    k = F.col("n_nationkey") % 3
+    topic = F.when(k == 0, "kmeans").when(k == 1, "bias-variance").otherwise("embeddings")
+    cards = table(spark, sf_dir, "nation").select(topic.alias("topic"), F.col("n_nationkey").alias("position"), F.col("n_name").alias("eq"), F.concat(F.lit("region "), "n_regionkey").alias("note"))
+    found = topics.with_cards(asked(spark, sf_dir).select("conv_id", "turn", topics.detect(F.col("text")).alias("topic")), cards)
+    return found.select("conv_id", "turn", "topic", F.array_join(F.transform("cards", lambda c: F.concat(c["eq"], F.lit("="), c["note"])), ";").alias("cards"))

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from lectern.functions import text as fn
 from lectern.operators import chunking, transcript
 from lectern.plans.registry import registry
-from lectern.sources.tables import table
+from lectern.sources.tables import in_order, json_lines, shared_path, table, text_files, write_json_lines
 
 QUERIES, ORACLE, query = registry()
 
@@ -169,6 +169,31 @@ def greedy_batches(spark, sf_dir):
     return transcript.batch_heads(transcript.greedy_batches(segments(spark, sf_dir))).select("file", "batch", "segments", "words")
 
 
+@query(f"with {BATCHES} select file, batch, pos, word_count from r join long using (file, pos) where batch < 3")
+def sample_batches(spark, sf_dir):
+    return transcript.first_batches(transcript.greedy_batches(segments(spark, sf_dir))).select("file", "batch", "pos", "word_count")
+
+
+@query(f"""with {LONG} select file, pos, '' as topic_hint, {CLOCK.format(x="floor(ts_start_sec)")} as ts_start, {CLOCK.format(x="floor(ts_end_sec)")} as ts_end, round(ts_start_sec, 6) as ts_start_sec, round(ts_end_sec, 6) as ts_end_sec, merged_text, segment_type, word_count from long""")
+def published_segments(spark, sf_dir):
+    """Written as lines of JSON and read again."""
+    path = shared_path(spark, "segments")
+    write_json_lines(transcript.published(segments(spark, sf_dir)), path)
+    read = json_lines(spark, path, "file long, pos long, topic_hint string, ts_start string, ts_end string, ts_start_sec double, ts_end_sec double, merged_text string, segment_type string, word_count long")
+    return read.withColumns({c: F.round(c, 6) for c in ("ts_start_sec", "ts_end_sec")})
+
+
+@query("""select (row_number() over (order by f) - 1)::bigint as position, f as file, n_lines from (select 'source=' || source as f, count(*)::bigint as n_lines from documents where doc_id % 2 = 0 group by source)""")
+def sorted_scan(spark, sf_dir):
+    """A line a document in one file a source, beside files that the pattern doesn't take."""
+    path, d = shared_path(spark, "files"), table(spark, sf_dir, "documents")
+    line = d.select(F.concat(F.lit("doc "), "doc_id").alias("value"), "source", "doc_id")
+    line.where("doc_id % 2 = 0").select("value", "source").repartition("source").write.partitionBy("source").text(path)
+    line.where("doc_id % 2 = 1").select("value", "source").repartition("source").write.mode("append").partitionBy("source").json(path)
+    found = in_order(text_files(spark, path, "*.txt"))
+    return found.select("position", F.regexp_extract("path", "(source=[^/]*)/", 1).alias("file"), F.regexp_count("text", F.lit("\n")).cast("long").alias("n_lines"))
+
+
 @query("select doc_id, lpad((n_chars // 3600)::varchar, 2, '0') || ':' || lpad((n_chars % 3600 // 60)::varchar, 2, '0') || ':' || lpad((n_chars % 60)::varchar, 2, '0') as hms from documents")
 def hms_format(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", fn.hms(F.col("n_chars")).alias("hms"))

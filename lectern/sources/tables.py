@@ -6,7 +6,7 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: One schema for all dialects of chunk files; fields that a dialect lacks are null.
@@ -32,6 +32,16 @@ def text_files(spark: SparkSession, path: str, glob: str = "*", recursive: bool
     return read.select(at.alias("path"), F.substring_index(at, "/", -1).alias("file"), F.regexp_replace("value", "\r\n?", "\n").alias("text"))
 
 
+def in_order(files: DataFrame) -> DataFrame:
+    """Rows of files (path, ...) sorted by path, with position from 0: numbered within ranges of paths, no file passes through one task."""
+    ranged = files.repartitionByRange("path").sortWithinPartitions("path")
+    held = staged(ranged.withColumn("_part", F.spark_partition_id()).withColumn("_row", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)), "files")
+    sizes = held.groupBy("_part").agg(F.count("*").alias("_n"))  # a row a partition
+    before = sizes.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))
+    placed = held.join(before, "_part").withColumn("position", F.col("_before") + F.col("_row"))
+    return placed.drop("_part", "_row", "_before", "_n").orderBy("path")
+
+
 def write_json_lines(df: DataFrame, path: str) -> None:
     df.write.option("ignoreNullFields", False).json(path)
 

@@ -408,3 +408,25 @@ def test_kernels_a_row(spark):
         w -= 0.1 * (2 * (w - 1.4) + 0.75 * math.cos(5 * w))
         plain.append(w)
     assert path[1] == pytest.approx(plain) and path[2] == [None] * 3
+
+
+@pytest.mark.parametrize(("q", "route"), [("Bias-Variance", "overfit"), ("what is k?", "knn"), ("make it", None), (None, None), ("", None), ("loss surface of l2", "reg")])
+def test_routes_by_pattern(spark, q, route):
+    assert one(spark, q, topics.route_by_pattern) == route
+    assert one(spark, q, lambda c: topics.route_by_pattern(c, default="none")) == (route or "none")
+
+
+def test_cards_keep_all_rows_and_their_order(spark):
+    rows = spark.createDataFrame([("a", "mine"), ("a", "mine"), ("b", "mine"), (None, "mine")], "topic string, eq string")
+    cards = spark.createDataFrame([("a", 2, "y", "second"), ("a", 1, "x", "first"), ("z", 1, "z", None), (None, 1, "n", "n")], "topic string, position int, eq string, note string")
+    got = topics.with_cards(rows, cards)
+    assert got.columns == ["topic", "eq", "cards"]
+    assert sorted(((r.topic or "", [tuple(c) for c in r.cards]) for r in got.collect()), key=repr) == [("", []), ("a", [("x", "first"), ("y", "second")]), ("a", [("x", "first"), ("y", "second")]), ("b", [])]
+    assert topics.with_cards(rows, cards.limit(0)).where("size(cards) = 0").count() == 4
+
+
+def test_files_in_order(spark):
+    rows = spark.range(0, 500, 1, 7).select(F.format_string("f%03d", F.pmod(F.col("id") * 77, F.lit(500))).alias("path"), F.lit("mine").alias("_other"))
+    got = tables.in_order(rows).collect()
+    assert [r.path for r in got] == sorted(r.path for r in got) and [r.position for r in got] == list(range(500)) and got[0]._other == "mine"
+    assert tables.in_order(rows.limit(0)).collect() == []
