@@ -65,17 +65,18 @@ def scanned(spark, sf_dir):
     return staged(pdf.pages(spark, folder), "pages")
 
 
-_ID = F.regexp_extract("path", r"(\d+)\.pdf$", 1).cast("long")
+def _id():
+    return F.regexp_extract("path", r"(\d+)\.pdf$", 1).cast("long").alias("doc_id")
 
 
 @query(f"with {LINES} select doc_id, (k // {A_PAGE})::int as page, (k % {A_PAGE})::int as line, case when k % {A_PAGE} = 0 then '## ' when k % {A_PAGE} % 5 = 0 then '### ' else '' end || text as markdown from l")
 def pdf_lines(spark, sf_dir):
     found = pdf.spans(scanned(spark, sf_dir)).withColumn("page_id", F.struct("path", "page"))
     lines = chunking.layout_headings(found).select(F.col("page_id.path").alias("path"), F.col("page_id.page").alias("page"), "line", "markdown")
-    return lines.select(_ID.alias("doc_id"), "page", "line", "markdown")
+    return lines.select(_id(), "page", "line", "markdown")
 
 
 @query("select doc_id, case when doc_id % 50 = 0 then 'an object has no end' when doc_id % 50 = 1 then 'no text' else 'no pages' end as error from documents where doc_id % 50 < 2 or len(list_filter(string_split(coalesce(text, ''), chr(10)), lambda y: trim(y) <> '')) = 0")
 def pdf_failures(spark, sf_dir):
     read = scanned(spark, sf_dir)
-    return pdf.failures(read, pdf.spans(read)).select(_ID.alias("doc_id"), "error")
+    return pdf.failures(read, pdf.spans(read)).select(_id(), "error")
