@@ -38,6 +38,11 @@ def normal_pdf(x: Column, mu: float, sigma: float) -> Column:
     return F.exp(-0.5 * ((x - mu) / sigma) ** 2) / (sigma * math.sqrt(2 * math.pi))
 
 
+def signed_round(x: Column, digits: int) -> Column:
+    """x rounded, halves away from zero; a zero keeps the sign of x, which Spark's round, going by decimals, drops."""
+    return F.round(F.abs(x), digits) * F.signum(x)
+
+
 #: 3 x 3 kernels by rows, with their divisors.
 KERNELS = {"edge": ([-1, -1, -1, -1, 8, -1, -1, -1, -1], 1), "blur": ([1] * 9, 9), "sharpen": ([0, -1, 0, -1, 5, -1, 0, -1, 0], 1)}
 
@@ -54,7 +59,7 @@ def convolve(image: Column, width: int, kernel: str) -> Column:
         near = sum(F.get(image, i + (k // 3 - 1) * width + k % 3 - 1).cast("double") * w for k, w in enumerate(weights) if w)
         x, y = i % width, F.floor(i / width)
         inner = (x > 0) & (x < width - 1) & (y > 0) & (y < whole - 1)
-        return F.round(F.when(inner, F.greatest(F.lit(0.0), F.least(F.lit(1.0), near / norm))).otherwise(v.cast("double")), 6)
+        return signed_round(F.when(inner, F.greatest(F.lit(0.0), F.least(F.lit(1.0), near / norm))).otherwise(v.cast("double")), 6)
 
     return F.transform(image, pixel)
 
