@@ -30,8 +30,18 @@ NOISE = [
 NOISE_PATTERN = rf"(?i)\b({'|'.join(TAGS)})\?|\b({'|'.join(NOISE)})\b[?,]?"
 
 
-def without_noise(text: Column) -> Column:
-    """Without fillers, particles, false starts and transitions; white space single."""
+#: NOISE_PATTERN as RE2 reads it, for Java: ends of words go by ASCII, upper and lower case by Unicode.
+_EDGE = "(?:(?<=[0-9A-Za-z_])(?![0-9A-Za-z_])|(?<![0-9A-Za-z_])(?=[0-9A-Za-z_]))"
+_ASCII_NOISE = rf"{_EDGE}(?iu:{'|'.join(TAGS)})\?|{_EDGE}(?iu:{'|'.join(NOISE)}){_EDGE}[?,]?"
+_ASCII_SPACE = r"[\t\n\f\r ]+"
+
+
+def without_noise(text: Column, ascii_words: bool = False) -> Column:
+    """Without fillers, particles, false starts and transitions; white space single.
+
+    With ascii_words a word ends at any character but ASCII's letters, digits and _, and white space is ASCII's, as in SQL engines on RE2; "lo" is then noise before an ñ."""
+    if ascii_words:
+        return F.btrim(F.regexp_replace(F.regexp_replace(text, _ASCII_NOISE, " "), _ASCII_SPACE, " "))
     return strip(F.regexp_replace(F.regexp_replace(text, NOISE_PATTERN, " "), f"{SPACE}+", " "))
 
 
