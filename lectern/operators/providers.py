@@ -52,7 +52,7 @@ def named_completer(name: str, known: dict[str, Completer], aliases: dict[str, s
 
 
 def hashed_embedder(dim: int = 64) -> Embedder:
-    """Unit vectors of hashed words."""
+    """Unit vectors of hashed words; where these cancel out, or there are none, of the whole text as one word."""
 
     def embed(texts: list[str]) -> list[list[float]]:
         out = []
@@ -61,7 +61,9 @@ def hashed_embedder(dim: int = 64) -> Embedder:
             for word in text.lower().split():
                 h = hashlib.blake2b(word.encode(), digest_size=8).digest()
                 v[int.from_bytes(h[:4], "little") % dim] += 1 if h[4] % 2 else -1
-            out.append((v / (np.linalg.norm(v) or 1.0)).tolist())
+            if not v.any():
+                v[int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=4).digest(), "little") % dim] = 1
+            out.append((v / np.linalg.norm(v)).tolist())
         return out
 
     return embed
