@@ -15,9 +15,11 @@ import re
 import zlib
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 PAGES = "path string, page int, content string, fonts map<string,string>, error string"
 
@@ -32,6 +34,8 @@ SHOWN = rf"(?:{STRING}|<[0-9A-Fa-f\s]*+>)"
 OPERATION = rf"/[^\s/\[\]<>()]++\s+{NUMBER}\s+Tf|(?:{NUMBER}\s+){{2}}T[dD]|(?:{NUMBER}\s+){{6}}Tm|T\*|\bBT\b|{SHOWN}\s*(?:Tj|'|\")|\[(?:{SHOWN}|[^\]()<>]++)*+\]\s*TJ|{STRING}"
 #: A shift to the left of so many thousandths of the size is a space.
 GAP = -200
+#: A task hands on pages once so many are read, or the files they are from have so many bytes.
+BATCH_PAGES, BATCH_BYTES = 200, 4_000_000
 
 
 class Broken(ValueError):
@@ -135,17 +139,8 @@ def _read(data: bytes) -> list[tuple[str, dict[str, str]]]:
 def pages(spark: SparkSession, path: str, glob: str = "*.pdf") -> DataFrame:
     """(path, page, content, fonts, error) of the PDF files below path: the pages of each from 0, or one row with an error.
 
-    path is that of input_file_name: a URI, in which a space is %20."""
-
-    def rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for name, data in zip(frame["path"], frame["content"], strict=True):
-                try:
-                    made = [(name, k, content, fonts, None) for k, (content, fonts) in enumerate(_read(data))]
-                except (Broken, zlib.error, TypeError, ValueError) as e:  # the last two of numbers that are none
-                    made = [(name, None, None, None, str(e) if isinstance(e, Broken) else "broken")]
-                yield pd.DataFrame(made, columns=["path", "page", "content", "fonts", "error"]).astype({"page": "Int32"})
-
+    path is that of input_file_name: a URI, in which a space is %20. The driver lists the files, and Spark reads some 32 small
+    ones a task; where they are very many, keep them as rows of a table, for pages_of."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", True).load(path)
     name = F.input_file_name().alias("path")
     # Spark lists files without a byte but doesn't scan them; the list stays in the JVM, which holds it for the scan anyway
@@ -154,7 +149,35 @@ def pages(spark: SparkSession, path: str, glob: str = "*.pdf") -> DataFrame:
     all_ = DataFrame(spark._jsparkSession.createDataset(listed, jvm.org.apache.spark.sql.Encoders.STRING()).toDF(), spark).toDF("path")
     none = all_.join(files.select(name), "path", "left_anti")  # reads no content
     empty = none.select("path", *(F.lit(None).cast(t).alias(c) for c, t in (("page", "int"), ("content", "string"), ("fonts", "map<string,string>"))), F.lit("not a PDF").alias("error"))
-    return files.select(name, "content").mapInPandas(rows, PAGES).unionByName(empty)
+    return pages_of(files.select(name, "content")).unionByName(empty)
+
+
+def pages_of(files: DataFrame) -> DataFrame:
+    """(path, page, content, fonts, error) of files (path, content binary), as `pages` gives it; a null or empty content isn't a PDF."""
+
+    schema = to_arrow_schema(StructType.fromDDL(PAGES))
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made, held = [], 0
+            for name, data in zip(*batch.columns, strict=True):
+                name, data = name.as_py(), data.as_py() or b""
+                try:
+                    found = [(name, k, content, list(fonts.items()), None) for k, (content, fonts) in enumerate(_read(data))]
+                except (Broken, zlib.error, TypeError, ValueError) as e:  # the last two of numbers that are none
+                    found = [(name, None, None, None, str(e) if isinstance(e, Broken) else "broken")]
+                made, held = made + found, held + len(data)
+                if held > BATCH_BYTES or len(made) >= BATCH_PAGES:
+                    yield _arrow(made, schema)
+                    made, held = [], 0
+            if made:
+                yield _arrow(made, schema)
+
+    return files.select("path", "content").mapInArrow(rows, PAGES)
+
+
+def _arrow(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
 
 def _plain(shown: Column) -> Column:
@@ -165,7 +188,7 @@ def _plain(shown: Column) -> Column:
         .when(p == "\\\n", "").when(p == "\\n", "\n").when(p == "\\r", "\r").when(p == "\\t", "\t").when(p == "\\b", "\b").when(p == "\\f", "\f")
         .when(p.startswith("\\"), F.substr(p, F.lit(2))).otherwise(p)
     )
-    literal = F.array_join(F.transform(F.regexp_extract_all(inner, F.lit(r"\\[0-7]{1,3}|\\[\s\S]|[^\\]+"), 0), piece), "")
+    literal = F.when(~inner.contains("\\"), inner).otherwise(F.array_join(F.transform(F.regexp_extract_all(inner, F.lit(r"\\[0-7]{1,3}|\\[\s\S]|[^\\]+"), 0), piece), ""))
     digits = F.regexp_replace(inner, r"\s", "")
     return F.when(shown.startswith("("), literal).otherwise(F.decode(F.unhex(F.when(F.length(digits) % 2 == 1, F.concat(digits, F.lit("0"))).otherwise(digits)), "ISO-8859-1"))
 
@@ -176,22 +199,27 @@ def spans(pages: DataFrame) -> DataFrame:
     ops = pages.where("error is null").select("path", "page", "fonts", F.posexplode(F.regexp_extract_all(bare, F.lit(OPERATION), 0)).alias("pos", "op"))
     op, page = F.col("op"), Window.partitionBy("path", "page").orderBy("pos")  # a page
     number = lambda k: F.get(F.regexp_extract_all("op", F.lit(NUMBER), 0), F.lit(k)).try_cast("double")
-    shows, begins, matrix = op.rlike(r"(?:Tj|'|\"|TJ)$") & op.rlike(r"^[(<\[]"), op == "BT", op.endswith("Tm") & ~op.rlike(r"^\(")
-    font, moves = op.rlike(rf"^/\S+\s+{NUMBER}\s+Tf$"), op.rlike(rf"^(?:{NUMBER}\s+){{2}}T[dD]$")
-    breaks = begins | matrix | (op == "T*") | (shows & op.rlike(r"['\"]$")) | (moves & (number(1) != 0))
-    marked = ops.select(
-        "path", "page", "pos", "fonts", "op", shows.alias("shows"),
-        F.sum(breaks.cast("int")).over(page).alias("at"),
-        F.last(F.when(font, F.struct(F.regexp_extract("op", r"^/(\S+)", 1).alias("name"), F.regexp_extract("op", rf"({NUMBER})\s+Tf$", 1).cast("double").alias("size"))), True).over(page).alias("font"),
-        F.last(F.when(begins, 1.0).when(matrix, F.abs(number(3))), True).over(page).alias("scale"),
+    # OPERATION leaves few forms, so that both ends of an operation tell which it is
+    text_first = op.startswith("(") | op.startswith("<") | op.startswith("[")
+    next_line = op.endswith("'") | op.endswith('"')
+    shows, begins, matrix = text_first & (op.endswith("Tj") | op.endswith("TJ") | next_line), op == "BT", ~text_first & op.endswith("Tm")
+    font, moves = op.startswith("/"), ~text_first & ~op.startswith("/") & (op.endswith("Td") | op.endswith("TD"))
+    breaks = begins | matrix | (op == "T*") | (shows & next_line) | (moves & (number(1) != 0))
+    name = F.regexp_extract("op", r"^/(\S+)", 1)
+    bold = F.coalesce(F.try_element_at("fonts", name), F.lit("")).rlike("(?i)bold|black|heavy")
+    known = ops.select(
+        "path", "page", "pos", F.when(shows, op).alias("op"), breaks.cast("int").alias("breaks"),
+        F.when(font, F.struct(F.regexp_extract("op", rf"({NUMBER})\s+Tf$", 1).cast("double").alias("size"), bold.alias("bold"))).alias("font"),
+        F.when(begins, 1.0).when(matrix, F.abs(number(3))).alias("scale"),
     )
+    marked = known.select("path", "page", "pos", "op", F.sum("breaks").over(page).alias("at"), F.last("font", True).over(page).alias("font"), F.last("scale", True).over(page).alias("scale"))
     part = lambda x: F.when(x.rlike(r"^[(<]"), _plain(x)).when(x.try_cast("double") <= GAP, " ").otherwise("")
     text = F.array_join(F.transform(F.regexp_extract_all("op", F.lit(rf"{SHOWN}|{NUMBER}"), 0), part), "")
     odd = bytes(range(128, 160)).decode("cp1252", "replace")
-    drawn = marked.where("shows").select(
-        "path", "page", "at", "pos", F.translate(text, "".join(map(chr, range(128, 160))), odd).alias("text"),
-        (F.coalesce("font.size", F.lit(0.0)) * F.coalesce("scale", F.lit(1.0))).alias("size"),
-        F.coalesce(F.try_element_at("fonts", F.col("font.name")), F.lit("")).rlike("(?i)bold|black|heavy").alias("bold"),
+    drawn = marked.where("op is not null").select(
+        "path", "page", "at", "pos",
+        F.explode_outer(F.array(F.translate(text, "".join(map(chr, range(128, 160))), odd))).alias("text"),  # a generator, so that the filter below doesn't make the text once more
+        (F.coalesce("font.size", F.lit(0.0)) * F.coalesce("scale", F.lit(1.0))).alias("size"), F.coalesce("font.bold", F.lit(False)).alias("bold"),
     )
     some = drawn.where(F.length("text") > 0)
     line = F.dense_rank().over(Window.partitionBy("path", "page").orderBy("at")) - 1
