@@ -11,8 +11,11 @@ from typing import Protocol
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 
 class Completer(Protocol):
@@ -172,36 +175,51 @@ def by_halves(call: Callable, given: list) -> list[tuple]:
     return by_halves(call, given[:half]) + by_halves(call, given[half:])
 
 
-def complete(prompts: DataFrame, completer: Completer, column: str = "prompt", limit: Limit | None = None) -> DataFrame:
+#: Rows that a task hands to a provider at once, and holds as Python objects.
+BATCH = 256
+
+
+def complete(prompts: DataFrame, completer: Completer, column: str = "prompt", limit: Limit | None = None, batch: int = BATCH) -> DataFrame:
     """prompts with reply and error: a prompt that fails has an error in place of a reply, and the run goes on."""
     limit = limit and limit.of(prompts.sparkSession)
+    schema = prompts.limit(0).withColumns({"reply": F.lit(None).cast("string"), "error": F.lit(None).cast("string")}).schema
 
-    def rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        call = limit.spaced(completer) if limit else completer
-        for frame in frames:
-            found = by_halves(call, frame[column].tolist())
-            yield frame.assign(reply=[x for x, _ in found], error=[e for _, e in found])
+    def answered(given: list, call: Completer) -> dict[str, list]:
+        found = by_halves(call, given)
+        return {"reply": [x for x, _ in found], "error": [e for _, e in found]}
 
-    schema = prompts.limit(0).withColumns({"reply": F.lit(None).cast("string"), "error": F.lit(None).cast("string")}).schema
-    return prompts.mapInPandas(rows, schema)
+    return _in_batches(prompts, completer, column, limit, batch, schema, answered)
 
 
-def embed_each(texts: DataFrame, embedder: Embedder, column: str = "text", dim: int = 64, limit: Limit | None = None) -> DataFrame:
+def embed_each(texts: DataFrame, embedder: Embedder, column: str = "text", dim: int = 64, limit: Limit | None = None, batch: int = BATCH) -> DataFrame:
     """texts with embedding and error: a null text, a failed call and a vector of another length than dim are errors of their rows."""
     limit = limit and limit.of(texts.sparkSession)
+    schema = texts.limit(0).withColumns({"embedding": F.lit(None).cast("array<float>"), "error": F.lit(None).cast("string")}).schema
 
-    def rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        call = limit.spaced(embedder) if limit else embedder
-        for frame in frames:
-            given = frame[column].tolist()
-            some = [k for k, x in enumerate(given) if isinstance(x, str)]
-            found: list[tuple] = [(None, "no text")] * len(given)
-            for k, (v, e) in zip(some, by_halves(call, [given[k] for k in some]), strict=True):
-                found[k] = (None, f"a vector of length {len(v)}, not {dim}") if e is None and len(v) != dim else (v, e)
-            yield frame.assign(embedding=[v for v, _ in found], error=[e for _, e in found])
+    def embedded(given: list, call: Embedder) -> dict[str, list]:
+        some = [k for k, x in enumerate(given) if isinstance(x, str)]
+        found: list[tuple] = [(None, "no text")] * len(given)
+        for k, (v, e) in zip(some, by_halves(call, [given[k] for k in some]), strict=True):
+            found[k] = (None, f"a vector of length {len(v)}, not {dim}") if e is None and len(v) != dim else (v, e)
+        return {"embedding": [v for v, _ in found], "error": [e for _, e in found]}
 
-    schema = texts.limit(0).withColumns({"embedding": F.lit(None).cast("array<float>"), "error": F.lit(None).cast("string")}).schema
-    return texts.mapInPandas(rows, schema)
+    return _in_batches(texts, embedder, column, limit, batch, schema, embedded)
+
+
+def _in_batches(rows: DataFrame, call: Callable, column: str, limit: Limit | None, batch: int, schema: StructType, made: Callable) -> DataFrame:
+    """rows with the columns that made(values of column, call) gives; only these and the values are Python objects, of `batch` rows at a time."""
+    names, types = rows.columns, to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        calls = limit.spaced(call) if limit else call
+        for whole in batches:
+            for at in range(0, whole.num_rows, batch):
+                part = whole.slice(at, batch)
+                new = made(part.column(names.index(column)).to_pylist(), calls)
+                columns = [pa.array(new[f.name], f.type) if f.name in new else part.column(names.index(f.name)) for f in types]
+                yield pa.RecordBatch.from_arrays(columns, types.names)
+
+    return rows.mapInArrow(run, schema)
 
 
 def embed(texts: DataFrame, embedder: Embedder, column: str = "text", dim: int = 64) -> DataFrame:
