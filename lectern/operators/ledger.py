@@ -78,8 +78,11 @@ def ask(prompts: DataFrame, completer: Completer, path: str, model: str, column:
     key = next(n for n in ("digest" + "_" * k for k in range(len(prompts.columns) + 1)) if n not in prompts.columns)
     keyed = prompts.withColumn(key, digest(model, F.col(column)))
     known = read(prompts.sparkSession, path)
-    wanted = keyed.where(F.col(column).isNotNull()).groupBy(F.col(key).alias("digest")).agg(F.min(column).alias("prompt"))
-    missing = wanted.join(known, "digest", "left_anti").repartition("digest").sortWithinPartitions("digest")
+    # digests alone tell what is missing; prompts are shuffled only where they are asked
+    wanted = staged(keyed.where(F.col(key).isNotNull()).select(F.col(key).alias("digest")).distinct().join(known, "digest", "left_anti"), "missing")
+    texts = keyed.select(F.col(key).alias("digest"), F.col(column).alias("prompt"))
+    found = texts.join(wanted, "digest").groupBy("digest").agg(F.min("prompt").alias("prompt")) if not wanted.isEmpty() else texts.limit(0)
+    missing = found.repartition("digest").sortWithinPartitions("digest")
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         call = limit.spaced(completer) if limit else completer
@@ -99,7 +102,7 @@ def ask(prompts: DataFrame, completer: Completer, path: str, model: str, column:
     asked = staged(missing.mapInArrow(rows, f"{_ENTRY}, error string"), "asked")
     told = known.withColumn("error", F.lit(None).cast("string")).join(asked, "digest", "left_anti").unionByName(asked)
     joined = keyed.join(told.withColumnRenamed("digest", key), key, "left")
-    error = F.when(F.col(column).isNull(), "no prompt").otherwise(F.col("error"))
+    error = F.when(F.col(key).isNull(), "no prompt").otherwise(F.col("error"))  # a prompt has a digest; it is itself not read for this
     return joined.select(*prompts.columns, "reply", error.alias("error"))
 
 

@@ -67,8 +67,8 @@ def resumed_replies(spark, sf_dir):
     """Half of the documents are asked in a first run; the second asks the others, and a third, whose model would fail, asks none."""
     path = shared_path(spark, "ledger")
     prompts = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("prompt"))
-    staged(ledger.ask(prompts.where(F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 0), providers.extractive, path, "stand-in"), "first-run")
-    staged(ledger.ask(prompts, providers.extractive, path, "stand-in"), "second-run")
+    staged(ledger.ask(prompts.where(F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 0), providers.extractive, path, "stand-in").select("doc_id", "reply", "error"), "first-run")
+    staged(ledger.ask(prompts, providers.extractive, path, "stand-in").select("doc_id", "reply", "error"), "second-run")
     return ledger.ask(prompts, _never, path, "stand-in").select("doc_id", "reply", "error")
 
 
