@@ -29,11 +29,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.base import SPACES, materialize
+from lectern.llm.base import materialize
 
 MOST_WORDS = 3839
 BUCKETS = 256
@@ -45,22 +46,38 @@ BATCH = 4096
 RATE = 0.15
 TOKENS_PER_TRAINER = 1_000_000
 BLOCKS = 16
+ROW = np.dtype((np.void, 4 * WIDTH))
+SLICE = 1000  # texts whose words are in memory at once
 _EDGE = b"\xff"  # stands before the first and after the last byte of a word; no byte of UTF-8
 
 
 def lowered(docs: DataFrame) -> Column:
-    """The text in lower case with one character for all white space; never null."""
-    return F.translate(F.lower(F.coalesce(docs["text"], F.lit(""))), SPACES, " " * len(SPACES))
+    """The text in lower case; never null."""
+    return F.lower(F.coalesce(docs["text"], F.lit("")))
 
 
-def words_of(lowered: str) -> list[str]:
-    found = lowered.split(" ")
-    return [w for w in found if w] if "" in found else found
+def words_of(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """The different words of texts, and for each token in order its word and its text."""
+    split = pc.ascii_split_whitespace(texts)  # at base.SPACES
+    coded = split.flatten().dictionary_encode()
+    words, token = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy()
+    text = np.repeat(np.arange(len(texts)), pc.list_value_length(split).to_numpy())
+    if "" in words:  # before or after white space at an end
+        real = token != words.index("")
+        token, text = token[real], text[real]
+    return words, token, text
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
     """(word, n) over all documents, counted where the rows are before anything is shuffled."""
-    return docs.select(F.explode(F.split(lowered(docs), " ")).alias("word")).where("word <> ''").groupBy("word").agg(F.count("*").alias("n"))
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, SLICE):
+                counted = pc.value_counts(pc.ascii_split_whitespace(batch.column(0).slice(at, SLICE)).flatten())
+                yield pa.RecordBatch.from_arrays([counted.field("values"), counted.field("counts")], ["word", "n"])
+
+    return docs.select(lowered(docs)).mapInArrow(rows, "word string, n long").where("word <> ''").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def letter_counts(words: DataFrame) -> np.ndarray:
@@ -122,37 +139,54 @@ def _at_most(top: list):
 
 
 class Coder(dict):
-    """The place of each word in `codes` and `spelt`: its code, and the log P of its letters if it is a rarer word."""
+    """The place of each word in `codes` and `spelt`: its code, and the log P of its letters if it is a rarer word.
+
+    A rarer word gets its place when it is first met; those of a slice of texts are spelt together.
+    """
 
     def __init__(self, coding: Coding):
         super().__init__()
-        self._c, self._bonus = coding, math.log(coding.buckets)
+        self._c, self._bonus, self._letters = coding, math.log(coding.buckets), np.array(coding.letters).reshape(-1)
         self._fill()
 
     def _fill(self) -> None:
         self.clear()
         self.update(self._c.known)
         self.codes, self.spelt = array("H", range(len(self._c.known))), array("d", bytes(8 * len(self._c.known)))
+        self._met: list[str] = []
 
     def __missing__(self, word: str) -> int:
-        data = word.encode("utf-8", "surrogatepass")
-        line, letters = _EDGE + data + _EDGE, self._c.letters
-        self.spelt.append(self._bonus + sum([letters[a][b] for a, b in zip(line, line[1:], strict=False)]))
-        self.codes.append(len(self._c.known) + zlib.crc32(data) % self._c.buckets)
-        found = self[word] = len(self.codes) - 1
+        self._met.append(word)
+        found = self[word] = len(self)
         return found
 
+    def _spell(self) -> None:
+        """Codes and log P of the letters of the words met."""
+        data = [w.encode("utf-8", "surrogatepass") for w in self._met]
+        line = np.frombuffer(_EDGE + _EDGE.join(data) + _EDGE, np.uint8).astype(np.int64)
+        (edges,) = np.nonzero(line == _EDGE[0])
+        logs = np.add.reduceat(self._letters[line[:-1] * 256 + line[1:]], edges[:-1])
+        self.spelt.frombytes((logs + self._bonus).tobytes())
+        first, buckets = len(self._c.known), self._c.buckets
+        self.codes.extend([first + zlib.crc32(d) % buckets for d in data])
+        self._met = []
+
     def encode(self, lowered: str) -> tuple[bytes, float]:
-        words = words_of(lowered)
-        codes, spelt = [], 0.0
-        for at in range(0, len(words), 100_000):
-            part = words[at : at + 100_000]
-            if len(self) > 500_000:
-                self._fill()
-            found = np.fromiter(map(self.__getitem__, part), np.int64, len(part))
-            codes.append(np.frombuffer(self.codes, np.uint16)[found].tobytes())
-            spelt += float(np.frombuffer(self.spelt, np.float64)[found].sum())
-        return b"".join(codes), spelt
+        codes, spelt = self.encode_all(pa.array([lowered]))
+        return codes[0].as_py(), float(spelt[0])
+
+    def encode_all(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+        """The codes of each text, two bytes a token, and the sum over its rarer words."""
+        if len(self) > 500_000:
+            self._fill()
+        words, token, text = words_of(texts)
+        found = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        if self._met:
+            self._spell()
+        codes, spelt = np.frombuffer(self.codes, np.uint16)[found], np.frombuffer(self.spelt, np.float64)[found]
+        ends = 2 * np.concatenate([[0], np.cumsum(np.bincount(text, minlength=len(texts)))])
+        held = pa.Array.from_buffers(pa.large_binary(), len(texts), [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(codes[token])])
+        return held.cast(pa.binary()), np.bincount(text, spelt[token], len(texts)).astype(np.float64)
 
 
 def encode(docs: DataFrame, found: Coding) -> DataFrame:
@@ -162,9 +196,11 @@ def encode(docs: DataFrame, found: Coding) -> DataFrame:
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = Coder(shared.value)
-        for batch in batches:
-            coded = [coder.encode(t.as_py()) for t in batch.column(len(names))]
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(len(names))), pa.array([c for c, _ in coded], pa.binary()), pa.array([s for _, s in coded], pa.float64())], [*names, "codes", "spelt"])
+        for whole in batches:
+            for at in range(0, whole.num_rows, SLICE):
+                batch = whole.slice(at, SLICE)
+                codes, spelt = coder.encode_all(batch.column(len(names)))
+                yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(len(names))), codes, pa.array(spelt)], [*names, "codes", "spelt"])
 
     schema = docs.select(*names).limit(0).withColumns({"codes": F.lit(b""), "spelt": F.lit(0.0)}).schema
     return docs.select(*names, lowered(docs)).mapInArrow(rows, schema)
@@ -270,19 +306,30 @@ def _log_softmax_at(z: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 
 class Trainer:
-    """Adagrad over minibatches of windows."""
+    """Adagrad over minibatches of windows. Only the embeddings of codes that a batch holds have a gradient, so a step
+    sums, and moves, these rows alone."""
 
     def __init__(self, net: WindowNetwork, rate: float = RATE):
         self.net, self.rate = net, np.float32(rate)
-        self.seen, self.gradient, self._room = np.full(len(net.flat), 1e-2, np.float32), np.zeros(len(net.flat), np.float32), np.empty(len(net.flat), np.float32)
+        self.seen, self.gradient = np.full(len(net.flat), 1e-2, np.float32), np.zeros(len(net.flat), np.float32)
+        self._rest = net.embed.size  # where the numbers begin that are no embeddings
+        self._room = np.empty(len(net.flat) - self._rest, np.float32)
 
     def gradients(self, near: np.ndarray, token: np.ndarray) -> list[np.ndarray]:
         """Of the mean log P of the windows, as embed, bias, group and code; it stays in self.gradient."""
+        codes, sums = self.sums(near, token)
+        embed, bias, group, code = self.net.parts(self.gradient)
+        embed[:] = 0
+        embed[:, codes] = sums
+        return [embed, bias, group, code]
+
+    def sums(self, near: np.ndarray, token: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The codes in near, and their gradients [2 REACH, codes, WIDTH]; those of bias, group and code stay in self.gradient."""
         net, n, rows = self.net, len(token), np.arange(len(token))
         order, runs = net.runs(token)
         h = net.hidden(near)
         by_group, sorted_h, by_code = net.logits(h, order, runs)
-        embed, bias, group, code = net.parts(self.gradient)
+        _, bias, group, code = net.parts(self.gradient)
         for z, picked in ((by_group, token // GROUP), (by_code, token[order] % GROUP)):
             total = _exp(z).sum(axis=1, keepdims=True)
             total *= -n
@@ -301,21 +348,38 @@ class Trainer:
         dh *= np.subtract(1, h, out=h)
         bias[:] = dh[:, :-1].sum(axis=0)
         columns = np.ascontiguousarray(dh[:, :-1].T, np.float64)
+        held = np.zeros(net.embed.shape[1], bool)
+        held[near] = True
+        (codes,) = np.nonzero(held)
+        places = (np.cumsum(held) - 1)[near]
+        sums = np.empty((2 * REACH, WIDTH, len(codes)), np.float32)
         for k in range(2 * REACH):
             for j in range(WIDTH):
-                embed[k, :, j] = np.bincount(near[k], columns[j], embed.shape[1])
-        return [embed, bias, group, code]
+                sums[k, j] = np.bincount(places[k], columns[j], len(codes))
+        return codes, np.ascontiguousarray(sums.transpose(0, 2, 1))
 
     def step(self, near: np.ndarray, token: np.ndarray) -> None:
-        self.gradients(near, token)
-        g, room = self.gradient, self._room
+        codes, g = self.sums(near, token)
+        at = (codes + self.net.embed.shape[1] * np.arange(2 * REACH)[:, None]).reshape(-1)
+        g = g.reshape(-1, WIDTH)
+        for flat, more in ((self.seen, None), (self.net.flat, g)):
+            rows = flat[: self._rest].reshape(-1, WIDTH)
+            now = rows.take(at, axis=0)
+            now = self._move(g, now, np.empty_like(now)) if more is None else now + more
+            rows.view(ROW)[at] = now.view(ROW)  # a row is moved as one item
+        rest = slice(self._rest, None)
+        self._move(self.gradient[rest], self.seen[rest], self._room)
+        self.net.flat[rest] += self.gradient[rest]
+
+    def _move(self, g: np.ndarray, seen: np.ndarray, room: np.ndarray) -> np.ndarray:
+        """Makes g the step of its numbers, and gives seen with it."""
         g *= 100  # Adagrad doesn't mind the scale, but single precision does
         np.multiply(g, g, out=room)
-        self.seen += room
-        np.sqrt(self.seen, out=room)
-        np.divide(g, room, out=room)
-        room *= self.rate
-        self.net.flat += room
+        seen += room
+        np.sqrt(seen, out=room)
+        g /= room
+        g *= self.rate
+        return seen
 
 
 def train_round(encoded: DataFrame, net: WindowNetwork, end: int, trainers: int, batch: int = BATCH) -> WindowNetwork:

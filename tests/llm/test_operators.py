@@ -9,6 +9,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -500,6 +501,30 @@ def test_gradients_of_the_window_network():
             assert abs((ends[0] - ends[1]) / 2e-2 - dense[at]) < 2e-5 + 2e-2 * abs(dense[at]), (name, at)
 
 
+def test_words_are_split_and_spelt_by_slices_and_a_step_sums_the_rows_it_meets(spark):
+    texts = ["  a\tb\x0b\x0cb \r\n", "", " ", "é\u00a0x a", "\x1f\x85", "A"]
+    words, token, text = pseudo_likelihood.words_of(pa.array(texts))
+    split = [[w for w in re.split(r"[\x20\x09-\x0D]+", t) if w] for t in texts]
+    assert [[words[k] for k in token[text == n]] for n in range(len(texts))] == split
+    found = pseudo_likelihood.Coding({"a": 0}, np.log(np.random.default_rng(3).random((256, 256))).tolist(), 8)
+    codes, spelt = pseudo_likelihood.Coder(found).encode_all(pa.array(texts))
+    assert [np.frombuffer(c, np.uint16).tolist() for c in codes.to_pylist()] == [[found.known.get(w, 1 + zlib.crc32(w.encode()) % 8) for w in t] for t in split]
+    assert np.allclose(spelt, [sum(spelling(found, w) for w in t if w not in found.known) for t in split])
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate([*texts, None])], "doc_id long, text string")
+    counted = pseudo_likelihood.word_counts(docs)
+    assert {r.word: r.n for r in rows(counted)} == Counter(w.lower() for t in split for w in t)
+    assert "Generate" not in counted._jdf.queryExecution().toString()  # no row a token
+    rng = np.random.default_rng(4)
+    net = pseudo_likelihood.WindowNetwork(4)
+    trainer, near, token = pseudo_likelihood.Trainer(net), rng.integers(60, 75, (4, 90)), rng.integers(0, 256, 90)
+    dense = [x.copy() for x in trainer.gradients(near, token)]
+    met, sums = trainer.sums(near, token)
+    assert met.tolist() == sorted(set(near.reshape(-1).tolist())) and np.array_equal(dense[0][:, met], sums) and not np.delete(dense[0], met, axis=1).any()
+    flat, g = net.flat.copy(), 100 * np.concatenate([x.reshape(-1) for x in dense])
+    trainer.step(near, token)
+    assert np.allclose(net.flat, flat + trainer.rate * g / np.sqrt(np.float32(1e-2) + g * g), atol=1e-6)
+
+
 def test_pseudo_likelihood(spark, odd_docs, no_docs):
     """Scores equal plain loops, and held-out documents are likelier than under frequencies and under word pairs."""
     rng = np.random.Generator(np.random.PCG64(5))
