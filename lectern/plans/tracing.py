@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from lectern.operators import retrieval, trace
 from lectern.plans.registry import registry
+from lectern.sources import tables
 from lectern.sources.tables import shared_path, table
 from lectern.streaming import stages
 
@@ -94,7 +95,8 @@ t as (select request_id, count(*) filter (where status <> 'error') as n_events,
 select request_id, n_events, last_stage, active_index, failed, finished, case when not failed and not silent then null when done is null then 'route' else {LIST}[least(9, list_position({LIST}, done) + 1)::int] end as failed_stage, silent from t""")
 def streamed_traces(spark, sf_dir):
     """The events as a stream of files that hold them in no order; a last event long after lets all requests be reduced."""
-    rows = staged(spark, sf_dir, F.col("ts").cast("timestamp").alias("ts")).select("request_id", "seq", "ts", "stage", "status", "is_token")
+    numbered = staged(spark, sf_dir, F.col("ts").cast("timestamp").alias("ts")).select("request_id", "seq", "ts", "stage", "status", "is_token")
+    rows = tables.staged(numbered, "numbered")  # sorted once, not for each part
     folder, out, checkpoint = (shared_path(spark, n) for n in ("events", "traces", "traces-checkpoint"))
     late = spark.sql("select -1L as request_id, 1L as seq, timestamp '2100-01-01' as ts, 'route' as stage, 'done' as status, false as is_token")
     for k in range(5):

@@ -49,13 +49,18 @@ def rate_limit(requests: DataFrame, window: int = WINDOW_SECONDS, most: int = MO
 TRACE = "request_id long, n_events long, last_stage string, active_index long, failed boolean, finished boolean, failed_stage string, silent boolean"
 
 
-def traces(events: DataFrame, late: str = "10 minutes", settle: int = 60, idle: int = 3600) -> DataFrame:
+#: Groups that the requests of a stream are dealt to by a hash: a call of Python is for a group, not for a request.
+GROUPS = 1024
+
+
+def traces(events: DataFrame, late: str = "10 minutes", settle: int = 60, idle: int = 3600, groups: int = GROUPS) -> DataFrame:
     """A trace of each request of a stream of (request_id, seq, ts, stage, status, is_token), as reduce_traces and failure_stage give it.
 
     An error or compose/done ends a request, whatever the order in which its events come: it is reduced when the watermark
     (`late` behind the newest ts) has passed its newest event by `settle` seconds, or by `idle` seconds if no end has come,
     and is then silent, failed at the stage after its last one that was done. The state of a request is its events up to its
     end, without tokens; once reduced it is a mark that later events are dropped by, which goes after another `idle` seconds.
+    The states of the requests of a group are one row.
     Rows without a ts or a request_id are dropped, and a trace that has token events alone isn't one.
     """
 
@@ -73,32 +78,49 @@ def traces(events: DataFrame, late: str = "10 minutes", settle: int = 60, idle:
         return {"n_events": good, "last_stage": stage, "active_index": good - 1, "failed": bool(bad), "finished": any(r[1:] == ("compose", "done") for r in rows), "failed_stage": after if bad or not ended else None, "silent": not ended}
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        over, newest, seqs, names, statuses = state.get if state.exists else (False, 0, [], [], [])
-        rows = list(zip(seqs, names, statuses, strict=True))
-        if state.hasTimedOut:
-            found = None if over else reduced(rows)
-            if over:
-                state.remove()
-            else:
-                state.update((True, newest, [], [], []))
-                state.setTimeoutTimestamp(state.getCurrentWatermarkMs() + idle * 1000)
-            if found is not None:
-                yield pd.DataFrame([{"request_id": key[0], **found}])
-            return
-        for frame in frames:
-            newest = max(newest, int(frame["ts"].max().value // 10**6))
-            if not over:
-                kept = frame[~frame["is_token"].fillna(False).astype(bool)]
-                rows += list(zip(kept["seq"].tolist(), kept["stage"].tolist(), kept["status"].tolist(), strict=True))
-        ends = [r[0] for r in rows if r[2] == "error" or r[1:] == ("compose", "done")]
-        if ends:
-            rows = [r for r in rows if r[0] <= min(ends)]
-        state.update((over, newest, [r[0] for r in rows], [r[1] for r in rows], [r[2] for r in rows]))
-        state.setTimeoutTimestamp(max(newest + (settle if ends else idle) * 1000, state.getCurrentWatermarkMs() + 1))
+        ids, newest, due, over, of, seqs, names, statuses = state.get if state.exists else [[]] * 8
+        held = {i: [n, d, o, []] for i, n, d, o in zip(ids, newest, due, over, strict=True)}  # newest ts, when it is due, whether it is over, events
+        for i, *row in zip(of, seqs, names, statuses, strict=True):
+            held[i][3].append(tuple(row))
+        watermark, met = state.getCurrentWatermarkMs(), set()
+        for frame in () if state.hasTimedOut else frames:
+            at, token = frame["ts"].astype("datetime64[ms]").astype("int64"), frame["is_token"].fillna(False).astype(bool)
+            met.update(frame["request_id"].tolist())
+            for i, t, dropped, *row in zip(frame["request_id"].tolist(), at.tolist(), token.tolist(), frame["seq"].tolist(), frame["stage"].tolist(), frame["status"].tolist(), strict=True):
+                one = held.get(i) or held.setdefault(i, [0, 0, False, []])
+                if t > one[0]:
+                    one[0] = t
+                if not dropped and not one[2]:
+                    one[3].append(tuple(row))
+        for i in met:
+            one = held[i]
+            ends = [r[0] for r in one[3] if r[2] == "error" or r[1:] == ("compose", "done")]
+            if ends:
+                first = min(ends)
+                one[3] = [r for r in one[3] if r[0] <= first]
+            one[1] = max(one[0] + (settle if ends else idle) * 1000, watermark + 1)
+        found = []
+        for i in [i for i, one in held.items() if one[1] < watermark]:
+            _, _, was_over, rows = held[i]
+            if was_over:
+                del held[i]
+                continue
+            if (trace := reduced(rows)) is not None:
+                found.append({"request_id": i, **trace})
+            held[i][1:] = [watermark + idle * 1000, True, []]
+        if held:
+            events_of = [(i, *row) for i, one in held.items() for row in one[3]]
+            state.update((list(held), *([one[k] for one in held.values()] for k in range(3)), *([e[k] for e in events_of] for k in range(4))))
+            state.setTimeoutTimestamp(max(min(one[1] for one in held.values()), watermark, 1))
+        else:
+            state.remove()
+        if found:
+            yield pd.DataFrame(found)
 
     kept = events.where("ts is not null and request_id is not null").select("request_id", "seq", "ts", "stage", "status", "is_token").withWatermark("ts", late)
-    held = "over boolean, newest long, seqs array<long>, stages array<string>, statuses array<string>"
-    return kept.groupBy("request_id").applyInPandasWithState(step, TRACE, held, "append", GroupStateTimeout.EventTimeTimeout)
+    dealt = kept.withColumn("_group", F.pmod(F.xxhash64("request_id"), F.lit(groups)))
+    held = "ids array<long>, newest array<long>, due array<long>, over array<boolean>, of array<long>, seqs array<long>, stages array<string>, statuses array<string>"
+    return dealt.groupBy("_group").applyInPandasWithState(step, TRACE, held, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def stage_events(records: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from lectern.operators import chunking, ingest, ledger, providers, transcript
+from lectern.operators import chunking, ingest, ledger, providers, trace, transcript
 from lectern.sources import replies
 from lectern.sources.versions import Conflict, VersionedTable
 from lectern.streaming import stages
@@ -214,3 +214,23 @@ def test_traces_as_a_stream(spark, tmp_path):
     got = {r.request_id: tuple(r)[1:] for r in spark.read.schema(stages.TRACE).parquet(out).collect()}
     got.pop(9, None)
     assert got == {1: (2, "compose", 1, False, True, None, False), 2: (1, "rewrite", 0, True, False, "rewrite", False), 3: (2, "odd", 1, False, False, "route", True)}
+
+
+def test_traces_of_many_requests_share_the_state_of_a_group(spark, tmp_path):
+    """Two rows of state for 60 requests that end or fall silent, as each alone."""
+    schema = "request_id long, seq long, ts timestamp, stage string, status string, is_token boolean"
+    names, draw = list(trace.STAGES), random.Random(8)
+    made = [(i, q, 40 * (i % 3) + q, names[(q - 1) % 9], "error" if draw.random() < 0.1 else "done", draw.random() < 0.2) for i in range(60) for q in range(1, 4 + i % 9)]
+    folder, out, checkpoint = (f"file://{tmp_path}/{n}" for n in ("in", "out", "checkpoint"))
+    held = []
+    for rows in (made[::2], made[1::2], [(-1, 1, 50000, "route", "done", False)], [(-1, 2, 50001, "route", "done", False)]):
+        events = spark.createDataFrame(rows, "request_id long, seq long, at long, stage string, status string, is_token boolean")
+        events.withColumn("ts", F.expr("timestamp '2024-01-01' + make_interval(0, 0, 0, 0, 0, 0, at)")).select("request_id", "seq", "ts", "stage", "status", "is_token").write.mode("append").parquet(folder)
+        read = spark.readStream.schema(schema).parquet(folder)
+        query = stages.traces(read, late="200 seconds", groups=2).writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        query.awaitTermination()
+        held += [s["numRowsTotal"] for p in query.recentProgress for s in p["stateOperators"]]
+    assert 0 < max(held) <= 2
+    got = {r.request_id: tuple(r)[1:6] for r in spark.read.schema(stages.TRACE).parquet(out).where("request_id >= 0").collect()}
+    events = spark.createDataFrame([r[:2] + r[3:] for r in made], "request_id long, seq long, stage string, status string, is_token boolean")
+    assert got == {r.request_id: tuple(r)[1:] for r in trace.reduce_traces(events).collect()}
