@@ -132,6 +132,9 @@ def seed(chunks: DataFrame, tables: dict[str, DataFrame], embedder: providers.Em
     Keys are name-based, so a second run changes nothing. A chunk's index counts the lines of its file, with gaps where a
     row fails: one without an id or a text, or with a vector of another length. Other columns of the tables keep their
     values, and are those of `defaults`, by table and column, in new rows.
+
+    Rows are embedded where they are and numbered in the files written then; indices, the rows that count and what they
+    replace are found without texts and vectors, which are shuffled once, to these rows.
     """
 
     def more(name: str, rows: DataFrame) -> tuple[DataFrame, tuple[str, ...]]:
@@ -139,18 +142,24 @@ def seed(chunks: DataFrame, tables: dict[str, DataFrame], embedder: providers.Em
         return rows.withColumns({f.name: F.lit((defaults or {}).get(name, {}).get(f.name)).cast(f.dataType) for f in extra}), tuple(f.name for f in extra)
 
     key = lambda kind, c: fn.uuid5(F.concat(F.lit(f"{kind}::"), c.cast("string")), namespace)
-    index = (F.row_number().over(Window.partitionBy("source_file").orderBy("line")) - 1).cast("int")  # the chunks of one file
-    named = chunks.withColumns({"document": key("doc", F.col("source_file")), "id": key("chunk", F.col("chunk_id")), "chunk_index": index})
-    docs = named.select(F.col("document").alias("id"), fn.module_of(F.col("source_file")).alias("mod"), F.col("source_file").alias("file"), "line")
-    made = staged(providers.embed_each(named, embedder, "chunk_text", dim), "seeded")
-    made = made.withColumn("error", F.when(F.col("id").isNull(), "no chunk_id").otherwise(F.col("error")))
-    good = made.where("error is null")
-    rows = good.select("id", "document", F.col("chunk_text").alias("text"), "chunk_index", "line")
-    vectors = good.select(key("emb", F.col("chunk_id")).alias("id"), F.col("id").alias("chunk"), "embedding", "line")
+    named = chunks.select("chunk_id", "source_file", "line", "chunk_text", key("doc", F.col("source_file")).alias("document"), key("chunk", F.col("chunk_id")).alias("id"))
+    made = staged(providers.embed_each(named, embedder, "chunk_text", dim).withColumn("_row", F.monotonically_increasing_id()), "seeded")
+    made = made.withColumn("error", F.when(F.col("chunk_id").isNull(), "no chunk_id").otherwise(F.col("error")))
+    docs = made.select(F.col("document").alias("id"), fn.module_of(F.col("source_file")).alias("mod"), F.col("source_file").alias("file"), "line")
+    index = (F.row_number().over(Window.partitionBy("source_file").orderBy("line", "_row")) - 1).cast("int")  # the chunks of one file
+    light = made.select("_row", "id", "chunk_id", "document", "source_file", "line", "error").withColumn("chunk_index", index)
+    last = staged(upsert.one_each(light.where("error is null").drop("error", "source_file"), "id", "line", last=True), "seeded-last")
+    rows = last.select("id", "document", "chunk_index", "_row")
+    vectors = last.select(key("emb", F.col("chunk_id")).alias("id"), F.col("id").alias("chunk"), "_row")
     out = {"documents": upsert.insert_if_absent(tables["documents"], more("documents", docs)[0], "id", "line")}
-    for name, new, pin in (("chunks", rows, "document"), ("embeddings", vectors, "chunk")):
-        new, extra = more(name, new)
-        out[name] = upsert.upsert(tables[name], new, "id", (pin, *extra), "line")
+    for name, new, pin, heavy in (("chunks", rows, "document", F.col("chunk_text").alias("text")), ("embeddings", vectors, "chunk", F.col("embedding"))):
+        wide = made.select("_row", heavy)
+        old = tables[name]
+        new, extra = more(name, new.withColumn(wide.columns[1], F.lit(None)))
+        pinned = old.select("id", *(F.col(c).alias(f"_{c}") for c in (pin, *extra)), F.lit(True).alias("_old"))
+        light = new.drop(wide.columns[1]).join(pinned, "id", "left")
+        light = light.withColumns({c: F.when(F.col("_old"), F.col(f"_{c}")).otherwise(F.col(c)) for c in (pin, *extra)})
+        out[name] = upsert.beside(old, light.join(wide, "_row").select(*old.columns), new.select("id"), "id")
     return out, made.where("error is not null").select("chunk_id", "source_file", "line", "error")
 
 

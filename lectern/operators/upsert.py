@@ -31,5 +31,13 @@ def upsert(old: DataFrame, new: DataFrame, key: str, pinned: tuple[str, ...] = (
     return joined.select(*((old_wins(c) if c in pinned or c == key else new_wins(c)).alias(c) for c in old.columns))
 
 
+def beside(old: DataFrame, new: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """new and the rows of old whose key isn't in keys. Keys are counted first: where all rows of old stay, or none, old isn't shuffled."""
+    n, gone = old.count(), old.select(key).join(keys, key, "left_semi").count()
+    if n == gone:
+        return new
+    return new.unionByName(old if not gone else old.join(keys, key, "left_anti").select(*old.columns))
+
+
 def skip_existing(sources: DataFrame, done: DataFrame, key: str) -> DataFrame:
     return sources.join(done.select(key).distinct(), key, "left_anti")

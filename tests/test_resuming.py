@@ -234,3 +234,24 @@ def test_traces_of_many_requests_share_the_state_of_a_group(spark, tmp_path):
     got = {r.request_id: tuple(r)[1:6] for r in spark.read.schema(stages.TRACE).parquet(out).where("request_id >= 0").collect()}
     events = spark.createDataFrame([r[:2] + r[3:] for r in made], "request_id long, seq long, stage string, status string, is_token boolean")
     assert got == {r.request_id: tuple(r)[1:] for r in trace.reduce_traces(events).collect()}
+
+
+def test_seeding_shuffles_no_text_to_find_what_it_replaces(spark):
+    """Some, none and all of the old rows are replaced; pins and other columns stay; of equal ids the last line counts."""
+    namespace = "6ba7b8109dad11d180b400c04fd430c8"
+    chunks = spark.createDataFrame([(f"c{k}", f"f{k % 2}.pdf", k, f"text {k}") for k in range(6)] + [("c1", "f1.pdf", 9, "last"), (None, "f1.pdf", 7, "x"), ("c8", "f1.pdf", 8, None)], "chunk_id string, source_file string, line int, chunk_text string")
+    empty = {"documents": spark.createDataFrame([], "id string, mod string, file string"), "chunks": spark.createDataFrame([], "id string, document string, text string, chunk_index int"), "embeddings": spark.createDataFrame([], "id string, chunk string, embedding array<float>")}
+    first, bad = ingest.seed(chunks, empty, providers.hashed_embedder(), namespace)
+    assert sorted((r.text, r.chunk_index) for r in first["chunks"].collect()) == [("last", 5), ("text 0", 0), ("text 2", 1), ("text 3", 1), ("text 4", 2), ("text 5", 2)]
+    assert sorted((r.chunk_id or "", r.error) for r in bad.collect()) == [("", "no chunk_id"), ("c8", "no text")]
+    ids = {r.text: r.id for r in first["chunks"].collect()}
+    held = lambda rows: spark.createDataFrame(rows, "id string, document string, text string, chunk_index int, note string")
+    for old, stay in (([(ids["last"], "pinned", "old", 0, "n"), ("other", "d", "stays", 1, "m")], 1), ([("other", "d", "stays", 1, "m")], 1), ([(ids["last"], "pinned", "old", 0, "n")], 0)):
+        out = ingest.seed(chunks, empty | {"chunks": held(old)}, providers.hashed_embedder(), namespace, defaults={"chunks": {"note": "new"}})[0]["chunks"]
+        assert out.columns == ["id", "document", "text", "chunk_index", "note"]
+        plan = out._jdf.queryExecution().optimizedPlan().toString()
+        assert "FullOuter" not in plan and "Window" not in plan and ("LeftAnti" in plan) == (len(old) == 2)
+        got = {r.id: tuple(r)[1:] for r in out.collect()}
+        assert len(got) == 6 + stay and got.get("other") == (("d", "stays", 1, "m") if stay else None)
+        mine = got[ids["last"]]
+        assert mine[1:3] == ("last", 5) and (mine[0], mine[3]) == (("pinned", "n") if old[0][0] != "other" else (mine[0], "new"))
