@@ -185,8 +185,7 @@ def reindex_table(embeddings: VersionedTable, chunks: DataFrame, embedder: provi
     last = embeddings.version().number
     old = embeddings.read(last)
     made = staged(reindex(old, chunks, embedder, dim), "reindexed")
-    rest = old.join(made.select("id"), "id", "left_anti")
-    embeddings.replace(made.drop("error").unionByName(rest), after=last, done="reindex")
+    embeddings.replace(upsert.beside(old, made.drop("error"), made.select("id"), "id"), after=last, done="reindex")
     return made.where("error is not null").select("id", "chunk", "error")
 
 
