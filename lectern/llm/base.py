@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 
 #: The white space that the contracts strip and split at: [\x20\x09-\x0D].
 SPACES = " \t\n\x0b\x0c\r"
+#: Bytes of an Arrow batch that Python tasks get, unless the session sets them.
+BATCH_BYTES = 4 << 20
+_BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 _own_dir: str | None = None
 
@@ -46,6 +49,15 @@ def small(df: DataFrame, rows: int, most: int = 1_000_000) -> DataFrame:
     return F.broadcast(df) if rows <= most else df.hint("shuffle_merge")
 
 
+def bounded(df: DataFrame) -> DataFrame:
+    """df, whose rows go to Python in batches of BATCH_BYTES or so: else a batch is 10,000 rows, however long. Spark has
+    this for a session alone; one that the user has set stays."""
+    conf = df.sparkSession.conf
+    if conf.get(_BATCH_BYTES, None) is None:
+        conf.set(_BATCH_BYTES, str(BATCH_BYTES))
+    return df
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """name, or the first longer one that isn't a column of df."""
     held = {c.lower() for c in df.columns}

@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.base import fresh, materialize, small
+from lectern.llm.base import bounded, fresh, materialize, small
 from lectern.llm.cuckoo import SLOTS, CuckooFilter
 
 MIN_CHARS = 10
@@ -78,7 +78,7 @@ def references(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(tags, pa.int64()), pa.array(hashes[:, 0]), pa.array(hashes[:, 1]), pa.array(positions, pa.binary())], ["doc_id", "tag", "h1", "h2", "positions"])
 
     held = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("tag"), "text")
-    return held.mapInArrow(rows, _REFERENCE)
+    return bounded(held).mapInArrow(rows, _REFERENCE)
 
 
 def counts(refs: DataFrame) -> DataFrame:
@@ -244,7 +244,7 @@ class LineIndex:
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64())], [*names, "n_lines", "n_dropped"])
 
         schema = docs.limit(0).withColumns({"n_lines": F.lit(0).cast("long"), "n_dropped": F.lit(0).cast("long")}).schema
-        return joined.mapInArrow(keep, schema)
+        return bounded(joined).mapInArrow(keep, schema)
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:

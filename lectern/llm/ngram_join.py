@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.base import SPACES, materialize, small
+from lectern.llm.base import SPACES, bounded, materialize, small
 
 N = 5
 THRESHOLD = 0.8
@@ -67,7 +67,7 @@ class WordHashes(dict):
     """64-bit hashes of words, kept while there are not too many."""
 
     def __missing__(self, word: str) -> int:
-        if len(self) > 300_000:
+        if len(self) > 50_000:
             self.clear()
         found = self[word] = xxhash.xxh3_64_intdigest(word)
         return found
@@ -123,7 +123,7 @@ def sketch(docs: DataFrame, n: int = N, bands: int | None = None, rows: int | No
             d = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(d[:, 0]), pa.array(d[:, 1]), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "d1", "d2", "n_grams", "keys"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, d1 long, d2 long, n_grams long, keys array<long>")
+    return bounded(docs.select(F.col("doc_id").cast("long"), "text")).mapInArrow(run, "doc_id long, d1 long, d2 long, n_grams long, keys array<long>")
 
 
 def _verify(tiles: Iterator[pd.DataFrame], threshold: float) -> Iterator[pd.DataFrame]:
@@ -260,11 +260,11 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, n: int = N, recall: floa
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(packed, pa.binary()), pa.array(digests, pa.int64()), pa.array([x.tobytes() for x in found], pa.binary())], ["doc_id", "copies", "buckets", "d1", "grams"])
 
     texts = docs.select(F.col("doc_id").cast("long"), "text").join(small(wanted.withColumnRenamed("rep", "doc_id"), n_of, 200_000), "doc_id").select("doc_id", "text", "copies", "all")
-    sets = texts.mapInArrow(grams, "doc_id long, copies long, buckets binary, d1 long, grams binary").dropDuplicates(["doc_id", "d1"])
+    sets = bounded(texts).mapInArrow(grams, "doc_id long, copies long, buckets binary, d1 long, grams binary").dropDuplicates(["doc_id", "d1"])
     tiled = held.withColumn("tile", F.pmod(F.xxhash64("rep", F.lit(7)), "tiles").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
     tiled = tiled.select(F.col("rep").alias("doc_id"), "bucket", "tile", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"))
     met = tiled.join(sets, "doc_id").repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "doc_id")
-    links = materialize(met.mapInPandas(lambda x: _verify(x, threshold), "doc_id long, links long, to long"), "links")
+    links = materialize(bounded(met).mapInPandas(lambda x: _verify(x, threshold), "doc_id long, links long, to long"), "links")
     totals = links.groupBy("doc_id").agg(F.sum("links").alias("links"))
     roots = components(links.where(F.col("to") < 2**63 - 1).select("doc_id", "to"))
     each = classes.select("d1", "d2", "rep", "copies").join(totals.withColumnRenamed("doc_id", "rep"), "rep", "left").join(roots.withColumnRenamed("doc_id", "rep"), "rep", "left")

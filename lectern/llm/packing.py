@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.base import fresh, materialize
+from lectern.llm.base import bounded, fresh, materialize
 
 SIZE = 1024
 END = 2
@@ -118,7 +118,7 @@ def tokenize(docs: DataFrame, tokenizer: str, size: int = SIZE, end: int = END,
                 )
 
     schema = docs.select(*names).limit(0).withColumns({"piece": F.lit(0), "start": F.lit(0).cast("long"), "length": F.lit(0).cast("long"), "ids": F.lit(b"")}).schema
-    return docs.mapInArrow(rows, schema)
+    return bounded(docs).mapInArrow(rows, schema)
 
 
 class BestFit:
@@ -168,7 +168,7 @@ def pack(pieces: DataFrame, size: int = SIZE, open_bins: int = OPEN_BINS, pieces
             yield frame.drop(columns=order).assign(sequence_id=first + places[:, 0], offset=places[:, 1])
 
     schema = pieces.limit(0).withColumns({"sequence_id": F.lit(0).cast("long"), "offset": F.lit(0).cast("long")}).schema
-    return dealt.mapInPandas(rows, schema)
+    return bounded(dealt).mapInPandas(rows, schema)
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, size: int = SIZE, end: int = END, added: bool = True) -> DataFrame:

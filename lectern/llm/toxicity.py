@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.base import materialize
+from lectern.llm.base import bounded, materialize
 
 SAMPLE = 6000
 FEATURES = 20_000
@@ -134,7 +134,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> OrdinalMo
                 found = [sorted(features_of(t)) for t in part.column(2).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([int(t) for t in part.column(1).to_pylist()], pa.int32()), pa.array(found, pa.list_(pa.string()))], ["id", "toxic", "features"])
 
-    sampled = texts.select("_id", "_toxic", "text").mapInArrow(rows, "id long, toxic int, features array<string>")
+    sampled = bounded(texts.select("_id", "_toxic", "text")).mapInArrow(rows, "id long, toxic int, features array<string>")
     once = sampled.withColumn("digest", F.sha2(F.array_join("features", " "), 256)).groupBy("digest", "toxic").agg(F.min_by("features", "id").alias("features"), F.min("id").alias("id"))
     sampled = materialize(once, "labelled-sample")
     told = telling(sampled)
@@ -165,4 +165,4 @@ def score(docs: DataFrame, model: OrdinalModel, reject: float = REJECT) -> DataF
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(len(names))), pa.array(likeliest), pa.array(expected), pa.array(p[:, 0].round(9)), pa.array(bad)], [*names, *out])
 
     schema = docs.limit(0).withColumns({"severity": F.lit(0), "expected_severity": F.lit(0.0), "p_toxic": F.lit(0.0), "rejected": F.lit(False)}).schema
-    return docs.mapInArrow(rows, schema)
+    return bounded(docs).mapInArrow(rows, schema)

@@ -818,6 +818,22 @@ def test_stages_against_brute_force(spark, sf, documents):
     assert lines == want
 
 
+@pytest.mark.parametrize("name", ["toxicity", "line_dedup", "ngram_join", "packing"])
+def test_python_tasks_get_bounded_batches(spark, sf, name):
+    """Of 16 MB in one partition, and whatever batches the session asks for if it asks."""
+    key, sizes = "spark.sql.execution.arrow.maxBytesPerBatch", lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.nbytes])], ["b"]) for b in batches)
+    docs = spark.range(1600, numPartitions=1).select(F.col("id").alias("doc_id"), F.concat(F.lit("word of a text "), F.repeat(F.col("id").cast("string"), F.lit(10_000) / F.length(F.col("id").cast("string")))).alias("text"))
+    most = lambda: docs.mapInArrow(sizes, "b long").agg(F.max("b")).first()[0]
+    spark.conf.unset(key)
+    assert most() > 12e6
+    dict(corpus_pipeline.STAGES)[name](spark, docs, sf).count()
+    assert most() < 5e6
+    spark.conf.set(key, str(2 << 20))
+    dict(corpus_pipeline.STAGES)[name](spark, docs.limit(5), sf).count()
+    assert spark.conf.get(key) == str(2 << 20)
+    spark.conf.unset(key)
+
+
 def test_run(spark, sf):
     got = rows(corpus_pipeline.run(spark, sf))
     assert got and {"doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"} == set(got[0].asDict())
